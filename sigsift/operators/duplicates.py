@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sigsift.config import ScanConfig
+from sigsift.functions.entropy import byte_histogram
 from sigsift.operators import inventory
 from sigsift.session import SALTS
 
@@ -26,6 +27,19 @@ def duplicate_content(files: DataFrame, config: ScanConfig) -> DataFrame:
     )
 
 
+def group_entropy(files: DataFrame, group: str) -> DataFrame:
+    """Entropy of all bytes of a group; histograms add up, so no group is ever put together."""
+    counted = files.select(group, F.posexplode_outer(byte_histogram("content")).alias("byte", "n"))
+    summed = counted.where(F.col("n") > 0).groupBy(group, "byte").agg(F.sum("n").alias("n"))
+    n = F.col("n")
+    total = F.sum("n")
+    return summed.groupBy(group).agg(
+        total.alias("bytes"),
+        F.count(F.lit(1)).alias("byte_values"),
+        F.abs(F.round(F.log2(total.cast("double")) - F.sum(n * F.log2(n.cast("double"))) / total, 4)).alias("entropy"),
+    )
+
+
 def findings_by_content(files: DataFrame, config: ScanConfig) -> DataFrame:
     """The findings of ``scan`` for corpora full of copies: each content is scanned once.
 

@@ -54,7 +54,8 @@ def documents_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def document_files(spark: SparkSession, sf_dir: str, some_empty: bool = False) -> DataFrame:
+def files_of(documents: DataFrame, extra: list[Column] = (), some_empty: bool = False) -> DataFrame:
+    """Documents, as a table or a stream, as files; ``extra`` columns are kept."""
     doc = F.col("doc_id")
     folder = F.when(doc % 13 == 0, "node_modules/").when(doc % 17 == 0, "a/build/").otherwise("src/")
     path = F.concat(folder, F.lit("d"), doc, _pick(EXTENSIONS, doc % len(EXTENSIONS)))
@@ -62,8 +63,12 @@ def document_files(spark: SparkSession, sf_dir: str, some_empty: bool = False) -
     text = F.concat("text", F.lit("\n"), seed)
     if some_empty:
         text = F.when(doc % 41 == 40, F.lit("")).otherwise(text)
+    return from_table(documents, F.col("source"), path, text, extra)
+
+
+def document_files(spark: SparkSession, sf_dir: str, some_empty: bool = False) -> DataFrame:
     documents = spread(documents_table(spark, sf_dir).select("doc_id", "source", "text"))
-    return from_table(documents, F.col("source"), path, text)
+    return files_of(documents, some_empty=some_empty)
 
 
 def metadata_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,3 +99,64 @@ def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spread(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
     host = F.regexp_extract("url", "^[a-z]+://([^/:?#]+)", 1)
     return from_table(pages, host, F.concat(F.lit("p"), "page_id", F.lit(".js")), F.col("html"))
+
+
+def packed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file of noise-like bytes per document: digests of its text without zero nibbles."""
+    documents = spread(documents_table(spark, sf_dir).select("doc_id", "source", "text"))
+    digests = F.concat(*[F.sha2(F.concat("text", F.lit(f"#{n}")), 256) for n in range(8)])
+    content = F.unhex(F.translate(digests, "0", "f"))
+    return documents.select(
+        F.col("source").alias("scan_id"),
+        F.concat(F.lit("packed/p"), "doc_id", F.lit(".php")).alias("path"),
+        F.octet_length(content).cast("bigint").alias("length"),
+        content.alias("content"),
+    )
+
+
+def gated_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents some of which carry a NUL, in front or at the end."""
+    doc = F.col("doc_id")
+    nul = F.lit("\u0000")
+    text = F.when(doc % 7 == 0, F.concat(nul, "text")).when(doc % 7 == 1, F.concat("text", nul)).otherwise(F.col("text"))
+    documents = spread(documents_table(spark, sf_dir).select("doc_id", "source", "text"))
+    return from_table(documents, F.col("source"), F.concat(F.lit("t"), "doc_id", F.lit(".php")), text)
+
+
+def archive_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A member table: each package's documents as the directory of one archive."""
+    doc = F.col("doc_id")
+    documents = documents_table(spark, sf_dir).select("doc_id", "source", "n_chars")
+    name = (
+        F.when(doc % 97 == 0, "../evil.php").when(doc % 89 == 0, "/abs.php").otherwise(F.concat(F.lit("src/d"), doc, F.lit(".php")))
+    )
+    return documents.select(
+        F.col("source").alias("scan_id"),
+        doc.alias("member_ord"),
+        name.alias("name"),
+        (F.col("n_chars") * 5000).alias("size"),
+        F.when(doc % 101 == 0, 0o120777).otherwise(0o100644).alias("mode"),
+    )
+
+
+def responses(batched: DataFrame) -> DataFrame:
+    """Made-up reviewer answers for a batch table, some incomplete, some with a preamble, some failed."""
+    no = F.col("batch_no")
+    block = F.concat(
+        F.lit("FINDING "), F.col("pos").cast("string"), F.lit(":\nVERDICT: "),
+        F.when((no + F.col("pos")) % 3 == 0, "FALSE_POSITIVE").otherwise("TRUE_POSITIVE"),
+        F.lit("\nSEVERITY: LOW\nANALYSIS: note on "), F.col("rule_id"), F.lit("\nmore text\n"),
+    )
+    grouped = (
+        batched.select("scan_id", "batch_no", F.struct("pos", block.alias("text")).alias("b"))
+        .groupBy("scan_id", "batch_no")
+        .agg(F.array_sort(F.collect_list("b")).alias("bs"))
+    )
+    kept = F.when(no % 5 == 4, F.slice("bs", F.lit(1), F.size("bs") - 1)).otherwise(F.col("bs"))
+    intro = F.when(no % 7 == 6, "Here is my view.\n").otherwise("")
+    return grouped.select(
+        "scan_id",
+        "batch_no",
+        F.concat(intro, F.array_join(F.transform(kept, lambda b: b["text"]), "")).alias("response"),
+        F.when(no % 11 == 10, "timeout").alias("error"),
+    )

@@ -5,6 +5,8 @@ Every source yields ``files(scan_id, path, length, content)``.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,14 +15,15 @@ from sigsift.config import ScanConfig
 FILE_COLUMNS = ("scan_id", "path", "length", "content")
 
 
-def from_table(frame: DataFrame, scan_id: Column, path: Column, text: Column) -> DataFrame:
-    """Any table with a text column."""
+def from_table(frame: DataFrame, scan_id: Column, path: Column, text: Column, extra: Sequence[Column] = ()) -> DataFrame:
+    """Any table with a text column; ``extra`` columns ride along."""
     content = text.cast("binary")
     return frame.select(
         scan_id.cast("string").alias("scan_id"),
         path.cast("string").alias("path"),
         F.octet_length(content).cast("bigint").alias("length"),
         content.alias("content"),
+        *extra,
     )
 
 
