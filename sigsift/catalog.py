@@ -10,8 +10,10 @@ import re
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from sigsift.guidance import guidance_for
 
@@ -200,7 +202,14 @@ def rules_frame(spark: SparkSession, rules: Sequence[Rule] = RULES) -> DataFrame
         )
         for n, r in enumerate(rules, 1)
     ]
-    return spark.createDataFrame(rows, RULE_SCHEMA)
+    return local_frame(spark, rows, RULE_SCHEMA)
+
+
+def local_frame(spark: SparkSession, rows: list[tuple], schema: T.StructType) -> DataFrame:
+    """A few rows as a literal of the plan, which needs no job to be read."""
+    arrow = to_arrow_schema(schema)
+    columns = [pa.array([row[n] for row in rows], type=f.type) for n, f in enumerate(arrow)]
+    return spark.createDataFrame(pa.Table.from_arrays(columns, schema=arrow), schema)
 
 
 def check_rules(rules: Iterable[Rule]) -> list[str]:

@@ -50,7 +50,8 @@ class ScanConfig:
 
     ``exclude_dirs`` and ``include_ext`` add to the defaults.  ``quick`` raises
     the threshold to HIGH whatever ``severity_threshold`` says.  ``php_only``
-    wins over ``include_ext``.
+    wins over ``include_ext``.  ``wide_lines`` adds that many lines either side
+    to each finding, for review.
     """
 
     severity_threshold: int = LOW
@@ -64,6 +65,7 @@ class ScanConfig:
     quick: bool = False
     context_lines: int = CONTEXT_LINES
     max_matches: int = MAX_MATCHES
+    wide_lines: int = 0
     rules: tuple[Rule, ...] = RULES
 
     def __post_init__(self):
@@ -71,8 +73,8 @@ class ScanConfig:
             raise ValueError("php_only and js_only exclude each other")
         if self.max_file_kb <= 0:
             raise ValueError("max_file_kb must be greater than 0")
-        if self.context_lines < 0:
-            raise ValueError("context_lines cannot be negative")
+        if self.context_lines < 0 or self.wide_lines < 0:
+            raise ValueError("context_lines and wide_lines cannot be negative")
         if self.max_matches < 1:
             raise ValueError("max_matches must be at least 1")
         if self.severity_threshold not in SEVERITY_LABELS:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sigsift.catalog import CRITICAL, ENTROPY_ID, HEURISTIC_ID, HIGH, MATCH_FLAGS, MEDIUM
 from sigsift.config import ScanConfig
 from sigsift.functions import text as tx
-from sigsift.operators.matching import MATCH_TYPE, finding
+from sigsift.operators.matching import MATCH_TYPE, finding, wide_context
 
 HEURISTIC_ORD = 1_000_000
 ENTROPY_ORD = 1_000_001
@@ -95,11 +95,10 @@ def heuristic_matches(config: ScanConfig) -> Column:
         F.lit("."),
     )
     row = finding(
+        config,
         F.lit(HEURISTIC_ORD),
         F.when(F.col("points") >= CRITICAL_SCORE, CRITICAL).otherwise(HIGH),
         tx.spot_at(F.col("text"), h["first"]),
-        F.col("file_lines"),
-        config.context_lines,
         F.lit(False),
         detail,
     )
@@ -124,6 +123,7 @@ def entropy_matches(config: ScanConfig) -> Column:
         F.concat(
             F.lit("The bytes of this file look encoded: entropy "), tx.fixed(F.col("entropy"), 2), F.lit(" of 8.0.")
         ).alias("detail"),
+        wide_context(F.col("file_lines"), F.lit(0), config.wide_lines).alias("wide"),
     )
     wanted = (F.col("language") == "php") & F.col("text").isNotNull() & (F.col("entropy") > DEEP_ENTROPY)
     return F.when(wanted, F.array(row)).otherwise(none)

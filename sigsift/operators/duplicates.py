@@ -54,7 +54,7 @@ def findings_by_content(files: DataFrame, config: ScanConfig) -> DataFrame:
     one = keyed.select(
         *key, "extension", F.lit("").alias("scan_id"), F.concat(F.lit("x"), "extension").alias("path"), "length", "content"
     ).dropDuplicates(key)
-    scanned = scan_files(one, config).select("*")
+    scanned = scan_files(one, config)
     found = explode_findings(scanned.withColumn("path", F.col("sha256")), config).withColumnRenamed("path", "sha256").drop("scan_id")
     salt = F.pmod(F.xxhash64("scan_id", "path"), F.lit(SALTS)).cast("int")
     places = keyed.select(*key, "scan_id", "path", salt.alias("_salt"))

@@ -15,7 +15,7 @@ from sigsift.functions import text as tx
 
 MATCH_TYPE = (
     "array<struct<rule_ord:int,severity:int,match_start:int,line_number:int,match_column:int,line_content:string,"
-    "context_before:array<string>,context_after:array<string>,false_positive:boolean,detail:string>>"
+    "context_before:array<string>,context_after:array<string>,false_positive:boolean,detail:string,wide:struct<first_line:int,last_line:int,text:string>>>"
 )
 
 
@@ -95,8 +95,19 @@ def window_text(lines: Column, line: Column, k: int) -> Column:
     return F.array_join(F.slice(lines, first, line + k + 1 - first), "\n")
 
 
-def finding(rule_ord: Column, severity: Column, spot: Column, lines: Column, k: int, suppressed: Column, detail: Column) -> Column:
-    near = around(lines, spot, k)
+def wide_context(lines: Column, line: Column, k: int) -> Column:
+    """The text from k lines before to k lines after, as line k before is counted from 0."""
+    if not k:
+        return F.lit(None).cast("struct<first_line:int,last_line:int,text:string>")
+    first = F.greatest(F.lit(0), line - k) + 1
+    last = F.least(F.size(lines), line + k)
+    text = F.array_join(F.slice(lines, first, F.greatest(last - first + 1, F.lit(0))), "\n")
+    return F.struct(first.alias("first_line"), last.alias("last_line"), text.alias("text"))
+
+
+def finding(config: ScanConfig, rule_ord: Column, severity: Column, spot: Column, suppressed: Column, detail: Column) -> Column:
+    lines = F.col("file_lines")
+    near = around(lines, spot, config.context_lines)
     return F.struct(
         rule_ord.alias("rule_ord"),
         severity.cast("int").alias("severity"),
@@ -108,6 +119,7 @@ def finding(rule_ord: Column, severity: Column, spot: Column, lines: Column, k:
         near["context_after"].alias("context_after"),
         suppressed.alias("false_positive"),
         detail.cast("string").alias("detail"),
+        wide_context(lines, spot["line"], config.wide_lines).alias("wide"),
     )
 
 
@@ -130,13 +142,7 @@ def catalog_matches(config: ScanConfig) -> Column:
         return F.transform(
             place["at"],
             lambda s: finding(
-                place["rule_ord"],
-                F.element_at(severities, place["rule_ord"]),
-                s,
-                F.col("file_lines"),
-                config.context_lines,
-                suppressed(place["rule_ord"], s),
-                F.lit(None),
+                config, place["rule_ord"], F.element_at(severities, place["rule_ord"]), s, suppressed(place["rule_ord"], s), F.lit(None)
             ),
         )
 

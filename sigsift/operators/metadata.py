@@ -11,6 +11,7 @@ from sigsift.functions import text as tx
 from sigsift.operators.inventory import inventory
 
 # Header formats and messages.
+CODE_NAME = r"\.(?:php|inc|module)$"
 NAME_LINE = r"(?imdU)^[ \t/*#@]*Plugin Name:\s*(.+?)\s*$"
 VERSION_LINE = r"(?imdU)^[ \t/*#@]*(?:Version|Stable tag):\s*(.+?)\s*$"
 README_TITLE = r"(?dU)^===\s*([^=\n]+?)\s*===$"
@@ -41,68 +42,59 @@ def _readme_title(head: Column) -> Column:
     return F.regexp_replace(tx.strip(F.regexp_extract(first, README_TITLE, 1)), f"(?U){tx.SPACE}+", " ")
 
 
-def candidates(files: DataFrame, config: ScanConfig) -> DataFrame:
-    """Files that may name their package, each with what it says.
+def may_name_package(path: Column) -> Column:
+    name = paths.file_name(path)
+    return (name == "readme.txt") | F.lower(name).rlike(CODE_NAME)
 
-    ``rank`` orders them: readmes before code, then shallow before deep, then by
-    path.  It is null for a file that has no say.
+
+def with_claim(files: DataFrame) -> DataFrame:
+    """Adds ``claim``: what a file says about its package, null for a file that has no say.
+
+    ``rank`` orders claims: readmes before code, then shallow before deep, then by
+    path.
     """
-    name = paths.file_name(F.col("path"))
-    readme = name == "readme.txt"
-    code = F.lower(name).rlike(r"\.(?:php|inc|module)$")
-    head = tx.decode(F.col("content"), HEADER_BYTES)
-    named = F.col("head").rlike(NAME_LINE) & F.contains(F.lower("head"), F.lit("plugin name:"))
+    readme = paths.file_name(F.col("path")) == "readme.txt"
+    head = F.when(may_name_package(F.col("path")), tx.decode(F.col("content"), HEADER_BYTES))
     title = F.when(readme, F.nullif(_readme_title(F.col("head")), F.lit("")))
-    found = (
-        files.where(~paths.under_any(F.col("path"), config.excluded) & (readme | code))
-        .withColumn("head", head)
-        .withColumn("title", title)
-        .withColumn(
-            "rank",
-            F.when(
-                F.when(readme, F.col("title").isNotNull()).otherwise(named),
-                F.struct(
-                    F.when(readme, 0).otherwise(1).alias("kind"),
-                    paths.depth(F.col("path")).alias("depth"),
-                    F.col("path").alias("path"),
-                ),
-            ),
-        )
-        .where(F.col("rank").isNotNull())
+    named = F.contains(F.lower("head"), F.lit("plugin name:")) & F.col("head").rlike(NAME_LINE)
+    rank = F.struct(
+        F.when(readme, 0).otherwise(1).alias("kind"), paths.depth(F.col("path")).alias("depth"), F.col("path").alias("path")
     )
+    name = F.when(readme, F.col("title")).otherwise(tx.strip(F.regexp_extract("head", NAME_LINE, 1)))
     version = tx.strip(F.regexp_extract("head", VERSION_LINE, 1))
-    plugin = F.when(readme, F.col("title")).otherwise(tx.strip(F.regexp_extract("head", NAME_LINE, 1)))
-    return found.select("scan_id", "rank", plugin.alias("name"), version.alias("version"))
+    has_say = F.when(readme, F.col("title").isNotNull()).otherwise(named)
+    claim = F.when(has_say, F.struct(rank.alias("rank"), name.alias("name"), version.alias("version")))
+    return files.withColumn("head", head).withColumn("title", title).withColumn("claim", claim).drop("head", "title")
 
 
-def package_metadata(files: DataFrame, config: ScanConfig) -> DataFrame:
-    """The winning candidate per package.
+def best_claims(claims: DataFrame) -> DataFrame:
+    """The winning claim per package from ``(scan_id, claim)``.
 
-    ``min_by`` keeps one candidate per package and task before the shuffle, so
-    a package with a third of all files costs no more than any other.
+    ``min_by`` keeps one claim per package and task before the shuffle, so a
+    package with a third of all files costs no more than any other.
     """
-    best = F.min_by(F.struct("name", "version"), "rank").alias("best")
-    source = F.min("rank").alias("rank")
     return (
-        candidates(files, config)
-        .groupBy("scan_id")
-        .agg(best, source)
+        claims.groupBy("scan_id")
+        .agg(F.min_by("claim", "claim.rank").alias("best"))
         .select(
             "scan_id",
             F.col("best.name").alias("plugin_name"),
             F.col("best.version").alias("plugin_version"),
-            F.col("rank.path").alias("source_path"),
+            F.col("best.rank.path").alias("source_path"),
         )
         .where(F.col("plugin_name") != "")
     )
 
 
-def scan_status(files: DataFrame, config: ScanConfig) -> DataFrame:
+def package_metadata(files: DataFrame, config: ScanConfig) -> DataFrame:
+    """Name and version of every package that has a valid header."""
+    likely = files.where(~paths.under_any(F.col("path"), config.excluded) & may_name_package(F.col("path")))
+    return best_claims(with_claim(likely).select("scan_id", "claim"))
+
+
+def scan_status(listing: DataFrame, packages: DataFrame, config: ScanConfig) -> DataFrame:
     """One row per package: name, version, file counts, message (null when fine) and fatal flag."""
-    counts = (
-        inventory_counts(files, config)
-        .join(package_metadata(files, config), "scan_id", "left")
-    )
+    counts = inventory_counts(listing, config).join(packages, "scan_id", "left")
     message = F.when(F.col("plugin_name").isNull(), INVALID_PACKAGE).when(F.col("files_found") == 0, NO_FILES)
     return counts.withColumn("message", message).withColumn("fatal", F.coalesce(is_fatal(F.col("message")), F.lit(False)))
 

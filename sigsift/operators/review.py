@@ -59,15 +59,12 @@ def prompts(batched: DataFrame) -> DataFrame:
     return grouped.select("scan_id", "batch_no", F.size("bs").alias("findings"), F.concat(header, body).alias("prompt"))
 
 
-def wide_window(line: Column, line_total: Column, k: int = WIDE_LINES) -> tuple[Column, Column]:
-    """First and last line of the wide context of a finding, 1-based; line 0 counts as the top."""
-    first = F.greatest(F.lit(0), line - k) + 1
-    return first, F.least(line_total, line + k)
+def wide_prompts(findings: DataFrame) -> DataFrame:
+    """One prompt per finding with up to 50 lines either side.
 
-
-def wide_prompt(finding: DataFrame, lines: Column) -> DataFrame:
-    """Findings with a prompt of their own that shows up to 50 lines either side."""
-    first, last = wide_window(F.col("line_number"), F.size(lines))
+    The findings come from a scan with ``wide_lines=WIDE_LINES``: the lines were
+    cut out where the file was read, so files and findings need not meet again.
+    """
     near = lambda c: F.when(F.size(c) > 0, F.array_join(c, "\n")).otherwise("(no context)")
     prompt = F.concat(
         F.lit("Analyze this potential vulnerability:\n\n**Rule**: "), F.col("rule_id"), F.lit(" — "), F.col("title"),
@@ -77,10 +74,13 @@ def wide_prompt(finding: DataFrame, lines: Column) -> DataFrame:
         F.lit("\n**Description**: "), F.col("description"),
         F.lit("\n\n**Code Context**:\n```\n"), near("context_before"),
         F.lit("\n>>> "), F.col("line_content"), F.lit("\n"), near("context_after"), F.lit("\n```\n"),
-        F.lit("\n**Broader File Context** (lines "), first.cast("string"), F.lit("-"), last.cast("string"),
-        F.lit("):\n```\n"), F.array_join(F.slice(lines, first, F.greatest(last - first + 1, F.lit(0))), "\n"), F.lit("\n```\n"),
+        F.lit("\n**Broader File Context** (lines "), F.col("wide.first_line").cast("string"), F.lit("-"),
+        F.col("wide.last_line").cast("string"), F.lit("):\n```\n"), F.col("wide.text"), F.lit("\n```\n"),
+    )
+    return findings.select(
+        "scan_id", "path", "rule_id", "match_start", F.col("wide.first_line").alias("first_line"),
+        F.col("wide.last_line").alias("last_line"), prompt.alias("prompt"),
     )
-    return finding.withColumn("first_line", first).withColumn("last_line", last).withColumn("prompt", prompt)
 
 
 def parse_responses(responses: DataFrame) -> DataFrame:

@@ -148,7 +148,7 @@ def _signal(s) -> str:
 def _bytes(source: str, name: str = "byte_counts", content: str = "hex(encode(text))") -> str:
     return f"""{name} AS MATERIALIZED (
   SELECT scan_id, path, b, count(*) AS n FROM (
-    SELECT scan_id, path, unnest(list_transform(range(0, length(h) // 2), lambda i: substr(h, i * 2 + 1, 2))) AS b
+    SELECT scan_id, path, unnest(regexp_extract_all(h, '..')) AS b
     FROM (SELECT scan_id, path, {content} AS h FROM {source}))
   GROUP BY ALL)"""
 

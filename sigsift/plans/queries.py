@@ -268,22 +268,21 @@ def package_metadata(spark, sf):
 @query
 def report_slug(spark, sf):
     """Report names of packages, from their metadata or else from their archive's name."""
-    status = metadata.scan_status(corpus.corpus_files(spark, sf), DEFAULT)
+    status = _scan(spark, sf).status
     name = metadata.display_name(F.col("plugin_name"), F.concat(F.lit("/in/My Pack_"), "scan_id", F.lit(".ZIP")))
     return status.select("scan_id", name.alias("plugin_name"), metadata.report_slug(name).alias("slug"))
 
 
 @query
 def scan_status(spark, sf):
-    return metadata.scan_status(_listing(spark, sf), ScanConfig(include_ext=(".twig",))).select(
+    return scan(_listing(spark, sf), ScanConfig(include_ext=(".twig",))).status.select(
         "scan_id", "plugin_name", "files_found", "files_skipped", "message", "fatal"
     )
 
 
 @query
 def valid_scans(spark, sf):
-    t = _scan(spark, sf)
-    return t.findings.groupBy("scan_id").agg(F.count(F.lit(1)).alias("findings"))
+    return _scan(spark, sf).pinned().findings.groupBy("scan_id").agg(F.count(F.lit(1)).alias("findings"))
 
 
 @query
@@ -301,7 +300,7 @@ def severity_summary(spark, sf):
 
 @query
 def scan_grades(spark, sf):
-    return _scan(spark, sf).grades
+    return _scan(spark, sf).pinned().grades
 
 
 @query
@@ -424,14 +423,7 @@ def review_cost(spark, sf):
 
 @query
 def review_wide_context(spark, sf):
-    """One wide prompt per finding; files and findings meet again on package and path."""
-    files = corpus.corpus_files(spark, sf)
-    found = scan(files, DEFAULT).pinned().all_findings
-    texts = matching.with_text(inventory.scannable(files, DEFAULT), DEFAULT).select(
-        "scan_id", "path", tx.line_texts(F.col("text")).alias("file_lines")
-    )
-    wide = review.wide_prompt(found.join(texts, ["scan_id", "path"]), F.col("file_lines"))
-    return wide.select("scan_id", "path", "rule_id", "match_start", "first_line", "last_line", "prompt")
+    return review.wide_prompts(_scan(spark, sf, ScanConfig(wide_lines=review.WIDE_LINES)).all_findings)
 
 
 # --- reports

@@ -8,7 +8,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigsift.catalog import check_rules, label, rules_frame
+from sigsift.catalog import check_rules, label, local_frame, rules_frame
 from sigsift.config import ScanConfig
 from sigsift.functions import text as tx
 from sigsift.functions.entropy import byte_histogram, entropy_of
@@ -17,17 +17,21 @@ from sigsift.session import attach, pin
 
 
 def scan_files(files: DataFrame, config: ScanConfig) -> DataFrame:
-    """One row per scanned file: inventory facts and its findings as an array.
+    """One row of facts per file: inventory, findings as an array, claim about the package.
 
     Everything is computed in one narrow pass over the content, which is read
-    once and never shuffled.  Columns nobody asks for are not computed.
+    once and never shuffled.  Columns nobody asks for are not computed.  Skipped
+    files are kept only where they may name their package.
     """
-    counted = inventory.scannable(files, config).withColumn("entropy", entropy_of(byte_histogram(F.col("content"))))
+    listed = inventory.inventory(files, config)
+    scanned = F.col("reason").isNull()
+    wanted = metadata.with_claim(listed.where(scanned | metadata.may_name_package(F.col("path"))))
+    body = wanted.withColumn("content", F.when(scanned, F.col("content")))
+    counted = body.withColumn("entropy", entropy_of(byte_histogram(F.col("content"))))
     placed = detectors.with_signals(matching.with_places(counted, config))
-    scored = placed.withColumn("points", detectors.heuristic()["score"]).withColumn(
-        "signals", detectors.heuristic()["signals"]
-    )
-    needs_lines = (F.size("places") > 0) | (F.col("points") >= detectors.HIGH_SCORE)
+    heuristic = detectors.heuristic()
+    scored = placed.withColumn("points", heuristic["score"]).withColumn("signals", heuristic["signals"])
+    needs_lines = F.lit(config.wide_lines > 0) | (F.size("places") > 0) | (F.col("points") >= detectors.HIGH_SCORE)
     lined = scored.withColumn("file_lines", F.when(needs_lines, tx.line_texts(F.col("text"))))
     parts = [
         matching.catalog_matches(config), detectors.heuristic_matches(config), detectors.entropy_matches(config),
@@ -37,12 +41,14 @@ def scan_files(files: DataFrame, config: ScanConfig) -> DataFrame:
         "path",
         "extension",
         "language",
+        "reason",
         F.col("length").alias("size"),
         F.sha2("content", 256).alias("sha256"),
         F.coalesce(tx.line_count(F.col("text")), F.lit(0)).alias("lines"),
         "entropy",
-        F.when(F.col("language") == "php", F.col("points")).alias("score"),
+        F.when(scanned & (F.col("language") == "php"), F.col("points")).alias("score"),
         "signals",
+        "claim",
         F.concat(*[F.coalesce(p, F.array().cast(matching.MATCH_TYPE)) for p in parts]).alias("findings"),
     )
 
@@ -57,7 +63,7 @@ def rule_details(spark: SparkSession, config: ScanConfig) -> DataFrame:
         (o, i, title, cwe, confidence, "", impact, "", [], recommendation)
         for o, i, title, cwe, confidence, impact, recommendation in detectors.DETECTOR_ROWS
     ]
-    return rules.unionByName(spark.createDataFrame(extra, rules.schema))
+    return rules.unionByName(local_frame(spark, extra, rules.schema))
 
 
 def severity_label(severity: Column) -> Column:
@@ -88,56 +94,63 @@ def explode_findings(scanned: DataFrame, config: ScanConfig) -> DataFrame:
 
 @dataclass
 class ScanTables:
-    """The tables of a scan.  All are lazy; ``pin`` computes the shared pass once."""
+    """The tables of a scan.
+
+    All are lazy views of ``facts``, one row per file.  A job that wants several
+    of them calls ``pinned`` first: content is then read once for all.
+    """
 
-    files: DataFrame
+    facts: DataFrame
+    listing: DataFrame
     config: ScanConfig
-    scanned: DataFrame
     archive_errors: DataFrame | None = None
 
     def pinned(self) -> "ScanTables":
-        """Keep the per-file rows, findings included, in the checkpoint folder.
+        """Keep the facts, findings included, in the checkpoint folder."""
+        return ScanTables(pin(self.facts), self.listing, self.config, self.archive_errors)
 
-        After this no table reads file content for matching again.
-        """
-        return ScanTables(self.files, self.config, pin(self.scanned), self.archive_errors)
+    @cached_property
+    def scanned(self) -> DataFrame:
+        return self.facts.where(F.col("reason").isNull())
+
+    @cached_property
+    def packages(self) -> DataFrame:
+        """Name and version of every valid package."""
+        return metadata.best_claims(self.facts.select("scan_id", "claim"))
 
     @cached_property
     def status(self) -> DataFrame:
-        return metadata.scan_status(self.files, self.config)
+        return metadata.scan_status(self.listing, self.packages, self.config)
 
     @cached_property
     def scans(self) -> DataFrame:
         """Packages that were scanned."""
         return self.status.where(~F.col("fatal")).select("scan_id", "plugin_name", "plugin_version")
 
-    @cached_property
-    def _valid(self) -> DataFrame:
-        return metadata.package_metadata(self.files, self.config).select("scan_id")
+    def _of_valid(self, rows: DataFrame, *spread_by: str) -> DataFrame:
+        return attach(rows, self.packages.select("scan_id"), "scan_id", list(spread_by), "left_semi")
 
     @cached_property
     def file_info(self) -> DataFrame:
-        return attach(self.scanned.select(*FILE_INFO), self._valid, "scan_id", ["path"], "left_semi")
+        return self._of_valid(self.scanned.select(*FILE_INFO), "path")
 
     @cached_property
     def skipped(self) -> DataFrame:
-        return attach(
-            inventory.skipped(self.files, self.config), self._valid, "scan_id", ["path"], "left_semi"
-        )
+        return self._of_valid(inventory.skipped(self.listing, self.config), "path")
 
     @cached_property
     def all_findings(self) -> DataFrame:
         """Findings of every package, valid or not."""
-        return explode_findings(self.scanned, self.config)
+        return explode_findings(self.facts, self.config)
 
     @cached_property
     def findings(self) -> DataFrame:
-        return attach(self.all_findings, self._valid, "scan_id", ["path", "rule_ord"], "left_semi")
+        return self._of_valid(self.all_findings, "path", "rule_ord")
 
     @cached_property
     def scan_errors(self) -> DataFrame:
         """Package, archive and rule problems; rule problems concern no single package."""
-        spark = self.files.sparkSession
+        spark = self.facts.sparkSession
         problems = [(None, None, m, False) for m in check_rules(self.config.rules)]
         rules = spark.createDataFrame(problems, "scan_id string, path string, message string, fatal boolean")
         errors = self.status.where(F.col("message").isNotNull()).select(
@@ -155,7 +168,13 @@ class ScanTables:
             getattr(self, name).write.mode("errorifexists").parquet(f"{folder}/{name}")
 
 
-def scan(files: DataFrame, config: ScanConfig | None = None) -> ScanTables:
-    """Scan ``files(scan_id, path, length, content)``."""
+def scan(
+    files: DataFrame, config: ScanConfig | None = None, listing: DataFrame | None = None, archive_errors: DataFrame | None = None
+) -> ScanTables:
+    """Scan ``files(scan_id, path, length, content)``.
+
+    ``listing`` is the full file list where ``files`` leaves out content that is
+    never scanned; by default ``files`` itself.
+    """
     config = config or ScanConfig()
-    return ScanTables(files, config, scan_files(files, config))
+    return ScanTables(scan_files(files, config), files if listing is None else listing, config, archive_errors)
