@@ -9,8 +9,9 @@ from sigsift.config import NUL_PROBE_BYTES
 
 # Characters that end a line; CR, LF and CRLF do not stay in the line's text.
 KEPT_BREAKS = "\u000b\u000c\u001c-\u001e\u0085\u2028\u2029"
-BREAK = f"\r\n?|[\n{KEPT_BREAKS}]"
-DROPPED_BREAK = "\r\n?|\n"
+# Both try one character class per position, which is faster than alternatives; CRLF is one break.
+BREAK = f"[\r\n{KEPT_BREAKS}](?:(?<=\r)\n)?"
+DROPPED_BREAK = "[\r\n](?:(?<=\r)\n)?"
 SPACE = "[\\s\u001c-\u001f]"
 BOM = "\ufeff"
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -52,23 +53,25 @@ def _flags(signal: Signal) -> str:
     return "(?dU)" + signal.pattern if signal.name == "blob" else signal.jvm_pattern
 
 
-def with_signals(files: DataFrame) -> DataFrame:
-    """Adds ``sig`` for php files: first start of each text signal, long line flag; null for others.
-
-    Needs ``text``, ``folded`` and ``language``.
-    """
+@lru_cache(maxsize=1)
+def text_signals() -> Column:
+    """For php files: first start of each text signal and the long line flag; null for others."""
     starts = [
         F.when(
             F.expr(tx.contains_any("folded", s.literals)), tx.first_start(F.col("text"), _flags(s))
         ).alias(s.name)
         for s in SIGNALS
     ]
-    long_line = F.exists(tx.line_texts(F.col("text")), lambda line: F.length(line) >= LONG_LINE).alias("long_line")
-    return files.withColumn(
-        "sig", F.when((F.col("language") == "php") & F.col("text").isNotNull(), F.struct(*starts, long_line))
-    )
+    long_line = F.exists("file_lines", lambda line: F.length(line) >= LONG_LINE).alias("long_line")
+    return F.when((F.col("language") == "php") & F.col("text").isNotNull(), F.struct(*starts, long_line))
+
+
+def with_signals(files: DataFrame) -> DataFrame:
+    """Adds ``sig``; needs ``text``, ``folded``, ``file_lines`` and ``language``."""
+    return files.withColumn("sig", text_signals())
 
 
+@lru_cache(maxsize=1)
 def heuristic() -> dict[str, Column]:
     """Score, labels and earliest position from ``sig`` and ``entropy``."""
     sig = F.col("sig")
@@ -86,6 +89,7 @@ def heuristic() -> dict[str, Column]:
     return {"score": score.cast("int"), "signals": labels, "first": first}
 
 
+@lru_cache(maxsize=32)
 def heuristic_matches(config: ScanConfig) -> Column:
     """The heuristic's finding as an array of at most one."""
     h = heuristic()
@@ -105,6 +109,7 @@ def heuristic_matches(config: ScanConfig) -> Column:
     return F.when(F.col("points") >= HIGH_SCORE, F.array(row)).otherwise(F.array().cast(MATCH_TYPE))
 
 
+@lru_cache(maxsize=32)
 def entropy_matches(config: ScanConfig) -> Column:
     """The entropy finding as an array of at most one; deep scans of php text only."""
     none = F.array().cast(MATCH_TYPE)

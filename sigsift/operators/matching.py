@@ -6,6 +6,8 @@ matches; nothing is shuffled and only match-sized values leave the row.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +32,8 @@ def active_rules(config: ScanConfig) -> list[tuple[int, Rule]]:
     ]
 
 
+# Column trees are immutable; building these takes thousands of calls, so one per configuration is kept.
+@lru_cache(maxsize=32)
 def hit_rules(config: ScanConfig) -> Column:
     """Catalog positions of the rules that match ``text``.
 
@@ -58,8 +62,9 @@ def with_hits(files: DataFrame, config: ScanConfig) -> DataFrame:
     return with_text(files, config).withColumn("hits", hit_rules(config))
 
 
-def with_places(files: DataFrame, config: ScanConfig) -> DataFrame:
-    """Adds ``places``: per hit rule the (start, line, col) of its first ``max_matches`` matches."""
+@lru_cache(maxsize=32)
+def hit_places(config: ScanConfig) -> Column:
+    """Per hit rule the (start, line, col) of its first ``max_matches`` matches."""
     patterns = F.expr(tx.sql_array(r.jvm_pattern for r in config.rules))
     cap = config.max_matches
 
@@ -76,7 +81,11 @@ def with_places(files: DataFrame, config: ScanConfig) -> DataFrame:
 
     # naming ``hits`` twice keeps its computation in a projection of its own, which is compiled
     placed = F.when(F.size("hits") > 0, F.transform(F.transform("hits", cut), place))
-    return with_hits(files, config).withColumn("places", F.coalesce(placed, F.array().cast(PLACES_TYPE)))
+    return F.coalesce(placed, F.array().cast(PLACES_TYPE))
+
+
+def with_places(files: DataFrame, config: ScanConfig) -> DataFrame:
+    return with_hits(files, config).withColumn("places", hit_places(config))
 
 
 def around(lines: Column, spot: Column, k: int) -> dict[str, Column]:
@@ -123,6 +132,7 @@ def finding(config: ScanConfig, rule_ord: Column, severity: Column, spot: Column
     )
 
 
+@lru_cache(maxsize=32)
 def catalog_matches(config: ScanConfig) -> Column:
     """Matches of the catalog rules as an array, from ``places`` and ``file_lines``."""
     severities = F.expr(f"array({', '.join(str(r.severity) for r in config.rules)})")

@@ -28,15 +28,17 @@ def scan_files(files: DataFrame, config: ScanConfig) -> DataFrame:
     wanted = metadata.with_claim(listed.where(scanned | metadata.may_name_package(F.col("path"))))
     body = wanted.withColumn("content", F.when(scanned, F.col("content")))
     counted = body.withColumn("entropy", entropy_of(byte_histogram(F.col("content"))))
-    placed = detectors.with_signals(matching.with_places(counted, config))
+    placed = matching.with_places(counted, config)
+    needs_lines = F.lit(config.wide_lines > 0) | (F.col("language") == "php") | (F.size("places") > 0)
+    lined = placed.withColumn("file_lines", F.when(needs_lines, tx.line_texts(F.col("text"))))
     heuristic = detectors.heuristic()
-    scored = placed.withColumn("points", heuristic["score"]).withColumn("signals", heuristic["signals"])
-    needs_lines = F.lit(config.wide_lines > 0) | (F.size("places") > 0) | (F.col("points") >= detectors.HIGH_SCORE)
-    lined = scored.withColumn("file_lines", F.when(needs_lines, tx.line_texts(F.col("text"))))
+    scored = (
+        detectors.with_signals(lined).withColumn("points", heuristic["score"]).withColumn("signals", heuristic["signals"])
+    )
     parts = [
         matching.catalog_matches(config), detectors.heuristic_matches(config), detectors.entropy_matches(config),
     ]
-    return lined.select(
+    return scored.select(
         "scan_id",
         "path",
         "extension",
