@@ -6,9 +6,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-@F.pandas_udf("array<bigint>")
+@F.pandas_udf(T.ArrayType(T.LongType()))
 def byte_histogram(content: pd.Series) -> pd.Series:
     """Occurrences of each of the 256 byte values; Spark has no built-in byte counter."""
     return content.map(lambda raw: np.bincount(np.frombuffer(raw or b"", dtype=np.uint8), minlength=256))

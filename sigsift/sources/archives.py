@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sigsift.config import MAX_ARCHIVE_BYTES
 from sigsift.functions import paths
@@ -28,7 +29,14 @@ SYMLINK = "ZIP archive contains symbolic links, which are not supported."
 LOCKED = "ZIP archive contains encrypted or unsupported entries."
 TYPE_BITS, SYMLINK_BITS = 0o170000, 0o120000
 
-MEMBER_TYPE = "array<struct<name:string,size:bigint,mode:int,is_dir:boolean,locked:boolean>>"
+MEMBER_TYPE = T.ArrayType(
+    T.StructType()
+    .add("name", T.StringType())
+    .add("size", T.LongType())
+    .add("mode", T.IntegerType())
+    .add("is_dir", T.BooleanType())
+    .add("locked", T.BooleanType())
+)
 _BATCH_BYTES = 16 * 1024 * 1024
 _METHODS = {zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED, zipfile.ZIP_BZIP2, zipfile.ZIP_LZMA}
 
@@ -40,8 +48,7 @@ def from_archives(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def as_archives(raw: DataFrame) -> DataFrame:
-    name = F.url_decode(F.replace(paths.file_name(F.col("path")), F.lit("+"), F.lit("%2B")))
-    return raw.select(name.alias("scan_id"), "content")
+    return raw.select(paths.file_name(F.col("path")).alias("scan_id"), "content")
 
 
 @F.pandas_udf(MEMBER_TYPE)

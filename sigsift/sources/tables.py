@@ -5,12 +5,14 @@ Every source yields ``files(scan_id, path, length, content)``.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigsift.config import ScanConfig
+from sigsift.catalog import quote
+from sigsift.config import PHP_EXTENSIONS, ScanConfig
 
 FILE_COLUMNS = ("scan_id", "path", "length", "content")
 
@@ -27,18 +29,36 @@ def from_table(frame: DataFrame, scan_id: Column, path: Column, text: Column, ex
     )
 
 
-def from_directory(spark: SparkSession, root: str, config: ScanConfig | None = None, one_package: bool = False) -> DataFrame:
-    """Files below ``root``, whose first level holds one folder per package.
+MAX_BINARY = 2**31 - 1
 
-    With ``one_package`` the folder itself is the package.
-    """
+
+def _glob(config: ScanConfig) -> str:
+    """Names of files that can be scanned or name their package, whatever their case."""
+    endings = dict.fromkeys(config.extensions + PHP_EXTENSIONS)
+    either = ["*" + "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in e) for e in endings]
+    return "{" + ",".join([*either, "readme.txt"]) + "}"
+
+
+def _read(spark: SparkSession, root: str, one_package: bool, names: str | None) -> DataFrame:
     root = root.rstrip("/")
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    inside = F.regexp_extract("path", "^(?:[a-z0-9]+:/*)?" + "/*" + "\\Q" + root.lstrip("/") + "\\E/(.*)$", 1)
-    # the source gives percent-encoded addresses
-    relative = F.url_decode(F.replace(inside, F.lit("+"), F.lit("%2B")))
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    if names:
+        reader = reader.option("pathGlobFilter", names)
+    bare = re.sub("^[a-z0-9]+:/*", "", root).lstrip("/")
+    inside = F.regexp_extract("path", "^(?:[a-z0-9]+:)?/*" + quote(bare) + "/(.*)$", 1)
     if one_package:
-        scan_id, path = F.lit(root.rsplit("/", 1)[-1]), relative
+        scan_id, path = F.lit(root.rsplit("/", 1)[-1]), inside
     else:
-        scan_id, path = F.substring_index(relative, "/", 1), F.regexp_replace(relative, "^[^/]*/", "")
-    return raw.select(scan_id.alias("scan_id"), path.alias("path"), "length", "content")
+        scan_id, path = F.substring_index(inside, "/", 1), F.regexp_replace(inside, "^[^/]*/", "")
+    return reader.load(root).select(scan_id.alias("scan_id"), path.alias("path"), "length", "content")
+
+
+def from_directory(spark: SparkSession, root: str, config: ScanConfig, one_package: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(files, listing) below ``root``, whose first level holds one folder per package.
+
+    With ``one_package`` the folder itself is the package.  ``files`` opens only
+    names that can be scanned or name their package; ``listing`` has all files
+    but no content.
+    """
+    files = _read(spark, root, one_package, _glob(config)).where(F.col("length") <= MAX_BINARY)
+    return files, _read(spark, root, one_package, None).drop("content")
