@@ -47,9 +47,10 @@ def hit_rules(config: ScanConfig) -> Column:
         spoken = ", ".join(tx.sql_string(x) for x in languages)
         tests.append(
             f"CASE WHEN language IN ({spoken}) THEN CASE WHEN {tx.contains_any('folded', rule.literals)} "
-            f"THEN CASE WHEN rlike(text, {tx.sql_string(rule.jvm_pattern)}) THEN {n} END END END"
+            f"THEN CASE WHEN rlike(text, {tx.sql_string(rule.jvm_pattern)}) THEN {n} ELSE 0 END ELSE 0 END ELSE 0 END"
         )
-    return F.expr(f"array_compact(cast(array({', '.join(tests)}) AS array<int>))")
+    # array_remove() is compiled, array_compact() is not; no rule has position 0
+    return F.expr(f"array_remove(cast(array({', '.join(tests)}) AS array<int>), 0)")
 
 
 def with_text(files: DataFrame, config: ScanConfig) -> DataFrame:

@@ -19,7 +19,8 @@ def with_running(
     rows covers a third of the slices.  Sums run within a slice; the total of the
     key's earlier slices, a few numbers per key, is added.  The sliced rows are
     pinned because slice borders come from a sample and must be the same for the
-    totals and for the rows.
+    totals and for the rows.  Sampling reads ``frame`` once more: pin a frame that
+    is expensive to compute, such as the facts of a scan, beforehand.
     """
     slices = slices or int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sliced = pin(

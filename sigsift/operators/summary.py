@@ -19,6 +19,7 @@ REPORT_SCORES = {
 GRADE_COLORS = {"A": "#22c55e", "B": "#3b82f6", "C": "#eab308", "D": "#f97316", "F": "#ef4444"}
 # Keys that put findings into report order.
 FINDING_ORDER = ("severity", "path", "line_number", "rule_ord", "match_start")
+# Findings shown in the overview, token estimate.
 TOP_FINDINGS = 20
 TOKENS_PER_FINDING, TOKENS_PER_SCAN = 850, 1200
 
@@ -94,6 +95,7 @@ def top_findings(findings: DataFrame, n: int = TOP_FINDINGS) -> DataFrame:
 
     The rank limit is applied in every task before the shuffle, so at most n rows
     per package and task move; the total comes from its own counting aggregate.
+    Both read ``findings``: take them from a pinned scan.
     """
     active = findings.where(~F.col("false_positive"))
     ranked = active.withColumn("rank", F.row_number().over(Window.partitionBy("scan_id").orderBy(*order_keys())))
@@ -136,8 +138,15 @@ def language_rollup(findings: DataFrame) -> DataFrame:
     )
 
 
-def review_cost(findings: DataFrame) -> DataFrame:
-    """Token estimate per package; suppressed findings count too."""
-    return findings.groupBy("scan_id").agg(
-        (F.count(F.lit(1)) * TOKENS_PER_FINDING + TOKENS_PER_SCAN).alias("ai_tokens")
+def review_cost(grades: DataFrame, model: str) -> DataFrame:
+    """Who reviewed a package and the estimated tokens, from its counts before the review.
+
+    Suppressed findings cost tokens too; a package without active findings is
+    not reviewed.
+    """
+    return grades.select(
+        "scan_id",
+        (F.col("total") > 0).alias("ai_enabled"),
+        F.lit(model).alias("ai_model"),
+        ((F.col("total") + F.col("suppressed")) * TOKENS_PER_FINDING + TOKENS_PER_SCAN).alias("ai_tokens"),
     )

@@ -492,7 +492,10 @@ SELECT scan_id, min_by(fault, doc_id) FILTER (fault IS NOT NULL) AS fault, min(d
         "grade_after_review": sql(
             findings() + [BATCHED, JUDGED, AFTER, NAMES, _counts("after_review"), GRADED], "SELECT scan_id, total, suppressed, score, grade FROM graded"
         ),
-        "review_cost": sql(findings(), "SELECT scan_id, count(*) * 850 + 1200 AS ai_tokens FROM found GROUP BY scan_id"),
+        "review_cost": sql(
+            findings() + [NAMES, _counts("found"), GRADED],
+            "SELECT scan_id, total > 0 AS ai_enabled, 'some-model' AS ai_model, (total + suppressed) * 850 + 1200 AS ai_tokens FROM graded",
+        ),
         "review_wide_context": sql(findings(), _wide()),
         "json_report": sql(findings() + [NUMBERED, NAMES, _counts("found"), GRADED, TOTALS, PACKAGES, REPORTED], JSON_REPORT),
         "markdown_report": sql(

@@ -235,7 +235,8 @@ def page_entropy(spark, sf):
 
 @query
 def heuristic_scores(spark, sf):
-    return _scan(spark, sf).scanned.select("scan_id", "path", "score").where("score IS NOT NULL")
+    # a condition on the score itself would be pushed down and evaluate its parts again
+    return _scan(spark, sf).scanned.where("language = 'php'").select("scan_id", "path", "score")
 
 
 @query
@@ -330,13 +331,13 @@ def finding_details(spark, sf):
 
 @query
 def finding_order(spark, sf):
-    found = with_ordinal(_scan(spark, sf).all_findings, "scan_id", summary.order_keys(), "ordinal")
+    found = with_ordinal(_scan(spark, sf).pinned().all_findings, "scan_id", summary.order_keys(), "ordinal")
     return found.select("scan_id", "ordinal", "severity", "path", "line_number", "rule_id", "match_start")
 
 
 @query
 def top_findings(spark, sf):
-    return summary.top_findings(_scan(spark, sf).all_findings).select("scan_id", "rank", "path", "rule_id", "line_number", "match_start", "more")
+    return summary.top_findings(_scan(spark, sf).pinned().all_findings).select("scan_id", "rank", "path", "rule_id", "line_number", "match_start", "more")
 
 
 @query
@@ -418,7 +419,7 @@ def grade_after_review(spark, sf):
 
 @query
 def review_cost(spark, sf):
-    return summary.review_cost(_scan(spark, sf).all_findings)
+    return summary.review_cost(_scan(spark, sf).pinned().grades, "some-model")
 
 
 @query

@@ -15,6 +15,7 @@ from sigsift.operators import summary
 from sigsift.plans.scan import explode_findings, scan_files
 from sigsift.sources import archives
 
+UPLOADS = ScanConfig(deep=True)
 FILES_SCHEMA = "scan_id string, path string, length bigint, content binary, arrived timestamp"
 
 
@@ -29,7 +30,7 @@ def landing_tables(spark: SparkSession, folder: str, max_files: int | None = Non
 def landing_archives(spark: SparkSession, folder: str) -> DataFrame:
     """Stream of files from archives dropped into a folder; refused archives yield none.
 
-    Uploads are scanned deeply by default: pass ``ScanConfig(deep=True)``.
+    Uploads are scanned deeply by default: see ``UPLOADS``.
     """
     raw = (
         spark.readStream.format("binaryFile")

@@ -80,3 +80,9 @@ def test_wide_context(files, package):
     row = review.wide_prompts(t.findings).first()
     assert (row.first_line, row.last_line) == (22, 100)
     assert "(lines 22-100):\n```\nline 22\n" in row.prompt and row.prompt.endswith("line 100\n```\n")
+
+
+def test_cost(spark):
+    rows = spark.createDataFrame([("a", 2, 1), ("b", 0, 3), ("c", 0, 0)], "scan_id string, total bigint, suppressed bigint")
+    got = {r.scan_id: (r.ai_enabled, r.ai_model, r.ai_tokens) for r in summary.review_cost(rows, "m").collect()}
+    assert got == {"a": (True, "m", 3750), "b": (False, "m", 3750), "c": (False, "m", 1200)}

@@ -194,3 +194,25 @@ def test_inventory_is_a_partition(files, package):
     parts = [inventory.scannable(frame, config), inventory.skipped(frame, config), inventory.excluded(frame, config)]
     names = [r.path for p in parts for r in p.select("path").collect()]
     assert sorted(names) == sorted(r.path for r in frame.collect())
+
+
+def test_findings_are_distinct(spark):
+    from sigsift.sources import corpus
+    from tests.conftest import SF
+
+    found = scan(corpus.corpus_files(spark, SF), ScanConfig(deep=True)).pinned().all_findings
+    assert found.count() == found.dropDuplicates(["scan_id", "path", "rule_id", "line_number", "match_column"]).count()
+
+
+def test_context_agrees_with_a_range_join(spark):
+    """The sliced context equals a join of findings with the lines around them."""
+    from sigsift.plans.queries import QUERIES
+    from tests.conftest import SF
+
+    found, lines = QUERIES["context_lines"](spark, SF), QUERIES["line_index"](spark, SF)
+    near = found.join(lines, ["scan_id", "path"]).where("line_no BETWEEN line_number - 3 AND line_number - 1")
+    key = ["scan_id", "path", "rule_id", "line_number", "match_column"]
+    joined = near.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("line_no", "text"))).alias("ls"))
+    joined = joined.select(*key, F.array_join(F.transform("ls", lambda x: x["text"]), "\n").alias("before"))
+    sliced = found.where("line_number > 1").select(*key, "before")
+    assert joined.exceptAll(sliced).count() == 0 and sliced.exceptAll(joined).count() == 0 and sliced.count() > 100

@@ -68,5 +68,5 @@ def test_stream_of_archives(spark, tmp_path):
     folder.mkdir()
     (folder / "good.zip").write_bytes(CASES["good.zip"])
     (folder / "up.zip").write_bytes(CASES["up.zip"])
-    found = landing.stream_findings(landing.landing_archives(spark, str(folder)), ScanConfig(deep=True))
+    found = landing.stream_findings(landing.landing_archives(spark, str(folder)), landing.UPLOADS)
     assert {(r.scan_id, r.rule_id) for r in run(found.select(*COLUMNS), "append", tmp_path).collect()} == {("good.zip", "PHP-INFO-001")}
