@@ -110,20 +110,23 @@ def spots(pieces: Column, found: Column) -> Column:
     step adds the line breaks and the length of one stretch of text, so the
     text is walked once however many matches there are.
     """
-    def measure(stretch: Column) -> Column:
+    def measure(stretch: Column, match: Column) -> Column:
+        # a CR right before a match that begins with LF is half of a break: the LF counts for both
+        half = F.endswith(stretch, F.lit("\r")) & F.startswith(match, F.lit("\n"))
+        counted = F.when(half, F.left(stretch, F.length(stretch) - 1)).otherwise(stretch)
         return F.transform(
-            F.array(F.split(stretch, BREAK, -1)),
+            F.array(F.split(counted, BREAK, -1)),
             lambda parts: F.struct(
                 F.length(stretch).alias("length"),
                 (F.size(parts) - 1).alias("breaks"),
-                F.length(F.element_at(parts, -1)).alias("tail"),
+                (F.length(F.element_at(parts, -1)) + F.when(half, 1).otherwise(0)).alias("tail"),
             ),
         )[0]
 
     stretches = F.transform(
         found,
         lambda m, i: measure(
-            F.when(i == 0, pieces[0]).otherwise(F.concat(F.get(found, i - 1), F.get(pieces, i)))
+            F.when(i == 0, pieces[0]).otherwise(F.concat(F.get(found, i - 1), F.get(pieces, i))), m
         ),
     )
     nothing = F.array().cast("array<struct<start:int,line:int,col:int>>")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +15,7 @@ from sigsift.functions.entropy import byte_histogram, entropy_of
 from sigsift.operators import duplicates, inventory, matching, metadata, reports, review, summary
 from sigsift.operators.ordering import with_ordinal
 from sigsift.plans.scan import ScanTables, scan
-from sigsift.session import ensure_checkpoint_dir
+from sigsift.session import shared_folder
 from sigsift.sources import archives, corpus
 from sigsift.streaming import landing
 
@@ -468,9 +467,7 @@ def _landed(spark, sf):
 def _run(stream: DataFrame, mode: str) -> DataFrame:
     """Run a stream over what is there and return what it wrote, with its batch number."""
     spark = stream.sparkSession
-    ensure_checkpoint_dir(spark)
-    base = spark.sparkContext.getCheckpointDir()
-    folder = f"{base}/stream-{uuid.uuid4()}"
+    folder = shared_folder(spark)
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/out/_batch_no={number}")

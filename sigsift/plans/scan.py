@@ -108,7 +108,7 @@ class ScanTables:
     archive_errors: DataFrame | None = None
 
     def pinned(self) -> "ScanTables":
-        """Keep the facts, findings included, in the checkpoint folder."""
+        """Keep the facts, findings included, as a table in the shared folder."""
         return ScanTables(pin(self.facts), self.listing, self.config, self.archive_errors)
 
     @cached_property

@@ -3,27 +3,31 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder named in ``spark.checkpoint.dir``; make one only where none is named."""
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder name below the one in ``spark.checkpoint.dir``; a local one only where none is named."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="sigsift-"))
+    return f"{context.getCheckpointDir()}/{uuid.uuid4()}"
 
 
 def pin(frame: DataFrame) -> DataFrame:
-    """Compute once and cut the lineage in the shared checkpoint folder.
+    """Compute once and cut the lineage: write a table to the shared folder and read it from there.
 
-    What follows reads the written rows, so a lost executor costs a reread and
-    not another scan.
+    What follows reads the columns it needs, so a lost executor costs a reread
+    and not another scan.  Unlike ``checkpoint()`` this computes the rows once
+    and keeps them by column.
     """
-    ensure_checkpoint_dir(frame.sparkSession)
-    return frame.checkpoint(eager=True)
+    folder = shared_folder(frame.sparkSession)
+    frame.write.parquet(folder)
+    return frame.sparkSession.read.schema(frame.schema).parquet(folder)
 
 
 def spread(frame: DataFrame) -> DataFrame:

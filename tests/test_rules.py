@@ -174,3 +174,19 @@ def test_rules_table(spark):
     assert table.count() == 67
     assert [r.rule_id for r in table.orderBy("rule_ord").limit(2).collect()] == ["PHP-RCE-001", "PHP-RCE-002"]
     assert tx.sql_string("a'\\") == "'a\\'\\\\'"
+
+
+def test_matches_that_begin_with_a_line_feed(files):
+    text = "a\r\nq\r\nq b\nq\r\r\nq"
+    rule = Rule("X-1", "lf", 5, r"\nq", is_regex=True)
+    frame = files({"a.php": text}).withColumn("language", F.lit("php"))
+    place = matching.with_places(frame, ScanConfig(rules=(rule,))).select("places").first()[0][0]
+    starts, at = [], 0
+    for line in text.splitlines(keepends=True):
+        starts.append(at)
+        at += len(line)
+    want = []
+    for m in re.finditer(rule.pattern, text):
+        line = sum(s <= m.start() for s in starts)
+        want.append((m.start(), line, m.start() - starts[line - 1] + 1))
+    assert [(s.start, s.line, s.col) for s in place["at"]] == want
