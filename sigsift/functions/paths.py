@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from sigsift.config import LANGUAGE_EXTENSIONS
 
+# Grammar names by language.
+GRAMMARS = {"php": "php", "js": "javascript", "ts": "typescript"}
+
 
 def file_name(path: Column) -> Column:
     return F.element_at(F.split(path, "/", -1), -1)
@@ -26,6 +29,12 @@ def language(ext: Column) -> Column:
     return F.coalesce(F.try_element_at(table, ext), F.lit("unknown"))
 
 
+def grammar(path: Column) -> Column:
+    """Name of the highlighting grammar of a file; 'markup' for other files."""
+    names = F.create_map(*[F.lit(x) for pair in GRAMMARS.items() for x in pair])
+    return F.coalesce(F.try_element_at(names, language(extension(path))), F.lit("markup"))
+
+
 def depth(path: Column) -> Column:
     return F.size(F.split(path, "/", -1))
 

@@ -10,10 +10,37 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sigsift.catalog import SEVERITY_COLORS
+from sigsift.functions import paths
 from sigsift.functions import text as tx
 from sigsift.operators.metadata import known
 
 FINDINGS_PER_PIECE = 500
+# Layout of the Markdown report.
+MARKDOWN_HEAD = """# Security Report — %s
+
+- **Version:** %s
+- **Path:** %s
+- **Grade:** %s
+- **Scan mode:** %s
+
+## Summary
+- Critical: %s
+- High: %s
+- Medium: %s
+- Low: %s
+- Total findings: %s
+- Files scanned: %s
+- Lines analyzed: %s
+
+## Findings"""
+MARKDOWN_NOTHING = "\nNo findings were detected.\n"
+MARKDOWN_FINDING = """### %s. %s — %s
+- Severity: %s
+- File: %s:%s:%s
+- Confidence: %s
+- Description: %s"""
+MARKDOWN_FILE = "- `%s` (%s, %s lines, entropy %s)"
 
 
 def _json(column: Column) -> Column:
@@ -86,78 +113,61 @@ def _pieces(rows: DataFrame, value: Column, section: int) -> DataFrame:
     )
 
 
-def _lines(*parts) -> Column:
-    """Parts, each a list of columns that make one line, joined by line ends."""
-    return F.concat_ws("\n", *[F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in line]) for line in parts])
+def _piece(section: int, text: Column, piece: Column | None = None, path: Column | None = None) -> list[Column]:
+    """The columns of one piece of a Markdown report."""
+    return [
+        F.col("scan_id"),
+        F.lit(section).alias("section"),
+        (F.lit(0) if piece is None else piece).cast("bigint").alias("piece"),
+        (F.lit("") if path is None else path).alias("path"),
+        text.alias("text"),
+    ]
 
 
 def markdown_report(packages: DataFrame, numbered: DataFrame, file_info: DataFrame, errors: DataFrame) -> DataFrame:
     """Pieces ``(scan_id, section, piece, path, text)``: summary, findings, files, errors."""
-    def n(name: str) -> Column:
-        return F.col(name).cast("string")
-
-    head = _lines(
-        ["# Security Report — ", F.col("plugin_name")],
-        [""],
-        ["- **Version:** ", known(F.col("plugin_version"))],
-        ["- **Path:** ", F.col("scan_id")],
-        ["- **Grade:** ", F.col("grade")],
-        ["- **Scan mode:** ", F.col("scan_mode")],
-        [""],
-        ["## Summary"],
-        ["- Critical: ", n("critical")],
-        ["- High: ", n("high")],
-        ["- Medium: ", n("medium")],
-        ["- Low: ", n("low")],
-        ["- Total findings: ", n("total")],
-        ["- Files scanned: ", n("files_scanned")],
-        ["- Lines analyzed: ", n("lines_analyzed")],
-        [""],
-        ["## Findings"],
+    head = F.format_string(
+        MARKDOWN_HEAD, "plugin_name", known(F.col("plugin_version")), "scan_id", "grade", "scan_mode", "critical", "high", "medium", "low",
+        "total", "files_scanned", "lines_analyzed",
     )
-    nothing = F.when(F.col("total") + F.col("suppressed") == 0, F.lit("\nNo findings were detected.\n")).otherwise("")
-    top = packages.select("scan_id", F.lit(0).alias("section"), F.lit(0).cast("bigint").alias("piece"), F.lit("").alias("path"), F.concat(head, nothing).alias("text"))
+    nothing = F.when(F.col("total") + F.col("suppressed") == 0, F.lit(MARKDOWN_NOTHING)).otherwise("")
+    top = packages.select(*_piece(0, F.concat(head, nothing)))
+    def optional(name: str, title: str) -> Column:
+        return F.when(F.col(name) != "", F.concat(F.lit(f"- {title}: "), F.col(name)))
 
-    optional = lambda name, title: F.when(F.col(name) != "", F.concat(F.lit(f"- {title}: "), F.col(name)))
     code = F.when(
         F.col("line_content") != "",
         F.concat_ws("\n", F.lit("\n```"), F.concat(F.col("context_before"), F.array("line_content"), F.col("context_after")), F.lit("```")),
     )
-    body = F.concat_ws(
-        "\n",
-        F.concat(F.lit("### "), n("ordinal"), F.lit(". "), F.col("rule_id"), F.lit(" — "), F.col("title")),
-        F.concat(F.lit("- Severity: "), F.col("severity_label")),
-        F.concat(F.lit("- File: "), F.col("path"), F.lit(":"), n("line_number"), F.lit(":"), n("match_column")),
-        F.concat(F.lit("- Confidence: "), F.col("confidence")),
-        F.concat(F.lit("- Description: "), F.col("description")),
-        optional("impact", "Impact"),
-        optional("recommendation", "Recommendation"),
-        code,
-        F.lit(""),
-    )
-    found = numbered.select("scan_id", F.lit(1).alias("section"), F.col("ordinal").cast("bigint").alias("piece"), "path", body.alias("text"))
-    file_line = F.concat(
-        F.lit("- `"), F.col("path"), F.lit("` ("), F.col("language"), F.lit(", "), n("lines"), F.lit(" lines, entropy "),
-        tx.fixed(F.col("entropy"), 2), F.lit(")"),
-    )
-    listed = file_info.select("scan_id", F.lit(3).alias("section"), F.lit(0).cast("bigint").alias("piece"), "path", file_line.alias("text"))
-    titles = packages.where(F.col("files_scanned") > 0).select(
-        "scan_id", F.lit(2).alias("section"), F.lit(0).cast("bigint").alias("piece"), F.lit("").alias("path"), F.lit("## Files Scanned").alias("text")
-    )
-    known_errors = errors.where(F.col("scan_id").isNotNull())
-    trouble = known_errors.select(
-        "scan_id", F.lit(5).alias("section"), F.lit(0).cast("bigint").alias("piece"), F.coalesce("path", F.lit("")).alias("path"),
-        F.concat(F.lit("- "), F.col("message")).alias("text"),
-    )
-    trouble_title = known_errors.select("scan_id").distinct().select(
-        "scan_id", F.lit(4).alias("section"), F.lit(0).cast("bigint").alias("piece"), F.lit("").alias("path"), F.lit("\n## Errors").alias("text")
+    facts = F.format_string(
+        MARKDOWN_FINDING, "ordinal", "rule_id", "title", "severity_label", "path", "line_number", "match_column", "confidence", "description"
     )
+    body = F.concat_ws("\n", facts, optional("impact", "Impact"), optional("recommendation", "Recommendation"), code, F.lit(""))
+    found = numbered.select(*_piece(1, body, F.col("ordinal"), F.col("path")))
+    titles = packages.where(F.col("files_scanned") > 0).select(*_piece(2, F.lit("## Files Scanned")))
+    line = F.format_string(MARKDOWN_FILE, "path", "language", "lines", tx.fixed(F.col("entropy"), 2))
+    listed = file_info.select(*_piece(3, line, path=F.col("path")))
+    told = errors.where(F.col("scan_id").isNotNull())
+    trouble_title = told.select("scan_id").distinct().select(*_piece(4, F.lit("\n## Errors")))
+    trouble = told.select(*_piece(5, F.concat(F.lit("- "), F.col("message")), path=F.coalesce("path", F.lit(""))))
     out = top
     for part in (found, titles, listed, trouble_title, trouble):
         out = out.unionByName(part)
     return out
 
 
+def finding_records(findings: DataFrame) -> DataFrame:
+    """Findings as flat records with everything a report shows."""
+    colors = F.create_map(*[F.lit(x) for pair in SEVERITY_COLORS.items() for x in pair])
+    return findings.select(
+        "scan_id", "path", "rule_id", "title", "severity_label", F.col("severity").alias("severity_value"), "line_number", "match_column",
+        "line_content", "context_before", "context_after", "description", "impact", "layman_fix", "step_by_step_fix",
+        paths.grammar(F.col("path")).alias("language"), "cwe", F.regexp_replace("cwe", "^CWE-", "").alias("cwe_num"), "confidence",
+        "recommendation", "false_positive", F.try_element_at(colors, F.col("severity")).alias("severity_color"),
+        *[c for c in ("ai_analysis", "ai_confirmed") if c in findings.columns],
+    )
+
+
 def report_id(target: Column, run_time: Column) -> Column:
     return F.concat(F.lit("WPC-"), F.upper(F.left(F.sha2(F.concat_ws(":", target, run_time), 256), F.lit(12))))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sigsift.config import REVIEW_BATCH
+from sigsift.functions.text import strip
 from sigsift.operators.ordering import with_ordinal
 from sigsift.operators.summary import order_keys
 
@@ -16,6 +17,41 @@ HEADER_FORMAT = (
     "SEVERITY: CRITICAL | HIGH | MEDIUM | LOW | INFO\n"
     "ANALYSIS: <explanation>\n\n"
 )
+BATCH_FORMAT = "Analyze these %s findings. For EACH finding, respond with:\n" + HEADER_FORMAT + "%s"
+BLOCK_FORMAT = """--- FINDING %s ---
+Rule: %s — %s
+Severity: %s
+File: %s:%s
+CWE: %s
+Description: %s
+Code:
+```
+%s
+>>> %s
+%s
+```
+"""
+WIDE_FORMAT = """Analyze this potential vulnerability:
+
+**Rule**: %s — %s
+**Severity**: %s
+**File**: %s (line %s)
+**CWE**: %s
+**Description**: %s
+
+**Code Context**:
+```
+%s
+>>> %s
+%s
+```
+
+**Broader File Context** (lines %s-%s):
+```
+%s
+```
+"""
+NO_CONTEXT = "(no context)"
 BLOCK_START = r"(?iU)FINDING\s+\d+\s*:"
 BLOCK_NUMBER = r"(?iU)FINDING\s+(\d+)\s*:"
 VERDICT = r"(?iU)VERDICT\s*:\s*(TRUE_POSITIVE|FALSE_POSITIVE)"
@@ -34,29 +70,22 @@ def batches(findings: DataFrame, size: int = REVIEW_BATCH) -> DataFrame:
     )
 
 
-def _block(number: Column) -> Column:
-    return F.concat(
-        F.lit("--- FINDING "), number.cast("string"), F.lit(" ---\nRule: "), F.col("rule_id"), F.lit(" — "), F.col("title"),
-        F.lit("\nSeverity: "), F.col("severity_label"),
-        F.lit("\nFile: "), F.col("path"), F.lit(":"), F.col("line_number").cast("string"),
-        F.lit("\nCWE: "), F.col("cwe"),
-        F.lit("\nDescription: "), F.col("description"),
-        F.lit("\nCode:\n```\n"), F.array_join("context_before", "\n"),
-        F.lit("\n>>> "), F.col("line_content"),
-        F.lit("\n"), F.array_join("context_after", "\n"), F.lit("\n```\n"),
-    )
+def _text(lines: str) -> Column:
+    return F.array_join(lines, "\n")
 
 
 def prompts(batched: DataFrame) -> DataFrame:
     """One prompt per batch; a group holds one batch, never a package."""
-    blocks = batched.select("scan_id", "batch_no", F.struct("pos", _block(F.col("pos")).alias("text")).alias("b"))
-    grouped = blocks.groupBy("scan_id", "batch_no").agg(F.array_sort(F.collect_list("b")).alias("bs"))
-    header = F.concat(
-        F.lit("Analyze these "), F.size("bs").cast("string"), F.lit(" findings. For EACH finding, respond with:\n"),
-        F.lit(HEADER_FORMAT),
+    block = F.format_string(
+        BLOCK_FORMAT, "pos", "rule_id", "title", "severity_label", "path", "line_number", "cwe", "description",
+        _text("context_before"), "line_content", _text("context_after"),
     )
+    blocks = batched.select("scan_id", "batch_no", F.struct("pos", block.alias("text")).alias("b"))
+    grouped = blocks.groupBy("scan_id", "batch_no").agg(F.array_sort(F.collect_list("b")).alias("bs"))
     body = F.array_join(F.transform("bs", lambda b: b["text"]), "\n")
-    return grouped.select("scan_id", "batch_no", F.size("bs").alias("findings"), F.concat(header, body).alias("prompt"))
+    return grouped.select(
+        "scan_id", "batch_no", F.size("bs").alias("findings"), F.format_string(BATCH_FORMAT, F.size("bs"), body).alias("prompt")
+    )
 
 
 def wide_prompts(findings: DataFrame) -> DataFrame:
@@ -65,17 +94,12 @@ def wide_prompts(findings: DataFrame) -> DataFrame:
     The findings come from a scan with ``wide_lines=WIDE_LINES``: the lines were
     cut out where the file was read, so files and findings need not meet again.
     """
-    near = lambda c: F.when(F.size(c) > 0, F.array_join(c, "\n")).otherwise("(no context)")
-    prompt = F.concat(
-        F.lit("Analyze this potential vulnerability:\n\n**Rule**: "), F.col("rule_id"), F.lit(" — "), F.col("title"),
-        F.lit("\n**Severity**: "), F.col("severity_label"),
-        F.lit("\n**File**: "), F.col("path"), F.lit(" (line "), F.col("line_number").cast("string"),
-        F.lit(")\n**CWE**: "), F.col("cwe"),
-        F.lit("\n**Description**: "), F.col("description"),
-        F.lit("\n\n**Code Context**:\n```\n"), near("context_before"),
-        F.lit("\n>>> "), F.col("line_content"), F.lit("\n"), near("context_after"), F.lit("\n```\n"),
-        F.lit("\n**Broader File Context** (lines "), F.col("wide.first_line").cast("string"), F.lit("-"),
-        F.col("wide.last_line").cast("string"), F.lit("):\n```\n"), F.col("wide.text"), F.lit("\n```\n"),
+    def near(lines: str) -> Column:
+        return F.when(F.size(lines) > 0, _text(lines)).otherwise(NO_CONTEXT)
+
+    prompt = F.format_string(
+        WIDE_FORMAT, "rule_id", "title", "severity_label", "path", "line_number", "cwe", "description", near("context_before"),
+        "line_content", near("context_after"), "wide.first_line", "wide.last_line", "wide.text",
     )
     return findings.select(
         "scan_id", "path", "rule_id", "match_start", F.col("wide.first_line").alias("first_line"),
@@ -90,8 +114,6 @@ def parse_responses(responses: DataFrame) -> DataFrame:
     shifts nothing.  Of blocks with the same number the first counts; empty
     blocks do not.
     """
-    from sigsift.functions.text import strip
-
     usable = responses.where(F.col("error").isNull())
     cut = usable.select(
         "scan_id",

@@ -7,9 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigsift.catalog import CRITICAL, HEURISTIC_ID, SEVERITY_COLORS, rules_frame
+from sigsift.catalog import CRITICAL, HEURISTIC_ID, rules_frame
 from sigsift.config import ScanConfig
-from sigsift.functions import paths
 from sigsift.functions import text as tx
 from sigsift.functions.entropy import byte_histogram, entropy_of
 from sigsift.operators import duplicates, inventory, matching, metadata, reports, review, summary
@@ -308,24 +307,11 @@ def scan_totals(spark, sf):
     return summary.scan_totals(_scan(spark, sf).scanned)
 
 
-def report_language(path):
-    """Name of the highlighting grammar of a file."""
-    table = {"php": "php", "js": "javascript", "ts": "typescript"}
-    names = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
-    return F.coalesce(F.try_element_at(names, paths.language(paths.extension(path))), F.lit("markup"))
-
-
 @query
 def finding_details(spark, sf):
-    found = _scan(spark, sf).all_findings
-    colors = F.create_map(*[F.lit(x) for pair in SEVERITY_COLORS.items() for x in pair])
-    return found.select(
-        "scan_id", "path", "rule_id", "title", "severity_label", F.col("severity").alias("severity_value"), "line_number", "match_column",
-        "line_content", F.array_join("context_before", "\n").alias("context_before"), F.array_join("context_after", "\n").alias("context_after"),
-        "description", "impact", "layman_fix", F.array_join("step_by_step_fix", "\n").alias("step_by_step_fix"),
-        report_language(F.col("path")).alias("language"), "cwe", F.regexp_replace("cwe", "^CWE-", "").alias("cwe_num"), "confidence",
-        "recommendation", "false_positive", F.try_element_at(colors, F.col("severity")).alias("severity_color"),
-    )
+    records = reports.finding_records(_scan(spark, sf).all_findings)
+    lists = ("context_before", "context_after", "step_by_step_fix")
+    return records.withColumns({c: F.array_join(c, "\n") for c in lists})
 
 
 @query

@@ -84,3 +84,20 @@ def test_top_findings_limit_before_the_shuffle(spark, skewed):
 def test_counts_are_partial_before_the_shuffle(spark):
     text = plan(summary.severity_counts(explode_findings(scan_files(corpus.document_files(spark, SF), ScanConfig()), ScanConfig())))
     assert len(re.findall("HashAggregate", text)) == 2
+
+
+def test_scan_with_a_hot_package(spark):
+    """Two thirds of all files in one package: same numbers as a window over the package."""
+    from pyspark.sql import Window
+
+    from sigsift.plans.scan import scan
+
+    key = F.when(F.crc32(F.col("path").cast("binary")) % 3 < 2, "hot").otherwise(F.col("scan_id"))
+    files = corpus.corpus_files(spark, SF).withColumn("scan_id", key)
+    found = scan(files, ScanConfig()).pinned().all_findings
+    window = Window.partitionBy("scan_id").orderBy(*summary.order_keys())
+    columns = ["scan_id", "path", "rule_id", "match_start", "n"]
+    plain = found.withColumn("n", F.row_number().over(window).cast("bigint")).select(*columns)
+    spread_out = with_ordinal(found, "scan_id", summary.order_keys(), "n", slices=6).select(*columns)
+    assert plain.exceptAll(spread_out).count() == 0 and spread_out.exceptAll(plain).count() == 0
+    assert plain.where("scan_id = 'hot'").count() > plain.count() / 2
