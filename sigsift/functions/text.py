@@ -12,6 +12,10 @@ KEPT_BREAKS = "\u000b\u000c\u001c-\u001e\u0085\u2028\u2029"
 # Both try one character class per position, which is faster than alternatives; CRLF is one break.
 BREAK = f"[\r\n{KEPT_BREAKS}](?:(?<=\r)\n)?"
 DROPPED_BREAK = "[\r\n](?:(?<=\r)\n)?"
+SPACES = (
+    "\t\n\u000b\u000c\r\u001c\u001d\u001e\u001f \u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 SPACE = "[\\s\u001c-\u001f]"
 BOM = "\ufeff"
 
@@ -163,11 +167,12 @@ def first_start(text: Column, pattern: str) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"(?U)^{SPACE}+|{SPACE}+\\z", "")
+    return F.trim(text, F.lit(SPACES))
 
 
 def strip_end(text: Column) -> Column:
-    return F.regexp_replace(text, f"(?U){SPACE}+\\z", "")
+    """Drop trailing white space.  Trimming is linear; a pattern would try every run of spaces in the text."""
+    return F.rtrim(text, F.lit(SPACES))
 
 
 def fixed(number: Column, places: int) -> Column:

@@ -104,3 +104,12 @@ def test_number_formats(spark):
         size_display(F.lit(1023)), size_display(F.lit(1024)), size_display(F.lit(2048 * 1024)), tx.fixed(F.lit(6.145), 2), tx.fixed(F.lit(0.125), 2)
     ).first()
     assert list(row) == ["1023 B", "1.0 KB", "2048.0 KB", f"{6.145:.2f}", f"{0.125:.2f}"]
+
+
+def test_strip(spark):
+    every = "".join(chr(c) for c in range(0x3100) if chr(c).isspace())
+    assert sorted(tx.SPACES) == sorted(every)
+    long = "a" + " " * 500_000 + "b"
+    frame = spark.createDataFrame([(every + "x y" + every,), (long + every,), ("",)], "t string")
+    got = [tuple(r) for r in frame.select(tx.strip(F.col("t")), tx.strip_end(F.col("t"))).collect()]
+    assert got == [("x y", every + "x y"), (long, long), ("", "")]
