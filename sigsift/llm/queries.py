@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigsift.llm import fingerprints, pii
+from sigsift.llm import fingerprints, jaccard, lines, mixing, packing, pii, quality
 from sigsift.llm.common import table
 
+TOKENIZER = "byte_bpe_50k.json"
 QUERIES = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -34,3 +35,41 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_chars", "edited_sha256", fingerprints.written(F.col("sketch")).alias("fingerprint"),
         fingerprints.written(F.col("edited_sketch")).alias("edited_fingerprint"), "near_edited", "near_next", "held_edited",
     )
+
+
+@query
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    ensemble = quality.learn(docs, table(spark, sf_dir, "labels"))
+    score = F.col("_score")
+    return quality.scored(docs, ensemble).select(
+        "_row.doc_id", quality.held_out(F.col("_row.doc_id")).alias("held_out"), score.alias("score"),
+        F.when(score >= quality.ACCEPTED, 1).otherwise(0).alias("predicted"),
+    )
+
+
+@query
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"), size=3, similarity=0.9)
+
+
+@query
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.without_boilerplate(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planned = mixing.allocate(table(spark, sf_dir, "documents"))
+    first = F.get("_copies", F.lit(0))
+    return planned.select(
+        "_row.doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"),
+        F.col("_taken").alias("taken"), F.round(first["position"], 6).alias("position"),
+    )
+
+
+@query
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
