@@ -28,16 +28,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sigsift.llm.common import lower_ascii, whole, words
+from sigsift.llm.common import DOCUMENT, lower_ascii, whole, words
 from sigsift.session import pin
 
 SIZE = 5
 SIMILARITY = 0.8
 BAND_RATIO = 1.6
-FEW = 8
+FEW = 16
 BITS = 64
 SHINGLES = 500_000
 
@@ -162,8 +162,8 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, tenths: int) -> DataFrame:
-    """The pairs (_a, _b) of nodes whose sets are similar enough."""
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(_a, _b, _linked): whether the sets of each pair of nodes are similar enough."""
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             left, right = batch.column(2), batch.column(3)
             lo, ro = np.asarray(left.offsets), np.asarray(right.offsets)
@@ -173,43 +173,46 @@ def _verified(pairs: DataFrame, sets: DataFrame, tenths: int) -> DataFrame:
                 a, b = lv[lo[n] : lo[n + 1]], rv[ro[n] : ro[n + 1]]
                 both = len(np.intersect1d(a, b, assume_unique=True))
                 good[n] = 1000 * both >= tenths * (len(a) + len(b) - both)
-            yield batch.select([0, 1]).filter(pa.array(good))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(good)], ["_a", "_b", "_linked"])
 
     first, second = (sets.select(F.col("_node").alias(i), F.col("_hashes").alias(h)) for i, h in (("_a", "_ha"), ("_b", "_hb")))
     joined = pairs.select("_a", "_b").join(first, "_a").join(second, "_b").select("_a", "_b", "_ha", "_hb")
-    return joined.mapInArrow(keep, "_a long, _b long")
+    return joined.mapInArrow(judge, "_a long, _b long, _linked boolean")
 
 
-def _links(members: DataFrame, sets: DataFrame, tenths: int) -> DataFrame | None:
-    """Links (_a, _b) with the same components as all links between ``members`` (_key, _node) of one key; none where there are none.
+def _links(members: DataFrame, sets: DataFrame, tenths: int) -> DataFrame:
+    """Links (_a, _b) with the same components as all links between ``members`` (_key, _node) of one key.
 
-    A round compares the members of a key to some of them, the centres, then
-    drops the centres, whose pairs are settled, and the keys whose members are in
-    one component.  One centre for a key at first, then ``FEW``, then ``FEW`` times
-    as many: the last rounds compare all pairs that are still open.
+    A round compares all members of a small key with each other, and those of a
+    larger key to some of them, its centres.  Centres are settled then, and so is a
+    key whose members are known to be connected.  Each round allows more members
+    and centres than the last: the first one centre a key, the last all that are
+    still open.
     """
-    left = members.withColumn("_component", F.col("_node"))
-    links = tried = None
-    centres = 1
+    left = members.withColumn("_label", F.col("_node"))
+    judged = None
+    size = 1
     while True:
-        slot = F.pmod(F.xxhash64("_node"), F.lit(centres))
-        heads = left.groupBy("_key", slot.alias("_slot")).agg(F.min(F.struct("_node", "_component")).alias("_head"))
-        centred = heads.select("_key", F.col("_head._node").alias("_centre"), F.col("_head._component").alias("_other"))
-        pairs = left.join(centred, "_key").where("_component <> _other").select(F.least("_node", "_centre").alias("_a"), F.greatest("_node", "_centre").alias("_b"))
-        if tried is not None:
-            pairs = pairs.join(tried, ["_a", "_b"], "left_anti")
-        pairs = pin(pairs.distinct())
-        found = pin(_verified(pairs, sets, tenths))
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        links = found if links is None else links.unionByName(found)
-        state = components(links)
-        settled = left.join(centred.select("_key", F.col("_centre").alias("_node")), ["_key", "_node"], "left_anti").drop("_component")
-        moved = settled.join(state, "_node", "left").select("_key", "_node", F.coalesce("_component", "_node").alias("_component"))
-        several = moved.groupBy("_key").agg(F.min("_component").alias("_low"), F.max("_component").alias("_high")).where("_low <> _high")
-        left = pin(moved.join(several.select("_key"), "_key"))
+        keys = left.groupBy("_key").agg(F.count(F.lit(1)).alias("_members"), F.min("_label").alias("_low"), F.max("_label").alias("_high"))
+        left = pin(left.join(keys.where("_low <> _high").select("_key", "_members"), "_key"))
         if left.limit(1).count() == 0:
-            return state
-        centres *= FEW
+            break
+        slot = F.when(F.col("_members") <= size, F.col("_node")).otherwise(F.pmod(F.xxhash64("_node"), F.lit(size)))
+        heads = left.groupBy("_key", slot.alias("_slot")).agg(F.min(F.struct("_node", "_label")).alias("_head"))
+        centres = heads.select("_key", F.col("_head._node").alias("_centre"), F.col("_head._label").alias("_other"))
+        pairs = left.join(centres, "_key").where("_label <> _other").select(F.least("_node", "_centre").alias("_a"), F.greatest("_node", "_centre").alias("_b")).distinct()
+        if judged is not None:
+            pairs = pairs.join(judged.select("_a", "_b"), ["_a", "_b"], "left_anti")
+        found = pin(_verified(pairs, sets, tenths))
+        judged = found if judged is None else judged.unionByName(found)
+        # of what a node is linked to it takes the least label: like labels are connected
+        linked = found.where("_linked")
+        ends = linked.select("_a", "_b").unionByName(linked.select(F.col("_b").alias("_a"), F.col("_a").alias("_b")))
+        near = ends.groupBy(F.col("_a").alias("_node")).agg(F.min("_b").alias("_near"))
+        settled = left.join(centres.select("_key", F.col("_centre").alias("_node")), ["_key", "_node"], "left_anti")
+        left = settled.join(near, "_node", "left").select("_key", "_node", F.least("_label", "_near").alias("_label"))
+        size *= FEW
+    return members.limit(0).select(F.col("_node").alias("_a"), F.col("_node").alias("_b")) if judged is None else judged.where("_linked").select("_a", "_b")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -251,9 +254,22 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     wanted = heads.join(members.select("_node").distinct(), "_node", "left_semi").select("_head").distinct()
     texts = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text")).join(wanted, F.col("_id").eqNullSafe(F.col("_head"))).select("_id", "_text")
     sets = pin(_sets(texts.dropDuplicates(["_id", "_text"]), size))
-    state = _links(members, sets, tenths)
+    state = components(_links(members, sets, tenths))
     linked = heads.join(state, "_node", "left").select("_node", "_head", F.coalesce("_component", "_node").alias("_component"))
     least = linked.groupBy("_component").agg(F.min("_head").alias("_first"))
     of = linked.join(least, "_component").select(F.col("_node").alias("_of"), "_first")
     joined = rows.join(of, F.col("_node") == F.col("_of"), "left")
     return joined.select(F.col("_id").alias(key), F.col("_n").alias("n_shingles"), F.coalesce("_first", "_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, size: int = SIZE, similarity: float = SIMILARITY) -> DataFrame:
+    """The columns of documents; of each group of near duplicates the document with the smallest id, once.
+
+    Documents without words, and those without an id, all stay.
+    """
+    docs = docs.select(*DOCUMENT)
+    found = near_duplicates(docs, size=size, similarity=similarity)
+    kept = found.where(F.col("component_id").eqNullSafe(F.col("doc_id"))).groupBy(F.col("doc_id").alias("_kept")).agg(F.max("n_shingles").alias("_n"))
+    again = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("n_chars", "lang", "source")
+    numbered = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept"))).withColumn("_copy", F.row_number().over(again))
+    return numbered.where((F.col("_copy") == 1) | (F.col("_n") == 0) | F.col("doc_id").isNull()).select(*DOCUMENT)

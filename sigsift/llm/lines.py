@@ -72,3 +72,10 @@ def without_boilerplate(
         *[F.col(f"_row.{c}").alias(c) for c in (key, site, *keep)], count.alias("n_lines"),
         F.when(body.isNull(), 0).otherwise(F.col("_n") - F.size("_left")).alias("n_dropped"), F.array_join("_left", "\n").alias(text),
     )
+
+
+def cleaned(docs: DataFrame, ratio: float = RATIO, least: int = LEAST_PAGES) -> DataFrame:
+    """The columns of documents, texts without their source's boilerplate lines and ``n_chars`` counted anew where lines went."""
+    left = without_boilerplate(docs, keep=("lang", "n_chars"), ratio=ratio, least=least)
+    chars = F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return left.select("doc_id", "text", "lang", "source", chars.alias("n_chars"))

@@ -108,7 +108,7 @@ def allocate(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), share: float
     for n in range(cap):
         begin = F.col("_source_size") * n + start
         count = F.greatest(F.lit(0).cast("long"), F.least(F.col("_size"), limit - begin))
-        copies.append(F.struct(count.alias("words"), _position((begin + count / 2) / F.col("_target"), F.col("_rank")).alias("position")))
+        copies.append(F.struct(count.alias("words"), _position((begin + count / 2) / F.nullif("_target", F.lit(0.0)), F.col("_rank")).alias("position")))
         taken = taken + count
     return placed.select(
         "_row", "_size", "_source_size", "_target", taken.alias("_taken"), F.filter(F.array(*copies), lambda c: c["words"] > 0).alias("_copies")

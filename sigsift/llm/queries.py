@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigsift.llm import fingerprints, jaccard, lines, mixing, packing, pii, quality
+from sigsift.llm import ann, fingerprints, jaccard, lines, mixing, oracle, packing, pii, quality, quotes, urls
 from sigsift.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.json"
 QUERIES = {}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = oracle.STATEMENTS
 
 
 def query(function):
@@ -18,6 +18,11 @@ def query(function):
     return function
 
 
+@query
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 @query
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents"))
@@ -53,6 +58,17 @@ def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"), size=3, similarity=0.9)
 
 
+URL_RULES = (
+    urls.Rule("allow", "org", "/"), urls.Rule("block", "example.org", "/es/"), urls.Rule("block", "example.org", "/en/1"),
+    urls.Rule("allow", "com", "/fr/"), urls.Rule("block", "com", "/de/"),
+)
+
+
+@query
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judged(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 @query
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.without_boilerplate(table(spark, sf_dir, "documents"))
@@ -68,6 +84,11 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op9_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.threaded(table(spark, sf_dir, "conversations"))
+
+
 @query
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
