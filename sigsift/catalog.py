@@ -9,9 +9,11 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -35,8 +37,9 @@ JS = ("js", "jsx", "ts", "tsx")
 class Rule:
     """One signature.
 
-    ``literals`` are lower-case substrings of which a matching file always
-    contains at least one; an empty tuple switches the prefilter off.
+    ``literals`` are substrings, case ignored, of which a matching file always
+    contains at least one; an empty tuple switches the prefilter off.  Patterns
+    may be written for the JVM or with named groups as Python writes them.
     """
 
     rule_id: str
@@ -55,13 +58,27 @@ class Rule:
     step_by_step_fix: tuple[str, ...] = field(default=())
     recommendation: str = ""
 
+    def __post_init__(self):
+        # the text that literals are looked for in is folded alike
+        folded = tuple(x.replace("\u0130", "i").replace("\u0131", "i").replace("\u017f", "s").lower() for x in self.literals)
+        object.__setattr__(self, "literals", folded)
+
     @property
     def jvm_pattern(self) -> str:
-        return MATCH_FLAGS + (self.pattern_body if self.is_regex else quote(self.pattern))
+        return MATCH_FLAGS + (jvm_syntax(self.pattern) if self.is_regex else quote(self.pattern))
 
     @property
-    def pattern_body(self) -> str:
-        return self.pattern.replace("(?P<", "(?<")
+    def suppressors(self) -> list[str]:
+        return [SUPPRESS_FLAGS + jvm_syntax(p) for p in self.fp_patterns]
+
+
+def jvm_syntax(pattern: str) -> str:
+    """Named groups and references to them as the JVM writes them; its names have letters and digits only."""
+    names: dict[str, str] = {}
+    def named(match: re.Match, form: str) -> str:
+        return form.format(names.setdefault(match[1], match[1] if match[1].isalnum() else f"group{len(names) + 1}"))
+    pattern = re.sub(r"\(\?P<(\w+)>", lambda m: named(m, "(?<{}>"), pattern)
+    return re.sub(r"\(\?P=(\w+)\)", lambda m: named(m, "\\k<{}>"), pattern)
 
 
 def quote(text: str) -> str:
@@ -197,7 +214,7 @@ def rules_frame(spark: SparkSession, rules: Sequence[Rule] = RULES) -> DataFrame
     rows = [
         (
             n, r.rule_id, r.title, r.severity, label(r.severity), r.jvm_pattern, list(r.languages),
-            list(r.literals), [SUPPRESS_FLAGS + p for p in r.fp_patterns], r.cwe, r.confidence,
+            list(r.literals), r.suppressors, r.cwe, r.confidence,
             r.description, r.impact, r.layman_fix, list(r.step_by_step_fix), r.recommendation,
         )
         for n, r in enumerate(rules, 1)
@@ -216,30 +233,48 @@ def check_rules(rules: Iterable[Rule]) -> list[str]:
     """Problems that keep a rule from running, one message each.
 
     Unlike a scanner that drops such rules silently, callers get them as rows
-    of ``scan_errors``.  Python's dialect stands in for the JVM's here; both
-    accept everything the catalog uses.
+    of ``scan_errors``.  The rules of ``RULES`` are known to run.
     """
     problems = []
     for rule in rules:
-        for source in (rule.pattern if rule.is_regex else re.escape(rule.pattern), *rule.fp_patterns):
-            try:
-                compiled = re.compile(source, re.IGNORECASE | re.MULTILINE)
-            except re.error as exc:
-                problems.append(f"Rule {rule.rule_id} cannot be compiled: {exc}")
-                break
-            if source == rule.pattern and compiled.match(""):
-                problems.append(f"Rule {rule.rule_id} can match the empty string")
+        if rule in _BUILT_IN:
+            continue
+        for source in (rule.jvm_pattern, *rule.suppressors):
+            fault = _fault(source)
+            if fault == EMPTY_MATCH and source != rule.jvm_pattern:
+                continue
+            if fault:
+                problems.append(f"Rule {rule.rule_id} {fault}")
                 break
     return problems
 
 
-def usable_rules(rules: Sequence[Rule]) -> list[Rule]:
-    return [r for r in rules if not check_rules([r])]
+EMPTY_MATCH = "can match the empty string"
+
+
+@lru_cache(maxsize=4096)
+def _fault(source: str) -> str | None:
+    """What is wrong with a pattern, asked of the engine that will run it: a plan of one row."""
+    spark = SparkSession.builder.getOrCreate()
+    try:
+        empty = spark.range(1).select(F.rlike(F.lit(""), F.lit(source))).first()[0]
+    except Exception as exc:
+        reason = next((x for x in str(exc).splitlines() if x.strip()), "")
+        return f"cannot be compiled: {reason[:300]}"
+    return EMPTY_MATCH if empty else None
+
+
+_BUILT_IN = frozenset(RULES)
 
 
 _UNBOUNDED_GROUP = re.compile(r"\)(?:\*|\+|\{\d+,\d*\})(?!\+)")
 
 
+def risks(rules: Iterable[Rule]) -> list[str]:
+    """A message for each rule of ``risky_rules``."""
+    return [f"Rule {r} repeats a group that is not possessive: a long match may overflow the stack of a task" for r in risky_rules(rules)]
+
+
 def risky_rules(rules: Iterable[Rule]) -> list[str]:
     """Ids of rules with a repeated group that is not possessive.
 

@@ -24,13 +24,13 @@ BINARY_EXTENSIONS = (
     ".otf", ".zip", ".tar", ".gz", ".rar", ".pdf", ".doc", ".docx", ".mp3", ".mp4", ".avi", ".mov",
     ".exe", ".dll", ".so", ".dylib", ".mo",
 )
-# Limits.
-MAX_FILE_KB = 2048
-MAX_TEXT_BYTES = 2 * 1024 * 1024
-HEADER_BYTES = 64 * 1024
-NUL_PROBE_BYTES = 8192
+# Limits.  Those of ``SINGLE_MACHINE`` are what a scanner of one package at a time keeps to; none holds unless it is asked for.
+SINGLE_MACHINE = {
+    "max_file_kb": 2048, "max_text_bytes": 2 * 1024 * 1024, "header_bytes": 64 * 1024, "nul_probe_bytes": 8192, "max_matches": 100,
+    "max_signals": 5,
+}
 MAX_ARCHIVE_BYTES = 512 * 1024 * 1024
-MAX_MATCHES = 100
+MAX_BINARY = 2**31 - 1
 CONTEXT_LINES = 3
 SUPPRESS_LINES = 10
 REVIEW_BATCH = 5
@@ -48,35 +48,49 @@ def _dotted(extensions: Iterable[str]) -> tuple[str, ...]:
 class ScanConfig:
     """Options of one scan job.
 
-    ``exclude_dirs`` and ``include_ext`` add to the defaults.  ``quick`` raises
-    the threshold to HIGH whatever ``severity_threshold`` says.  ``php_only``
-    wins over ``include_ext``.  ``wide_lines`` adds that many lines either side
-    to each finding, for review.
+    ``exclude_dirs`` and ``include_ext`` add to the defaults; ``only_exclude_dirs``
+    and ``only_ext`` stand in for them.  ``quick`` raises the threshold to HIGH
+    whatever ``severity_threshold`` says.  ``php_only`` wins over ``include_ext``.
+    ``wide_lines`` adds that many lines either side to each finding, for review.
+
+    Whole files are scanned and all matches kept.  These cuts are off (None) and
+    leave a row in ``skipped`` or ``scan_errors`` wherever they take something
+    away: ``max_file_kb`` leaves larger files out, ``max_text_bytes`` and
+    ``header_bytes`` read the first bytes only for findings and for package names,
+    ``nul_probe_bytes`` takes a file with a NUL in its first bytes for binary,
+    ``max_matches`` keeps a rule's first matches in a file, ``max_signals`` names
+    the first signals of the heuristic.  ``max_archive_bytes`` is a guard against
+    archives that inflate without bound and is on; a refused archive is an error row.
     """
 
     severity_threshold: int = LOW
-    max_file_kb: int = MAX_FILE_KB
-    max_text_bytes: int = MAX_TEXT_BYTES
+    max_file_kb: int | None = None
+    max_text_bytes: int | None = None
+    header_bytes: int | None = None
+    nul_probe_bytes: int | None = None
+    max_archive_bytes: int | None = MAX_ARCHIVE_BYTES
+    max_signals: int | None = None
     exclude_dirs: tuple[str, ...] = ()
     include_ext: tuple[str, ...] = ()
+    only_exclude_dirs: tuple[str, ...] | None = None
+    only_ext: tuple[str, ...] | None = None
     php_only: bool = False
     js_only: bool = False
     deep: bool = False
     quick: bool = False
     context_lines: int = CONTEXT_LINES
-    max_matches: int = MAX_MATCHES
+    max_matches: int | None = None
     wide_lines: int = 0
     rules: tuple[Rule, ...] = RULES
 
     def __post_init__(self):
         if self.php_only and self.js_only:
             raise ValueError("php_only and js_only exclude each other")
-        if self.max_file_kb <= 0:
-            raise ValueError("max_file_kb must be greater than 0")
+        for name in (*SINGLE_MACHINE, "max_archive_bytes"):
+            if getattr(self, name) is not None and getattr(self, name) < 1:
+                raise ValueError(f"{name} must be at least 1, or None for no limit")
         if self.context_lines < 0 or self.wide_lines < 0:
             raise ValueError("context_lines and wide_lines cannot be negative")
-        if self.max_matches < 1:
-            raise ValueError("max_matches must be at least 1")
         if self.severity_threshold not in SEVERITY_LABELS:
             raise ValueError(f"unknown severity {self.severity_threshold}")
 
@@ -86,11 +100,18 @@ class ScanConfig:
 
     @property
     def max_bytes(self) -> int:
-        return self.max_file_kb * 1024
+        """The largest file that is scanned; no value of Spark's holds more than ``MAX_BINARY``."""
+        return MAX_BINARY if self.max_file_kb is None else min(MAX_BINARY, self.max_file_kb * 1024)
+
+    @property
+    def cuts(self) -> bool:
+        """Whether a scan may leave notes about parts it left out."""
+        return any(getattr(self, n) is not None for n in SINGLE_MACHINE if n != "max_file_kb")
 
     @property
     def excluded(self) -> tuple[str, ...]:
-        return tuple(dict.fromkeys(DEFAULT_EXCLUDES + tuple(self.exclude_dirs)))
+        base = DEFAULT_EXCLUDES if self.only_exclude_dirs is None else tuple(self.only_exclude_dirs)
+        return tuple(dict.fromkeys(base + tuple(self.exclude_dirs)))
 
     @property
     def extensions(self) -> tuple[str, ...]:
@@ -98,7 +119,8 @@ class ScanConfig:
             return PHP_EXTENSIONS
         if self.js_only:
             return SCRIPT_EXTENSIONS
-        return tuple(dict.fromkeys(DEFAULT_EXTENSIONS + _dotted(self.include_ext)))
+        base = DEFAULT_EXTENSIONS if self.only_ext is None else _dotted(self.only_ext)
+        return tuple(dict.fromkeys(base + _dotted(self.include_ext)))
 
     @property
     def mode(self) -> str:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -30,3 +32,16 @@ def entropy_of(counts: Column) -> Column:
         add,
         lambda acc: F.when(acc["n"] > 0, F.abs(F.round(F.log2(acc["n"].cast("double")) - acc["s"] / acc["n"], 4))).otherwise(0.0),
     )
+
+
+def summed_histograms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows (group, content) to one row per batch and group: the counts of its byte values; null where no content is."""
+    for batch in batches:
+        group, content = batch.columns
+        totals: dict[object, np.ndarray | None] = {}
+        for key, raw in zip(batch[group], batch[content], strict=True):
+            total = totals.setdefault(None if pd.isna(key) else key, None)
+            if raw is not None:
+                counts = np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
+                totals[None if pd.isna(key) else key] = counts if total is None else total + counts
+        yield pd.DataFrame({group: list(totals), "histogram": list(totals.values())})

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sigsift.catalog import quote
 from sigsift.config import LANGUAGE_EXTENSIONS
 
 # Grammar names by language.
@@ -39,6 +41,12 @@ def depth(path: Column) -> Column:
     return F.size(F.split(path, "/", -1))
 
 
+def below(path: Column, root: str) -> Column:
+    """The part of a file's address below a folder, whatever scheme and slashes the address begins with."""
+    bare = re.sub("^[a-z0-9]+:/*", "", root.rstrip("/")).lstrip("/")
+    return F.regexp_extract(path, "^(?:[a-z0-9]+:)?/*" + quote(bare) + "/(.*)$", 1)
+
+
 def under_any(path: Column, names: Sequence[str]) -> Column:
     """Whether a directory on the way to the file has one of the names."""
     parts = F.split(path, "/", -1)

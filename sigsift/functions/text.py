@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sigsift.config import NUL_PROBE_BYTES
-
 # Characters that end a line; CR, LF and CRLF do not stay in the line's text.
 KEPT_BREAKS = "\u000b\u000c\u001c-\u001e\u0085\u2028\u2029"
 # Both try one character class per position, which is faster than alternatives; CRLF is one break.
@@ -18,13 +16,24 @@ SPACES = (
 )
 SPACE = "[\\s\u001c-\u001f]"
 BOM = "\ufeff"
+BLOCK = 256
+
+
+def decode(content: Column, max_bytes: int | None = None, nul_probe: int | None = None) -> Column:
+    """UTF-8 text, bad bytes replaced.
+
+    ``max_bytes`` reads the first bytes only; with ``nul_probe`` content that has
+    a NUL among its first bytes is no text.
+    """
+    head = content
+    if max_bytes is not None:
+        head = F.when(F.octet_length(content) > max_bytes, F.substring(content, 1, max_bytes)).otherwise(content)
+    text = F.make_valid_utf8(head.cast("string"))
+    return text if nul_probe is None else F.when(~has_nul(content, nul_probe), text)
 
 
-def decode(content: Column, max_bytes: int) -> Column:
-    """UTF-8 text of the first ``max_bytes``, bad bytes replaced; null when it holds NULs early on."""
-    head = F.when(F.octet_length(content) > max_bytes, F.substring(content, 1, max_bytes)).otherwise(content)
-    has_nul = F.contains(F.substring(content, 1, NUL_PROBE_BYTES), F.lit(b"\x00"))
-    return F.when(~has_nul, F.make_valid_utf8(head.cast("string")))
+def has_nul(content: Column, first: int) -> Column:
+    return F.contains(F.substring(content, 1, first), F.lit(b"\x00"))
 
 
 def fold(text: Column) -> Column:
@@ -134,8 +143,6 @@ def spots(pieces: Column, found: Column) -> Column:
         ),
     )
     nothing = F.array().cast("array<struct<start:int,line:int,col:int>>")
-    begin = F.struct(F.lit(0).alias("start"), F.lit(1).alias("line"), F.lit(0).alias("tail"), nothing.alias("seen"))
-
     def step(acc: Column, s: Column) -> Column:
         start = acc["start"] + s["length"]
         line = acc["line"] + s["breaks"]
@@ -146,7 +153,37 @@ def spots(pieces: Column, found: Column) -> Column:
             F.concat(acc["seen"], F.array(spot)).alias("seen"),
         )
 
-    return F.aggregate(stretches, begin, step, lambda acc: acc["seen"])
+    def walk(block: Column, state: Column) -> Column:
+        """The spots of a block, from the state before it."""
+        opened = F.struct(state["start"].alias("start"), state["line"].alias("line"), state["tail"].alias("tail"), nothing.alias("seen"))
+        return F.aggregate(block, opened, step, lambda acc: acc["seen"])
+
+    # an array that grows by every match would be copied for each: blocks are walked once for
+    # the states between them and once for their spots
+    def move(acc: Column, s: Column) -> Column:
+        return F.struct(
+            (acc["start"] + s["length"]).alias("start"), (acc["line"] + s["breaks"]).alias("line"),
+            F.when(s["breaks"] > 0, s["tail"]).otherwise(acc["tail"] + s["tail"]).alias("tail"),
+        )
+
+    def cross(acc: Column, block: Column) -> Column:
+        return F.struct(F.aggregate(block, acc["at"], move).alias("at"), F.concat(acc["states"], F.array(acc["at"])).alias("states"))
+
+    def in_blocks(all_stretches: Column) -> Column:
+        blocks = F.transform(
+            F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(all_stretches) - 1) / BLOCK).cast("int"))),
+            lambda b: F.slice(all_stretches, b * BLOCK + 1, F.lit(BLOCK)),
+        )
+        at = F.struct(F.lit(0).alias("start"), F.lit(1).alias("line"), F.lit(0).alias("tail"))
+        none = F.array().cast("array<struct<start:int,line:int,tail:int>>")
+        return F.transform(
+            F.array(blocks),
+            lambda bs: F.flatten(
+                F.zip_with(bs, F.aggregate(bs, F.struct(at.alias("at"), none.alias("states")), cross, lambda acc: acc["states"]), walk)
+            ),
+        )[0]
+
+    return F.transform(F.array(stretches), in_blocks)[0]
 
 
 def spot_at(text: Column, start: Column) -> Column:

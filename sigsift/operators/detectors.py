@@ -42,10 +42,11 @@ SIGNALS = (
 # Thresholds of the two detectors.
 SIGNAL_ENTROPY = 6.1
 LONG_LINE = 500
+# A line of so many characters, tried from its beginning only; a break that stays in the line counts.
+LONG = f"(?:^|[\r\n{tx.KEPT_BREAKS}])[^\r\n{tx.KEPT_BREAKS}]{{{LONG_LINE - 1}}}[^\r\n]"
 HIGH_SCORE = 4
 CRITICAL_SCORE = 6
 DEEP_ENTROPY = 6.0
-SHOWN_SIGNALS = 5
 
 
 # The one signal that does not ignore case stays exact.
@@ -62,12 +63,12 @@ def text_signals() -> Column:
         ).alias(s.name)
         for s in SIGNALS
     ]
-    long_line = F.exists("file_lines", lambda line: F.length(line) >= LONG_LINE).alias("long_line")
+    long_line = F.rlike("text", F.lit(LONG)).alias("long_line")
     return F.when((F.col("language") == "php") & F.col("text").isNotNull(), F.struct(*starts, long_line))
 
 
 def with_signals(files: DataFrame) -> DataFrame:
-    """Adds ``sig``; needs ``text``, ``folded``, ``file_lines`` and ``language``."""
+    """Adds ``sig``; needs ``text``, ``folded`` and ``language``."""
     return files.withColumn("sig", text_signals())
 
 
@@ -93,9 +94,10 @@ def heuristic() -> dict[str, Column]:
 def heuristic_matches(config: ScanConfig) -> Column:
     """The heuristic's finding as an array of at most one."""
     h = heuristic()
+    shown = F.col("signals") if config.max_signals is None else F.slice(F.col("signals"), 1, config.max_signals)
     detail = F.concat(
         F.lit("Signs of obfuscation and execution occur together in this file: "),
-        F.array_join(F.slice(F.col("signals"), 1, SHOWN_SIGNALS), ", "),
+        F.array_join(shown, ", "),
         F.lit("."),
     )
     row = finding(

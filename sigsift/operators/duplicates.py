@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sigsift.config import ScanConfig
-from sigsift.functions.entropy import byte_histogram
+from sigsift.functions.entropy import summed_histograms
 from sigsift.operators import inventory
-from sigsift.session import SALTS
+
+#: So many copies of one content are joined to its findings in one block.
+COPIES = 10_000
 
 
 def duplicate_content(files: DataFrame, config: ScanConfig) -> DataFrame:
@@ -28,8 +30,13 @@ def duplicate_content(files: DataFrame, config: ScanConfig) -> DataFrame:
 
 
 def group_entropy(files: DataFrame, group: str) -> DataFrame:
-    """Entropy of all bytes of a group; histograms add up, so no group is ever put together."""
-    counted = files.select(group, F.posexplode_outer(byte_histogram("content")).alias("byte", "n"))
+    """Entropy of all bytes of a group; histograms add up, so no group is ever put together.
+
+    Each batch of files gives one row per group, before anything is opened or shuffled.
+    """
+    kind = files.schema[group].dataType.simpleString()
+    batched = files.select(group, "content").mapInPandas(summed_histograms, f"`{group}` {kind}, histogram array<bigint>")
+    counted = batched.select(group, F.posexplode_outer("histogram").alias("byte", "n"))
     summed = counted.where(F.col("n") > 0).groupBy(group, "byte").agg(F.sum("n").alias("n"))
     n = F.col("n")
     total = F.sum("n")
@@ -45,7 +52,8 @@ def findings_by_content(files: DataFrame, config: ScanConfig) -> DataFrame:
 
     One file per content and language is kept; copies within a task fall away
     before the shuffle, so a content with a third of all copies costs one row per
-    task.  Findings go back to all copies through salted keys.
+    task.  Findings go back to the copies; those of a content with many copies
+    are dealt out in blocks of ``COPIES``, and only its findings are repeated.
     """
     from sigsift.plans.scan import explode_findings, scan_files
 
@@ -56,7 +64,9 @@ def findings_by_content(files: DataFrame, config: ScanConfig) -> DataFrame:
     ).dropDuplicates(key)
     scanned = scan_files(one, config)
     found = explode_findings(scanned.withColumn("path", F.col("sha256")), config).withColumnRenamed("path", "sha256").drop("scan_id")
-    salt = F.pmod(F.xxhash64("scan_id", "path"), F.lit(SALTS)).cast("int")
-    places = keyed.select(*key, "scan_id", "path", salt.alias("_salt"))
-    copies = found.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return places.join(copies, [*key, "_salt"]).drop("_salt", "sha256")
+    places = keyed.select(*key, "scan_id", "path")
+    many = places.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / COPIES).alias("_blocks")).where("_blocks > 1")
+    blocks = F.coalesce("_blocks", F.lit(1).cast("bigint"))
+    dealt = places.join(many, key, "left").withColumn("_block", F.pmod(F.xxhash64("scan_id", "path"), blocks)).drop("_blocks")
+    copies = found.join(many, key, "left").withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1))).drop("_blocks")
+    return dealt.join(copies, [*key, "_block"]).drop("_block", "sha256")

@@ -5,30 +5,44 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sigsift.config import BINARY_EXTENSIONS, ScanConfig
+from sigsift.config import BINARY_EXTENSIONS, MAX_BINARY, ScanConfig
 from sigsift.functions import paths
 from sigsift.functions import text as tx
 
 
-def inventory(files: DataFrame, config: ScanConfig) -> DataFrame:
-    """Files outside excluded directories, with extension, language and skip reason (null: scanned).
+#: The reason of files below excluded directories, which are neither scanned nor skipped.
+EXCLUDED = "excluded directory"
 
-    Only ``path`` and ``length`` feed the decision, so content that is not asked
-    for later is never read.
-    """
+
+def _reason(config: ScanConfig) -> Column:
     ext = F.col("extension")
-    reason = (
+    return (
         F.when(ext.isin(*BINARY_EXTENSIONS), "binary extension")
         .when(~ext.isin(*config.extensions), "extension not included")
         .when(F.col("length") == 0, "empty file")
+        .when(F.col("length") > MAX_BINARY, "file too large to be one value")
         .when(F.col("length") > config.max_bytes, "file too large")
     )
-    return (
-        files.where(~paths.under_any(F.col("path"), config.excluded))
-        .withColumn("extension", paths.extension(F.col("path")))
-        .withColumn("language", paths.language(F.col("extension")))
-        .withColumn("reason", reason)
-    )
+
+
+def _named(files: DataFrame) -> DataFrame:
+    named = files.withColumn("extension", paths.extension(F.col("path")))
+    return named.withColumn("language", paths.language(F.col("extension")))
+
+
+def inventory(files: DataFrame, config: ScanConfig) -> DataFrame:
+    """Files outside excluded directories, with extension, language and skip reason (null: scanned).
+
+    Only ``path`` and ``length`` feed the decision, so content that is not asked
+    for later is never read.
+    """
+    return _named(files.where(~paths.under_any(F.col("path"), config.excluded))).withColumn("reason", _reason(config))
+
+
+def classified(files: DataFrame, config: ScanConfig) -> DataFrame:
+    """All files, those below excluded directories with the reason ``EXCLUDED``."""
+    below = paths.under_any(F.col("path"), config.excluded)
+    return _named(files).withColumn("reason", F.when(below, F.lit(EXCLUDED)).otherwise(_reason(config)))
 
 
 def scannable(files: DataFrame, config: ScanConfig) -> DataFrame:

@@ -11,7 +11,7 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sigsift.catalog import SUPPRESS_FLAGS, Rule, usable_rules
+from sigsift.catalog import Rule, check_rules
 from sigsift.config import SUPPRESS_LINES, ScanConfig
 from sigsift.functions import text as tx
 
@@ -21,15 +21,12 @@ MATCH_TYPE = (
 )
 
 
-PLACES_TYPE = "array<struct<rule_ord:int,at:array<struct<start:int,line:int,col:int>>>>"
+PLACES_TYPE = "array<struct<rule_ord:int,at:array<struct<start:int,line:int,col:int>>,cut:boolean>>"
 
 
 def active_rules(config: ScanConfig) -> list[tuple[int, Rule]]:
     """(catalog position, rule) of the usable rules at or above the threshold."""
-    usable = {r.rule_id for r in usable_rules(config.rules)}
-    return [
-        (n, r) for n, r in enumerate(config.rules, 1) if r.severity >= config.threshold and r.rule_id in usable
-    ]
+    return [(n, r) for n, r in enumerate(config.rules, 1) if r.severity >= config.threshold and not check_rules([r])]
 
 
 # Column trees are immutable; building these takes thousands of calls, so one per configuration is kept.
@@ -54,8 +51,8 @@ def hit_rules(config: ScanConfig) -> Column:
 
 
 def with_text(files: DataFrame, config: ScanConfig) -> DataFrame:
-    """Adds ``text`` (null for NUL-carrying files) and its folded copy."""
-    decoded = files.withColumn("text", tx.decode(F.col("content"), config.max_text_bytes))
+    """Adds ``text`` and its folded copy."""
+    decoded = files.withColumn("text", tx.decode(F.col("content"), config.max_text_bytes, config.nul_probe_bytes))
     return decoded.withColumn("folded", tx.fold(F.col("text")))
 
 
@@ -65,20 +62,22 @@ def with_hits(files: DataFrame, config: ScanConfig) -> DataFrame:
 
 @lru_cache(maxsize=32)
 def hit_places(config: ScanConfig) -> Column:
-    """Per hit rule the (start, line, col) of its first ``max_matches`` matches."""
+    """Per hit rule the (start, line, col) of its matches, or of its first ``max_matches``, and whether there are more."""
     patterns = F.expr(tx.sql_array(r.jvm_pattern for r in config.rules))
     cap = config.max_matches
 
     def cut(rule_ord: Column) -> Column:
         pattern = F.element_at(patterns, rule_ord)
+        found = F.regexp_extract_all(F.col("text"), pattern, 0)
         return F.struct(
-            rule_ord.alias("rule_ord"),
-            F.split(F.col("text"), pattern, cap + 1).alias("pieces"),
-            F.slice(F.regexp_extract_all(F.col("text"), pattern, 0), 1, cap).alias("found"),
+            rule_ord.alias("rule_ord"), F.split(F.col("text"), pattern, -1 if cap is None else cap + 2).alias("pieces"),
+            (found if cap is None else F.slice(found, 1, cap + 1)).alias("found"),
         )
 
     def place(c: Column) -> Column:
-        return F.struct(c["rule_ord"].alias("rule_ord"), tx.spots(c["pieces"], c["found"]).alias("at"))
+        found = c["found"] if cap is None else F.slice(c["found"], 1, cap)
+        over = F.lit(False) if cap is None else F.size(c["found"]) > cap
+        return F.struct(c["rule_ord"].alias("rule_ord"), tx.spots(c["pieces"], found).alias("at"), over.alias("cut"))
 
     # naming ``hits`` twice keeps its computation in a projection of its own, which is compiled
     placed = F.when(F.size("hits") > 0, F.transform(F.transform("hits", cut), place))
@@ -89,6 +88,23 @@ def with_places(files: DataFrame, config: ScanConfig) -> DataFrame:
     return with_hits(files, config).withColumn("places", hit_places(config))
 
 
+def notes(config: ScanConfig) -> Column:
+    """What the cuts of the configuration have left out of a file, from ``content`` and ``places``."""
+    out = [F.array().cast("array<string>")]
+    size = F.octet_length("content")
+    if config.nul_probe_bytes is not None:
+        out.append(F.when(tx.has_nul(F.col("content"), config.nul_probe_bytes), F.array(F.lit("Not scanned: a NUL stands among the first bytes."))))
+    if config.max_text_bytes is not None:
+        out.append(F.when(size > config.max_text_bytes, F.array(F.lit(f"Scanned in part: the first {config.max_text_bytes} bytes."))))
+    if config.header_bytes is not None:
+        out.append(F.when(size > config.header_bytes, F.array(F.lit(f"Searched for a package name in part: the first {config.header_bytes} bytes."))))
+    if config.max_matches is not None:
+        ids = F.lit([r.rule_id for r in config.rules])
+        cut = lambda p: F.concat(F.lit(f"Only the first {config.max_matches} matches are kept: "), F.element_at(ids, p["rule_ord"]))
+        out.append(F.transform(F.filter("places", lambda p: p["cut"]), cut))
+    return F.flatten(F.array(*[F.coalesce(x, out[0]) for x in out]))
+
+
 def around(lines: Column, spot: Column, k: int) -> dict[str, Column]:
     """Line text and the k lines either side of a spot."""
     line = spot["line"]
@@ -139,7 +155,7 @@ def catalog_matches(config: ScanConfig) -> Column:
     severities = F.expr(f"array({', '.join(str(r.severity) for r in config.rules)})")
     suppressors = F.expr(
         "cast(array("
-        + ", ".join(tx.sql_array(SUPPRESS_FLAGS + p for p in r.fp_patterns) for r in config.rules)
+        + ", ".join(tx.sql_array(() if check_rules([r]) else r.suppressors) for r in config.rules)
         + ") AS array<array<string>>)"
     )
 

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sigsift.config import HEADER_BYTES, ScanConfig
+from sigsift.config import ScanConfig
 from sigsift.functions import paths
 from sigsift.functions import text as tx
-from sigsift.operators.inventory import inventory
+from sigsift.operators.inventory import EXCLUDED
 
 # Header formats and messages.
 CODE_NAME = r"\.(?:php|inc|module)$"
@@ -47,14 +47,14 @@ def may_name_package(path: Column) -> Column:
     return (name == "readme.txt") | F.lower(name).rlike(CODE_NAME)
 
 
-def with_claim(files: DataFrame) -> DataFrame:
+def with_claim(files: DataFrame, config: ScanConfig) -> DataFrame:
     """Adds ``claim``: what a file says about its package, null for a file that has no say.
 
     ``rank`` orders claims: readmes before code, then shallow before deep, then by
     path.
     """
     readme = paths.file_name(F.col("path")) == "readme.txt"
-    head = F.when(may_name_package(F.col("path")), tx.decode(F.col("content"), HEADER_BYTES))
+    head = F.when(may_name_package(F.col("path")), tx.decode(F.col("content"), config.header_bytes, config.nul_probe_bytes))
     title = F.when(readme, F.nullif(_readme_title(F.col("head")), F.lit("")))
     named = F.contains(F.lower("head"), F.lit("plugin name:")) & F.col("head").rlike(NAME_LINE)
     rank = F.struct(
@@ -70,11 +70,12 @@ def with_claim(files: DataFrame) -> DataFrame:
 def best_claims(claims: DataFrame) -> DataFrame:
     """The winning claim per package from ``(scan_id, claim)``.
 
-    ``min_by`` keeps one claim per package and task before the shuffle, so a
-    package with a third of all files costs no more than any other.
+    Files without a claim fall away first.  ``min_by`` keeps one claim per package
+    and task before the shuffle, so a package with a third of all files costs no
+    more than any other.
     """
     return (
-        claims.groupBy("scan_id")
+        claims.where("claim IS NOT NULL").groupBy("scan_id")
         .agg(F.min_by("claim", "claim.rank").alias("best"))
         .select(
             "scan_id",
@@ -89,28 +90,21 @@ def best_claims(claims: DataFrame) -> DataFrame:
 def package_metadata(files: DataFrame, config: ScanConfig) -> DataFrame:
     """Name and version of every package that has a valid header."""
     likely = files.where(~paths.under_any(F.col("path"), config.excluded) & may_name_package(F.col("path")))
-    return best_claims(with_claim(likely).select("scan_id", "claim"))
+    return best_claims(with_claim(likely, config).select("scan_id", "claim"))
 
 
-def scan_status(listing: DataFrame, packages: DataFrame, config: ScanConfig) -> DataFrame:
-    """One row per package: name, version, file counts, message (null when fine) and fatal flag."""
-    counts = inventory_counts(listing, config).join(packages, "scan_id", "left")
-    message = F.when(F.col("plugin_name").isNull(), INVALID_PACKAGE).when(F.col("files_found") == 0, NO_FILES)
-    return counts.withColumn("message", message).withColumn("fatal", F.coalesce(is_fatal(F.col("message")), F.lit(False)))
-
+def scan_status(facts: DataFrame, target: Column | None = None) -> DataFrame:
+    """One row per package: name, version, file counts, message (null when fine) and fatal flag.
 
-def inventory_counts(files: DataFrame, config: ScanConfig) -> DataFrame:
-    listed = inventory(files, config).select("scan_id", "reason")
-    known = files.select("scan_id", F.lit(None).cast("string").alias("reason"), F.lit(0).alias("n"))
-    return (
-        listed.withColumn("n", F.lit(1))
-        .unionByName(known)
-        .groupBy("scan_id")
-        .agg(
-            F.count_if((F.col("n") == 1) & F.col("reason").isNull()).alias("files_found"),
-            F.count_if((F.col("n") == 1) & F.col("reason").isNotNull()).alias("files_skipped"),
-        )
-    )
+    ``facts`` has scan_id, reason and claim of every file.  A package without a
+    name of its own has that of ``target``, by default its scan_id.
+    """
+    listed = F.col("reason").isNotNull() & (F.col("reason") != EXCLUDED)
+    counts = facts.groupBy("scan_id").agg(F.count_if(F.col("reason").isNull()).alias("files_found"), F.count_if(listed).alias("files_skipped"))
+    joined = counts.join(best_claims(facts.select("scan_id", "claim")), "scan_id", "left")
+    message = F.when(F.col("plugin_name").isNull(), INVALID_PACKAGE).when(F.col("files_found") == 0, NO_FILES)
+    stated = joined.withColumn("message", message).withColumn("fatal", F.coalesce(is_fatal(F.col("message")), F.lit(False)))
+    return stated.withColumn("display_name", display_name(F.col("plugin_name"), F.col("scan_id") if target is None else target))
 
 
 def display_name(name: Column, target: Column) -> Column:

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from sigsift.session import pin
 
 
+SLICE_ROWS = 2_000_000
+
+
 def with_running(
     frame: DataFrame, key: str, order: Sequence[Column], value: Column, name: str, slices: int | None = None
 ) -> DataFrame:
@@ -19,10 +22,12 @@ def with_running(
     rows covers a third of the slices.  Sums run within a slice; the total of the
     key's earlier slices, a few numbers per key, is added.  The sliced rows are
     pinned because slice borders come from a sample and must be the same for the
-    totals and for the rows.  Sampling reads ``frame`` once more: pin a frame that
-    is expensive to compute, such as the facts of a scan, beforehand.
+    totals and for the rows.  Their number grows with the rows, so a slice stays
+    small enough to be sorted in one task.  Counting and sampling read ``frame``
+    again: pin a frame that is expensive to compute, such as the facts of a scan,
+    beforehand.
     """
-    slices = slices or int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slices = slices or max(int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-frame.count() // SLICE_ROWS))
     sliced = pin(
         frame.withColumn("_value", value.cast("bigint"))
         .repartitionByRange(slices, F.col(key), *order)

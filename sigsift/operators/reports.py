@@ -168,8 +168,9 @@ def finding_records(findings: DataFrame) -> DataFrame:
     )
 
 
-def report_id(target: Column, run_time: Column) -> Column:
-    return F.concat(F.lit("WPC-"), F.upper(F.left(F.sha2(F.concat_ws(":", target, run_time), 256), F.lit(12))))
+def report_id(target: Column, run_time: Column, prefix: str = "R-") -> Column:
+    """The number of a report: a prefix and a digest of what was scanned and when."""
+    return F.concat(F.lit(prefix), F.upper(F.left(F.sha2(F.concat_ws(":", target, run_time), 256), F.lit(12))))
 
 
 def write_reports(pieces: DataFrame, folder: str) -> None:

@@ -10,48 +10,41 @@ from sigsift.functions.text import strip
 from sigsift.operators.ordering import with_ordinal
 from sigsift.operators.summary import order_keys
 
-# Prompt and response format.
+# The labels that answers are read by.
 HEADER_FORMAT = (
-    "FINDING <number>:\n"
-    "VERDICT: TRUE_POSITIVE | FALSE_POSITIVE\n"
-    "SEVERITY: CRITICAL | HIGH | MEDIUM | LOW | INFO\n"
-    "ANALYSIS: <explanation>\n\n"
+    "FINDING <its number>:\n"
+    "VERDICT: TRUE_POSITIVE or FALSE_POSITIVE\n"
+    "SEVERITY: one of CRITICAL, HIGH, MEDIUM, LOW, INFO\n"
+    "ANALYSIS: your reason, in one line\n\n"
 )
-BATCH_FORMAT = "Analyze these %s findings. For EACH finding, respond with:\n" + HEADER_FORMAT + "%s"
-BLOCK_FORMAT = """--- FINDING %s ---
-Rule: %s — %s
-Severity: %s
-File: %s:%s
-CWE: %s
-Description: %s
-Code:
-```
+BATCH_FORMAT = "Below are %s places that signatures point to. Judge each by its code. Use one block per place, in this form:\n" + HEADER_FORMAT + "%s"
+BLOCK_FORMAT = """[FINDING %s] %s %s
+level %s, weakness %s, at %s line %s
+what the rule says: %s
+code, the place marked with ">>>":
 %s
 >>> %s
 %s
-```
+[end]
 """
-WIDE_FORMAT = """Analyze this potential vulnerability:
+WIDE_FORMAT = """Is this place a real weakness? Judge it by the code around it.
 
-**Rule**: %s — %s
-**Severity**: %s
-**File**: %s (line %s)
-**CWE**: %s
-**Description**: %s
+rule: %s %s
+level: %s
+place: %s line %s
+weakness: %s
+what the rule says: %s
 
-**Code Context**:
-```
+the place, marked with ">>>":
 %s
 >>> %s
 %s
-```
 
-**Broader File Context** (lines %s-%s):
-```
+lines %s to %s of the file:
 %s
-```
+[end]
 """
-NO_CONTEXT = "(no context)"
+NO_CONTEXT = "(nothing)"
 BLOCK_START = r"(?iU)FINDING\s+\d+\s*:"
 BLOCK_NUMBER = r"(?iU)FINDING\s+(\d+)\s*:"
 VERDICT = r"(?iU)VERDICT\s*:\s*(TRUE_POSITIVE|FALSE_POSITIVE)"
@@ -77,7 +70,7 @@ def _text(lines: str) -> Column:
 def prompts(batched: DataFrame) -> DataFrame:
     """One prompt per batch; a group holds one batch, never a package."""
     block = F.format_string(
-        BLOCK_FORMAT, "pos", "rule_id", "title", "severity_label", "path", "line_number", "cwe", "description",
+        BLOCK_FORMAT, "pos", "rule_id", "title", "severity_label", "cwe", "path", "line_number", "description",
         _text("context_before"), "line_content", _text("context_after"),
     )
     blocks = batched.select("scan_id", "batch_no", F.struct("pos", block.alias("text")).alias("b"))
@@ -133,7 +126,7 @@ def parse_responses(responses: DataFrame) -> DataFrame:
     first = blocks.groupBy("scan_id", "batch_no", "pos").agg(F.min_by("block", "at").alias("block"))
     verdict = F.nullif(F.upper(F.regexp_extract("block", VERDICT, 1)), F.lit(""))
     told = F.col("block").rlike(ANALYSIS)
-    analysis = F.when(told, strip(F.regexp_extract("block", ANALYSIS, 1))).otherwise(F.left("block", F.lit(200)))
+    analysis = F.when(told, strip(F.regexp_extract("block", ANALYSIS, 1))).otherwise(F.col("block"))
     return first.select(
         "scan_id", "batch_no", "pos", verdict.alias("verdict"),
         (verdict == "TRUE_POSITIVE").alias("ai_confirmed"), analysis.alias("ai_analysis"),

@@ -8,7 +8,7 @@ single bytes.  RE2 has no lookahead, so four signatures have an equivalent form.
 from __future__ import annotations
 
 from sigsift.catalog import ENTROPY_ID, HEURISTIC_ID, RULES, SEVERITY_COLORS, label
-from sigsift.config import BINARY_EXTENSIONS, DEFAULT_EXCLUDES, LANGUAGE_EXTENSIONS, MAX_FILE_KB
+from sigsift.config import BINARY_EXTENSIONS, DEFAULT_EXCLUDES, LANGUAGE_EXTENSIONS
 from sigsift.operators import metadata, review
 from sigsift.operators.detectors import DETECTOR_ROWS, SIGNALS
 from sigsift.operators.summary import GRADE_COLORS, GRADE_FLOORS, REPORT_SCORES
@@ -101,8 +101,7 @@ def _listed(source: str, include=None, exclude=()) -> str:
     list_has_any(string_split(path, '/')[:-2], {names}) AS excluded,
     CASE WHEN extension IN ({', '.join(q(e) for e in BINARY_EXTENSIONS)}) THEN 'binary extension'
       WHEN extension NOT IN ({', '.join(q(e) for e in include)}) THEN 'extension not included'
-      WHEN length = 0 THEN 'empty file'
-      WHEN length > {MAX_FILE_KB * 1024} THEN 'file too large' END AS reason
+      WHEN length = 0 THEN 'empty file' END AS reason
   FROM (SELECT scan_id, path, text, strlen(text) AS length, {EXT_CASE} AS extension FROM {source})),
 scanned AS MATERIALIZED (SELECT * FROM listed WHERE NOT excluded AND reason IS NULL)"""
 
@@ -123,7 +122,7 @@ def _hits(threshold: int) -> str:
     string_split_regex(f.text, r.pattern) AS pieces, regexp_extract_all(f.text, r.pattern) AS found
   FROM scanned f JOIN rules r
     ON (list_contains(r.languages, f.language) OR (f.language = 'unknown' AND list_contains(r.languages, 'php')))
-  WHERE r.severity >= {threshold} AND len(list_filter(r.literals, lambda x: contains(lower(f.text), x))) > 0
+  WHERE r.severity >= {threshold}
     AND regexp_matches(f.text, r.pattern)),
 starts AS (
   SELECT scan_id, path, language, text, rule_ord, rule_id, severity, fp, k,
@@ -176,7 +175,7 @@ heur_placed AS (
     CASE WHEN score >= 6 THEN 5 ELSE 4 END AS severity, NULL AS fp, match_start,
     len(regexp_extract_all(substr(text, 1, match_start), {q(BREAKS)})) + 1 AS line_number,
     length(regexp_extract(substr(text, 1, match_start), '[^\\r\\n]*\\z')) + 1 AS match_column,
-    'Signs of obfuscation and execution occur together in this file: ' || array_to_string(signals[1:5], ', ') || '.' AS detail
+    'Signs of obfuscation and execution occur together in this file: ' || array_to_string(signals, ', ') || '.' AS detail
   FROM heur WHERE score >= 4)"""
 
 
@@ -258,26 +257,27 @@ AFTER = f"""after_review AS MATERIALIZED (
 
 def _prompts() -> str:
     block = (
-        "'--- FINDING ' || pos || ' ---' || chr(10) || 'Rule: ' || rule_id || ' — ' || title || chr(10) || 'Severity: ' || severity_label || chr(10)"
-        " || 'File: ' || path || ':' || line_number || chr(10) || 'CWE: ' || cwe || chr(10) || 'Description: ' || description || chr(10)"
-        " || 'Code:' || chr(10) || '```' || chr(10) || array_to_string(ctx_before, chr(10)) || chr(10) || '>>> ' || line_content || chr(10)"
-        " || array_to_string(ctx_after, chr(10)) || chr(10) || '```' || chr(10)"
+        "'[FINDING ' || pos || '] ' || rule_id || ' ' || title || chr(10) || 'level ' || severity_label || ', weakness ' || cwe || ', at ' || path"
+        " || ' line ' || line_number || chr(10) || 'what the rule says: ' || description || chr(10) || 'code, the place marked with \">>>\":' || chr(10)"
+        " || array_to_string(ctx_before, chr(10)) || chr(10) || '>>> ' || line_content || chr(10) || array_to_string(ctx_after, chr(10)) || chr(10)"
+        " || '[end]' || chr(10)"
     )
     return (
-        "SELECT scan_id, batch_no, count(*) AS findings, 'Analyze these ' || count(*) || ' findings. For EACH finding, respond with:' || chr(10) || "
+        "SELECT scan_id, batch_no, count(*) AS findings, 'Below are ' || count(*) || ' places that signatures point to. Judge each by its code. "
+        "Use one block per place, in this form:' || chr(10) || "
         + q(review.HEADER_FORMAT) + f" || string_agg({block}, chr(10) ORDER BY pos) AS prompt FROM batched GROUP BY scan_id, batch_no"
     )
 
 
 def _wide() -> str:
     return """SELECT scan_id, path, rule_id, match_start, first_line, last_line,
-  'Analyze this potential vulnerability:' || chr(10) || chr(10) || '**Rule**: ' || rule_id || ' — ' || title || chr(10)
-  || '**Severity**: ' || severity_label || chr(10) || '**File**: ' || path || ' (line ' || line_number || ')' || chr(10)
-  || '**CWE**: ' || cwe || chr(10) || '**Description**: ' || description || chr(10) || chr(10) || '**Code Context**:' || chr(10) || '```' || chr(10)
-  || CASE WHEN len(ctx_before) > 0 THEN array_to_string(ctx_before, chr(10)) ELSE '(no context)' END || chr(10) || '>>> ' || line_content || chr(10)
-  || CASE WHEN len(ctx_after) > 0 THEN array_to_string(ctx_after, chr(10)) ELSE '(no context)' END || chr(10) || '```' || chr(10)
-  || chr(10) || '**Broader File Context** (lines ' || first_line || '-' || last_line || '):' || chr(10) || '```' || chr(10)
-  || array_to_string(ls[first_line:last_line], chr(10)) || chr(10) || '```' || chr(10) AS prompt
+  'Is this place a real weakness? Judge it by the code around it.' || chr(10) || chr(10) || 'rule: ' || rule_id || ' ' || title || chr(10)
+  || 'level: ' || severity_label || chr(10) || 'place: ' || path || ' line ' || line_number || chr(10) || 'weakness: ' || cwe || chr(10)
+  || 'what the rule says: ' || description || chr(10) || chr(10) || 'the place, marked with ">>>":' || chr(10)
+  || CASE WHEN len(ctx_before) > 0 THEN array_to_string(ctx_before, chr(10)) ELSE '(nothing)' END || chr(10) || '>>> ' || line_content || chr(10)
+  || CASE WHEN len(ctx_after) > 0 THEN array_to_string(ctx_after, chr(10)) ELSE '(nothing)' END || chr(10)
+  || chr(10) || 'lines ' || first_line || ' to ' || last_line || ' of the file:' || chr(10)
+  || array_to_string(ls[first_line:last_line], chr(10)) || chr(10) || '[end]' || chr(10) AS prompt
 FROM (SELECT f.*, ls, greatest(0, line_number - 50) + 1 AS first_line, least(len(ls), line_number + 50) AS last_line
   FROM found f JOIN (SELECT scan_id, path, CASE WHEN len(x) > 1 AND x[-1] = '' THEN x[:-2] ELSE x END AS ls
     FROM (SELECT scan_id, path, string_split_regex(text, '\\r\\n|\\n') AS x FROM scanned)) s USING (scan_id, path))"""
@@ -337,6 +337,11 @@ def _doubled(prefix: str) -> list[str]:
     return ctes
 
 
+ARCHIVED = """WITH members AS (SELECT doc_id, doc_id // 10 AS ten, 'v' || (doc_id // 10) % 2 || '/a' || doc_id // 20 || '.zip' AS scan_id,
+  'd' || doc_id || '.php' AS path, text FROM documents)
+"""
+
+
 def statements() -> dict[str, str]:
     listing = corpus_ctes(some_empty=True)
     chosen = "SELECT scan_id, path, language FROM scanned"
@@ -356,6 +361,25 @@ def statements() -> dict[str, str]:
         "include_ext": sql(
             corpus_ctes(True, [e for g in LANGUAGE_EXTENSIONS.values() for e in g] + [".twig", ".md"], ("a",)), chosen
         ),
+        "only_ext": sql(corpus_ctes(True, [".twig", ".inc"]), chosen),
+        "replaced_excludes": sql(
+            listing, "SELECT scan_id, path, language FROM listed WHERE NOT list_contains(string_split(path, '/')[:-2], 'src') AND reason IS NULL"
+        ),
+        "user_rules": sql(
+            corpus_ctes(),
+            "SELECT rule_id, CAST(sum(n) AS BIGINT) AS matches, count(*) AS files FROM (SELECT 'USER-001' AS rule_id, "
+            "len(regexp_extract_all(text, '(?i)[a-z0-9.]+@mail\\d\\.example\\.com')) AS n FROM scanned WHERE language = 'php' UNION ALL "
+            "SELECT 'USER-002', len(regexp_extract_all(text, '\\+1 \\(\\d{3}\\) 555-\\d{4}')) FROM scanned WHERE language = 'php') WHERE n > 0 GROUP BY rule_id",
+        ),
+        "cut_notes": sql(
+            corpus_ctes(),
+            "SELECT 'Scanned in part' AS note, count(*) AS files FROM scanned WHERE length > 4096 HAVING count(*) > 0 UNION ALL "
+            "SELECT 'Searched for a package name in part', count(*) FROM listed WHERE NOT excluded AND (reason IS NULL OR "
+            "regexp_matches(path, '(^|/)readme\\.txt$') OR regexp_matches(path, '(?i)\\.(php|inc|module)$')) AND length > 1024 HAVING count(*) > 0",
+        ),
+        "archive_files": ARCHIVED + "SELECT scan_id, path, strlen(text) AS length, sha256(text) AS sha256 FROM members WHERE ten % 13 <> 12",
+        "archive_errors": ARCHIVED + f"SELECT DISTINCT scan_id, {q(metadata.EXTRACT_FAILED + archives.TRAVERSAL)} AS message, true AS fatal "
+        "FROM members WHERE ten % 13 = 12 AND doc_id % 10 = 3",
         "inventory_partition": sql(
             listing,
             "SELECT 'all' AS part, count(*) AS files FROM listed UNION ALL SELECT 'excluded', count(*) FROM listed WHERE excluded "
@@ -509,5 +533,9 @@ SELECT scan_id, min_by(fault, doc_id) FILTER (fault IS NOT NULL) AS fault, min(d
         streamed + [_counts("found")],
         f"SELECT scan_id, total, suppressed, score, {GRADE} AS grade FROM (SELECT *, greatest(0, 100 - penalty) AS score FROM counts)",
     )
+    out["stream_status"] = sql(
+        [c.replace("UNION ALL SELECT * FROM meta_files", "") if c.startswith("files AS") else c for c in corpus_ctes()],
+        "SELECT scan_id, count(*) FILTER (NOT excluded AND reason IS NULL) AS files_scanned, true AS fatal FROM listed GROUP BY scan_id",
+    )
     out["stream_once"] = "SELECT source AS scan_id, count(*) AS files FROM documents GROUP BY source"
     return out

@@ -7,14 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigsift.catalog import CRITICAL, HEURISTIC_ID, rules_frame
+from sigsift.catalog import CRITICAL, HEURISTIC_ID, Rule, rules_frame
 from sigsift.config import ScanConfig
 from sigsift.functions import text as tx
 from sigsift.functions.entropy import byte_histogram, entropy_of
 from sigsift.operators import duplicates, inventory, matching, metadata, reports, review, summary
 from sigsift.operators.ordering import with_ordinal
 from sigsift.plans.scan import ScanTables, scan
-from sigsift.session import shared_folder
+from sigsift.session import pin, shared_folder
 from sigsift.sources import archives, corpus
 from sigsift.streaming import landing
 
@@ -93,10 +93,20 @@ def include_ext(spark, sf):
     return _chosen(spark, sf, ScanConfig(include_ext=("TWIG", ".md"), exclude_dirs=("a",)))
 
 
+@query
+def only_ext(spark, sf):
+    return _chosen(spark, sf, ScanConfig(only_ext=("twig", ".inc")))
+
+
+@query
+def replaced_excludes(spark, sf):
+    return _chosen(spark, sf, ScanConfig(only_exclude_dirs=("src",)))
+
+
 @query
 def inventory_partition(spark, sf):
-    files = _listing(spark, sf)
     key = ("scan_id", "path")
+    files = pin(_listing(spark, sf).select(*key, "length"))
     every = files.select(*key)
     outside = inventory.excluded(files, DEFAULT).select(*key)
     scanned = inventory.scannable(files, DEFAULT).select(*key)
@@ -113,7 +123,8 @@ def inventory_partition(spark, sf):
 
 @query
 def text_gate(spark, sf):
-    decoded = matching.with_text(inventory.scannable(corpus.gated_files(spark, sf), DEFAULT), DEFAULT)
+    gated = ScanConfig(max_text_bytes=2 * 1024 * 1024, nul_probe_bytes=8192)
+    decoded = matching.with_text(inventory.scannable(corpus.gated_files(spark, sf), gated), gated)
     return decoded.select(
         "scan_id", "path", F.col("text").isNotNull().alias("is_text"), F.coalesce(tx.line_count(F.col("text")), F.lit(0)).alias("lines")
     )
@@ -175,6 +186,27 @@ def _by_severity(spark, sf, config):
     return found.groupBy("scan_id", "severity").agg(F.count(F.lit(1)).alias("matches"), F.countDistinct("rule_id").alias("rules"))
 
 
+USER_RULES = (
+    Rule("USER-001", "mail address of a test domain", CRITICAL, r"(?P<mail_box>[a-z0-9.]+)@mail\d\.example\.com", literals=("@MAIL",)),
+    Rule("USER-002", "telephone number kept for fiction", CRITICAL, r"\+1 \(\d{3}\) 555-\d{4}"),
+)
+
+
+@query
+def user_rules(spark, sf):
+    return _places(spark, sf, ScanConfig(rules=USER_RULES)).groupBy("rule_id").agg(
+        F.count(F.lit(1)).alias("matches"), F.countDistinct("scan_id", "path").alias("files")
+    )
+
+
+@query
+def cut_notes(spark, sf):
+    """What the cuts leave out when they are asked for: notes by kind."""
+    limits = ScanConfig(max_text_bytes=4096, header_bytes=1024)
+    noted = _scan(spark, sf, limits).facts.select(F.explode_outer("notes").alias("note")).where(F.col("note").isNotNull())
+    return noted.groupBy(F.substring_index("note", ":", 1).alias("note")).agg(F.count(F.lit(1)).alias("files"))
+
+
 @query
 def severity_threshold(spark, sf):
     return _by_severity(spark, sf, ScanConfig(severity_threshold=CRITICAL))
@@ -284,6 +316,19 @@ def valid_scans(spark, sf):
     return _scan(spark, sf).pinned().findings.groupBy("scan_id").agg(F.count(F.lit(1)).alias("findings"))
 
 
+@query
+def archive_files(spark, sf):
+    """Archives of equal names in two folders; one in thirteen reaches outside and is refused."""
+    files, _ = archives.expand(corpus.document_archives(spark, sf))
+    return files.select("scan_id", "path", "length", F.sha2("content", 256).alias("sha256"))
+
+
+@query
+def archive_errors(spark, sf):
+    _, errors = archives.expand(corpus.document_archives(spark, sf))
+    return errors.select("scan_id", "message", "fatal")
+
+
 @query
 def archive_gate(spark, sf):
     return archives.gate(corpus.archive_members(spark, sf))
@@ -415,39 +460,27 @@ def review_wide_context(spark, sf):
 # --- reports
 
 
-def _report_parts(spark, sf):
-    tables = _scan(spark, sf).pinned()
-    totals = summary.scan_totals(tables.file_info)
-    packages = (
-        tables.grades.join(totals, "scan_id", "left").fillna(0, ["files_scanned", "lines_analyzed"])
-        .withColumn("scan_mode", F.lit(tables.config.mode)).withColumn("ai_enabled", F.lit(False))
-    )
-    numbered = with_ordinal(tables.findings, "scan_id", summary.order_keys(), "ordinal").withColumn("ai_analysis", F.lit(None).cast("string"))
-    return tables, packages, numbered
-
-
 @query
 def json_report(spark, sf):
-    tables, packages, numbered = _report_parts(spark, sf)
-    return reports.json_report(packages, numbered, tables.scan_errors.where("NOT fatal"))
+    return _scan(spark, sf).pinned().json_report
 
 
 @query
 def markdown_report(spark, sf):
-    tables, packages, numbered = _report_parts(spark, sf)
-    return reports.markdown_report(packages, numbered, tables.file_info, tables.scan_errors.where("NOT fatal"))
+    return _scan(spark, sf).pinned().markdown_report
 
 
 # --- streams
 
 
 def _landed(spark, sf):
-    """The corpus as a stream: whole table, arrival times from the events table."""
+    """The corpus as a stream: whole table, file k arrives at the time of event k."""
     stamped = (
         spark.readStream.schema("doc_id bigint, text string, lang string, source string, n_chars bigint")
         .option("pathGlobFilter", "documents.parquet").parquet(sf)
     )
-    return corpus.files_of(stamped, [F.timestamp_seconds(F.lit(1_700_000_000) + F.col("doc_id")).alias("arrived")])
+    events = spark.read.parquet(f"{sf}/events.parquet").select(F.col("event_id").alias("doc_id"), "ts")
+    return corpus.files_of(stamped.join(events, "doc_id", "left"), [F.coalesce(F.col("ts").cast("timestamp"), F.timestamp_seconds(F.lit(0))).alias("arrived")])
 
 
 def _run(stream: DataFrame, mode: str) -> DataFrame:
@@ -474,13 +507,20 @@ def stream_findings(spark, sf):
 
 @query
 def stream_grades(spark, sf):
-    graded = landing.running_grades(landing.stream_findings(_landed(spark, sf), DEFAULT))
+    graded = landing.running_grades(landing.stream_facts(_landed(spark, sf), DEFAULT))
     latest = _run(graded.select("scan_id", "total", "suppressed", "score", "grade"), "update")
     return latest.groupBy("scan_id").agg(
         *[F.max_by(c, "_batch").alias(c) for c in ("total", "suppressed", "score", "grade")]
     )
 
 
+@query
+def stream_status(spark, sf):
+    stated = landing.running_status(landing.stream_facts(_landed(spark, sf), DEFAULT))
+    latest = _run(stated.select("scan_id", "files_scanned", "fatal"), "update")
+    return latest.groupBy("scan_id").agg(*[F.max_by(c, "_batch").alias(c) for c in ("files_scanned", "fatal")])
+
+
 @query
 def stream_once(spark, sf):
     twice = _landed(spark, sf)

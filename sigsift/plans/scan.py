@@ -8,33 +8,48 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigsift.catalog import check_rules, label, local_frame, rules_frame
+from sigsift.catalog import check_rules, label, local_frame, risks, rules_frame
 from sigsift.config import ScanConfig
 from sigsift.functions import text as tx
 from sigsift.functions.entropy import byte_histogram, entropy_of
-from sigsift.operators import detectors, inventory, matching, metadata, summary
+from sigsift.operators import detectors, inventory, matching, metadata, reports, summary
+from sigsift.operators.ordering import with_ordinal
 from sigsift.session import attach, pin
 
 
-def scan_files(files: DataFrame, config: ScanConfig) -> DataFrame:
+def scan_files(files: DataFrame, config: ScanConfig, listing: DataFrame | None = None) -> DataFrame:
     """One row of facts per file: inventory, findings as an array, claim about the package.
 
     Everything is computed in one narrow pass over the content, which is read
-    once and never shuffled.  Columns nobody asks for are not computed.  Skipped
-    files are kept only where they may name their package.
+    once and never shuffled.  Columns nobody asks for are not computed.  Files
+    that are not scanned are rows too, so that all results follow from the facts.
+    ``listing`` is the full file list where ``files`` leaves out content that is
+    never looked at.
     """
-    listed = inventory.inventory(files, config)
     scanned = F.col("reason").isNull()
-    wanted = metadata.with_claim(listed.where(scanned | metadata.may_name_package(F.col("path"))))
+    looked_at = F.coalesce(scanned | ((F.col("reason") != inventory.EXCLUDED) & metadata.may_name_package(F.col("path"))), F.lit(False))
+    listed = inventory.classified(files, config)
+    if listing is None:
+        return _facts(listed.withColumn("content", F.when(looked_at, F.col("content"))), config)
+    facts = _facts(listed.where(looked_at), config)
+    others = inventory.classified(listing, config).where(~looked_at).withColumn("size", F.col("length"))
+    absent = [F.col(f.name) if f.name in others.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in facts.schema]
+    return facts.unionByName(others.select(*absent))
+
+
+def _facts(listed: DataFrame, config: ScanConfig) -> DataFrame:
+    scanned = F.col("reason").isNull()
+    wanted = metadata.with_claim(listed, config)
     body = wanted.withColumn("content", F.when(scanned, F.col("content")))
     counted = body.withColumn("entropy", entropy_of(byte_histogram(F.col("content"))))
     placed = matching.with_places(counted, config)
-    needs_lines = F.lit(config.wide_lines > 0) | (F.col("language") == "php") | (F.size("places") > 0)
-    lined = placed.withColumn("file_lines", F.when(needs_lines, tx.line_texts(F.col("text"))))
     heuristic = detectors.heuristic()
-    scored = (
-        detectors.with_signals(lined).withColumn("points", heuristic["score"]).withColumn("signals", heuristic["signals"])
+    pointed = (
+        detectors.with_signals(placed).withColumn("points", heuristic["score"]).withColumn("signals", heuristic["signals"])
     )
+    # lines are cut only where a finding stands among them
+    needs_lines = F.lit(config.wide_lines > 0) | (F.size("places") > 0) | (F.coalesce("points", F.lit(0)) >= detectors.HIGH_SCORE)
+    scored = pointed.withColumn("file_lines", F.when(needs_lines, tx.line_texts(F.col("text"))))
     parts = [
         matching.catalog_matches(config), detectors.heuristic_matches(config), detectors.entropy_matches(config),
     ]
@@ -51,6 +66,7 @@ def scan_files(files: DataFrame, config: ScanConfig) -> DataFrame:
         F.when(scanned & (F.col("language") == "php"), F.col("points")).alias("score"),
         "signals",
         "claim",
+        matching.notes(config).alias("notes"),
         F.concat(*[F.coalesce(p, F.array().cast(matching.MATCH_TYPE)) for p in parts]).alias("findings"),
     )
 
@@ -103,13 +119,13 @@ class ScanTables:
     """
 
     facts: DataFrame
-    listing: DataFrame
     config: ScanConfig
     archive_errors: DataFrame | None = None
+    kept: bool = False
 
     def pinned(self) -> "ScanTables":
         """Keep the facts, findings included, as a table in the shared folder."""
-        return ScanTables(pin(self.facts), self.listing, self.config, self.archive_errors)
+        return self if self.kept else ScanTables(pin(self.facts), self.config, self.archive_errors, True)
 
     @cached_property
     def scanned(self) -> DataFrame:
@@ -122,7 +138,7 @@ class ScanTables:
 
     @cached_property
     def status(self) -> DataFrame:
-        return metadata.scan_status(self.listing, self.packages, self.config)
+        return metadata.scan_status(self.facts)
 
     @cached_property
     def scans(self) -> DataFrame:
@@ -138,7 +154,9 @@ class ScanTables:
 
     @cached_property
     def skipped(self) -> DataFrame:
-        return self._of_valid(inventory.skipped(self.listing, self.config), "path")
+        """Files that were not scanned, each with the reason; files below excluded directories are not listed."""
+        listed = F.col("reason").isNotNull() & (F.col("reason") != inventory.EXCLUDED)
+        return self._of_valid(self.facts.where(listed).select("scan_id", "path", "reason"), "path")
 
     @cached_property
     def all_findings(self) -> DataFrame:
@@ -153,21 +171,46 @@ class ScanTables:
     def scan_errors(self) -> DataFrame:
         """Package, archive and rule problems; rule problems concern no single package."""
         spark = self.facts.sparkSession
-        problems = [(None, None, m, False) for m in check_rules(self.config.rules)]
+        problems = [(None, None, m, False) for m in (*check_rules(self.config.rules), *risks(self.config.rules))]
         rules = spark.createDataFrame(problems, "scan_id string, path string, message string, fatal boolean")
         errors = self.status.where(F.col("message").isNotNull()).select(
             "scan_id", F.lit(None).cast("string").alias("path"), "message", "fatal"
         ).unionByName(rules)
+        if self.config.cuts:
+            noted = self.facts.select("scan_id", "path", F.explode_outer("notes").alias("message"), F.lit(False).alias("fatal"))
+            errors = errors.unionByName(noted.where(F.col("message").isNotNull()))
         return errors.unionByName(self.archive_errors) if self.archive_errors is not None else errors
 
     @cached_property
     def grades(self) -> DataFrame:
         return summary.scan_grades(self.scans, self.findings)
 
-    def write(self, folder: str) -> None:
-        """Write the result tables below ``folder`` as parquet."""
-        for name in ("file_info", "skipped", "findings", "grades", "scan_errors"):
-            getattr(self, name).write.mode("errorifexists").parquet(f"{folder}/{name}")
+    @cached_property
+    def reported(self) -> tuple[DataFrame, DataFrame]:
+        """What both reports are made of: packages with their totals, findings with their numbers."""
+        totals = summary.scan_totals(self.file_info)
+        packages = (
+            self.grades.join(totals, "scan_id", "left").fillna(0, ["files_scanned", "lines_analyzed"])
+            .withColumn("scan_mode", F.lit(self.config.mode)).withColumn("ai_enabled", F.lit(False))
+        )
+        numbered = with_ordinal(self.findings, "scan_id", summary.order_keys(), "ordinal")
+        return packages, numbered.withColumn("ai_analysis", F.lit(None).cast("string"))
+
+    @cached_property
+    def json_report(self) -> DataFrame:
+        """The pieces of each package's JSON document."""
+        return reports.json_report(*self.reported, self.scan_errors.where("NOT fatal"))
+
+    @cached_property
+    def markdown_report(self) -> DataFrame:
+        """The pieces of each package's Markdown document."""
+        return reports.markdown_report(*self.reported, self.file_info, self.scan_errors.where("NOT fatal"))
+
+    def write(self, folder: str, with_reports: bool = True) -> None:
+        """Write the result tables, and the reports' pieces, below ``folder`` as parquet; content is read once for all of them."""
+        tables = self.pinned()
+        for name in ("file_info", "skipped", "findings", "grades", "scan_errors", *(("json_report", "markdown_report") if with_reports else ())):
+            getattr(tables, name).write.mode("errorifexists").parquet(f"{folder}/{name}")
 
 
 def scan(
@@ -179,4 +222,4 @@ def scan(
     never scanned; by default ``files`` itself.
     """
     config = config or ScanConfig()
-    return ScanTables(scan_files(files, config), files if listing is None else listing, config, archive_errors)
+    return ScanTables(scan_files(files, config, listing), config, archive_errors)

@@ -10,12 +10,25 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder name below the one in ``spark.checkpoint.dir``; a local one only where none is named."""
+    """A new folder name below the one in ``spark.checkpoint.dir``.
+
+    Everything a session writes lies in one folder there, ``work_folder``, which
+    its owner deletes when the results are no longer read.  Only a local session
+    may go without the setting: executors elsewhere don't see a temporary folder
+    of this machine.
+    """
+    return f"{work_folder(spark)}/{uuid.uuid4()}"
+
+
+def work_folder(spark: SparkSession) -> str:
+    """The folder below ``spark.checkpoint.dir`` that holds all intermediate tables of this session."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="sigsift-"))
-    return f"{context.getCheckpointDir()}/{uuid.uuid4()}"
+    return context.getCheckpointDir()
 
 
 def pin(frame: DataFrame) -> DataFrame:
@@ -30,18 +43,6 @@ def pin(frame: DataFrame) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(folder)
 
 
-def spread(frame: DataFrame) -> DataFrame:
-    """Give every core work when the input comes in fewer splits than there are cores.
-
-    A source larger than (cores x split size) already has enough splits and is
-    left where it is: its content is never shuffled.
-    """
-    cores = frame.sparkSession.sparkContext.defaultParallelism
-    if frame.rdd.getNumPartitions() >= cores:
-        return frame
-    return frame.repartition(cores)
-
-
 SALTS = 32
 
 

@@ -1,7 +1,8 @@
 """ZIP archives as a source: list, check, expand.
 
 An archive is one row.  Its directory is read first; only archives that pass
-the checks are inflated, in memory, next to where they were read.
+the checks are inflated, next to where they were read: once to test every
+member, then member by member, so that memory holds the archive and some MB.
 """
 
 from __future__ import annotations
@@ -16,10 +17,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sigsift.config import MAX_ARCHIVE_BYTES
+from sigsift.config import MAX_ARCHIVE_BYTES, ScanConfig
 from sigsift.functions import paths
 from sigsift.operators import metadata
 from sigsift.operators.ordering import with_running
+from sigsift.session import pin
 
 # Why an archive is refused.
 TOO_LARGE = "ZIP archive expands beyond the maximum safe size."
@@ -38,17 +40,19 @@ MEMBER_TYPE = T.ArrayType(
     .add("locked", T.BooleanType())
 )
 _BATCH_BYTES = 16 * 1024 * 1024
+_STEP_BYTES = 1024 * 1024
 _METHODS = {zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED, zipfile.ZIP_BZIP2, zipfile.ZIP_LZMA}
 
 
 def from_archives(spark: SparkSession, folder: str) -> DataFrame:
-    """Every file of a folder as a candidate archive, named by its address."""
+    """Every file of a folder as a candidate archive, named by its path below the folder."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    return as_archives(raw)
+    return as_archives(raw, folder)
 
 
-def as_archives(raw: DataFrame) -> DataFrame:
-    return raw.select(paths.file_name(F.col("path")).alias("scan_id"), "content")
+def as_archives(raw: DataFrame, root: str) -> DataFrame:
+    """Archives of equal file names in different folders stay apart."""
+    return raw.select(paths.below(F.col("path"), root).alias("scan_id"), "content")
 
 
 @F.pandas_udf(MEMBER_TYPE)
@@ -78,17 +82,17 @@ def leaves_root(name: Column) -> Column:
     return F.aggregate(F.split(name, "/", -1), start, step, lambda acc: acc["low"]) < 0
 
 
-def member_fault(running: Column, name: Column, mode: Column) -> Column:
+def member_fault(running: Column, name: Column, mode: Column, most: int | None = MAX_ARCHIVE_BYTES) -> Column:
     """What is wrong with a member, checks in this order; null when nothing is."""
     return (
-        F.when(running > MAX_ARCHIVE_BYTES, TOO_LARGE)
+        F.when(F.lit(False) if most is None else running > most, TOO_LARGE)
         .when(F.startswith(name, F.lit("/")), ABSOLUTE)
         .when(leaves_root(name), TRAVERSAL)
         .when(mode.bitwiseAND(F.lit(TYPE_BITS)) == SYMLINK_BITS, SYMLINK)
     )
 
 
-def gate(members: DataFrame) -> DataFrame:
+def gate(members: DataFrame, config: ScanConfig | None = None) -> DataFrame:
     """First fault per archive from a table ``(scan_id, member_ord, name, size, mode)``.
 
     Members come as rows here, so the running size is a distributed running
@@ -96,7 +100,8 @@ def gate(members: DataFrame) -> DataFrame:
     """
     named = members.where(F.col("name") != "")
     summed = with_running(named, "scan_id", [F.col("member_ord")], F.col("size"), "running")
-    checked = summed.withColumn("fault", member_fault(F.col("running"), F.col("name"), F.col("mode")))
+    most = (config or ScanConfig()).max_archive_bytes
+    checked = summed.withColumn("fault", member_fault(F.col("running"), F.col("name"), F.col("mode"), most))
     first = F.when(F.col("fault").isNotNull(), F.col("member_ord"))
     return checked.groupBy("scan_id").agg(
         F.min_by("fault", first).alias("fault"),
@@ -106,14 +111,15 @@ def gate(members: DataFrame) -> DataFrame:
     )
 
 
-def with_directory(archives: DataFrame) -> DataFrame:
-    """Adds ``members`` and ``message`` (null: the archive may be expanded)."""
+def with_directory(archives: DataFrame, config: ScanConfig | None = None) -> DataFrame:
+    """Adds ``members`` and ``message`` (null: the archive may be expanded).  Entries without a name count for nothing."""
+    most = (config or ScanConfig()).max_archive_bytes
     listed = archives.withColumn("members", list_members("content"))
     def step(acc: Column, m: Column) -> Column:
-        total = acc["total"] + m["size"]
+        total = acc["total"] + F.when(m["name"] != "", m["size"]).otherwise(0)
         fault = F.coalesce(
             acc["fault"],
-            F.when(m["name"] != "", F.coalesce(member_fault(total, m["name"], m["mode"]), F.when(m["locked"], LOCKED))),
+            F.when(m["name"] != "", F.coalesce(member_fault(total, m["name"], m["mode"], most), F.when(m["locked"], LOCKED))),
         )
         return F.struct(total.alias("total"), fault.alias("fault"))
 
@@ -124,27 +130,35 @@ def with_directory(archives: DataFrame) -> DataFrame:
     return listed.withColumn("message", message)
 
 
-def _contents(raw: bytes) -> dict[str, bytes]:
-    """Files of one archive by normal path; of equal names the last one stays."""
-    found = {}
-    with zipfile.ZipFile(io.BytesIO(raw)) as archive:
-        for info in archive.infolist():
-            if info.filename and not info.is_dir():
-                found[posixpath.normpath(info.filename)] = archive.read(info)
-    return found
+def _members(archive: zipfile.ZipFile) -> dict[str, zipfile.ZipInfo]:
+    """The entries that become files, by normal path; of equal names the last one stays."""
+    return {posixpath.normpath(i.filename): i for i in archive.infolist() if i.filename and not i.is_dir()}
+
+
+def _test(archive: zipfile.ZipFile) -> None:
+    """Reads every file of an archive without keeping it; raises on a damaged one."""
+    for info in _members(archive).values():
+        with archive.open(info) as member:
+            while member.read(_STEP_BYTES):
+                pass
 
 
 def _expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     columns = ["scan_id", "path", "length", "content", "message"]
     for batch in batches:
-        for scan_id, raw in zip(batch["scan_id"], batch["content"]):
+        for scan_id, raw, message in zip(batch["scan_id"], batch["content"], batch["message"], strict=True):
+            if message is not None:
+                yield pd.DataFrame([(scan_id, None, None, None, message)], columns=columns)
+                continue
+            archive = zipfile.ZipFile(io.BytesIO(raw))
             try:
-                files = _contents(raw)
+                _test(archive)
             except Exception as exc:  # a damaged member spoils its archive, not the job
                 yield pd.DataFrame([(scan_id, None, None, None, f"{metadata.EXTRACT_FAILED}{exc}")], columns=columns)
                 continue
             rows, held = [], 0
-            for path, data in files.items():
+            for path, info in _members(archive).items():
+                data = archive.read(info)
                 rows.append((scan_id, path, len(data), data, None))
                 held += len(data)
                 if held > _BATCH_BYTES:
@@ -154,18 +168,17 @@ def _expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 yield pd.DataFrame(rows, columns=columns)
 
 
-def expand(archives: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(files, errors) of ``archives(scan_id, content)``."""
-    listed = with_directory(archives)
-    opened = (
-        listed.where(F.col("message").isNull())
-        .select("scan_id", "content")
-        .mapInPandas(_expand, "scan_id string, path string, length bigint, content binary, message string")
-    )
+def expand(archives: DataFrame, config: ScanConfig | None = None) -> tuple[DataFrame, DataFrame]:
+    """(files, errors) of ``archives(scan_id, content)``.
+
+    Archives are opened once: what comes out is written to the shared folder, and
+    both tables read it.  On a stream, which a query opens anyway, both are lazy.
+    """
+    listed = with_directory(archives, config).select("scan_id", F.when(F.col("message").isNull(), F.col("content")).alias("content"), "message")
+    opened = listed.mapInPandas(_expand, "scan_id string, path string, length bigint, content binary, message string")
+    opened = opened if opened.isStreaming else pin(opened)
     files = opened.where(F.col("message").isNull()).select("scan_id", "path", "length", "content")
-    refused = listed.where(F.col("message").isNotNull()).select("scan_id", "message")
-    broken = opened.where(F.col("message").isNotNull()).select("scan_id", "message")
-    errors = refused.unionByName(broken).select(
+    errors = opened.where(F.col("message").isNotNull()).select(
         "scan_id", F.lit(None).cast("string").alias("path"), "message", metadata.is_fatal(F.col("message")).alias("fatal")
     )
     return files, errors

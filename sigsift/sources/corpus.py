@@ -6,10 +6,13 @@ number, so that every rule meets code it should and should not report.
 
 from __future__ import annotations
 
+import io
+import zipfile
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigsift.session import spread
 from sigsift.sources.tables import FILE_COLUMNS, from_table
 
 LONG_BLOB = "QUFB" * 40
@@ -54,6 +57,11 @@ def documents_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _spread(frame: DataFrame) -> DataFrame:
+    """The test tables are single small files: give every core a part of them."""
+    return frame.repartition(frame.sparkSession.sparkContext.defaultParallelism)
+
+
 def files_of(documents: DataFrame, extra: list[Column] = (), some_empty: bool = False) -> DataFrame:
     """Documents, as a table or a stream, as files; ``extra`` columns are kept."""
     doc = F.col("doc_id")
@@ -67,7 +75,7 @@ def files_of(documents: DataFrame, extra: list[Column] = (), some_empty: bool =
 
 
 def document_files(spark: SparkSession, sf_dir: str, some_empty: bool = False) -> DataFrame:
-    documents = spread(documents_table(spark, sf_dir).select("doc_id", "source", "text"))
+    documents = _spread(documents_table(spark, sf_dir).select("doc_id", "source", "text"))
     return files_of(documents, some_empty=some_empty)
 
 
@@ -96,14 +104,14 @@ def corpus_files(spark: SparkSession, sf_dir: str, some_empty: bool = False) ->
 
 def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Web pages as script files, one package per host."""
-    pages = spread(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
+    pages = _spread(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
     host = F.regexp_extract("url", "^[a-z]+://([^/:?#]+)", 1)
     return from_table(pages, host, F.concat(F.lit("p"), "page_id", F.lit(".js")), F.col("html"))
 
 
 def packed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A file of noise-like bytes per document: digests of its text without zero nibbles."""
-    documents = spread(documents_table(spark, sf_dir).select("doc_id", "source", "text"))
+    documents = _spread(documents_table(spark, sf_dir).select("doc_id", "source", "text"))
     digests = F.concat(*[F.sha2(F.concat("text", F.lit(f"#{n}")), 256) for n in range(8)])
     content = F.unhex(F.translate(digests, "0", "f"))
     return documents.select(
@@ -120,7 +128,7 @@ def gated_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     doc = F.col("doc_id")
     nul = F.lit("\u0000")
     text = F.when(doc % 7 == 0, F.concat(nul, "text")).when(doc % 7 == 1, F.concat("text", nul)).otherwise(F.col("text"))
-    documents = spread(documents_table(spark, sf_dir).select("doc_id", "source", "text"))
+    documents = _spread(documents_table(spark, sf_dir).select("doc_id", "source", "text"))
     return from_table(documents, F.col("source"), F.concat(F.lit("t"), "doc_id", F.lit(".php")), text)
 
 
@@ -161,3 +169,21 @@ def responses(batched: DataFrame) -> DataFrame:
         F.concat(intro, F.array_join(F.transform(kept, lambda b: b["text"]), "")).alias("response"),
         F.when(no % 11 == 10, "timeout").alias("error"),
     )
+
+
+def _zipped(rows: pd.DataFrame) -> pd.DataFrame:
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as archive:
+        for path, text in zip(rows["path"], rows["text"], strict=True):
+            archive.writestr(path, text)
+    return pd.DataFrame([(rows["scan_id"].iloc[0], buffer.getvalue())], columns=["scan_id", "content"])
+
+
+def document_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every ten documents as an archive, names repeated over two folders; of each thirteenth one member climbs out."""
+    ten = F.floor(F.col("doc_id") / 10)
+    name = F.concat(F.lit("v"), (ten % 2).cast("string"), F.lit("/a"), F.floor(ten / 2).cast("string"), F.lit(".zip"))
+    climbs = (ten % 13 == 12) & (F.col("doc_id") % 10 == 3)
+    path = F.concat(F.when(climbs, "../").otherwise(""), F.lit("d"), F.col("doc_id").cast("string"), F.lit(".php"))
+    members = documents_table(spark, sf_dir).select(name.alias("scan_id"), path.alias("path"), "text")
+    return members.groupBy("scan_id").applyInPandas(_zipped, "scan_id string, content binary")

@@ -5,14 +5,13 @@ Every source yields ``files(scan_id, path, length, content)``.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigsift.catalog import quote
-from sigsift.config import PHP_EXTENSIONS, ScanConfig
+from sigsift.config import MAX_BINARY, PHP_EXTENSIONS, ScanConfig
+from sigsift.functions import paths
 
 FILE_COLUMNS = ("scan_id", "path", "length", "content")
 
@@ -29,9 +28,6 @@ def from_table(frame: DataFrame, scan_id: Column, path: Column, text: Column, ex
     )
 
 
-MAX_BINARY = 2**31 - 1
-
-
 def _glob(config: ScanConfig) -> str:
     """Names of files that can be scanned or name their package, whatever their case."""
     endings = dict.fromkeys(config.extensions + PHP_EXTENSIONS)
@@ -44,8 +40,7 @@ def _read(spark: SparkSession, root: str, one_package: bool, names: str | None)
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if names:
         reader = reader.option("pathGlobFilter", names)
-    bare = re.sub("^[a-z0-9]+:/*", "", root).lstrip("/")
-    inside = F.regexp_extract("path", "^(?:[a-z0-9]+:)?/*" + quote(bare) + "/(.*)$", 1)
+    inside = paths.below(F.col("path"), root)
     if one_package:
         scan_id, path = F.lit(root.rsplit("/", 1)[-1]), inside
     else:

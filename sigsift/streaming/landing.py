@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigsift.config import ScanConfig
-from sigsift.operators import summary
+from sigsift.operators import metadata, summary
 from sigsift.plans.scan import explode_findings, scan_files
 from sigsift.sources import archives
 
@@ -27,8 +27,8 @@ def landing_tables(spark: SparkSession, folder: str, max_files: int | None = Non
     return reader.parquet(folder)
 
 
-def landing_archives(spark: SparkSession, folder: str) -> DataFrame:
-    """Stream of files from archives dropped into a folder; refused archives yield none.
+def landing_archives(spark: SparkSession, folder: str, config: ScanConfig = UPLOADS) -> tuple[DataFrame, DataFrame]:
+    """Streams (files, errors) from archives dropped into a folder; a refused archive is an error row.
 
     Uploads are scanned deeply by default: see ``UPLOADS``.
     """
@@ -37,8 +37,7 @@ def landing_archives(spark: SparkSession, folder: str) -> DataFrame:
         .schema("path string, modificationTime timestamp, length bigint, content binary")
         .load(folder)
     )
-    files, _ = archives.expand(archives.as_archives(raw))
-    return files
+    return archives.expand(archives.as_archives(raw, folder), config)
 
 
 def once(files: DataFrame, delay: str = "1 day") -> DataFrame:
@@ -56,13 +55,35 @@ def stream_findings(files: DataFrame, config: ScanConfig) -> DataFrame:
     return explode_findings(scan_files(files, config), config)
 
 
-def running_grades(findings: DataFrame) -> DataFrame:
-    """Counts, score and grade per package so far, for an update sink."""
-    counts = summary.severity_counts(findings)
+def stream_facts(files: DataFrame, config: ScanConfig) -> DataFrame:
+    """One row of facts per file of a stream, findings included."""
+    return scan_files(files, config)
+
+
+def running_grades(facts: DataFrame) -> DataFrame:
+    """Counts, score and grade per package so far, for an update sink; a package without findings scores 100.
+
+    A file that arrives twice counts twice: ``once`` comes first where that happens.
+    """
+    found = facts.select("scan_id", F.explode_outer("findings").alias("f")).select("scan_id", "f.severity", "f.false_positive")
+    counts = summary.severity_counts(found)
     scored = counts.withColumn("score", F.greatest(F.lit(0), 100 - F.col("penalty")))
     return scored.withColumn("grade", summary.grade(F.col("score")))
 
 
+def running_status(facts: DataFrame) -> DataFrame:
+    """Name, scanned files and validity per package so far, for an update sink."""
+    best = facts.groupBy("scan_id").agg(
+        F.min_by("claim", "claim.rank").alias("best"), F.count_if(F.col("reason").isNull()).alias("files_scanned")
+    )
+    name = F.nullif("best.name", F.lit(""))
+    message = F.when(name.isNull(), metadata.INVALID_PACKAGE).when(F.col("files_scanned") == 0, metadata.NO_FILES)
+    return best.select(
+        "scan_id", name.alias("plugin_name"), F.col("best.version").alias("plugin_version"), "files_scanned", message.alias("message"),
+        F.coalesce(metadata.is_fatal(message), F.lit(False)).alias("fatal"),
+    )
+
+
 def arrivals(files: DataFrame, findings_window: str = "1 hour", delay: str = "1 day") -> DataFrame:
     """Files per package and window of arrival."""
     return (

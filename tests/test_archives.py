@@ -102,6 +102,23 @@ def test_folder_of_archives(spark, tmp_path):
     assert [r.scan_id for r in errors.collect()] == ["b.zip"]
 
 
+def test_same_name_in_two_folders(spark, tmp_path):
+    for n, text in (("v1", "phpinfo();"), ("v2", "md5($p);")):
+        (tmp_path / n).mkdir()
+        (tmp_path / n / "a.zip").write_bytes(zipped([("readme.txt", README), (f"{n}.php", text)]))
+    content, _ = archives.expand(archives.from_archives(spark, str(tmp_path)))
+    assert {(r.scan_id, r.path) for r in content.collect()} == {
+        (f"{n}/a.zip", p) for n in ("v1", "v2") for p in ("readme.txt", f"{n}.php")
+    }
+
+
+def test_limit_of_size_and_nameless_entries(spark):
+    big = zipped([("", b"x" * 900), ("a.php", b"x" * 200)])
+    frame = spark.createDataFrame([("a.zip", bytearray(big))], "scan_id string, content binary")
+    for most, refused in ((1000, 0), (150, 1), (None, 0)):
+        assert archives.expand(frame, ScanConfig(max_archive_bytes=most))[1].count() == refused
+
+
 def test_gate_takes_the_first_fault(spark):
     big = 300 * 1024 * 1024
     rows = [

@@ -82,7 +82,7 @@ def test_display_name(spark, name, target, shown):
 def test_report_id(spark):
     import hashlib
 
-    want = "WPC-" + hashlib.sha256(b"/x:2026-01-01").hexdigest()[:12].upper()
+    want = "R-" + hashlib.sha256(b"/x:2026-01-01").hexdigest()[:12].upper()
     assert spark.range(1).select(reports.report_id(F.lit("/x"), F.lit("2026-01-01"))).first()[0] == want
 
 

@@ -21,7 +21,7 @@ def parsed(spark, text):
         ("FINDING 1:\nVERDICT: TRUE_POSITIVE\nANALYSIS: bad\nmore\n", [(1, True, "bad")]),
         ("Intro.\nfinding 1 :\nverdict : false_positive\nanalysis:  ok  \n", [(1, False, "ok")]),
         ("FINDING 2:\nVERDICT: TRUE_POSITIVE\nFINDING 1:\nANALYSIS:\n  late line", [(1, None, "late line"), (2, True, "VERDICT: TRUE_POSITIVE")]),
-        ("FINDING 1:\n" + "x" * 300, [(1, None, "x" * 200)]),
+        ("FINDING 1:\n" + "x" * 300, [(1, None, "x" * 300)]),
         ("FINDING 1:\n\nFINDING 2: ANALYSIS: a", [(2, None, "a")]),
         ("FINDING 1: ANALYSIS: a\nFINDING 1: ANALYSIS: b", [(1, None, "a")]),
         ("no block", []),
@@ -46,8 +46,8 @@ def test_batches_and_prompts(found):
     assert sorted(rows) == [(n // 5, n % 5 + 1) for n in range(active)]
     first = review.prompts(batched).where("batch_no = 0").first()
     assert first.findings == 5
-    assert first.prompt.startswith("Analyze these 5 findings. For EACH finding, respond with:\nFINDING <number>:\n")
-    assert first.prompt.count("--- FINDING ") == 5 and "\n>>> " in first.prompt
+    assert first.prompt.startswith("Below are 5 places ") and "\nFINDING <its number>:\nVERDICT: " in first.prompt
+    assert first.prompt.count("[FINDING ") == 5 and "\n>>> " in first.prompt
 
 
 def test_verdicts(spark, found):
@@ -79,7 +79,7 @@ def test_wide_context(files, package):
     t = scan(files({**package, "w.php": text}), ScanConfig(wide_lines=50))
     row = review.wide_prompts(t.findings).first()
     assert (row.first_line, row.last_line) == (22, 100)
-    assert "(lines 22-100):\n```\nline 22\n" in row.prompt and row.prompt.endswith("line 100\n```\n")
+    assert "lines 22 to 100 of the file:\nline 22\n" in row.prompt and row.prompt.endswith("line 100\n[end]\n")
 
 
 def test_cost(spark):

@@ -9,7 +9,9 @@ from sigsift.catalog import RULES, Rule, check_rules, quote, risky_rules, rules_
 from sigsift.config import ScanConfig
 from sigsift.functions import text as tx
 from sigsift.operators import matching
+from sigsift.plans.scan import scan
 from sigsift.sources.corpus import SEEDS
+from tests.conftest import README
 
 BLOB = "QUFB" * 40
 
@@ -160,7 +162,24 @@ def test_literal_rules_match_themselves(spark, files):
     assert quote("a\\Eb") == "\\Qa\\E\\\\E\\Qb\\E"
 
 
-def test_bad_rules_are_reported():
+def test_rules_in_both_dialects(spark, files):
+    rules = (
+        Rule("X-1", "name", 5, "(?P<my_name>foo)"), Rule("X-2", "reference", 5, "(?P<n>a)b(?P=n)b"), Rule("X-3", "literal", 5, "FOO", literals=("FOO",)),
+        Rule("X-4", "suppressed", 5, "foo", fp_patterns=("(?P<q>abc)",)), Rule("X-5", "class", 5, r"\p{L}oo"), Rule("X-6", "risky", 5, "(?:ab?)+c"),
+        Rule("X-1", "same id, bad", 5, "("),
+    )
+    assert [m.split()[1] for m in check_rules(rules)] == ["X-1"]
+    t = scan(files({"readme.txt": README, "a.php": "abc foo abab c"}), ScanConfig(rules=rules))
+    found = sorted((r.rule_id, r.title, r.false_positive) for r in t.findings.collect())
+    assert found == [
+        ("X-1", "name", False), ("X-2", "reference", False), ("X-3", "literal", False), ("X-4", "suppressed", True), ("X-5", "class", False),
+        ("X-6", "risky", False),
+    ]
+    messages = [r.message for r in t.scan_errors.collect()]
+    assert len(messages) == 2 and any("X-6" in m and "stack" in m for m in messages)
+
+
+def test_bad_rules_are_reported(spark):
     bad = Rule("X-1", "bad", 5, "(")
     empty = Rule("X-2", "empty", 5, "a*")
     assert [m.split()[1] for m in check_rules([*RULES, bad, empty])] == ["X-1", "X-2"]

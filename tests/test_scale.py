@@ -101,3 +101,15 @@ def test_scan_with_a_hot_package(spark):
     spread_out = with_ordinal(found, "scan_id", summary.order_keys(), "n", slices=6).select(*columns)
     assert plain.exceptAll(spread_out).count() == 0 and spread_out.exceptAll(plain).count() == 0
     assert plain.where("scan_id = 'hot'").count() > plain.count() / 2
+
+
+def test_shared_folder_is_asked_for_on_a_cluster(spark):
+    from types import SimpleNamespace
+
+    from sigsift.session import work_folder
+
+    conf = SimpleNamespace(get=lambda *_: None)
+    context = SimpleNamespace(getCheckpointDir=lambda: None, master="local-cluster[2,1,1024]")
+    with pytest.raises(ValueError):
+        work_folder(SimpleNamespace(sparkContext=context, conf=conf))
+    assert work_folder(spark) == work_folder(spark)

@@ -1,5 +1,7 @@
 """Whole scans on small packages."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -58,8 +60,8 @@ def test_package_without_header(files):
         ({"b.php": "/* Plugin Name: B */", "a/a.php": HEADER}, ("B */", "")),
         ({"node_modules/readme.txt": README, "z.inc": " * plugin name:  Z \n"}, ("Z", "")),
         ({"README.TXT": README}, None),
-        ({"a.php": "\x00" + HEADER}, None),
-        ({"a.php": " " * 70_000 + "\n" + HEADER}, None),
+        ({"a.php": "\x00\n" + HEADER}, ("Test Plugin", "1.2.3")),
+        ({"a.php": " " * 70_000 + "\n" + HEADER}, ("Test Plugin", "1.2.3")),
     ],
 )
 def test_metadata(files, contents, expected):
@@ -85,16 +87,49 @@ def test_no_scannable_files(files):
 
 
 def test_nul_file_is_listed_without_findings(files, package):
-    t = scan(files({**package, "bin.php": b"\x00" + VULNERABLE.encode() + bytes(range(256)) * 8}), ScanConfig(deep=True))
+    t = scan(files({**package, "bin.php": b"\x00" + VULNERABLE.encode() + bytes(range(256)) * 8}), ScanConfig(deep=True, nul_probe_bytes=8192))
     info = {r.path: r for r in t.file_info.collect()}
     assert info["bin.php"].lines == 0 and info["bin.php"].entropy > 6
     assert t.findings.where("path = 'bin.php'").count() == 0
+    assert [(r.path, r.fatal) for r in t.scan_errors.collect()] == [("bin.php", False)]
 
 
 def test_match_cap_and_order(files, package):
-    t = scan(files({**package, "m.php": "phpinfo();\n" * 250}))
-    lines = [r.line_number for r in t.findings.where("rule_id = 'PHP-INFO-001'").orderBy("match_start").collect()]
-    assert lines == list(range(1, 101))
+    listed = files({**package, "m.php": "phpinfo();\n" * 250})
+    for most, kept in ((100, 100), (None, 250), (250, 250)):
+        t = scan(listed, ScanConfig(max_matches=most))
+        lines = [r.line_number for r in t.findings.where("rule_id = 'PHP-INFO-001'").orderBy("match_start").collect()]
+        assert lines == list(range(1, kept + 1))
+        assert [r.path for r in t.scan_errors.collect()] == ["m.php"] * (kept < 250)
+
+
+def test_nothing_is_cut_by_default(files):
+    contents = {
+        "late.php": "<?php\n" + "// x\n" * 30_000 + "/* Plugin Name: Late */\n", "big.php": "<?php\n" + "// x\n" * 1_100_000 + "phpinfo();\n",
+        "nul.php": "\x00 eval($x);",
+    }
+    t = scan(files(contents)).pinned()
+    assert [(r.plugin_name, r.files_found) for r in t.status.collect()] == [("Late */", 3)]
+    assert {(r.path, r.rule_id, r.line_number) for r in t.findings.collect()} == {("big.php", "PHP-INFO-001", 1_100_002), ("nul.php", "PHP-RCE-001", 1)}
+    assert t.skipped.count() == 0 and t.scan_errors.count() == 0
+
+
+def test_results_follow_from_the_facts(spark, files, package):
+    t = scan(files({**package, "v.php": VULNERABLE, "a.png": "x", "build/b.php": "x"})).pinned()
+    for name in ("grades", "status", "skipped", "file_info", "findings", "scan_errors"):
+        plan = getattr(t, name)._jdf.queryExecution().optimizedPlan().toString()
+        assert not re.search(r"\bcontent#", plan), name
+    assert t.pinned() is t
+    assert [(r.files_found, r.files_skipped, r.display_name) for r in t.status.collect()] == [(2, 2, "Test Plugin")]
+    unnamed = scan(files({"v.php": "x", "build/b.php": "x"})).status.first()
+    assert (unnamed.plugin_name, unnamed.display_name, unnamed.fatal) == (None, "pkg", True)
+
+
+def test_options_that_replace_the_defaults(files, package):
+    listed = files({**package, "build/b.php": "x", "src/s.php": "x", "t.twig": "x"})
+    paths = lambda config: {r.path for r in scan(listed, config).file_info.collect()}
+    assert paths(ScanConfig(only_exclude_dirs=("src",))) == {"test-plugin.php", "build/b.php"}
+    assert paths(ScanConfig(only_ext=("TWIG",))) == {"t.twig"}
 
 
 def test_multi_line_and_suppression_window(files, package):

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from sigsift.config import ScanConfig
 from sigsift.plans.scan import scan
 from sigsift.streaming import landing
+from tests.conftest import README
 from tests.test_archives import CASES
 
 CODE = {"a": "eval($x);\nphpinfo();", "b": "md5($p);", "c": "nothing"}
@@ -52,12 +53,22 @@ def test_repeated_delivery_is_scanned_once(spark, landed, tmp_path):
 
 
 def test_running_grades(spark, landed, tmp_path):
-    found = landing.stream_findings(landing.once(landing.landing_tables(spark, landed, max_files=1)), ScanConfig())
-    rows = run(landing.running_grades(found), "update", tmp_path).collect()
+    facts = landing.stream_facts(landing.once(landing.landing_tables(spark, landed, max_files=1)), ScanConfig())
+    rows = run(landing.running_grades(facts), "update", tmp_path).collect()
     last = {r.scan_id: (r.total, r.score) for r in sorted(rows, key=lambda r: r.total)}
     assert last["p"] == (3, 100 - 25 - 5 - 5) and last["q"] == (2, 100 - 25 - 5)
 
 
+def test_running_grade_and_status_of_a_clean_package(spark, files, tmp_path):
+    contents = [("clean", "readme.txt", README), ("clean", "a.php", "nothing"), ("none", "a.php", "x")]
+    files(contents).withColumn("arrived", F.lit("2026-01-01").cast("timestamp")).write.parquet(str(tmp_path / "in"))
+    facts = landing.stream_facts(landing.landing_tables(spark, str(tmp_path / "in")), ScanConfig())
+    grades = run(landing.running_grades(facts), "update", tmp_path / "g").collect()
+    assert {r.scan_id: (r.total, r.score, r.grade) for r in grades} == {"clean": (0, 100, "A+"), "none": (0, 100, "A+")}
+    status = run(landing.running_status(facts), "update", tmp_path / "s").collect()
+    assert {r.scan_id: (r.plugin_name, r.files_scanned, r.fatal) for r in status} == {"clean": ("Test Plugin", 1, False), "none": (None, 1, True)}
+
+
 def test_arrival_windows(spark, landed, tmp_path):
     rows = run(landing.arrivals(landing.landing_tables(spark, landed)), "update", tmp_path).collect()
     assert {r.scan_id: r.files for r in rows} == {"p": 3, "q": 2}
@@ -68,5 +79,7 @@ def test_stream_of_archives(spark, tmp_path):
     folder.mkdir()
     (folder / "good.zip").write_bytes(CASES["good.zip"])
     (folder / "up.zip").write_bytes(CASES["up.zip"])
-    found = landing.stream_findings(landing.landing_archives(spark, str(folder)), landing.UPLOADS)
+    content, errors = landing.landing_archives(spark, str(folder))
+    assert [(r.scan_id, r.fatal) for r in run(errors, "append", tmp_path / "e").collect()] == [("up.zip", True)]
+    found = landing.stream_findings(content, landing.UPLOADS)
     assert {(r.scan_id, r.rule_id) for r in run(found.select(*COLUMNS), "append", tmp_path).collect()} == {("good.zip", "PHP-INFO-001")}

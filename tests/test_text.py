@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from sigsift.config import MAX_TEXT_BYTES, ScanConfig
+from sigsift.config import ScanConfig
 from sigsift.functions import paths
 from sigsift.functions import text as tx
 from sigsift.functions.entropy import byte_histogram, entropy_of
@@ -67,7 +67,7 @@ def test_decode(spark):
         b"a" * 8192 + b"\x00": "a" * 8192 + "\x00", b"\xe2\x82": "�", "é".encode() * 3: "ééé",
     }
     rows = spark.createDataFrame([(n, bytearray(c)) for n, c in enumerate(cases)], "n int, c binary")
-    got = {r.n: r.t for r in rows.select("n", tx.decode(F.col("c"), MAX_TEXT_BYTES).alias("t")).collect()}
+    got = {r.n: r.t for r in rows.select("n", tx.decode(F.col("c"), nul_probe=8192).alias("t")).collect()}
     assert [got[n] for n in range(len(cases))] == list(cases.values())
     cut = spark.createDataFrame([(bytearray("aéé".encode()),)], "c binary").select(tx.decode(F.col("c"), 4)).first()[0]
     assert cut == "aé�"
