@@ -21,14 +21,11 @@ repeat an id are candidates of their own, and none is its own id's neighbour.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sigsift.llm.common import groups_of
 from sigsift.session import pin
 
 TABLES = 8
@@ -133,9 +130,9 @@ def nearest(
         product[asking[:, None] == ids[None, :]] = -np.inf
         found, scores = [], []
         last = len(ids) - min(count, len(ids))
+        least = np.partition(product, last, axis=1)[:, last] if last else np.full(len(ask), -np.inf)
         for n in range(len(ask)):
-            least = np.partition(product[n], last)[last] if last else -np.inf
-            near = np.flatnonzero((product[n] >= least - NEARLY) & (product[n] > -np.inf))
+            near = np.flatnonzero((product[n] >= least[n] - NEARLY) & (product[n] > -np.inf))
             # summed in one order whatever the block, so that copies score alike
             exact = (base[near] * ask[n]).sum(axis=1)
             order = np.lexsort((ids[near], -exact))[:count]

@@ -9,12 +9,14 @@ partner may lie there, for the next.  Of each sketch the words with the most bit
 are kept, enough of them that a shared one is among those of both sets; words of
 few bits say little and are what unrelated texts share.
 
-Sets that share a sketch word are candidates, verified on the whole sets.  Within
-the sets of one word all are compared to a few of them first, and what has come
-together in one component is compared no more; the number compared to grows
-until every pair of a word is either verified or joined by others.  So a group
-of thousands of copies costs its size and not its square, and no link between
-components is lost.
+Sets that share a sketch word are candidates.  A second sketch of fixed size goes
+with them: two sets whose sketches differ in more bits than a link allows are no
+pair, and the join itself leaves them out.  The others are verified on the whole
+sets.  Within the sets of one word all are compared to a few of them first, and
+what has come together in one component is compared no more; the number compared
+to grows until every pair of a word is either settled or joined by others.  So a
+group of thousands of copies costs its size and not its square, copies that are
+not quite alike enough make no pairs, and no link between components is lost.
 
 Sets are held by 64-bit hashes of their shingles.  Documents with one set are
 one node.  Null texts, and texts without words, have empty sets and no links.
@@ -40,6 +42,8 @@ BAND_RATIO = 1.6
 FEW = 16
 BITS = 64
 SHINGLES = 500_000
+CHECK_WORDS = 16
+CHECKS = tuple(f"_s{n}" for n in range(CHECK_WORDS))
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -109,6 +113,14 @@ def _keys(value: np.ndarray, tenths: int) -> np.ndarray:
     return np.concatenate(out)
 
 
+def _check(value: np.ndarray) -> np.ndarray:
+    """The sketch of fixed size that pairs are checked by."""
+    mixed = _mixed(value + _MIX)
+    out = np.zeros(CHECK_WORDS, np.uint64)
+    np.bitwise_xor.at(out, ((mixed >> np.uint64(32)) % np.uint64(CHECK_WORDS)).astype(np.int64), np.uint64(1) << (mixed & np.uint64(BITS - 1)))
+    return out
+
+
 def _hashed(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(key).alias("_id"), F.transform(words(lower_ascii(whole(F.col(text)))), lambda w: F.xxhash64(w)).alias("_words"))
 
@@ -131,7 +143,7 @@ def _digest(hashes: np.ndarray) -> int:
 
 
 def _described(docs: DataFrame, key: str, text: str, size: int, tenths: int) -> DataFrame:
-    """(_id, _n, _node, _keys): the number of shingles, the set's digest (null for the empty set), the sketch words to join by."""
+    """(_id, _n, _node, _keys, _checks): number of shingles, digest of the set (null for the empty one), sketch words to join and to check by."""
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, flat, ends in _runs(batch):
@@ -139,13 +151,15 @@ def _described(docs: DataFrame, key: str, text: str, size: int, tenths: int) ->
                 sets = [value[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
                 keys = [_keys(s, tenths).view(np.int64) if len(s) else np.empty(0, np.int64) for s in sets]
                 nodes = [_digest(s) if len(s) else None for s in sets]
+                checks = [_check(s).view(np.int64) for s in sets]
+                longs = pa.list_(pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(np.diff(at), pa.int64()), pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
-                    ["_id", "_n", "_node", "_keys"],
+                    [part.column(0), pa.array(np.diff(at), pa.int64()), pa.array(nodes, pa.int64()), pa.array(keys, longs), pa.array(checks, longs)],
+                    ["_id", "_n", "_node", "_keys", "_checks"],
                 )
 
     hashed = _hashed(docs, key, text)
-    return hashed.mapInArrow(describe, f"_id {hashed.schema['_id'].dataType.simpleString()}, _n long, _node long, _keys array<long>")
+    return hashed.mapInArrow(describe, f"_id {hashed.schema['_id'].dataType.simpleString()}, _n long, _node long, _keys array<long>, _checks array<long>")
 
 
 def _sets(docs: DataFrame, size: int) -> DataFrame:
@@ -180,7 +194,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, tenths: int) -> DataFrame:
     return joined.mapInArrow(judge, "_a long, _b long, _linked boolean")
 
 
-def _links(members: DataFrame, sets: DataFrame, tenths: int) -> DataFrame:
+def _links(members: DataFrame, checks: DataFrame, sets: DataFrame, tenths: int) -> DataFrame:
     """Links (_a, _b) with the same components as all links between ``members`` (_key, _node) of one key.
 
     A round compares all members of a small key with each other, and those of a
@@ -189,18 +203,22 @@ def _links(members: DataFrame, sets: DataFrame, tenths: int) -> DataFrame:
     and centres than the last: the first one centre a key, the last all that are
     still open.
     """
-    left = members.withColumn("_label", F.col("_node"))
+    left = members.join(checks, "_node").withColumn("_label", F.col("_node"))
+    theirs = checks.select(F.col("_node").alias("_centre"), F.col("_n").alias("_m"), *[F.col(c).alias(f"{c}c") for c in CHECKS])
+    apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}c"))) for c in CHECKS), F.lit(0))
+    near_enough = apart * (1000 + tenths) <= (F.col("_n") + F.col("_m")) * (1000 - tenths)
     judged = None
     size = 1
     while True:
         keys = left.groupBy("_key").agg(F.count(F.lit(1)).alias("_members"), F.min("_label").alias("_low"), F.max("_label").alias("_high"))
-        left = pin(left.join(keys.where("_low <> _high").select("_key", "_members"), "_key"))
+        left = pin(left.drop("_members").join(keys.where("_low <> _high").select("_key", "_members"), "_key"))
         if left.limit(1).count() == 0:
             break
         slot = F.when(F.col("_members") <= size, F.col("_node")).otherwise(F.pmod(F.xxhash64("_node"), F.lit(size)))
         heads = left.groupBy("_key", slot.alias("_slot")).agg(F.min(F.struct("_node", "_label")).alias("_head"))
-        centres = heads.select("_key", F.col("_head._node").alias("_centre"), F.col("_head._label").alias("_other"))
-        pairs = left.join(centres, "_key").where("_label <> _other").select(F.least("_node", "_centre").alias("_a"), F.greatest("_node", "_centre").alias("_b")).distinct()
+        centres = heads.select(F.col("_key").alias("_of"), F.col("_head._node").alias("_centre"), F.col("_head._label").alias("_other"))
+        met = (F.col("_key") == F.col("_of")) & (F.col("_label") != F.col("_other")) & near_enough
+        pairs = left.join(centres.join(theirs, "_centre"), met).select(F.least("_node", "_centre").alias("_a"), F.greatest("_node", "_centre").alias("_b")).distinct()
         if judged is not None:
             pairs = pairs.join(judged.select("_a", "_b"), ["_a", "_b"], "left_anti")
         found = pin(_verified(pairs, sets, tenths))
@@ -209,8 +227,8 @@ def _links(members: DataFrame, sets: DataFrame, tenths: int) -> DataFrame:
         linked = found.where("_linked")
         ends = linked.select("_a", "_b").unionByName(linked.select(F.col("_b").alias("_a"), F.col("_a").alias("_b")))
         near = ends.groupBy(F.col("_a").alias("_node")).agg(F.min("_b").alias("_near"))
-        settled = left.join(centres.select("_key", F.col("_centre").alias("_node")), ["_key", "_node"], "left_anti")
-        left = settled.join(near, "_node", "left").select("_key", "_node", F.least("_label", "_near").alias("_label"))
+        settled = left.join(centres.select(F.col("_of").alias("_key"), F.col("_centre").alias("_node")), ["_key", "_node"], "left_anti")
+        left = settled.join(near, "_node", "left").withColumn("_label", F.least("_label", "_near")).drop("_near")
         size *= FEW
     return members.limit(0).select(F.col("_node").alias("_a"), F.col("_node").alias("_b")) if judged is None else judged.where("_linked").select("_a", "_b")
 
@@ -248,13 +266,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     heads = pin(filled.groupBy("_node").agg(F.min("_id").alias("_head")))
     # the keys of one row of each set go on
     first = heads.select(F.col("_node").alias("_of"), "_head")
-    one = filled.join(first, (F.col("_node") == F.col("_of")) & F.col("_id").eqNullSafe(F.col("_head"))).select("_node", F.explode("_keys").alias("_key"))
+    whole_rows = filled.join(first, (F.col("_node") == F.col("_of")) & F.col("_id").eqNullSafe(F.col("_head")))
+    one = whole_rows.select("_node", F.explode("_keys").alias("_key"))
     shared = one.groupBy("_key").agg(F.min("_node").alias("_low"), F.max("_node").alias("_high")).where("_low <> _high")
     members = pin(one.join(shared.select("_key"), "_key").select("_key", "_node").distinct())
+    shown = whole_rows.select("_node", "_n", *[F.get("_checks", F.lit(n)).alias(c) for n, c in enumerate(CHECKS)])
+    checks = pin(shown.join(members.select("_node").distinct(), "_node", "left_semi").dropDuplicates(["_node"]))
     wanted = heads.join(members.select("_node").distinct(), "_node", "left_semi").select("_head").distinct()
     texts = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text")).join(wanted, F.col("_id").eqNullSafe(F.col("_head"))).select("_id", "_text")
     sets = pin(_sets(texts.dropDuplicates(["_id", "_text"]), size))
-    state = components(_links(members, sets, tenths))
+    state = components(_links(members, checks, sets, tenths))
     linked = heads.join(state, "_node", "left").select("_node", "_head", F.coalesce("_component", "_node").alias("_component"))
     least = linked.groupBy("_component").agg(F.min("_head").alias("_first"))
     of = linked.join(least, "_component").select(F.col("_node").alias("_of"), "_first")

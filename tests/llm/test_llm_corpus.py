@@ -125,6 +125,7 @@ def test_similar_sets_share_a_key(size, cut, tenths, seed):
     if not len(b) or 1000 * common < tenths * (size + len(b) - common):
         return
     assert np.intersect1d(jaccard._keys(a, tenths), jaccard._keys(b, tenths)).size
+    assert int(np.bitwise_count(jaccard._check(a) ^ jaccard._check(b)).sum()) <= size + len(b) - 2 * common
 
 
 TRICKY = [
