@@ -116,9 +116,9 @@ def nearest(
     place = ["_band", "_table", "_bucket"]
     wanted = asked.groupBy(*place).agg(F.count(F.lit(1)).alias("_asked"))
     sizes = pin(bands.join(wanted, place).select(*place, F.ceil(F.col("_rows") / block).alias("_parts"), F.ceil(F.col("_asked") / block).alias("_rounds")))
-    other = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    left = index.join(sizes, place).withColumn("_part", F.pmod(F.xxhash64("_id"), F.col("_parts"))).withColumn("_round", other(F.col("_rounds").cast("int")).cast("long"))
-    right = asked.join(sizes, place).withColumn("_round", F.pmod(F.xxhash64("_id"), F.col("_rounds"))).withColumn("_part", other(F.col("_parts").cast("int")).cast("long"))
+    other = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = index.join(sizes, place).withColumn("_part", F.pmod(F.xxhash64("_id"), F.col("_parts"))).withColumn("_round", other("_rounds"))
+    right = asked.join(sizes, place).withColumn("_round", F.pmod(F.xxhash64("_id"), F.col("_rounds"))).withColumn("_part", other("_parts"))
     group = [*place, "_part", "_round"]
 
     def search(stored: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:

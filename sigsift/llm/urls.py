@@ -113,9 +113,9 @@ def judged(pages: DataFrame, rules: tuple[Rule, ...], labelled: DataFrame | None
         def with_stats(frame):
             known_rate = F.array(F.coalesce("_rate", F.lit(float(mean))), F.coalesce("_seen", F.lit(0.0)))
             return frame.join(stats, "_suffix", "left").withColumn("_v", array_to_vector(F.concat("_f", known_rate)))
-        boosted = GBTClassifier(labelCol="_label", featuresCol="_v", maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=SEED, probabilityCol="_p", predictionCol="_y", rawPredictionCol="_r")
+        boosted = GBTClassifier(labelCol="_label", featuresCol="_v", maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=SEED)
         model = boosted.fit(with_stats(train).select("_label", "_v"))
-        scored = model.transform(with_stats(described)).withColumn("_score", vector_to_array("_p")[1])
+        scored = model.transform(with_stats(described)).withColumn("_score", vector_to_array("probability")[1])
     learned = F.when(F.col("_score") >= 0.5, F.lit("allow")).otherwise(F.lit("block"))
     return scored.select(
         F.col("_id").alias(key), F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_fit.rule").alias("rule"),

@@ -46,7 +46,7 @@ def test_spans_equal_plain_search(spark):
     got = {r.doc_id: r for r in pii.find(docs).select("doc_id", pii.listed(F.col("base")).alias("base"), pii.listed(F.col("spans")).alias("spans")).collect()}
     for n, text in enumerate(TEXTS):
         assert got[n].base == ",".join(base_spans(text)), text
-        assert set(got[n].base.split(",")) <= set(got[n].spans.split(","))
+        assert {*got[n].base.split(",")} - {""} <= {*got[n].spans.split(",")}
     assert "iban:0:27" in got[8].spans and got[8].spans.count("iban") == 1
     assert got[9].spans.count("ssn") >= 1
 
@@ -122,7 +122,7 @@ def test_recall_and_scores(spark, sf):
 
 def test_neighbours_of_odd_vectors(spark):
     rng = np.random.default_rng(3)
-    rows = [(n, [float(x) for x in rng.normal(size=6)], "x") for n in range(60)] + [(100 + n, [1.0, 0, 0, 0, 0, 0], "x") for n in range(50)]
+    rows = [(n, [float(x) for x in rng.normal(size=6)], "x") for n in range(60)] + [(100 + n, [1.0, 0.0, 0.0, 0.0, 0.0, 0.0], "x") for n in range(50)]
     rows += [(200, None, "x"), (201, [0.0] * 6, "x"), (202, [float("nan")] * 6, "x"), (203, [float("inf")] * 6, "x"), (204, [None] * 6, "x"), (205, [50.0] * 6, "x"), (None, [1.0] * 6, "x")]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank string").withColumn("_id", F.lit(1))
     vectors = {k: np.array(np.float32(v), np.float64) for k, v, _ in rows if k is not None and (k < 200 or k == 205)}
