@@ -122,7 +122,8 @@ def mixed(docs: DataFrame, share: float = SHARE, cap: int = CAP) -> DataFrame:
     """
     planned = allocate(docs.select(*DOCUMENT), DOCUMENT, share, cap)
     opened = planned.select("_row", "_size", F.explode("_copies").alias("_copy"))
-    first = F.regexp_extract("_row.text", F.concat(F.lit("(?s)^(?:[\\x20\\x09-\\x0D]*+[^\\x20\\x09-\\x0D]++){"), F.col("_copy.words").cast("string"), F.lit("}+")), 0)
+    words_wanted = F.concat(F.lit(r"(?s)^(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){"), F.col("_copy.words").cast("string"), F.lit("}+"))
+    first = F.call_function("regexp_extract", F.col("_row.text"), words_wanted, F.lit(0))
     text = F.when(F.col("_copy.words") < F.col("_size"), first).otherwise(F.col("_row.text"))
     ordered = opened.select("_row", text.alias("_text"), F.col("_copy.position").alias("_position"))
     return (
