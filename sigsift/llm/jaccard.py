@@ -194,8 +194,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, tenths: int) -> DataFrame:
     return joined.mapInArrow(judge, "_a long, _b long, _linked boolean")
 
 
-def _links(members: DataFrame, checks: DataFrame, sets: DataFrame, tenths: int) -> DataFrame:
-    """Links (_a, _b) with the same components as all links between ``members`` (_key, _node) of one key.
+def _connected(members: DataFrame, checks: DataFrame, sets: DataFrame, tenths: int) -> DataFrame:
+    """(_node, _component) by all links between ``members`` (_key, _node) of one key, for the nodes that have links.
 
     A round compares all members of a small key with each other, and those of a
     larger key to some of them, its centres.  Centres are settled then, and so is a
@@ -207,7 +207,7 @@ def _links(members: DataFrame, checks: DataFrame, sets: DataFrame, tenths: int)
     theirs = checks.select(F.col("_node").alias("_centre"), F.col("_n").alias("_m"), *[F.col(c).alias(f"{c}c") for c in CHECKS])
     apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}c"))) for c in CHECKS), F.lit(0))
     near_enough = apart * (1000 + tenths) <= (F.col("_n") + F.col("_m")) * (1000 - tenths)
-    judged = None
+    judged = state = None
     size = 1
     while True:
         keys = left.groupBy("_key").agg(F.count(F.lit(1)).alias("_members"), F.min("_label").alias("_low"), F.max("_label").alias("_high"))
@@ -223,14 +223,11 @@ def _links(members: DataFrame, checks: DataFrame, sets: DataFrame, tenths: int)
             pairs = pairs.join(judged.select("_a", "_b"), ["_a", "_b"], "left_anti")
         found = pin(_verified(pairs, sets, tenths))
         judged = found if judged is None else judged.unionByName(found)
-        # of what a node is linked to it takes the least label: like labels are connected
-        linked = found.where("_linked")
-        ends = linked.select("_a", "_b").unionByName(linked.select(F.col("_b").alias("_a"), F.col("_a").alias("_b")))
-        near = ends.groupBy(F.col("_a").alias("_node")).agg(F.min("_b").alias("_near"))
+        state = components(judged.where("_linked"))
         settled = left.join(centres.select(F.col("_of").alias("_key"), F.col("_centre").alias("_node")), ["_key", "_node"], "left_anti")
-        left = settled.join(near, "_node", "left").withColumn("_label", F.least("_label", "_near")).drop("_near")
+        left = settled.join(state, "_node", "left").withColumn("_label", F.coalesce("_component", "_node")).drop("_component")
         size *= FEW
-    return members.limit(0).select(F.col("_node").alias("_a"), F.col("_node").alias("_b")) if judged is None else judged.where("_linked").select("_a", "_b")
+    return members.select("_node", F.col("_node").alias("_component")).limit(0) if state is None else state
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -275,7 +272,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     wanted = heads.join(members.select("_node").distinct(), "_node", "left_semi").select("_head").distinct()
     texts = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text")).join(wanted, F.col("_id").eqNullSafe(F.col("_head"))).select("_id", "_text")
     sets = pin(_sets(texts.dropDuplicates(["_id", "_text"]), size))
-    state = components(_links(members, checks, sets, tenths))
+    state = _connected(members, checks, sets, tenths)
     linked = heads.join(state, "_node", "left").select("_node", "_head", F.coalesce("_component", "_node").alias("_component"))
     least = linked.groupBy("_component").agg(F.min("_head").alias("_first"))
     of = linked.join(least, "_component").select(F.col("_node").alias("_of"), "_first")
