@@ -145,6 +145,8 @@ def nearest(
     part = sparse.applyInPandas(search, f"query_id {kind}, _ids array<{kind}>, _scores array<double>")
     pairs = F.zip_with("_ids", "_scores", lambda i, s: F.struct((-s).alias("less"), i.alias("id")))
     merged = part.select("query_id", pairs.alias("_pairs")).groupBy("query_id").agg(F.flatten(F.collect_list("_pairs")).alias("_pairs"))
-    best = F.slice(F.array_sort(F.array_distinct("_pairs")), 1, count)
-    opened = merged.select("query_id", F.posexplode(best).alias("_n", "_pair"))
+    # a neighbour that several buckets have found stands in a row once sorted
+    ordered = merged.withColumn("_pairs", F.array_sort("_pairs"))
+    once = F.filter("_pairs", lambda x, n: (n == 0) | (x != F.get("_pairs", n - 1)))
+    opened = ordered.select("query_id", F.posexplode(F.slice(once, 1, count)).alias("_n", "_pair"))
     return opened.select("query_id", (F.col("_n") + 1).alias("rank"), F.col("_pair.id").alias("vec_id"), (-F.col("_pair.less")).alias("score"))
