@@ -11,6 +11,11 @@ in bands of like length, so that a long vector is not missed for its angle.
 Copies of one vector are indexed by their smallest ids only, one more than the
 neighbours asked for: no other copy can be among them.
 
+Rotations are random, so the chance that probing finds a vector depends on its
+angle alone.  A band is searched whole for a query that found too few, or whose
+last neighbour is so weak that a vector of the band could beat it at an angle at
+which probing is likely to miss.
+
 A bucket is dealt out in blocks of rows and of queries, so a third of all
 vectors in one bucket cover as many tasks as they fill blocks.
 
@@ -35,6 +40,9 @@ BLOCK = 1024
 BAND = 1.25
 SEED = 11
 NEARLY = 1e-9
+#: The chance of being found at which probing is trusted, and the pairs of vectors it is measured on.
+TRUST = 0.9
+TRIALS = 400
 
 
 def _hadamard(rows: np.ndarray) -> np.ndarray:
@@ -77,6 +85,28 @@ def _buckets(rows: np.ndarray, tables: int, axes: int, probes: int) -> np.ndarra
     return out
 
 
+def trusted(size: int, tables: int, probes: int, axes: int) -> float:
+    """The least cosine, to a hundredth, at which probing finds a vector with the chance ``TRUST``; -1 if it finds any."""
+    rng = np.random.default_rng([SEED, size])
+    one, other = rng.normal(size=(2, TRIALS, size))
+    one /= np.linalg.norm(one, axis=1, keepdims=True)
+    other -= (other * one).sum(axis=1, keepdims=True) * one
+    other /= np.maximum(np.linalg.norm(other, axis=1, keepdims=True), NEARLY)
+    probed = _buckets(one, tables, axes, probes)
+
+    def found(cosine: float) -> bool:
+        own = _buckets(cosine * one + np.sqrt(1 - cosine * cosine) * other, tables, axes, 1)
+        return (probed == own).any(axis=2).any(axis=1).mean() >= TRUST
+
+    if found(-1.0):
+        return -1.0
+    low, high = -100, 100
+    while high - low > 1:
+        middle = (low + high) // 2
+        low, high = (low, middle) if found(middle / 100) else (middle, high)
+    return high / 100
+
+
 def _coded(vectors: DataFrame, tables: int, axes: int, probes: int) -> DataFrame:
     """Adds _at, one row for each table and bucket: struct(table, bucket, band)."""
     @F.pandas_udf("array<array<long>>")
@@ -92,32 +122,23 @@ def _coded(vectors: DataFrame, tables: int, axes: int, probes: int) -> DataFrame
 
 
 def usable(table: DataFrame, key: str, vector: str) -> DataFrame:
-    """(_id, _vector, _band) of the vectors that take part."""
+    """(_id, _vector, _norm, _band) of the vectors that take part."""
     rows = table.select(F.col(key).alias("_id"), F.col(vector).cast("array<double>").alias("_vector")).where("_id IS NOT NULL AND size(_vector) > 0")
     finite = F.forall("_vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     norm = F.sqrt(F.aggregate("_vector", F.lit(0.0), lambda a, x: a + x * x))
     rows = rows.where(finite).withColumn("_norm", norm).where("_norm > 0")
     length = rows.groupBy(F.size("_vector").alias("n")).count().orderBy(F.desc("count"), "n").first()
     rows = rows.where(F.size("_vector") == (length["n"] if length else 0))
-    return rows.select("_id", "_vector", F.round(F.log("_norm") / np.log(BAND)).cast("int").alias("_band"))
+    return rows.select("_id", "_vector", "_norm", F.round(F.log("_norm") / np.log(BAND)).cast("int").alias("_band"))
 
 
-def nearest(
-    table: DataFrame, queries: Column, count: int = 20, key: str = "vec_id", vector: str = "embedding",
-    tables: int = TABLES, probes: int = PROBES, axes: int = AXES, block: int = BLOCK,
-) -> DataFrame:
-    """(query_id, rank, vec_id, score): the nearest found of every row for which ``queries``, a condition on the key, holds."""
-    rows = pin(usable(table, key, vector))
-    copies = Window.partitionBy("_vector").orderBy("_id")
-    index = pin(_coded(rows.withColumn("_copy", F.row_number().over(copies)).where(F.col("_copy") <= count + 1).drop("_copy"), tables, axes, 1))
-    bands = index.groupBy("_band", "_table", "_bucket").agg(F.count(F.lit(1)).alias("_rows"))
-    asked = _coded(rows.withColumn(key, F.col("_id")).where(queries).drop(key), tables, axes, probes).drop("_band")
-    asked = pin(asked.join(bands.drop("_rows").distinct(), ["_table", "_bucket"]))
-    place = ["_band", "_table", "_bucket"]
+def _compared(stored: DataFrame, asked: DataFrame, place: list[str], count: int, block: int) -> DataFrame:
+    """(query_id, _pairs): for every row of ``asked`` the nearest ``count`` of a block of ``stored`` with the same place; pairs are (-score, id)."""
+    bands = stored.groupBy(*place).agg(F.count(F.lit(1)).alias("_rows"))
     wanted = asked.groupBy(*place).agg(F.count(F.lit(1)).alias("_asked"))
     sizes = pin(bands.join(wanted, place).select(*place, F.ceil(F.col("_rows") / block).alias("_parts"), F.ceil(F.col("_asked") / block).alias("_rounds")))
     other = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    left = index.join(sizes, place).withColumn("_part", F.pmod(F.xxhash64("_id"), F.col("_parts"))).withColumn("_round", other("_rounds"))
+    left = stored.join(sizes, place).withColumn("_part", F.pmod(F.xxhash64("_id"), F.col("_parts"))).withColumn("_round", other("_rounds"))
     right = asked.join(sizes, place).withColumn("_round", F.pmod(F.xxhash64("_id"), F.col("_rounds"))).withColumn("_part", other("_parts"))
     group = [*place, "_part", "_round"]
 
@@ -141,12 +162,40 @@ def nearest(
         return pd.DataFrame({"query_id": asking, "_ids": found, "_scores": scores})
 
     sparse = left.select(*group, "_id", "_vector").groupBy(*group).cogroup(right.select(*group, "_id", "_vector").groupBy(*group))
-    kind = rows.schema["_id"].dataType.simpleString()
+    kind = stored.schema["_id"].dataType.simpleString()
     part = sparse.applyInPandas(search, f"query_id {kind}, _ids array<{kind}>, _scores array<double>")
-    pairs = F.zip_with("_ids", "_scores", lambda i, s: F.struct((-s).alias("less"), i.alias("id")))
-    merged = part.select("query_id", pairs.alias("_pairs")).groupBy("query_id").agg(F.flatten(F.collect_list("_pairs")).alias("_pairs"))
+    return part.select("query_id", F.zip_with("_ids", "_scores", lambda i, s: F.struct((-s).alias("less"), i.alias("id"))).alias("_pairs"))
+
+
+def _merged(parts: DataFrame, count: int) -> DataFrame:
+    """(query_id, _pairs): the nearest ``count`` of all that was found for a query, nearest first."""
+    merged = parts.groupBy("query_id").agg(F.flatten(F.collect_list("_pairs")).alias("_pairs"))
     # a neighbour that several buckets have found stands in a row once sorted
     ordered = merged.withColumn("_pairs", F.array_sort("_pairs"))
     once = F.filter("_pairs", lambda x, n: (n == 0) | (x != F.get("_pairs", n - 1)))
-    opened = ordered.select("query_id", F.posexplode(F.slice(once, 1, count)).alias("_n", "_pair"))
+    return ordered.select("query_id", F.slice(once, 1, count).alias("_pairs"))
+
+
+def nearest(
+    table: DataFrame, queries: Column, count: int = 20, key: str = "vec_id", vector: str = "embedding",
+    tables: int = TABLES, probes: int = PROBES, axes: int = AXES, block: int = BLOCK,
+) -> DataFrame:
+    """(query_id, rank, vec_id, score): the nearest found of every row for which ``queries``, a condition on the key, holds."""
+    rows = pin(usable(table, key, vector))
+    copies = Window.partitionBy("_vector").orderBy("_id")
+    stored = pin(rows.withColumn("_copy", F.row_number().over(copies)).where(F.col("_copy") <= count + 1).drop("_copy"))
+    index = pin(_coded(stored, tables, axes, 1))
+    wanted = rows.withColumn(key, F.col("_id")).where(queries).select(rows["_id"], rows["_vector"], rows["_norm"], rows["_band"])
+    filled = index.select("_band", "_table", "_bucket").distinct()
+    asked = pin(_coded(wanted, tables, axes, probes).drop("_band").join(filled, ["_table", "_bucket"]))
+    found = pin(_merged(_compared(index, asked, ["_band", "_table", "_bucket"], count, block), count))
+
+    first = stored.first()
+    least = trusted(len(first["_vector"]), tables, probes, axes) if first else -1.0
+    lengths = stored.groupBy("_band").agg(F.max("_norm").alias("_longest"))
+    last = found.select(F.col("query_id").alias("_of"), F.size("_pairs").alias("_n"), (-F.element_at("_pairs", -1)["less"]).alias("_last"))
+    doubtful = F.col("_n").isNull() | (F.col("_n") < count) | (F.col("_last") < least * F.col("_norm") * F.col("_longest"))
+    unsure = wanted.join(last, F.col("_id") == F.col("_of"), "left").drop("_band").crossJoin(lengths).where(doubtful)
+    whole = _compared(stored, pin(unsure.select("_id", "_vector", "_band")), ["_band"], count, block)
+    opened = _merged(found.unionByName(whole), count).select("query_id", F.posexplode("_pairs").alias("_n", "_pair"))
     return opened.select("query_id", (F.col("_n") + 1).alias("rank"), F.col("_pair.id").alias("vec_id"), (-F.col("_pair.less")).alias("score"))

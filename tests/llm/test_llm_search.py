@@ -136,6 +136,37 @@ def test_neighbours_of_odd_vectors(spark):
     assert [(r.query_id, r.vec_id) for r in alone] == [(0, 1)]
 
 
+def found_and_true(spark, rows, asked):
+    """The neighbours found, and those of the plain search; ids below ``asked`` are queries."""
+    table = spark.createDataFrame([(n, v.tolist()) for n, v in enumerate(rows)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest(table, F.col("vec_id") < asked).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    return got, nearest(dict(enumerate(rows)), range(asked), 20)
+
+
+def test_neighbours_in_few_vectors(spark):
+    rows = np.random.default_rng(1).normal(size=(25, 64))
+    got, true = found_and_true(spark, rows / np.linalg.norm(rows, axis=1, keepdims=True), 25)
+    assert got == true
+
+
+def test_neighbours_of_outliers(spark):
+    rng = np.random.default_rng(2)
+    rows = rng.normal(size=64) + 0.05 * rng.normal(size=(2000, 64))
+    rows[:10] = rng.normal(size=(10, 64))
+    got, true = found_and_true(spark, rows / np.linalg.norm(rows, axis=1, keepdims=True), 10)
+    assert all(len(v) == 20 for v in got.values()) and np.mean([len({*got[n]} & {*true[n]}) / 20 for n in true]) >= 0.9
+
+
+def test_neighbours_of_mixed_lengths(spark):
+    rng = np.random.default_rng(4)
+    rows = rng.normal(size=(2000, 64))
+    rows *= np.exp(rng.normal(size=(2000, 1))) / np.linalg.norm(rows, axis=1, keepdims=True)
+    got, true = found_and_true(spark, rows, 20)
+    assert np.mean([len({*got[n]} & {*true[n]}) / 20 for n in true]) >= 0.95
+
+
 def test_buckets_of_several_axes():
     rows = np.random.default_rng(5).normal(size=(40, 8))
     rows /= np.linalg.norm(rows, axis=1, keepdims=True)
