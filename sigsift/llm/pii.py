@@ -41,13 +41,33 @@ NEAR = 40
 CONTEXT_BONUS = 0.3
 CHECKSUM_BONUS = 0.4
 
+#: Characters of an account number by its country; the registry, and countries that use the form without being in it.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "AO CV GW LY MZ PT ST", 26: "DZ IR IS TR",
+    27: "BI CF CG CM DJ FR GA GQ GR IT KM MC MG MR SM TD", 28: "AL AZ BF BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban() -> str:
+    """A number of its country's length, or of any length where the country is not known."""
+    known = [
+        f"(?:{names.replace(' ', '|')})[0-9]{{2}}(?:\\x20?[A-Z0-9]{{4}}){{{(n - 4) // 4}}}" + f"\\x20?[A-Z0-9]{{{n % 4}}}" * (n % 4 > 0)
+        for n, names in IBAN_LENGTHS.items()
+    ]
+    names = "|".join(IBAN_LENGTHS.values()).replace(" ", "|")
+    other = rf"(?!{names})[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]{{4}}){{2,7}}+(?:\x20?[A-Z0-9]{{1,3}})?+"
+    return rf"(?<![A-Za-z0-9])(?:{'|'.join([*known, other])})(?![A-Za-z0-9])"
+
+
 # The order of kinds breaks ties between spans with one start.
 KINDS = (
     Kind("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", True, 0.8, ("mail", "contact")),
     Kind("ip", r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", True, 0.6, ("ip", "host", "server", "address")),
     Kind("card", r"[0-9](?:[\x20-]?[0-9])++", True, 0.4, ("card", "visa", "credit", "debit", "pay")),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", True, 0.6, ("phone", "tel", "call", "mobile", "fax")),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}+(?:\x20?[A-Z0-9]{1,3})?+(?![A-Za-z0-9])", False, 0.3, ("iban", "account", "bank", "konto")),
+    Kind("iban", _iban(), False, 0.3, ("iban", "account", "bank", "konto")),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", False, 0.4, ("ssn", "social", "security")),
 )
 

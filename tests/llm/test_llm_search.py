@@ -51,6 +51,17 @@ def test_spans_equal_plain_search(spark):
     assert got[9].spans.count("ssn") >= 1
 
 
+NUMBERS = ["AT611904300234573201", "ES91 2100 0418 4502 0005 1332", "GB82 WEST 1234 5698 7654 32", "NO93 8601 1117 947"]
+
+
+@pytest.mark.parametrize("after", ["", " BIC", " BIC BKAUATWW", " 2024", " A", " AT611904300234573201", ", x"])
+def test_account_numbers_before_words(spark, after):
+    docs = spark.createDataFrame([(n, f"IBAN {x}{after}") for n, x in enumerate(NUMBERS)], "doc_id long, text string")
+    for r in pii.find(docs).collect():
+        found = [x.value for x in r.spans if x.kind == "iban"]
+        assert found == [NUMBERS[r.doc_id]] + [after.strip()] * ("AT6" in after)
+
+
 def test_pii_query(spark):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     rows = QUERIES["op2_pii"](spark, SF).collect()
