@@ -5,7 +5,10 @@ space between the marks is left out.  Lines of one level that follow each other
 are a passage.  Passages are normalised (lower case, one space between words) and
 hashed.  A quoted passage comes from the first message of its conversation whose
 own words have such a passage, or which has it as one of its lines, if that
-message stands before the quoting one.
+message stands before the quoting one.  A passage that is nowhere as a whole, a
+trimmed or rewrapped one, comes from the message that first had most of it: its
+lines, paragraphs and sentences are looked up, and those of one origin must hold
+at least half of its words.
 
 A message replies to the latest message that it quotes; one that quotes none to
 the one before it.  A reply stands after what it replies to, so order of turns is
@@ -26,6 +29,8 @@ from sigsift.operators.ordering import with_ordinal
 from sigsift.session import pin
 
 MARKS = r"^[\x20\t]*+((?:>[\x20\t]?+)*+)"
+PARAGRAPHS = "\n[\\x20\t]*\n"
+SENTENCES = r"(?<=[.!?])\x20"
 INTRODUCTION = r"(?i)\bwrote:[\x20\t]*$"
 
 
@@ -65,6 +70,19 @@ def _hash(text: Column) -> Column:
     return F.when(bare != "", F.xxhash64(bare))
 
 
+def _quoted(text: Column) -> Column:
+    """What a quoted passage is looked up by: itself (kind 0), its lines, paragraphs and sentences; array of (passage, words, hash, kind, size)."""
+    count = lambda x: F.size(F.split(normal(x), " "))
+    parts = (F.array(text), F.split(text, "\n"), F.split(text, PARAGRAPHS), F.split(normal(text), SENTENCES))
+
+    def piece(kind: int):
+        return lambda x: F.struct(
+            _hash(text).alias("passage"), count(text).alias("words"), _hash(x).alias("hash"), F.lit(kind).alias("kind"), count(x).alias("size")
+        )
+
+    return F.concat(*[F.transform(part, piece(kind)) for kind, part in enumerate(parts)])
+
+
 def links(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", text: str = "text") -> DataFrame:
     """(_conv, _turn, reply_to, n_linked) for the messages that quote others: the latest turn quoted, the number of passages found.
 
@@ -74,15 +92,28 @@ def links(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", text:
     own = F.filter("_passages", lambda p: p["level"] == 0)
     said = F.concat(
         F.transform(own, lambda p: _hash(p["text"])), F.transform(F.filter("_lines", lambda x: x["level"] == 0), lambda x: _hash(x["body"])),
-        F.flatten(F.transform(own, lambda p: F.transform(F.split(p["text"], "\n[\\x20\t]*\n"), _hash))),
+        F.flatten(F.transform(own, lambda p: F.transform(F.split(p["text"], PARAGRAPHS), _hash))),
         F.array(_hash(F.array_join(F.transform(own, lambda p: p["text"]), "\n"))),
     )
-    quoted = F.transform(F.filter("_passages", lambda p: p["level"] > 0), lambda p: _hash(p["text"]))
-    known = lambda hashes: F.explode(F.array_distinct(F.filter(hashes, lambda h: h.isNotNull()))).alias("_hash")
-    origins = read.where("_turn IS NOT NULL").select("_conv", "_turn", known(said)).groupBy("_conv", "_hash").agg(F.min("_turn").alias("_origin"))
-    asked = read.where(F.exists("_lines", lambda x: x["level"] > 0)).select("_conv", "_turn", known(quoted))
-    found = asked.join(origins, ["_conv", "_hash"]).where("_origin < _turn")
-    return found.groupBy("_conv", "_turn").agg(F.max("_origin").alias("reply_to"), F.countDistinct("_hash").alias("n_linked"))
+    told = F.flatten(F.transform(own, lambda p: F.transform(F.split(normal(p["text"]), SENTENCES), _hash)))
+    spoken = F.concat(
+        F.transform(said, lambda h: F.struct(h.alias("hash"), F.lit(True).alias("form"))),
+        F.transform(told, lambda h: F.struct(h.alias("hash"), F.lit(False).alias("form"))),
+    )
+    known = lambda pieces: F.explode(F.array_distinct(F.filter(pieces, lambda x: x["hash"].isNotNull()))).alias("_piece")
+    origins = (
+        read.where("_turn IS NOT NULL").select("_conv", "_turn", known(spoken)).groupBy("_conv", F.col("_piece.hash").alias("_hash"))
+        .agg(F.min(F.when(F.col("_piece.form"), F.col("_turn"))).alias("_whole"), F.min("_turn").alias("_part"))
+    )
+    quoted = F.flatten(F.transform(F.filter("_passages", lambda p: p["level"] > 0), lambda p: _quoted(p["text"])))
+    asked = read.where(F.exists("_lines", lambda x: x["level"] > 0)).select("_conv", "_turn", known(quoted)).select("_conv", "_turn", "_piece.*")
+    found = asked.join(origins, (asked["_conv"] == origins["_conv"]) & (asked["hash"] == origins["_hash"])).drop(origins["_conv"])
+    found = found.withColumn("_origin", F.when(F.col("kind") == 0, F.col("_whole")).otherwise(F.col("_part"))).where("_origin < _turn")
+    votes = found.groupBy("_conv", "_turn", "passage", "words", "kind", "_origin").agg(F.sum("size").alias("_size"))
+    votes = votes.where((F.col("kind") == 0) | (F.col("_size") * 2 >= F.col("words")))
+    best = F.max(F.struct((F.col("kind") == 0).alias("whole"), F.col("_size").alias("size"), F.col("_origin").alias("origin")))
+    passages = votes.groupBy("_conv", "_turn", "passage").agg(best["origin"].alias("_origin"))
+    return passages.groupBy("_conv", "_turn").agg(F.max("_origin").alias("reply_to"), F.count(F.lit(1)).alias("n_linked"))
 
 
 def _unquoted(lines: Column) -> Column:

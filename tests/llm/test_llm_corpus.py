@@ -232,3 +232,19 @@ def test_quotations(spark):
     duck.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", CHAT)
     compared(quotes.threaded(talk), duck.execute(ORACLE_SQL["op9_quotes"]))
     assert quotes.threaded(talk.where("false")).count() == 0
+
+
+LETTER = "One fine day we met.\nIt was a Monday in May.\nThe sun was shining.\nNobody had time to talk.\n\nSecond part is here.\n\nThird part is there."
+
+
+@pytest.mark.parametrize("quotation, origin", [
+    ("> It was a Monday in May.\n> The sun was shining.", 1),  # two lines of a paragraph
+    ("> Second part is here.\n>\n> Third part is there.", 1),  # two of three paragraphs
+    ("> One fine day we\n> met. It was a Monday in\n> May. Nobody had time to\n> talk.", 1),  # rewrapped, a line left out
+    ("> Thanks.\n> The sun was shining.\n> Second part is here.", 1),  # most of it, though a line is from elsewhere
+    ("> Thanks.\n> words that nobody\n> in this talk has ever said", None),
+])
+def test_trimmed_quotations(spark, quotation, origin):
+    chat = [(1, 0, "user", "Thanks."), (1, 1, "user", LETTER), (1, 2, "user", "Thanks.\nThe end."), (1, 3, "user", quotation + "\nYes.")]
+    rows = {r.turn: r for r in quotes.threaded(spark.createDataFrame(chat, "conv_id long, turn long, role string, text string")).collect()}
+    assert (rows[3].reply_to, rows[3].n_linked, rows[3].text) == (origin, int(origin is not None), "Yes.")
