@@ -5,6 +5,12 @@ the others become items, and groups of these are packed in the next round, until
 one group holds them all or a round merges next to nothing.  A group has a
 bounded number of items whatever the input, and only narrow rows move.
 
+Documents may come in an order that matters, as the course of training does.
+Then groups are slices of neighbouring pieces, underfull bins are packed again
+with those of the slices next to theirs, and sequences have the number of their
+earliest piece.  Tables have no order but that of their files, so the place of a
+row is its file and its row in there.
+
 Null and empty texts are documents of the end token alone.  Repeated rows are
 documents of their own.  Columns that are not named are not read.
 """
@@ -18,17 +24,21 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sigsift.llm.common import groups_of
 from sigsift.llm.tokens import encoder, slices
+from sigsift.operators.ordering import with_ordinal
 from sigsift.session import pin
 
 CAPACITY = 1024
 END = 2
 GROUP = 8192
+#: Pieces in a slice of an order that is kept.
+SLICE = 1024
 SLACK = 4
 PROGRESS = 0.02
 
@@ -106,24 +116,34 @@ def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
     return bins, offsets, np.array(fills, np.int64)[bins] if fills else offsets
 
 
-def _round(items: DataFrame, count: int, capacity: int, group: int, number: int) -> DataFrame:
-    """Items (_uid, _length) packed best-fit, largest first, in groups of about ``group``; a bin has the number of its first item."""
+def _round(items: DataFrame, count: int, capacity: int, group: int, number: int, ordered: bool) -> DataFrame:
+    """Items (_uid, _length) packed best-fit, largest first, in groups of about ``group``; a bin has the number of its first item.
+
+    ``ordered``: groups are ``group`` items in the order of their numbers, and a bin has the least number in it.
+    """
     def place(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["_length", "_uid"], ascending=[False, True], kind="stable")
         uid = rows["_uid"].to_numpy()
         bins, offsets, fills = best_fit(rows["_length"].to_numpy(), capacity)
         heads = uid[offsets == 0]
+        if ordered:
+            np.minimum.at(heads, bins, uid)
         return pd.DataFrame({"_uid": uid, "_bin": heads[bins], "_off": offsets, "_fill": fills})
 
-    groups = groups_of(count, group)
-    dealt = items.select("_uid", "_length").withColumn("_group", F.pmod(F.xxhash64("_uid", F.lit(number)), F.lit(groups)))
+    if ordered:
+        placed = with_ordinal(items.select("_uid", "_length", F.lit(0).alias("_one")), "_one", [F.col("_uid")], "_n")
+        dealt = placed.select("_uid", "_length", F.floor((F.col("_n") - 1) / group).alias("_group"))
+    else:
+        groups = groups_of(count, group)
+        dealt = items.select("_uid", "_length").withColumn("_group", F.pmod(F.xxhash64("_uid", F.lit(number)), F.lit(groups)))
     return dealt.groupBy("_group").applyInPandas(place, PLACED)
 
 
-def pack(items: DataFrame, capacity: int = CAPACITY, group: int = GROUP, slack: int = SLACK) -> DataFrame:
+def pack(items: DataFrame, capacity: int = CAPACITY, group: int = GROUP, slack: int = SLACK, ordered: bool = False) -> DataFrame:
     """(_uid, sequence_id, offset) for items (_uid, length); each item no longer than a sequence, each ``_uid`` once.
 
-    ``items`` is read several times: pin what is expensive.
+    ``items`` is read several times: pin what is expensive.  ``ordered`` keeps
+    items of neighbouring numbers together and numbers sequences in their order.
     """
     full = F.col("_fill") >= capacity - slack
     narrow = items.select("_uid", F.col("length").cast("long").alias("_length"))
@@ -132,7 +152,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, group: int = GROUP, slack:
     rest, levels = narrow.where(~alone), []
     count = rest.count()
     while count:
-        placed = pin(_round(rest, count, capacity, group, len(levels)))
+        placed = pin(_round(rest, count, capacity, group, len(levels), ordered))
         levels.append(placed)
         rest = placed.where((F.col("_off") == 0) & ~full).select(F.col("_bin").alias("_uid"), F.col("_fill").alias("_length"))
         before, count = count, rest.count()
@@ -157,7 +177,32 @@ def _within(placed: DataFrame, final: DataFrame) -> DataFrame:
     )
 
 
-def packed(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
-    """(key, piece, start, length, ids_crc32[, ids], sequence_id, offset): every piece of every document and its place."""
-    made = pin(pieces(docs, tokenizer, key, text, capacity, keep_ids=keep_ids))
-    return made.join(pack(made, capacity), "_uid").drop("_uid")
+def _placed(docs: DataFrame) -> DataFrame:
+    """Adds _place, comparable: the file and row of a document where it is read from files, else its number in the frame."""
+    try:
+        return docs.withColumn("_place", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")))
+    except AnalysisException:
+        return docs.withColumn("_place", F.struct(F.lit("").alias("file"), F.monotonically_increasing_id().alias("row")))
+
+
+def packed(
+    docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, keep_ids: bool = False,
+    ordered: bool = False, group: int | None = None,
+) -> DataFrame:
+    """(key, piece, start, length, ids_crc32[, ids], sequence_id, offset): every piece of every document and its place.
+
+    ``ordered``: sequences follow the order of the documents.
+    """
+    if not ordered:
+        made = pin(pieces(docs, tokenizer, key, text, capacity, keep_ids=keep_ids))
+        return made.join(pack(made, capacity, group or GROUP), "_uid").drop("_uid")
+    rows = _placed(docs).select(F.struct(F.col(key).alias("key"), F.col("_place")).alias("_doc"), F.col(text).alias("_body"))
+    cut = pin(pieces(rows, tokenizer, "_doc", "_body", capacity, keep_ids=keep_ids).withColumn("_one", F.lit(0)))
+    order = [F.col("_doc._place"), F.col("piece")]
+    numbers = with_ordinal(cut.select("_one", "_doc", "piece", "_uid", "length"), "_one", order, "_n")
+    made = pin(numbers.select(F.col("_uid").alias("_of"), F.col("_n").alias("_uid"), "length"))
+    places = pack(made, capacity, group or SLICE, ordered=True).join(made.select("_uid", "_of"), "_uid").drop("_uid")
+    joined = cut.join(places, cut["_uid"] == places["_of"])
+    return joined.select(
+        F.col("_doc.key").alias(key), "piece", "start", "length", "ids_crc32", *["ids"] * keep_ids, "sequence_id", "offset"
+    )

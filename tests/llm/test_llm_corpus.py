@@ -203,6 +203,27 @@ def test_rounds_of_packing(spark, lengths):
     assert count == len(lengths) if 600 in lengths[:1] else count <= 1.1 * least + 1
 
 
+@pytest.mark.parametrize("stored", [False, True])
+def test_sequences_follow_the_documents(spark, stored, tmp_path):
+    import public_tokenizers
+
+    sizes = np.random.default_rng(6).integers(1, 700, 600).tolist()
+    docs = spark.createDataFrame([(n, "word " * x) for n, x in enumerate(sizes)], "doc_id long, text string").coalesce(1)
+    if stored:  # files of unequal size, which Spark reads largest first
+        spread = docs.withColumn("_at", F.col("doc_id")).repartitionByRange(3, F.pow("doc_id", F.lit(3))).sortWithinPartitions("_at")
+        spread.drop("_at").write.parquet(str(tmp_path / "docs"))
+        docs = spark.read.parquet(str(tmp_path / "docs"))
+    rows = packing.packed(docs, public_tokenizers.path(TOKENIZER), ordered=True, group=60).collect()
+    assert len(rows) >= 600 and whole_sequences(rows) <= 1.05 * sum(r.length for r in rows) / 1024 + 1
+    by = collections.defaultdict(list)
+    for r in rows:
+        by[r.sequence_id].append(r.doc_id)
+    spans = [max(v) - min(v) for v in by.values()]
+    assert np.mean(np.array(spans) < 60) > 0.8
+    firsts = [min(by[s]) for s in sorted(by)]
+    assert firsts == sorted(firsts)
+
+
 def test_kept_ids(spark):
     import public_tokenizers
 
