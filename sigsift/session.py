@@ -31,18 +31,45 @@ def work_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def pin(frame: DataFrame) -> DataFrame:
+def pin(frame: DataFrame, folder: str | None = None) -> DataFrame:
     """Compute once and cut the lineage: write a table to the shared folder and read it from there.
 
     What follows reads the columns it needs, so a lost executor costs a reread
     and not another scan.  Unlike ``checkpoint()`` this computes the rows once
     and keeps them by column.
     """
-    folder = shared_folder(frame.sparkSession)
+    folder = folder or shared_folder(frame.sparkSession)
     frame.write.parquet(folder)
     return frame.sparkSession.read.schema(frame.schema).parquet(folder)
 
 
+class Scratch:
+    """Pinned tables of an iteration, by name: a new table replaces the last one of its name, whose files go.
+
+    Only tables that no frame still to be computed reads may be replaced or
+    dropped.  The new one is written before the old one goes, so a lost executor
+    finds what it needs.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self._spark = spark
+        self._folders: dict[str, str] = {}
+
+    def pin(self, name: str, frame: DataFrame) -> DataFrame:
+        folder = shared_folder(self._spark)
+        out = pin(frame, folder)
+        self.drop(name)
+        self._folders[name] = folder
+        return out
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            folder = self._folders.pop(name, None)
+            if folder is not None:
+                path = self._spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(self._spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 SALTS = 32
 
 

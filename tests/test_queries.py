@@ -1,5 +1,10 @@
 """Registered queries against their SQL on the smallest tables."""
 
+import shutil
+import subprocess
+import sys
+from pathlib import Path
+
 import duckdb
 import pytest
 
@@ -49,3 +54,14 @@ def test_query_agrees_with_sql(spark, duck, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() == 14
+
+
+@pytest.mark.parametrize("with_pipeline", [True, False])
+def test_entry_without_the_training_data_operators(tmp_path, with_pipeline):
+    root = Path(entry.__file__).parent
+    shutil.copytree(root / "sigsift", tmp_path / "sigsift", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    for name in ["__spark_entry__.py"] + ["corpus_pipeline.py"] * with_pipeline:
+        shutil.copy(root / name, tmp_path)
+    told = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()), 'pipeline' in e.queries())"
+    out = subprocess.run([sys.executable, "-c", told], cwd=tmp_path, capture_output=True, text=True, timeout=120, check=True)
+    assert out.stdout.split() == [str(len(QUERIES)), str(len(QUERIES)), "False"]
