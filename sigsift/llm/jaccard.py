@@ -9,24 +9,28 @@ partner may lie there, for the next.  Of each sketch the words with the most bit
 are kept, enough of them that a shared one is among those of both sets; words of
 few bits say little and are what unrelated texts share.
 
-Sets that share a sketch word are candidates.  A second sketch of fixed size goes
-with them: two sets whose sketches differ in more bits than a link allows are no
-pair, and the join itself leaves them out.  The others are verified on the whole
-sets.  Within the sets of one word all are compared to a few of them first, and
-what has come together in one component is compared no more; the number compared
-to grows until every pair of a word is either settled or joined by others.  So a
-group of thousands of copies costs its size and not its square, copies that are
-not quite alike enough make no pairs, and no link between components is lost.
+Sets that share a sketch word are candidates.  A second sketch of fixed size, kept
+once for each set, tells most of those apart that are no link: two sets whose
+sketches differ in more bits than a link allows are no pair.  The others are
+verified on the whole sets.  At first every set is compared to one other only, the
+one that most of its words agree on.  Then all sets of a word are compared to a
+few of them, and what has come together in one component is compared no more; the
+number compared to grows until every pair of a word is either settled or joined
+by others.  So a group of thousands of copies costs its size and not its square,
+copies that are not quite alike enough make no pairs, and no link between
+components is lost.
 
 Sets are held by 64-bit hashes of their shingles.  Documents with one set are
-one node.  Null texts, and texts without words, have empty sets and no links.
-Repeated rows have one set.
+one node.  A set so small that only an equal one could be linked with it has no
+words to join by.  Null texts, and texts without words, have empty sets and no
+links.  Repeated rows have one set.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigsift.llm.common import DOCUMENT, lower_ascii, whole, words
-from sigsift.session import pin
+from sigsift.session import Scratch, pin
 
 SIZE = 5
 SIMILARITY = 0.8
@@ -89,9 +93,16 @@ def _differ(a: int, b: int, tenths: int) -> int:
     return (1000 - tenths) * (a + b) // (1000 + tenths)
 
 
+def _only_equal(size: int, tenths: int) -> bool:
+    """Whether a set of this size has no link but to equal sets: none a shingle larger or smaller, and none with one exchanged."""
+    return size * 1000 // tenths == size and -(-size * tenths // 1000) == size and _differ(size, size, tenths) < 2
+
+
 def _keys(value: np.ndarray, tenths: int) -> np.ndarray:
     """The sketch words of a set to join by, of all bands that matter, each with its band and place hashed in."""
     size = len(value)
+    if _only_equal(size, tenths):
+        return np.empty(0, np.uint64)
     band = int(np.floor(np.log(size) / np.log(BAND_RATIO) + 1e-9))
     while _edge(band + 1) <= size:
         band += 1
@@ -122,7 +133,9 @@ def _check(value: np.ndarray) -> np.ndarray:
 
 
 def _hashed(docs: DataFrame, key: str, text: str) -> DataFrame:
-    return docs.select(F.col(key).alias("_id"), F.transform(words(lower_ascii(whole(F.col(text)))), lambda w: F.xxhash64(w)).alias("_words"))
+    """(_id, _text_hash, _words): every row's id and the hashes of its text and words."""
+    hashed = F.transform(words(lower_ascii(whole(F.col(text)))), lambda w: F.xxhash64(w))
+    return docs.select(F.col(key).alias("_id"), F.xxhash64(text).alias("_text_hash"), hashed.alias("_words"))
 
 
 def _runs(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -143,7 +156,7 @@ def _digest(hashes: np.ndarray) -> int:
 
 
 def _described(docs: DataFrame, key: str, text: str, size: int, tenths: int) -> DataFrame:
-    """(_id, _n, _node, _keys, _checks): number of shingles, digest of the set (null for the empty one), sketch words to join and to check by."""
+    """(_id, _text_hash, _n, _node, _keys, _checks): number of shingles, digest of the set (null for the empty one), sketch words to join and to check by."""
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, flat, ends in _runs(batch):
@@ -154,12 +167,13 @@ def _described(docs: DataFrame, key: str, text: str, size: int, tenths: int) ->
                 checks = [_check(s).view(np.int64) for s in sets]
                 longs = pa.list_(pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(np.diff(at), pa.int64()), pa.array(nodes, pa.int64()), pa.array(keys, longs), pa.array(checks, longs)],
-                    ["_id", "_n", "_node", "_keys", "_checks"],
+                    [part.column(0), part.column(1), pa.array(np.diff(at), pa.int64()), pa.array(nodes, pa.int64()), pa.array(keys, longs), pa.array(checks, longs)],
+                    ["_id", "_text_hash", "_n", "_node", "_keys", "_checks"],
                 )
 
     hashed = _hashed(docs, key, text)
-    return hashed.mapInArrow(describe, f"_id {hashed.schema['_id'].dataType.simpleString()}, _n long, _node long, _keys array<long>, _checks array<long>")
+    kind = hashed.schema["_id"].dataType.simpleString()
+    return hashed.mapInArrow(describe, f"_id {kind}, _text_hash long, _n long, _node long, _keys array<long>, _checks array<long>")
 
 
 def _sets(docs: DataFrame, size: int) -> DataFrame:
@@ -176,10 +190,10 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, tenths: int) -> DataFrame:
-    """(_a, _b, _linked): whether the sets of each pair of nodes are similar enough."""
+    """(_a, _b, _from, _to, _linked): whether the sets of each pair of nodes are similar enough; _from and _to stay as they are."""
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left, right = batch.column(2), batch.column(3)
+            left, right = batch.column(4), batch.column(5)
             lo, ro = np.asarray(left.offsets), np.asarray(right.offsets)
             lv, rv = np.asarray(left.values), np.asarray(right.values)
             good = np.zeros(batch.num_rows, bool)
@@ -187,59 +201,77 @@ def _verified(pairs: DataFrame, sets: DataFrame, tenths: int) -> DataFrame:
                 a, b = lv[lo[n] : lo[n + 1]], rv[ro[n] : ro[n + 1]]
                 both = len(np.intersect1d(a, b, assume_unique=True))
                 good[n] = 1000 * both >= tenths * (len(a) + len(b) - both)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(good)], ["_a", "_b", "_linked"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in range(4)), pa.array(good)], ["_a", "_b", "_from", "_to", "_linked"])
 
     first, second = (sets.select(F.col("_node").alias(i), F.col("_hashes").alias(h)) for i, h in (("_a", "_ha"), ("_b", "_hb")))
-    joined = pairs.select("_a", "_b").join(first, "_a").join(second, "_b").select("_a", "_b", "_ha", "_hb")
-    return joined.mapInArrow(judge, "_a long, _b long, _linked boolean")
+    joined = pairs.join(first, "_a").join(second, "_b").select("_a", "_b", "_from", "_to", "_ha", "_hb")
+    return joined.mapInArrow(judge, "_a long, _b long, _from long, _to long, _linked boolean")
 
 
 def _connected(members: DataFrame, checks: DataFrame, sets: DataFrame, tenths: int) -> DataFrame:
-    """(_node, _component) by all links between ``members`` (_key, _node) of one key, for the nodes that have links.
-
-    A round compares all members of a small key with each other, and those of a
-    larger key to some of them, its centres.  Centres are settled then, and so is a
-    key whose members are known to be connected.  Each round allows more members
-    and centres than the last: the first one centre a key, the last all that are
-    still open.
+    """(_node, _component) by all links between ``members`` (_key, _node) of one key.
+
+    A key has centres: all members of a small one, some of a larger one.  A round
+    of the first kind compares each node to one centre, the one that most of its
+    keys name; one of the second kind to all centres of its keys, which are
+    settled then.  So is, after any round, a key whose members are known to be
+    connected.  Rounds of both kinds take turns, with more centres from turn to
+    turn, until all that were open have been compared.  What passes between
+    rounds is links between components, not between nodes.
     """
-    left = members.join(checks, "_node").withColumn("_label", F.col("_node"))
+    scratch = Scratch(members.sparkSession)
+    own = checks.select("_node", "_n", *CHECKS)
     theirs = checks.select(F.col("_node").alias("_centre"), F.col("_n").alias("_m"), *[F.col(c).alias(f"{c}c") for c in CHECKS])
     apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}c"))) for c in CHECKS), F.lit(0))
     near_enough = apart * (1000 + tenths) <= (F.col("_n") + F.col("_m")) * (1000 - tenths)
-    judged = state = None
-    size = 1
-    while True:
+    state = scratch.pin("state", members.select("_node").distinct().withColumn("_component", F.col("_node")))
+    left = members.withColumn("_label", F.col("_node"))
+    unlinked = None
+    for turn in count():
+        size, single = FEW ** (max(0, turn - 1) // 2), turn == 0 or turn % 2 == 1
         keys = left.groupBy("_key").agg(F.count(F.lit(1)).alias("_members"), F.min("_label").alias("_low"), F.max("_label").alias("_high"))
-        left = pin(left.drop("_members").join(keys.where("_low <> _high").select("_key", "_members"), "_key"))
-        if left.limit(1).count() == 0:
+        left = scratch.pin("left", left.drop("_members").join(keys.where("_low <> _high").select("_key", "_members"), "_key"))
+        if left.isEmpty():
             break
         slot = F.when(F.col("_members") <= size, F.col("_node")).otherwise(F.pmod(F.xxhash64("_node"), F.lit(size)))
         heads = left.groupBy("_key", slot.alias("_slot")).agg(F.min(F.struct("_node", "_label")).alias("_head"))
         centres = heads.select(F.col("_key").alias("_of"), F.col("_head._node").alias("_centre"), F.col("_head._label").alias("_other"))
-        met = (F.col("_key") == F.col("_of")) & (F.col("_label") != F.col("_other")) & near_enough
-        pairs = left.join(centres.join(theirs, "_centre"), met).select(F.least("_node", "_centre").alias("_a"), F.greatest("_node", "_centre").alias("_b")).distinct()
-        if judged is not None:
-            pairs = pairs.join(judged.select("_a", "_b"), ["_a", "_b"], "left_anti")
-        found = pin(_verified(pairs, sets, tenths))
-        judged = found if judged is None else judged.unionByName(found)
-        state = components(judged.where("_linked"))
-        settled = left.join(centres.select(F.col("_of").alias("_key"), F.col("_centre").alias("_node")), ["_key", "_node"], "left_anti")
-        left = settled.join(state, "_node", "left").withColumn("_label", F.coalesce("_component", "_node")).drop("_component")
-        size *= FEW
-    return members.select("_node", F.col("_node").alias("_component")).limit(0) if state is None else state
-
-
-def components(links: DataFrame) -> DataFrame:
+        met = left.join(centres, (F.col("_key") == F.col("_of")) & (F.col("_label") != F.col("_other")))
+        offered = met.groupBy("_node", "_label", "_centre", "_other").agg(F.count(F.lit(1)).alias("_agree"))
+        near = offered.join(own, "_node").join(theirs, "_centre").where(near_enough)
+        pair = (F.least("_node", "_centre").alias("_a"), F.greatest("_node", "_centre").alias("_b"))
+        if unlinked is not None:
+            near = near.withColumns({"_a": pair[0], "_b": pair[1]}).join(unlinked, ["_a", "_b"], "left_anti")
+        if single:
+            best = near.groupBy("_node", "_label").agg(F.min(F.struct((-F.col("_agree")).alias("less"), "_centre", "_other")).alias("_best"))
+            near = best.select("_node", "_label", "_best._centre", "_best._other")
+        pairs = near.select(*pair, F.least("_label", "_other").alias("_from"), F.greatest("_label", "_other").alias("_to")).distinct()
+        found = scratch.pin("found", _verified(pairs, sets, tenths))
+        merged = components(found.where("_linked").select(F.col("_from").alias("_a"), F.col("_to").alias("_b")), scratch)
+        renamed = merged.select(F.col("_node").alias("_old"), F.col("_component").alias("_new"))
+        again = state.join(renamed, F.col("_component") == F.col("_old"), "left")
+        state = scratch.pin("state", again.select("_node", F.coalesce("_new", "_component").alias("_component")))
+        failed = found.where("NOT _linked").select("_a", "_b")
+        unlinked = scratch.pin("unlinked", failed if unlinked is None else unlinked.unionByName(failed))
+        if not single:
+            left = left.join(centres.select(F.col("_of").alias("_key"), F.col("_centre").alias("_node")), ["_key", "_node"], "left_anti")
+        left = left.join(renamed, F.col("_label") == F.col("_old"), "left")
+        left = left.select("_key", "_node", F.coalesce("_new", "_label").alias("_label"))
+    scratch.drop("left", "found", "unlinked", "labels")
+    return state
+
+
+def components(links: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(_node, _component): the smallest node reachable by links (_a, _b), for the nodes that have links.
 
     Each round hands the least component among the neighbours on to a whole
     component and then follows it once, so the number of rounds grows with the
     logarithm of the longest chain.  Pairs of numbers move; every round is
-    written to the shared folder.
+    written to the shared folder, where the table called ``labels`` has the last.
     """
-    both = pin(links.select("_a", "_b").unionByName(links.select(F.col("_b").alias("_a"), F.col("_a").alias("_b"))).where("_a <> _b").distinct())
-    state = pin(both.groupBy(F.col("_a").alias("_node")).agg(F.least(F.min("_b"), F.min("_a")).alias("_component")))
+    scratch = scratch or Scratch(links.sparkSession)
+    both = scratch.pin("both", links.select("_a", "_b").unionByName(links.select(F.col("_b").alias("_a"), F.col("_a").alias("_b"))).where("_a <> _b").distinct())
+    state = scratch.pin("labels", both.groupBy(F.col("_a").alias("_node")).agg(F.least(F.min("_b"), F.min("_a")).alias("_component")))
     while True:
         near = both.join(state.select(F.col("_node").alias("_b"), F.col("_component").alias("_other")), "_b")
         least = near.groupBy(F.col("_a").alias("_node")).agg(F.min("_other").alias("_least"))
@@ -248,31 +280,38 @@ def components(links: DataFrame) -> DataFrame:
         moved = hooked.join(roots, F.col("_old") == F.col("_root")).select("_node", F.col("_to").alias("_new"), "_old")
         jump = roots.select(F.col("_root").alias("_at"), F.col("_to").alias("_further"))
         following = moved.join(jump, F.col("_new") == F.col("_at"), "left")
-        state = pin(following.select("_node", F.coalesce("_further", "_new").alias("_component"), "_old"))
-        changed = state.where("_component <> _old").limit(1).count()
+        state = scratch.pin("labels", following.select("_node", F.coalesce("_further", "_new").alias("_component"), "_old"))
+        if state.where("_component <> _old").isEmpty():
+            scratch.drop("both")
+            return state.drop("_old")
         state = state.drop("_old")
-        if not changed:
-            return state
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE, similarity: float = SIMILARITY) -> DataFrame:
     """(key, n_shingles, component_id): every row's number of shingles and the smallest id that links reach from it."""
     tenths = round(similarity * 1000)
+    scratch = Scratch(docs.sparkSession)
     rows = pin(_described(docs, key, text, size, tenths))
     filled = rows.where("_node IS NOT NULL")
-    heads = pin(filled.groupBy("_node").agg(F.min("_id").alias("_head")))
-    # the keys of one row of each set go on
-    first = heads.select(F.col("_node").alias("_of"), "_head")
-    whole_rows = filled.join(first, (F.col("_node") == F.col("_of")) & F.col("_id").eqNullSafe(F.col("_head")))
+    # one row of each set stands for it: of the smallest id, of none only where no row has one
+    best = F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_text_hash").alias("hash"))).alias("_best")
+    heads = pin(filled.groupBy("_node").agg(best).select("_node", F.col("_best.id").alias("_head"), F.col("_best.hash").alias("_head_hash")))
+    first = heads.select(F.col("_node").alias("_of"), "_head", "_head_hash")
+    standing = (F.col("_node") == F.col("_of")) & F.col("_id").eqNullSafe(F.col("_head")) & (F.col("_text_hash") == F.col("_head_hash"))
+    whole_rows = filled.join(first, standing)
     one = whole_rows.select("_node", F.explode("_keys").alias("_key"))
     shared = one.groupBy("_key").agg(F.min("_node").alias("_low"), F.max("_node").alias("_high")).where("_low <> _high")
-    members = pin(one.join(shared.select("_key"), "_key").select("_key", "_node").distinct())
+    members = scratch.pin("members", one.join(shared.select("_key"), "_key").select("_key", "_node").distinct())
+    nodes = members.select("_node").distinct()
     shown = whole_rows.select("_node", "_n", *[F.get("_checks", F.lit(n)).alias(c) for n, c in enumerate(CHECKS)])
-    checks = pin(shown.join(members.select("_node").distinct(), "_node", "left_semi").dropDuplicates(["_node"]))
-    wanted = heads.join(members.select("_node").distinct(), "_node", "left_semi").select("_head").distinct()
-    texts = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text")).join(wanted, F.col("_id").eqNullSafe(F.col("_head"))).select("_id", "_text")
-    sets = pin(_sets(texts.dropDuplicates(["_id", "_text"]), size))
+    checks = scratch.pin("checks", shown.join(nodes, "_node", "left_semi").dropDuplicates(["_node"]))
+    # texts are found by hash and id, so rows without an id are spread as well
+    wanted = heads.join(nodes, "_node", "left_semi").select("_head", "_head_hash").distinct()
+    texts = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text"), F.xxhash64(text).alias("_hash"))
+    texts = texts.join(wanted, (F.col("_hash") == F.col("_head_hash")) & F.col("_id").eqNullSafe(F.col("_head")), "left_semi")
+    sets = scratch.pin("sets", _sets(texts.dropDuplicates(["_id", "_hash"]).select("_id", "_text"), size))
     state = _connected(members, checks, sets, tenths)
+    scratch.drop("members", "checks", "sets")
     linked = heads.join(state, "_node", "left").select("_node", "_head", F.coalesce("_component", "_node").alias("_component"))
     least = linked.groupBy("_component").agg(F.min("_head").alias("_first"))
     of = linked.join(least, "_component").select(F.col("_node").alias("_of"), "_first")
@@ -287,7 +326,9 @@ def one_of_each(docs: DataFrame, size: int = SIZE, similarity: float = SIMILARIT
     """
     docs = docs.select(*DOCUMENT)
     found = near_duplicates(docs, size=size, similarity=similarity)
-    kept = found.where(F.col("component_id").eqNullSafe(F.col("doc_id"))).groupBy(F.col("doc_id").alias("_kept")).agg(F.max("n_shingles").alias("_n"))
+    kept = found.where("component_id = doc_id").groupBy(F.col("doc_id").alias("_kept")).agg(F.max("n_shingles").alias("_n"))
+    numbered = docs.join(pin(kept), F.col("doc_id") == F.col("_kept"))
     again = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("n_chars", "lang", "source")
-    numbered = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept"))).withColumn("_copy", F.row_number().over(again))
-    return numbered.where((F.col("_copy") == 1) | (F.col("_n") == 0) | F.col("doc_id").isNull()).select(*DOCUMENT)
+    once = numbered.where("_n > 0").withColumn("_copy", F.row_number().over(again)).where("_copy = 1")
+    parts = (once, numbered.where("_n = 0"), docs.where("doc_id IS NULL"))
+    return parts[0].select(*DOCUMENT).unionByName(parts[1].select(*DOCUMENT)).unionByName(parts[2])

@@ -122,12 +122,44 @@ def test_similar_sets_share_a_key(size, cut, tenths, seed):
     common = size - lost
     added = max(0, common * 1000 // tenths - size)
     b = np.sort(np.concatenate([a[: size - lost], pool[size : size + added]]))
-    if not len(b) or 1000 * common < tenths * (size + len(b) - common):
-        return
+    if not len(b) or 1000 * common < tenths * (size + len(b) - common) or np.array_equal(a, b):
+        return  # equal sets are one node and need no key
     assert np.intersect1d(jaccard._keys(a, tenths), jaccard._keys(b, tenths)).size
     assert int(np.bitwise_count(jaccard._check(a) ^ jaccard._check(b)).sum()) <= size + len(b) - 2 * common
 
 
+@pytest.mark.parametrize(("tenths", "least"), [(900, 9), (800, 4)])
+def test_sets_that_only_link_when_equal_have_no_keys(tenths, least):
+    pool = np.random.default_rng(1).integers(0, 2**63, 40, dtype=np.uint64)
+    assert [len(jaccard._keys(pool[:n], tenths)) > 0 for n in range(1, 20)] == [n >= least for n in range(1, 20)]
+
+
+@pytest.mark.parametrize("count", [1000, 2000])
+def test_pairs_of_near_copies(spark, monkeypatch, count):
+    rng = np.random.default_rng(count)
+    rows = []
+    for n in range(count):
+        text = [f"w{i}" for i in range(200)]
+        for at in rng.integers(0, 200, rng.integers(1, 5)):
+            text[at] = f"x{rng.integers(10**9)}"
+        rows.append((n, " ".join(text)))
+    pairs = []
+    verified = jaccard._verified
+
+    def counted(frame, *rest):
+        frame = frame.cache()
+        pairs.append(frame.count())
+        return verified(frame, *rest)
+
+    monkeypatch.setattr(jaccard, "_verified", counted)
+    got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(8), size=3, similarity=0.9).collect()
+    sets = sets_of(dict(rows), 3)
+    least = components_of(dict(list(sets.items())[:60]), 90)
+    by = {r.doc_id: r.component_id for r in got}
+    assert len({by[n] for n in range(60)}) <= len(set(least.values()))
+    assert max(pairs) <= count and sum(pairs) <= 2 * count, pairs
+
+
 TRICKY = [
     "", " ", "  ", "a", " a", "a ", "a  b", "a   b  ", "\n", "a\nb", "a \nb", "a\n b", "a\n\n b", "it's we'LL don't", "x\u00a0y \u00a0z", "\u3000a b", "é😀 ü\x85b",
     "1234 56,7.8 -- !!", "a\tb\t c", "\x1c \x1d a!\x1c b", "tail\n ", "<|endoftext|> in text<|endoftext|>", "\u2028a \u2028 b", "日本 語 テスト", "a" * 3000, "word " * 2000,
