@@ -62,4 +62,53 @@ FROM m JOIN shape s ON m.rid = s.rid JOIN place p ON m.conv_id IS NOT DISTINCT F
 LEFT JOIN found f ON m.conv_id IS NOT DISTINCT FROM f.conv_id AND m.turn IS NOT DISTINCT FROM f.turn
 """
 
-STATEMENTS = {"op7_line_dedup": OP7, "op8_mixing": OP8, "op9_quotes": OP9}
+#: Vectors as whole numbers, and scores of all pairs that a condition joins.
+VECTORS = """
+WITH u AS (SELECT vec_id, label, embedding FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+v AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM u),
+"""
+
+OP12 = VECTORS + """
+r AS (SELECT vec_id, e, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label FROM v WHERE label IS NOT NULL),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_dot_product(a.e, b.e)::BIGINT AS score
+    FROM r a JOIN r b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+n AS (SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score,
+    row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id)::INT AS rank
+    FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT s.same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3
+"""
+
+OP13 = VECTORS + """
+s AS (SELECT a.vec_id AS query_id, b.vec_id, list_dot_product(a.e, b.e)::BIGINT AS score FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM n WHERE rank <= 5
+"""
+
+OP11 = """
+WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos, coalesce(role, '') AS role, coalesce(text, '') AS text
+    FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, conv_id - conv_id % 100 AS base, xor(4294967295, list_reduce([4294967295::BIGINT]
+    || list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT), lambda a, b: list_reduce([xor(a, b)] || [0::BIGINT, 0, 0, 0, 0, 0, 0, 0],
+    lambda p, q: xor(p >> 1, 3988292384 * (p & 1))))) % 6 AS h FROM t GROUP BY conv_id),
+r AS (SELECT c.conv_id, 0 AS part, pos, role, text FROM c JOIN t ON t.conv_id = c.base AND pos <= h
+    UNION ALL SELECT c.conv_id, 1, pos, role, text FROM c JOIN t ON t.conv_id = c.conv_id AND pos > h),
+d AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY part, pos) AS depth, role, text FROM r),
+k AS (SELECT conv_id, depth, length(text) AS chars, md5(string_agg(length(role) || ':' || role || length(text) || ':' || text, '')
+    OVER (PARTITION BY conv_id ORDER BY depth)) AS node FROM d),
+p AS (SELECT conv_id, depth, chars, node, lag(node, 1, 'root') OVER (PARTITION BY conv_id ORDER BY depth) AS above FROM k
+    UNION ALL SELECT conv_id, 0, 0, 'root', NULL FROM c),
+n AS (SELECT node, depth, above, chars, count(*) AS n_convs, min(conv_id) AS conv_id FROM p GROUP BY ALL),
+b AS (SELECT above AS node, count(*) AS n_children FROM n GROUP BY above),
+s AS (SELECT a.node, count(*) FILTER (b.node IS NULL) AS n_leaves, sum((n_convs - 1) * n.chars) AS saved_tokens
+    FROM n JOIN p a ON a.conv_id = n.conv_id AND a.depth <= n.depth LEFT JOIN b ON b.node = n.node GROUP BY a.node),
+e AS (SELECT node, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS ends FROM (
+    SELECT conv_id, node FROM p QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY depth DESC) = 1) GROUP BY node)
+SELECT n.conv_id, n.depth::BIGINT AS depth, o.conv_id AS parent_conv_id, n.n_convs::BIGINT AS n_convs, coalesce(b.n_children, 0)::BIGINT AS n_children,
+    s.n_leaves::BIGINT AS n_leaves, s.saved_tokens::BIGINT AS saved_tokens, coalesce(e.ends, sha256('')) AS ends_sha256
+FROM n JOIN s ON n.node = s.node LEFT JOIN b ON n.node = b.node LEFT JOIN e ON n.node = e.node LEFT JOIN n o ON n.above = o.node
+"""
+
+STATEMENTS = {"op7_line_dedup": OP7, "op8_mixing": OP8, "op9_quotes": OP9, "op11_prefix_trie": OP11, "op12_hard_negatives": OP12, "op13_exact_topk": OP13}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigsift.llm import ann, fingerprints, jaccard, lines, mixing, oracle, packing, pii, quality, quotes, urls
+from sigsift.llm import ann, bitslice, fingerprints, hardneg, jaccard, lines, mixing, oracle, packing, pii, quality, quotes, trie, urls
 from sigsift.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -94,3 +94,20 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
+@query
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.built(table(spark, sf_dir, "conversations"))
+
+
+@query
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardneg.mined(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label)
+
+
+@query
+def op13_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = bitslice.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+    return found.select("query_id", "rank", "vec_id", "score")
