@@ -33,6 +33,32 @@ PHP = ("php",)
 JS = ("js", "jsx", "ts", "tsx")
 
 
+@dataclass(frozen=True)
+class Run:
+    """The parts of a pattern that, once opened, reads on to a delimiter that need not come.
+
+    A plain search starts again at every opening, and each reads to the end of
+    the text where the delimiter is absent.  With the parts known, the text is
+    walked once: what an opening can't find before the next delimiter, no later
+    opening before that delimiter finds either, so the walk goes on behind them
+    all.  The pattern's match is ``opening`` and ``rest``.  That holds if
+    ``opening`` has none of the characters ``until``, and if ``rest`` begins with
+    characters other than those and matches behind an opening whenever it does
+    behind a later one.  ``first`` has every character an opening begins with.
+    """
+
+    opening: str
+    until: str
+    rest: str
+    first: str
+
+    @property
+    def pattern(self) -> str:
+        """One match and what stands before it: groups 2 and 1.  It goes on where the last match ended."""
+        match = self.opening + self.rest
+        return rf"\G((?:[^{self.first}]++|(?!{match})(?:{self.opening}[^{self.until}]*+|[\s\S]))*+)({match})"
+
+
 @dataclass(frozen=True)
 class Rule:
     """One signature.
@@ -40,6 +66,7 @@ class Rule:
     ``literals`` are substrings, case ignored, of which a matching file always
     contains at least one; an empty tuple switches the prefilter off.  Patterns
     may be written for the JVM or with named groups as Python writes them.
+    ``run`` has the parts of a pattern that reads on to a delimiter.
     """
 
     rule_id: str
@@ -57,6 +84,7 @@ class Rule:
     layman_fix: str = ""
     step_by_step_fix: tuple[str, ...] = field(default=())
     recommendation: str = ""
+    run: Run | None = None
 
     def __post_init__(self):
         # the text that literals are looked for in is folded alike
@@ -67,6 +95,11 @@ class Rule:
     def jvm_pattern(self) -> str:
         return MATCH_FLAGS + (jvm_syntax(self.pattern) if self.is_regex else quote(self.pattern))
 
+    @property
+    def search_pattern(self) -> str:
+        """The pattern that texts are searched with; where there is a run, matches are its group 2 and what stands before them group 1."""
+        return MATCH_FLAGS + self.run.pattern if self.run else self.jvm_pattern
+
     @property
     def suppressors(self) -> list[str]:
         return [SUPPRESS_FLAGS + jvm_syntax(p) for p in self.fp_patterns]
@@ -103,9 +136,23 @@ def _r(rule_id, severity, confidence, cwe, title, pattern, literals, suppress=()
         layman_fix=help_text["layman_fix"],
         step_by_step_fix=tuple(help_text["steps"]),
         recommendation=help_text["recommendation"],
+        run=RUNS.get(rule_id),
     )
 
 
+# The signatures that read on to a delimiter, by their parts: they match what the signature of the catalog matches.
+RUNS = {
+    "PHP-SQLI-002": Run(r"\$wpdb\s*->\s*(?:query|get_results|get_row|get_var|get_col)\s*\(", ")", r"[^)]*\.\s*\$", "$"),
+    "PHP-SQLI-003": Run(r"\$wpdb\s*->\s*\w+\s*\(", ")", r"[^)]*\$_(?:GET|POST|REQUEST)\b", "$"),
+    "PHP-XSS-002": Run(r"""\becho\s++["']?+""", ";", r"[^;]*\$(?!wpdb)\w+", "e"),
+    "PHP-CSRF-001": Run(r"if\s*\(\s*isset\s*\(\s*\$_(?:POST|GET|REQUEST)\b", ")", r"[^)]*+\)\s*\)", "i"),
+    "PHP-INFO-002": Run(r"(?:ini_set|error_reporting)\s*\(", ")", r"[^)]*(?:E_ALL|display_errors)", "ie"),
+    "PHP-MALWARE-009": Run(r"curl_setopt\s*\(", ")", r"(?>[^)]*?CURLOPT_POSTFIELDS\s*+,)[^)]*\$_(?:GET|POST|REQUEST|COOKIE|SERVER)", "c"),
+    "PHP-BP-001": Run(r"""\$_(?:GET|POST|REQUEST)\s*\[\s*['"]""", r"\]", r"""[^\]]+['"]\s*\](?!\s*\))""", "$"),
+    "JS-AJAX-001": Run(r"(?:jQuery\.(?:ajax|post|get)|fetch|XMLHttpRequest)", r"\n", r".*admin-ajax\.php", "jfx"),
+}
+
+
 # Rule ids, severities, confidences, CWE numbers, titles, signatures and
 # suppression patterns, in catalog order.  The three chain signatures use a possessive
 # repeat: it matches the same text but cannot overflow the JVM's regex stack.
@@ -239,7 +286,7 @@ def check_rules(rules: Iterable[Rule]) -> list[str]:
     for rule in rules:
         if rule in _BUILT_IN:
             continue
-        for source in (rule.jvm_pattern, *rule.suppressors):
+        for source in dict.fromkeys((rule.jvm_pattern, rule.search_pattern, *rule.suppressors)):
             fault = _fault(source)
             if fault == EMPTY_MATCH and source != rule.jvm_pattern:
                 continue

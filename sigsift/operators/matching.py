@@ -44,7 +44,7 @@ def hit_rules(config: ScanConfig) -> Column:
         spoken = ", ".join(tx.sql_string(x) for x in languages)
         tests.append(
             f"CASE WHEN language IN ({spoken}) THEN CASE WHEN {tx.contains_any('folded', rule.literals)} "
-            f"THEN CASE WHEN rlike(text, {tx.sql_string(rule.jvm_pattern)}) THEN {n} ELSE 0 END ELSE 0 END ELSE 0 END"
+            f"THEN CASE WHEN rlike(text, {tx.sql_string(rule.search_pattern)}) THEN {n} ELSE 0 END ELSE 0 END ELSE 0 END"
         )
     # array_remove() is compiled, array_compact() is not; no rule has position 0
     return F.expr(f"array_remove(cast(array({', '.join(tests)}) AS array<int>), 0)")
@@ -63,15 +63,19 @@ def with_hits(files: DataFrame, config: ScanConfig) -> DataFrame:
 @lru_cache(maxsize=32)
 def hit_places(config: ScanConfig) -> Column:
     """Per hit rule the (start, line, col) of its matches, or of its first ``max_matches``, and whether there are more."""
-    patterns = F.expr(tx.sql_array(r.jvm_pattern for r in config.rules))
+    patterns = F.expr(tx.sql_array(r.search_pattern for r in config.rules))
+    # the group of a pattern that has the match; where it is not the whole, group 1 has what stands before it
+    groups = F.expr(f"array({', '.join('2' if r.run else '0' for r in config.rules)})")
     cap = config.max_matches
 
     def cut(rule_ord: Column) -> Column:
-        pattern = F.element_at(patterns, rule_ord)
-        found = F.regexp_extract_all(F.col("text"), pattern, 0)
+        pattern, group = F.element_at(patterns, rule_ord), F.element_at(groups, rule_ord)
+        found = F.regexp_extract_all(F.col("text"), pattern, group)
+        pieces = F.when(group == 0, F.split(F.col("text"), pattern, -1 if cap is None else cap + 2)).otherwise(
+            F.regexp_extract_all(F.col("text"), pattern, F.lit(1))
+        )
         return F.struct(
-            rule_ord.alias("rule_ord"), F.split(F.col("text"), pattern, -1 if cap is None else cap + 2).alias("pieces"),
-            (found if cap is None else F.slice(found, 1, cap + 1)).alias("found"),
+            rule_ord.alias("rule_ord"), pieces.alias("pieces"), (found if cap is None else F.slice(found, 1, cap + 1)).alias("found"),
         )
 
     def place(c: Column) -> Column:

@@ -1,8 +1,12 @@
 """Every rule on code it should and should not report, and agreement with Python's matcher."""
 
+import random
 import re
+import time
 
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sigsift.catalog import RULES, Rule, check_rules, quote, risky_rules, rules_frame
@@ -146,6 +150,49 @@ def test_positions_agree_with_python(located):
     assert wrong == []
 
 
+WITH_RUN = [r for r in RULES if r.run]
+PARTS = (
+    "$wpdb", "->", "query", "insert", "(", ")", ";", "\n", " ", "  ", ".", "$", "$a", "$_GET", "$_POST", "$_REQUEST", "['", "a']", "']", "]", "'", '"', "echo ", "echo",
+    "ECHO\t", "xecho ", "wpdb", "é", "ini_set", "ınİ_set(", "error_reporting", "E_ALL", "display_errors", "curl_setopt", "CURLOPT_POSTFIELDS", ",", "if", "isset",
+    "jQuery.ajax", "fetch", "XMLHttpRequest", "admin-ajax.php", "\r\n", "\u2028", "😀",
+)
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.integers(0, 2**32))
+def test_runs_match_what_the_patterns_match(spark, seed):
+    rng = random.Random(seed)
+    texts = ["".join(rng.choices(PARTS, k=rng.randrange(60))) for _ in range(400)]
+    # parts of one rule only meet more often
+    for rule in WITH_RUN:
+        own = [p for p in PARTS if re.search(re.escape(p.strip() or p), rule.pattern.replace("\\", ""), re.I)] + [" ", ")", ";", "$_GET", "$a", "]", "\n", "a']"]
+        texts += ["".join(rng.choices(own, k=rng.randrange(30))) for _ in range(100)]
+    frame = spark.createDataFrame([(t,) for t in texts], "text string")
+    for rule in WITH_RUN:
+        search = F.lit(rule.search_pattern)
+        rows = frame.select(
+            "text", F.regexp_extract_all("text", F.lit(rule.jvm_pattern), F.lit(0)).alias("plain"), F.regexp_extract_all("text", search, F.lit(2)).alias("found"),
+            F.regexp_extract_all("text", search, F.lit(1)).alias("before"), F.rlike("text", search).alias("hit"),
+        ).collect()
+        for r in rows:
+            there = [m for m in re.finditer(rule.pattern, r.text, re.IGNORECASE | re.MULTILINE)]
+            assert r.found == r.plain == [m[0] for m in there] and r.hit == bool(there), (rule.rule_id, r.text)
+            ends = [0] + [m.end() for m in there]
+            assert r.before == [r.text[e : m.start()] for e, m in zip(ends, there, strict=False)], (rule.rule_id, r.text)
+
+
+@pytest.mark.parametrize(
+    "opening", ["echo $wpdb ", "$wpdb->query(", "$wpdb -> x ( ", "ini_set('a', ", "curl_setopt($c, CURLOPT_POSTFIELDS, ", "curl_setopt(", "if (isset($_POST ", "$_GET['a", "fetch "],
+)
+def test_openings_without_a_delimiter(spark, files, opening):
+    text = opening * (20_000_000 // len(opening))
+    rows = files({"a.js" if opening == "fetch " else "a.php": text + ("\nadmin-ajax.php" if opening == "fetch " else "")})
+    only = ScanConfig(rules=tuple(r for r in WITH_RUN))
+    start = time.monotonic()
+    matching.with_places(rows.selectExpr("*", f"'{'js' if opening == 'fetch ' else 'php'}' AS language"), only).select(F.size("hits")).collect()
+    assert time.monotonic() - start < 60
+
+
 def test_hostile_chains_do_not_overflow(spark, files):
     chains = {"a.php": "chr(101)." * 200_000, "b.js": "fromCharCode(" + "1," * 200_000 + "1)"}
     frame = files(chains).withColumn("language", F.when(F.col("path") == "a.php", "php").otherwise("js"))
