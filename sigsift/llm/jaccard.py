@@ -5,13 +5,15 @@ bits as their sets differ in shingles, and a similarity of t allows sets of a an
 b shingles to differ in (1 - t) / (1 + t) * (a + b).  With more words of 64 bits
 in the sketch than that, linked sets share some of the words.  Sketches are laid
 out for bands of sizes; a set is sketched for its own band and, where a larger
-partner may lie there, for the next.  Of each sketch the words with the most bits
-are kept, enough of them that a shared one is among those of both sets; words of
-few bits say little and are what unrelated texts share.
-
-Sets that share a sketch word are candidates.  A second sketch of fixed size, kept
-once for each set, tells most of those apart that are no link: two sets whose
-sketches differ in more bits than a link allows are no pair.  The others are
+partner may lie there, for the next.  Of each sketch the words that fewest sets
+have are kept, enough of them that a shared one is among those of both sets.  So a
+set that was much changed keeps the words that are its own, and the words that
+unrelated or distant sets have in common are mostly left out.
+
+Sets that share a sketch word are candidates.  A second sketch of fixed size tells
+most of those apart that are no link: two sets whose sketches differ in more bits
+than a link allows are no pair.  A quarter of it goes with the words and is
+compared in the join itself, the rest is kept once for each set.  The others are
 verified on the whole sets.  At first every set is compared to one other only, the
 one that most of its words agree on.  Then all sets of a word are compared to a
 few of them, and what has come together in one component is compared no more; the
@@ -34,7 +36,7 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigsift.llm.common import DOCUMENT, lower_ascii, whole, words
@@ -42,12 +44,13 @@ from sigsift.session import Scratch, pin
 
 SIZE = 5
 SIMILARITY = 0.8
-BAND_RATIO = 1.6
-FEW = 16
+BAND_RATIO = 1.4
+FEW = 32
 BITS = 64
 SHINGLES = 500_000
 CHECK_WORDS = 16
 CHECKS = tuple(f"_s{n}" for n in range(CHECK_WORDS))
+AT_ONCE = CHECKS[:4]
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -98,11 +101,15 @@ def _only_equal(size: int, tenths: int) -> bool:
     return size * 1000 // tenths == size and -(-size * tenths // 1000) == size and _differ(size, size, tenths) < 2
 
 
-def _keys(value: np.ndarray, tenths: int) -> np.ndarray:
-    """The sketch words of a set to join by, of all bands that matter, each with its band and place hashed in."""
+def _keys(value: np.ndarray, tenths: int) -> list[tuple[np.ndarray, int]]:
+    """The sketch words of a set in all bands that matter, each with its band and place hashed in, and how many of them to keep.
+
+    Linked sets differ in fewer words than are kept.  In any order of all words
+    the first one that they share is therefore among the first that each keeps.
+    """
     size = len(value)
     if _only_equal(size, tenths):
-        return np.empty(0, np.uint64)
+        return []
     band = int(np.floor(np.log(size) / np.log(BAND_RATIO) + 1e-9))
     while _edge(band + 1) <= size:
         band += 1
@@ -112,16 +119,14 @@ def _keys(value: np.ndarray, tenths: int) -> np.ndarray:
         largest = min(size * 1000 // tenths, high)  # of a partner in this layout
         if layout > band and largest < low:
             break
-        parts = (_differ(high, high, tenths) + 1) * 11 // 10 + 2
-        kept = min(parts, _differ(size, largest, tenths) + 1)
+        parts = _differ(high, high, tenths) + 1
         mixed = _mixed(value ^ np.uint64(layout))
         sketch = np.zeros(parts, np.uint64)
         place = ((mixed >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
         np.bitwise_xor.at(sketch, place, np.uint64(1) << (mixed & np.uint64(BITS - 1)))
         named = _mixed(sketch + _MIX * (np.arange(parts, dtype=np.uint64) + np.uint64(1) + (np.uint64(layout) << np.uint64(32))))
-        rank = np.lexsort((named, -np.bitwise_count(sketch).astype(np.int64)))
-        out.append(named[rank[:kept]])
-    return np.concatenate(out)
+        out.append((named, min(parts, _differ(size, largest, tenths) + 1)))
+    return out
 
 
 def _check(value: np.ndarray) -> np.ndarray:
@@ -156,24 +161,33 @@ def _digest(hashes: np.ndarray) -> int:
 
 
 def _described(docs: DataFrame, key: str, text: str, size: int, tenths: int) -> DataFrame:
-    """(_id, _text_hash, _n, _node, _keys, _checks): number of shingles, digest of the set (null for the empty one), sketch words to join and to check by."""
+    """(_id, _text_hash, _n, _node, _keys, _kept, _checks): number of shingles, digest of the set (null for the empty one), sketch words to join by.
+
+    ``_keys`` has a list of words for each band, ``_kept`` how many of each to
+    keep, ``_checks`` the words to check by.
+    """
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, flat, ends in _runs(batch):
                 value, at = _shingles(flat, ends, size)
                 sets = [value[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
-                keys = [_keys(s, tenths).view(np.int64) if len(s) else np.empty(0, np.int64) for s in sets]
+                keys = [_keys(s, tenths) if len(s) else [] for s in sets]
+                words_of = [[w.view(np.int64) for w, _ in k] for k in keys]
+                kept = [[n for _, n in k] for k in keys]
                 nodes = [_digest(s) if len(s) else None for s in sets]
                 checks = [_check(s).view(np.int64) for s in sets]
                 longs = pa.list_(pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(np.diff(at), pa.int64()), pa.array(nodes, pa.int64()), pa.array(keys, longs), pa.array(checks, longs)],
-                    ["_id", "_text_hash", "_n", "_node", "_keys", "_checks"],
+                    [
+                        part.column(0), part.column(1), pa.array(np.diff(at), pa.int64()), pa.array(nodes, pa.int64()), pa.array(words_of, pa.list_(longs)),
+                        pa.array(kept, pa.list_(pa.int32())), pa.array(checks, longs),
+                    ],
+                    ["_id", "_text_hash", "_n", "_node", "_keys", "_kept", "_checks"],
                 )
 
     hashed = _hashed(docs, key, text)
     kind = hashed.schema["_id"].dataType.simpleString()
-    return hashed.mapInArrow(describe, f"_id {kind}, _text_hash long, _n long, _node long, _keys array<long>, _checks array<long>")
+    return hashed.mapInArrow(describe, f"_id {kind}, _text_hash long, _n long, _node long, _keys array<array<long>>, _kept array<int>, _checks array<long>")
 
 
 def _sets(docs: DataFrame, size: int) -> DataFrame:
@@ -222,23 +236,29 @@ def _connected(members: DataFrame, checks: DataFrame, sets: DataFrame, tenths: i
     scratch = Scratch(members.sparkSession)
     own = checks.select("_node", "_n", *CHECKS)
     theirs = checks.select(F.col("_node").alias("_centre"), F.col("_n").alias("_m"), *[F.col(c).alias(f"{c}c") for c in CHECKS])
-    apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}c"))) for c in CHECKS), F.lit(0))
-    near_enough = apart * (1000 + tenths) <= (F.col("_n") + F.col("_m")) * (1000 - tenths)
+
+    def near_enough(names: tuple[str, ...]) -> Column:
+        apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}c"))) for c in names), F.lit(0))
+        return apart * (1000 + tenths) <= (F.col("_n") + F.col("_m")) * (1000 - tenths)
+
     state = scratch.pin("state", members.select("_node").distinct().withColumn("_component", F.col("_node")))
     left = members.withColumn("_label", F.col("_node"))
     unlinked = None
     for turn in count():
         size, single = FEW ** (max(0, turn - 1) // 2), turn == 0 or turn % 2 == 1
         keys = left.groupBy("_key").agg(F.count(F.lit(1)).alias("_members"), F.min("_label").alias("_low"), F.max("_label").alias("_high"))
-        left = scratch.pin("left", left.drop("_members").join(keys.where("_low <> _high").select("_key", "_members"), "_key"))
+        left = scratch.pin("left", left.join(keys.where("_low <> _high").select("_key", "_members"), "_key"))
         if left.isEmpty():
             break
         slot = F.when(F.col("_members") <= size, F.col("_node")).otherwise(F.pmod(F.xxhash64("_node"), F.lit(size)))
-        heads = left.groupBy("_key", slot.alias("_slot")).agg(F.min(F.struct("_node", "_label")).alias("_head"))
-        centres = heads.select(F.col("_key").alias("_of"), F.col("_head._node").alias("_centre"), F.col("_head._label").alias("_other"))
-        met = left.join(centres, (F.col("_key") == F.col("_of")) & (F.col("_label") != F.col("_other")))
+        heads = left.groupBy("_key", slot.alias("_slot")).agg(F.min(F.struct("_node", "_label", "_n", *AT_ONCE)).alias("_head"))
+        centres = heads.select(
+            F.col("_key").alias("_of"), F.col("_head._node").alias("_centre"), F.col("_head._label").alias("_other"), F.col("_head._n").alias("_m"),
+            *[F.col(f"_head.{c}").alias(f"{c}c") for c in AT_ONCE],
+        )
+        met = left.join(centres, (F.col("_key") == F.col("_of")) & (F.col("_label") != F.col("_other")) & near_enough(AT_ONCE))
         offered = met.groupBy("_node", "_label", "_centre", "_other").agg(F.count(F.lit(1)).alias("_agree"))
-        near = offered.join(own, "_node").join(theirs, "_centre").where(near_enough)
+        near = offered.join(own, "_node").join(theirs, "_centre").where(near_enough(CHECKS))
         pair = (F.least("_node", "_centre").alias("_a"), F.greatest("_node", "_centre").alias("_b"))
         if unlinked is not None:
             near = near.withColumns({"_a": pair[0], "_b": pair[1]}).join(unlinked, ["_a", "_b"], "left_anti")
@@ -247,16 +267,19 @@ def _connected(members: DataFrame, checks: DataFrame, sets: DataFrame, tenths: i
             near = best.select("_node", "_label", "_best._centre", "_best._other")
         pairs = near.select(*pair, F.least("_label", "_other").alias("_from"), F.greatest("_label", "_other").alias("_to")).distinct()
         found = scratch.pin("found", _verified(pairs, sets, tenths))
-        merged = components(found.where("_linked").select(F.col("_from").alias("_a"), F.col("_to").alias("_b")), scratch)
-        renamed = merged.select(F.col("_node").alias("_old"), F.col("_component").alias("_new"))
-        again = state.join(renamed, F.col("_component") == F.col("_old"), "left")
-        state = scratch.pin("state", again.select("_node", F.coalesce("_new", "_component").alias("_component")))
+        if not single or found.isEmpty():  # where no node had a centre to be compared to, all centres are settled as well
+            left = left.join(centres.select(F.col("_of").alias("_key"), F.col("_centre").alias("_node")), ["_key", "_node"], "left_anti")
         failed = found.where("NOT _linked").select("_a", "_b")
         unlinked = scratch.pin("unlinked", failed if unlinked is None else unlinked.unionByName(failed))
-        if not single:
-            left = left.join(centres.select(F.col("_of").alias("_key"), F.col("_centre").alias("_node")), ["_key", "_node"], "left_anti")
-        left = left.join(renamed, F.col("_label") == F.col("_old"), "left")
-        left = left.select("_key", "_node", F.coalesce("_new", "_label").alias("_label"))
+        links = found.where("_linked").select(F.col("_from").alias("_a"), F.col("_to").alias("_b"))
+        if not links.isEmpty():
+            renamed = components(links, scratch).select(F.col("_node").alias("_old"), F.col("_component").alias("_new"))
+            again = state.join(renamed, F.col("_component") == F.col("_old"), "left")
+            state = scratch.pin("state", again.select("_node", F.coalesce("_new", "_component").alias("_component")))
+            left = left.join(renamed, F.col("_label") == F.col("_old"), "left")
+            left = left.select("_key", "_node", F.coalesce("_new", "_label").alias("_label"), "_n", *AT_ONCE)
+        else:
+            left = left.drop("_members")
     scratch.drop("left", "found", "unlinked", "labels")
     return state
 
@@ -287,6 +310,20 @@ def components(links: DataFrame, scratch: Scratch | None = None) -> DataFrame:
         state = state.drop("_old")
 
 
+def _members(nodes: DataFrame) -> DataFrame:
+    """(_key, _node, _n, *AT_ONCE): of each band's words of a node those to keep, the ones that fewest nodes have, but for words of a single node."""
+    banded = nodes.select("_node", "_n", *[F.get("_checks", F.lit(n)).alias(c) for n, c in enumerate(AT_ONCE)], F.posexplode(F.arrays_zip("_keys", "_kept")).alias("_band", "_of"))
+    facts = banded.select("_node", "_band", F.size("_of._keys").alias("_parts"), F.col("_of._kept").alias("_kept"), "_n", *AT_ONCE)
+    one = banded.select("_node", "_band", F.explode("_of._keys").alias("_key"))
+    shared = one.groupBy("_key").agg(F.count(F.lit(1)).alias("_have")).where("_have > 1")
+    common = one.join(shared, "_key")
+    # words of one node come first and are no candidates; what is left of the number to keep goes to the others
+    of = Window.partitionBy("_node", "_band")
+    ranked = common.withColumn("_rank", F.row_number().over(of.orderBy("_have", "_key"))).withColumn("_common", F.count(F.lit(1)).over(of))
+    kept = ranked.join(facts, ["_node", "_band"]).where(F.col("_rank") <= F.col("_kept") - (F.col("_parts") - F.col("_common")))
+    return kept.select("_key", "_node", "_n", *AT_ONCE)
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE, similarity: float = SIMILARITY) -> DataFrame:
     """(key, n_shingles, component_id): every row's number of shingles and the smallest id that links reach from it."""
     tenths = round(similarity * 1000)
@@ -299,9 +336,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     first = heads.select(F.col("_node").alias("_of"), "_head", "_head_hash")
     standing = (F.col("_node") == F.col("_of")) & F.col("_id").eqNullSafe(F.col("_head")) & (F.col("_text_hash") == F.col("_head_hash"))
     whole_rows = filled.join(first, standing)
-    one = whole_rows.select("_node", F.explode("_keys").alias("_key"))
-    shared = one.groupBy("_key").agg(F.min("_node").alias("_low"), F.max("_node").alias("_high")).where("_low <> _high")
-    members = scratch.pin("members", one.join(shared.select("_key"), "_key").select("_key", "_node").distinct())
+    members = scratch.pin("members", _members(whole_rows.dropDuplicates(["_node"])))
     nodes = members.select("_node").distinct()
     shown = whole_rows.select("_node", "_n", *[F.get("_checks", F.lit(n)).alias(c) for n, c in enumerate(CHECKS)])
     checks = scratch.pin("checks", shown.join(nodes, "_node", "left_semi").dropDuplicates(["_node"]))
