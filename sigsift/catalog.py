@@ -9,7 +9,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -280,14 +279,16 @@ def check_rules(rules: Iterable[Rule]) -> list[str]:
     """Problems that keep a rule from running, one message each.
 
     Unlike a scanner that drops such rules silently, callers get them as rows
-    of ``scan_errors``.  The rules of ``RULES`` are known to run.
+    of ``scan_errors``.  The rules of ``RULES`` are known to run.  The patterns of
+    all others are tried together, in one job.
     """
+    others = [r for r in rules if r not in _BUILT_IN]
+    sources = {r: tuple(dict.fromkeys((r.jvm_pattern, r.search_pattern, *r.suppressors))) for r in others}
+    _try_patterns({x for own in sources.values() for x in own} - _FAULTS.keys())
     problems = []
-    for rule in rules:
-        if rule in _BUILT_IN:
-            continue
-        for source in dict.fromkeys((rule.jvm_pattern, rule.search_pattern, *rule.suppressors)):
-            fault = _fault(source)
+    for rule in others:
+        for source in sources[rule]:
+            fault = _FAULTS[source]
             if fault == EMPTY_MATCH and source != rule.jvm_pattern:
                 continue
             if fault:
@@ -297,18 +298,24 @@ def check_rules(rules: Iterable[Rule]) -> list[str]:
 
 
 EMPTY_MATCH = "can match the empty string"
-
-
-@lru_cache(maxsize=4096)
-def _fault(source: str) -> str | None:
-    """What is wrong with a pattern, asked of the engine that will run it: a plan of one row."""
-    spark = SparkSession.builder.getOrCreate()
-    try:
-        empty = spark.range(1).select(F.rlike(F.lit(""), F.lit(source))).first()[0]
-    except Exception as exc:
-        reason = next((x for x in str(exc).splitlines() if x.strip()), "")
-        return f"cannot be compiled: {reason[:300]}"
-    return EMPTY_MATCH if empty else None
+#: What is wrong with patterns that were tried, None if nothing is.
+_FAULTS: dict[str, str | None] = {}
+
+
+def _try_patterns(sources: Iterable[str]) -> None:
+    """Notes what is wrong with each pattern, asked of the engine that will run them."""
+    sources = sorted(sources)
+    if not sources:
+        return
+    spark = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
+    pattern = F.col("pattern")
+    compiles = F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), pattern).isNotNull()
+    # the test of the empty text reads a column, so that a broken pattern isn't tried ahead of its row
+    tried = spark.createDataFrame([(x, "") for x in sources], "pattern string, nothing string").select(
+        "pattern", compiles.alias("compiles"), F.when(compiles, F.rlike("nothing", pattern)).otherwise(False).alias("empty")
+    )
+    for row in tried.collect():  # as many rows as the configuration has patterns
+        _FAULTS[row.pattern] = (EMPTY_MATCH if row.empty else None) if row.compiles else f"cannot be compiled: {row.pattern[:300]}"
 
 
 _BUILT_IN = frozenset(RULES)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -47,6 +49,11 @@ def sql_string(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def constant(value, kind: str) -> Column:
+    """A constant of any size and type: it is one literal to the parser, and a value of the plan once folded."""
+    return F.from_json(F.lit(json.dumps(value)), kind)
+
+
 def sql_array(values) -> str:
     return "array(" + ", ".join(sql_string(v) for v in values) + ")"
 

@@ -11,9 +11,9 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sigsift.catalog import Rule, check_rules
 from sigsift.config import SUPPRESS_LINES, ScanConfig
 from sigsift.functions import text as tx
+from sigsift.operators import ruleset
 
 MATCH_TYPE = (
     "array<struct<rule_ord:int,severity:int,match_start:int,line_number:int,match_column:int,line_content:string,"
@@ -24,11 +24,6 @@ MATCH_TYPE = (
 PLACES_TYPE = "array<struct<rule_ord:int,at:array<struct<start:int,line:int,col:int>>,cut:boolean>>"
 
 
-def active_rules(config: ScanConfig) -> list[tuple[int, Rule]]:
-    """(catalog position, rule) of the usable rules at or above the threshold."""
-    return [(n, r) for n, r in enumerate(config.rules, 1) if r.severity >= config.threshold and not check_rules([r])]
-
-
 # Column trees are immutable; building these takes thousands of calls, so one per configuration is kept.
 @lru_cache(maxsize=32)
 def hit_rules(config: ScanConfig) -> Column:
@@ -36,10 +31,14 @@ def hit_rules(config: ScanConfig) -> Column:
 
     One expression per rule: language, then cheap substring tests on the folded
     text, then the regular expression.  Signatures are constants here, so each
-    is compiled once per task and not once per row.
+    is compiled once per task and not once per row.  Large sets of rules go
+    through the index of their literals.
     """
+    rules = ruleset.usable(config)
+    if len(rules) >= ruleset.LARGE:
+        return ruleset.hit_rules(config)
     tests = []
-    for n, rule in active_rules(config):
+    for n, rule in rules:
         languages = rule.languages + (("unknown",) if "php" in rule.languages else ())
         spoken = ", ".join(tx.sql_string(x) for x in languages)
         tests.append(
@@ -63,9 +62,9 @@ def with_hits(files: DataFrame, config: ScanConfig) -> DataFrame:
 @lru_cache(maxsize=32)
 def hit_places(config: ScanConfig) -> Column:
     """Per hit rule the (start, line, col) of its matches, or of its first ``max_matches``, and whether there are more."""
-    patterns = F.expr(tx.sql_array(r.search_pattern for r in config.rules))
+    patterns = tx.constant([r.search_pattern for r in config.rules], "array<string>")
     # the group of a pattern that has the match; where it is not the whole, group 1 has what stands before it
-    groups = F.expr(f"array({', '.join('2' if r.run else '0' for r in config.rules)})")
+    groups = tx.constant([2 if r.run else 0 for r in config.rules], "array<int>")
     cap = config.max_matches
 
     def cut(rule_ord: Column) -> Column:
@@ -156,12 +155,9 @@ def finding(config: ScanConfig, rule_ord: Column, severity: Column, spot: Column
 @lru_cache(maxsize=32)
 def catalog_matches(config: ScanConfig) -> Column:
     """Matches of the catalog rules as an array, from ``places`` and ``file_lines``."""
-    severities = F.expr(f"array({', '.join(str(r.severity) for r in config.rules)})")
-    suppressors = F.expr(
-        "cast(array("
-        + ", ".join(tx.sql_array(() if check_rules([r]) else r.suppressors) for r in config.rules)
-        + ") AS array<array<string>>)"
-    )
+    severities = tx.constant([r.severity for r in config.rules], "array<int>")
+    running = {n for n, _ in ruleset.usable(config)}
+    suppressors = tx.constant([r.suppressors if n in running else [] for n, r in enumerate(config.rules, 1)], "array<array<string>>")
 
     def suppressed(rule_ord: Column, spot: Column) -> Column:
         return F.exists(

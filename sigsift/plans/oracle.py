@@ -371,6 +371,11 @@ def statements() -> dict[str, str]:
             "len(regexp_extract_all(text, '(?i)[a-z0-9.]+@mail\\d\\.example\\.com')) AS n FROM scanned WHERE language = 'php' UNION ALL "
             "SELECT 'USER-002', len(regexp_extract_all(text, '\\+1 \\(\\d{3}\\) 555-\\d{4}')) FROM scanned WHERE language = 'php') WHERE n > 0 GROUP BY rule_id",
         ),
+        "rule_list": sql(
+            corpus_ctes(),
+            "SELECT 'NUMBER-' || number AS rule_id, count(*) AS matches, count(DISTINCT (scan_id, path)) AS files FROM (SELECT scan_id, path, "
+            "unnest(regexp_extract_all(text, '\\) 555-(\\d{4})\\b', 1)) AS number FROM scanned WHERE language = 'php') GROUP BY number",
+        ),
         "cut_notes": sql(
             corpus_ctes(),
             "SELECT 'Scanned in part' AS note, count(*) AS files FROM scanned WHERE length > 4096 HAVING count(*) > 0 UNION ALL "

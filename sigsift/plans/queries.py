@@ -190,6 +190,10 @@ USER_RULES = (
     Rule("USER-001", "mail address of a test domain", CRITICAL, r"(?P<mail_box>[a-z0-9.]+)@mail\d\.example\.com", literals=("@MAIL",)),
     Rule("USER-002", "telephone number kept for fiction", CRITICAL, r"\+1 \(\d{3}\) 555-\d{4}"),
 )
+#: Every number of the range that is kept for fiction, a rule each.
+NUMBER_RULES = tuple(
+    Rule(f"NUMBER-{n:04d}", "listed telephone number", CRITICAL, rf"\) 555-{n:04d}\b", literals=(f"555-{n:04d}",)) for n in range(10_000)
+)
 
 
 @query
@@ -199,6 +203,14 @@ def user_rules(spark, sf):
     )
 
 
+@query
+def rule_list(spark, sf):
+    """A list of ten thousand numbers to look for, each a rule."""
+    return _places(spark, sf, ScanConfig(rules=NUMBER_RULES)).groupBy("rule_id").agg(
+        F.count(F.lit(1)).alias("matches"), F.countDistinct("scan_id", "path").alias("files")
+    )
+
+
 @query
 def cut_notes(spark, sf):
     """What the cuts leave out when they are asked for: notes by kind."""

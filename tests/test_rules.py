@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from sigsift.catalog import RULES, Rule, check_rules, quote, risky_rules, rules_frame
 from sigsift.config import ScanConfig
 from sigsift.functions import text as tx
-from sigsift.operators import matching
+from sigsift.operators import matching, ruleset
 from sigsift.plans.scan import scan
 from sigsift.sources.corpus import SEEDS
 from tests.conftest import README
@@ -230,11 +230,51 @@ def test_bad_rules_are_reported(spark):
     bad = Rule("X-1", "bad", 5, "(")
     empty = Rule("X-2", "empty", 5, "a*")
     assert [m.split()[1] for m in check_rules([*RULES, bad, empty])] == ["X-1", "X-2"]
-    assert [r.rule_id for _, r in matching.active_rules(ScanConfig(rules=(bad, RULES[0])))] == ["PHP-RCE-001"]
+    assert [r.rule_id for _, r in ruleset.usable(ScanConfig(rules=(bad, RULES[0])))] == ["PHP-RCE-001"]
     assert risky_rules([Rule("X-3", "risky", 5, "(?:ab?)+")]) == ["X-3"]
     assert risky_rules(RULES) == []
 
 
+def test_patterns_are_tried_in_one_job(spark):
+    rules = [Rule(f"X-{n}", "x", 5, f"own pattern {n}" + "(" * (n % 50 == 0)) for n in range(300)]
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("patterns", "patterns")
+    broken = check_rules(rules)
+    assert len(tracker.getJobIdsForGroup("patterns")) <= 1 and len(broken) == 6 and "cannot be compiled" in broken[0]
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_index_of_literals(spark):
+    words = ["exec", "shell_exec", "shell", "$", "$_", "a.b", "(", "\\", "é", "[x]", "ab", "abc", "bc", "c-d", "x y", "#"]
+    texts = ["", "shell_exec($_x)", "a.b axb [x] \\ é", "abcab bc-d", "x y x  y #", "shell exec", "éé$é$_"]
+    frame = spark.createDataFrame([(t,) for t in texts], "folded string")
+    found = frame.select("folded", F.array_distinct(F.regexp_extract_all("folded", F.lit(ruleset.trie_pattern(words)), F.lit(1))).alias("found")).collect()
+    for r in found:
+        begins = {max((w for w in words if r.folded.startswith(w, n)), key=len, default=None) for n in range(len(r.folded))} - {None}
+        assert set(r.found) == begins
+
+
+def test_large_sets_of_rules_hit_like_small_ones(located, spark, files):
+    samples, _ = located
+    rows = files({f"{n}.php": t for n, t in enumerate(samples)}).withColumn("language", F.element_at(F.array(*map(F.lit, ("php", "js", "unknown"))), F.pmod(F.xxhash64("path"), F.lit(3)).cast("int") + 1))
+    own = (Rule("X-1", "no literal", 5, "k[a-z]e"), Rule("X-2", "broken", 5, "("), Rule("X-3", "any case", 3, "EVAL", literals=("EVAL", "eva"), languages=("js",)))
+    config = ScanConfig(rules=(*RULES, *own))
+    texts = matching.with_text(rows, config)
+    both = texts.select(matching.hit_rules(config).alias("small"), ruleset.hit_rules(config).alias("large")).collect()
+    assert len(ruleset.usable(config)) < ruleset.LARGE and [r.small for r in both] == [r.large for r in both] and sum(map(len, (r.small for r in both))) > 100
+
+
+def test_ten_thousand_rules(spark, files):
+    rules = RULES + tuple(Rule(f"X-{n}", "number", 4, rf"\bno{n}\b", literals=(f"no{n}",), fp_patterns=(f"not no{n}",)) for n in range(10_000))
+    start = time.monotonic()
+    t = scan(files({"readme.txt": README, "a.php": "eval($x) no12 no123\nnot no7777 xno5 no10000 no9999", "b.php": "no12"}), ScanConfig(rules=rules))
+    found = sorted((r.path, r.rule_id, r.line_number, r.false_positive) for r in t.findings.collect())
+    assert found == [
+        ("a.php", "PHP-RCE-001", 1, False), ("a.php", "X-12", 1, False), ("a.php", "X-123", 1, False), ("a.php", "X-7777", 2, True), ("a.php", "X-9999", 2, False), ("b.php", "X-12", 1, False),
+    ]
+    assert time.monotonic() - start < 90
+
+
 def test_rules_table(spark):
     table = rules_frame(spark)
     assert table.count() == 67
