@@ -9,7 +9,8 @@ compared exactly, in double precision on the original vectors.
 Nearness is the inner product.  Vectors are hashed by direction and kept apart
 in bands of like length, so that a long vector is not missed for its angle.
 Copies of one vector are indexed by their smallest ids only, one more than the
-neighbours asked for: no other copy can be among them.
+neighbours asked for: no other copy can be among them.  Rows that repeat both the
+id and the vector are one.
 
 Rotations are random, so the chance that probing finds a vector depends on its
 angle alone.  A band is searched whole for a query that found too few, or whose
@@ -20,8 +21,9 @@ A bucket is dealt out in blocks of rows and of queries, so a third of all
 vectors in one bucket cover as many tasks as they fill blocks.
 
 Vectors that are null, zero, of another length than most, or hold null or
-non-finite components take no part.  An empty table has no result.  Rows that
-repeat an id are candidates of their own, and none is its own id's neighbour.
+non-finite components take no part.  An empty table has no result, and a query
+without another vector has no row.  Rows that repeat an id with another vector are
+candidates of their own, and none is its own id's neighbour.
 """
 
 from __future__ import annotations
@@ -133,12 +135,12 @@ def usable(table: DataFrame, key: str, vector: str) -> DataFrame:
 
 
 def _compared(stored: DataFrame, asked: DataFrame, place: list[str], count: int, block: int) -> DataFrame:
-    """(query_id, _pairs): for every row of ``asked`` the nearest ``count`` of a block of ``stored`` with the same place; pairs are (-score, id)."""
+    """(query_id, _less, _id): for every row of ``asked`` the nearest ``count`` of a block of ``stored`` with the same place; _less is -score."""
     bands = stored.groupBy(*place).agg(F.count(F.lit(1)).alias("_rows"))
     wanted = asked.groupBy(*place).agg(F.count(F.lit(1)).alias("_asked"))
     sizes = pin(bands.join(wanted, place).select(*place, F.ceil(F.col("_rows") / block).alias("_parts"), F.ceil(F.col("_asked") / block).alias("_rounds")))
     other = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    left = stored.join(sizes, place).withColumn("_part", F.pmod(F.xxhash64("_id"), F.col("_parts"))).withColumn("_round", other("_rounds"))
+    left = stored.join(sizes, place).withColumn("_part", F.pmod(F.xxhash64("_id", "_vector"), F.col("_parts"))).withColumn("_round", other("_rounds"))
     right = asked.join(sizes, place).withColumn("_round", F.pmod(F.xxhash64("_id"), F.col("_rounds"))).withColumn("_part", other("_parts"))
     group = [*place, "_part", "_round"]
 
@@ -164,16 +166,14 @@ def _compared(stored: DataFrame, asked: DataFrame, place: list[str], count: int,
     sparse = left.select(*group, "_id", "_vector").groupBy(*group).cogroup(right.select(*group, "_id", "_vector").groupBy(*group))
     kind = stored.schema["_id"].dataType.simpleString()
     part = sparse.applyInPandas(search, f"query_id {kind}, _ids array<{kind}>, _scores array<double>")
-    return part.select("query_id", F.zip_with("_ids", "_scores", lambda i, s: F.struct((-s).alias("less"), i.alias("id"))).alias("_pairs"))
+    return part.select("query_id", F.inline(F.arrays_zip("_ids", "_scores"))).select("query_id", (-F.col("_scores")).alias("_less"), F.col("_ids").alias("_id"))
 
 
-def _merged(parts: DataFrame, count: int) -> DataFrame:
-    """(query_id, _pairs): the nearest ``count`` of all that was found for a query, nearest first."""
-    merged = parts.groupBy("query_id").agg(F.flatten(F.collect_list("_pairs")).alias("_pairs"))
-    # a neighbour that several buckets have found stands in a row once sorted
-    ordered = merged.withColumn("_pairs", F.array_sort("_pairs"))
-    once = F.filter("_pairs", lambda x, n: (n == 0) | (x != F.get("_pairs", n - 1)))
-    return ordered.select("query_id", F.slice(once, 1, count).alias("_pairs"))
+def _merged(found: DataFrame, count: int) -> DataFrame:
+    """(query_id, _less, _id, rank): the nearest ``count`` of all that was found for a query, each once; no list holds what all blocks found."""
+    once = found.groupBy("query_id", "_id", "_less").agg(F.lit(1).alias("_once"))
+    order = Window.partitionBy("query_id").orderBy("_less", "_id")
+    return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= count).drop("_once")
 
 
 def nearest(
@@ -182,8 +182,10 @@ def nearest(
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the nearest found of every row for which ``queries``, a condition on the key, holds."""
     rows = pin(usable(table, key, vector))
+    # an id counts once among the copies of a vector: a query's own copies take no place of another's
     copies = Window.partitionBy("_vector").orderBy("_id")
-    stored = pin(rows.withColumn("_copy", F.row_number().over(copies)).where(F.col("_copy") <= count + 1).drop("_copy"))
+    ids = rows.dropDuplicates(["_id", "_vector"])
+    stored = pin(ids.withColumn("_copy", F.row_number().over(copies)).where(F.col("_copy") <= count + 1).drop("_copy"))
     index = pin(_coded(stored, tables, axes, 1))
     wanted = rows.withColumn(key, F.col("_id")).where(queries).select(rows["_id"], rows["_vector"], rows["_norm"], rows["_band"])
     filled = index.select("_band", "_table", "_bucket").distinct()
@@ -193,9 +195,10 @@ def nearest(
     first = stored.first()
     least = trusted(len(first["_vector"]), tables, probes, axes) if first else -1.0
     lengths = stored.groupBy("_band").agg(F.max("_norm").alias("_longest"))
-    last = found.select(F.col("query_id").alias("_of"), F.size("_pairs").alias("_n"), (-F.element_at("_pairs", -1)["less"]).alias("_last"))
+    # a query that met nothing but itself has no row here and is unsure of every band
+    last = found.groupBy(F.col("query_id").alias("_of")).agg(F.count(F.lit(1)).alias("_n"), (-F.max("_less")).alias("_last"))
     doubtful = F.col("_n").isNull() | (F.col("_n") < count) | (F.col("_last") < least * F.col("_norm") * F.col("_longest"))
     unsure = wanted.join(last, F.col("_id") == F.col("_of"), "left").drop("_band").crossJoin(lengths).where(doubtful)
     whole = _compared(stored, pin(unsure.select("_id", "_vector", "_band")), ["_band"], count, block)
-    opened = _merged(found.unionByName(whole), count).select("query_id", F.posexplode("_pairs").alias("_n", "_pair"))
-    return opened.select("query_id", (F.col("_n") + 1).alias("rank"), F.col("_pair.id").alias("vec_id"), (-F.col("_pair.less")).alias("score"))
+    merged = _merged(found.drop("rank").unionByName(whole), count)
+    return merged.select("query_id", "rank", F.col("_id").alias("vec_id"), (-F.col("_less")).alias("score"))

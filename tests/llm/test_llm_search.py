@@ -178,6 +178,20 @@ def test_neighbours_of_mixed_lengths(spark):
     assert np.mean([len({*got[n]} & {*true[n]}) / 20 for n in true]) >= 0.95
 
 
+def test_queries_that_meet_only_themselves(spark):
+    one = np.zeros(64)
+    one[3] = 1.0
+    cluster = -one + 0.01 * np.random.default_rng(8).normal(size=(500, 64))
+    for rows, want in (([one], 0), ([one, -one], 1), ([one, *cluster], 20)):
+        got, true = found_and_true(spark, np.array(rows), 1)
+        assert got.get(0, []) == true[0] and len(true[0]) == want
+    # copies of the query's own row leave room for those of other ids
+    rows = [(0, one.tolist())] * 30 + [(n, one.tolist()) for n in range(1, 40)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann.nearest(table, F.col("vec_id") == 0).orderBy("rank").collect()
+    assert {r.vec_id for r in got} == set(range(1, 21))
+
+
 def test_buckets_of_several_axes():
     rows = np.random.default_rng(5).normal(size=(40, 8))
     rows /= np.linalg.norm(rows, axis=1, keepdims=True)
