@@ -66,6 +66,9 @@ class Rule:
     contains at least one; an empty tuple switches the prefilter off.  Patterns
     may be written for the JVM or with named groups as Python writes them.
     ``run`` has the parts of a pattern that reads on to a delimiter.
+    ``one_statement`` says that no match holds a semicolon with a line feed and
+    only blanks between, and none depends on what stands beyond; files in parts
+    may then be cut there.
     """
 
     rule_id: str
@@ -84,6 +87,7 @@ class Rule:
     step_by_step_fix: tuple[str, ...] = field(default=())
     recommendation: str = ""
     run: Run | None = None
+    one_statement: bool = False
 
     def __post_init__(self):
         # the text that literals are looked for in is folded alike

@@ -91,8 +91,8 @@ def heuristic() -> dict[str, Column]:
 
 
 @lru_cache(maxsize=32)
-def heuristic_matches(config: ScanConfig) -> Column:
-    """The heuristic's finding as an array of at most one."""
+def heuristic_matches(config: ScanConfig, lines_before: str | None = None) -> Column:
+    """The heuristic's finding as an array of at most one; ``lines_before`` names the column with the number of lines in ``file_lines`` before the text."""
     h = heuristic()
     shown = F.col("signals") if config.max_signals is None else F.slice(F.col("signals"), 1, config.max_signals)
     detail = F.concat(
@@ -100,11 +100,14 @@ def heuristic_matches(config: ScanConfig) -> Column:
         F.array_join(shown, ", "),
         F.lit("."),
     )
+    spot = tx.spot_at(F.col("text"), h["first"])
+    if lines_before:
+        spot = F.transform(F.array(spot), lambda s: F.struct(s["start"].alias("start"), (s["line"] + F.col(lines_before)).alias("line"), s["col"].alias("col")))[0]
     row = finding(
         config,
         F.lit(HEURISTIC_ORD),
         F.when(F.col("points") >= CRITICAL_SCORE, CRITICAL).otherwise(HIGH),
-        tx.spot_at(F.col("text"), h["first"]),
+        spot,
         F.lit(False),
         detail,
     )

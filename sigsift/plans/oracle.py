@@ -342,6 +342,15 @@ ARCHIVED = """WITH members AS (SELECT doc_id, doc_id // 10 AS ten, 'v' || (doc_i
 """
 
 
+def all_findings() -> str:
+    return sql(
+        findings() + [PACKED, PACKED_ENTROPY],
+        f"""SELECT rule_id, severity_label, count(*) AS findings, count(*) FILTER (false_positive) AS suppressed FROM found GROUP BY ALL
+UNION ALL SELECT {q(ENTROPY_ID)}, 'Medium', count(*), 0 FROM (SELECT scan_id, path, entropy FROM packed_entropy WHERE entropy > 6.0
+  UNION ALL SELECT e.* FROM entropies e JOIN scanned s ON s.scan_id = e.scan_id AND s.path = e.path WHERE s.language = 'php' AND entropy > 6.0) HAVING count(*) > 0""",
+    )
+
+
 def statements() -> dict[str, str]:
     listing = corpus_ctes(some_empty=True)
     chosen = "SELECT scan_id, path, language FROM scanned"
@@ -447,12 +456,8 @@ FROM (SELECT scan_id, path, k, ls[k] AS t, CASE WHEN k <= len(bs) THEN length(bs
             f"SELECT scan_id, path, {q(ENTROPY_ID)} AS rule_id, 0 AS line_number, 0 AS match_column, 'Medium' AS severity_label, "
             "'Entropy: ' || printf('%.4f', entropy) AS line_content FROM packed_entropy WHERE entropy > 6.0",
         ),
-        "all_findings": sql(
-            findings() + [PACKED, PACKED_ENTROPY],
-            f"""SELECT rule_id, severity_label, count(*) AS findings, count(*) FILTER (false_positive) AS suppressed FROM found GROUP BY ALL
-UNION ALL SELECT {q(ENTROPY_ID)}, 'Medium', count(*), 0 FROM (SELECT scan_id, path, entropy FROM packed_entropy WHERE entropy > 6.0
-  UNION ALL SELECT e.* FROM entropies e JOIN scanned s ON s.scan_id = e.scan_id AND s.path = e.path WHERE s.language = 'php' AND entropy > 6.0) HAVING count(*) > 0""",
-        ),
+        "all_findings": all_findings(),
+        "chunked_findings": all_findings(),
         "package_metadata": sql([META_FILES, NAMES], "SELECT * FROM names"),
         "report_slug": sql(
             [META_FILES, NAMES],

@@ -13,9 +13,9 @@ from sigsift.functions import text as tx
 from sigsift.functions.entropy import byte_histogram, entropy_of
 from sigsift.operators import duplicates, inventory, matching, metadata, reports, review, summary
 from sigsift.operators.ordering import with_ordinal
-from sigsift.plans.scan import ScanTables, scan
+from sigsift.plans.scan import ScanTables, findings_of_parts, scan
 from sigsift.session import pin, shared_folder
-from sigsift.sources import archives, corpus
+from sigsift.sources import archives, corpus, parts
 from sigsift.streaming import landing
 
 DEFAULT = ScanConfig()
@@ -300,6 +300,15 @@ def all_findings(spark, sf):
     )
 
 
+@query
+def chunked_findings(spark, sf):
+    """The findings of all files, read in parts of two thousand bytes."""
+    files = corpus.corpus_files(spark, sf).unionByName(corpus.packed_files(spark, sf))
+    return findings_of_parts(parts.cut(files.select("scan_id", "path", "content"), 2000), DEEP).groupBy("rule_id", "severity_label").agg(
+        F.count(F.lit(1)).alias("findings"), F.count_if("false_positive").alias("suppressed")
+    )
+
+
 # --- packages
 
 

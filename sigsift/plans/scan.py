@@ -12,7 +12,7 @@ from sigsift.catalog import check_rules, label, local_frame, risks, rules_frame
 from sigsift.config import ScanConfig
 from sigsift.functions import text as tx
 from sigsift.functions.entropy import byte_histogram, entropy_of
-from sigsift.operators import detectors, inventory, matching, metadata, reports, summary
+from sigsift.operators import chunked, detectors, inventory, matching, metadata, reports, summary
 from sigsift.operators.ordering import with_ordinal
 from sigsift.session import attach, pin
 
@@ -84,6 +84,14 @@ def rule_details(spark: SparkSession, config: ScanConfig) -> DataFrame:
     return rules.unionByName(local_frame(spark, extra, rules.schema))
 
 
+def findings_of_parts(parts: DataFrame, config: ScanConfig | None = None) -> DataFrame:
+    """The findings of files that come in parts (``sources.parts``), as ``ScanTables.all_findings`` has them for whole files."""
+    config = config or ScanConfig()
+    named = parts.withColumn("length", F.lit(1))
+    wanted = inventory.inventory(named, config).where("reason IS NULL").select("scan_id", "path", "part", "content", "language")
+    return explode_findings(chunked.file_findings(wanted, config), config)
+
+
 def severity_label(severity: Column) -> Column:
     text = F.lit(None).cast("string")
     for level in (2, 3, 4, 5):
