@@ -12,8 +12,8 @@ unrelated or distant sets have in common are mostly left out.
 
 Sets that share a sketch word are candidates.  A second sketch of fixed size tells
 most of those apart that are no link: two sets whose sketches differ in more bits
-than a link allows are no pair.  A quarter of it goes with the words and is
-compared in the join itself, the rest is kept once for each set.  The others are
+than a link allows are no pair.  Folded to a quarter it goes with the words and is
+compared in the join itself; whole it is kept once for each set.  The others are
 verified on the whole sets.  At first every set is compared to one other only, the
 one that most of its words agree on.  Then all sets of a word are compared to a
 few of them, and what has come together in one component is compared no more; the
@@ -50,7 +50,7 @@ BITS = 64
 SHINGLES = 500_000
 CHECK_WORDS = 16
 CHECKS = tuple(f"_s{n}" for n in range(CHECK_WORDS))
-AT_ONCE = CHECKS[:4]
+AT_ONCE = tuple(f"_f{n}" for n in range(4))
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -310,9 +310,18 @@ def components(links: DataFrame, scratch: Scratch | None = None) -> DataFrame:
         state = state.drop("_old")
 
 
+def _folded(number: int) -> Column:
+    """A word of the check sketch folded to as many words as ``AT_ONCE`` has: a sketch of all shingles in fewer bits."""
+    out = F.get("_checks", F.lit(number))
+    for n in range(number + len(AT_ONCE), CHECK_WORDS, len(AT_ONCE)):
+        out = out.bitwiseXOR(F.get("_checks", F.lit(n)))
+    return out
+
+
 def _members(nodes: DataFrame) -> DataFrame:
     """(_key, _node, _n, *AT_ONCE): of each band's words of a node those to keep, the ones that fewest nodes have, but for words of a single node."""
-    banded = nodes.select("_node", "_n", *[F.get("_checks", F.lit(n)).alias(c) for n, c in enumerate(AT_ONCE)], F.posexplode(F.arrays_zip("_keys", "_kept")).alias("_band", "_of"))
+    folded = [_folded(n).alias(c) for n, c in enumerate(AT_ONCE)]
+    banded = nodes.select("_node", "_n", *folded, F.posexplode(F.arrays_zip("_keys", "_kept")).alias("_band", "_of"))
     facts = banded.select("_node", "_band", F.size("_of._keys").alias("_parts"), F.col("_of._kept").alias("_kept"), "_n", *AT_ONCE)
     one = banded.select("_node", "_band", F.explode("_of._keys").alias("_key"))
     shared = one.groupBy("_key").agg(F.count(F.lit(1)).alias("_have")).where("_have > 1")
