@@ -39,6 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sigsift.llm import countmin
 from sigsift.llm.common import DOCUMENT, lower_ascii, whole, words
 from sigsift.session import Scratch, pin
 
@@ -323,7 +324,12 @@ def _members(nodes: DataFrame) -> DataFrame:
     folded = [_folded(n).alias(c) for n, c in enumerate(AT_ONCE)]
     banded = nodes.select("_node", "_n", *folded, F.posexplode(F.arrays_zip("_keys", "_kept")).alias("_band", "_of"))
     facts = banded.select("_node", "_band", F.size("_of._keys").alias("_parts"), F.col("_of._kept").alias("_kept"), "_n", *AT_ONCE)
-    one = banded.select("_node", "_band", F.explode("_of._keys").alias("_key"))
+    # most words are of one node: a sketch proves it for nearly all of them, and they are not shuffled
+    both = (F.col("_key"), F.shiftrightunsigned("_key", 32))
+    every = nodes.select(F.explode(F.flatten("_keys")).alias("_key")).select(both[0].alias("_n0"), both[1].alias("_n1"))
+    counters = countmin.counters_for(nodes.agg(F.sum(F.size(F.flatten("_keys")))).first()[0] or 0)
+    single = countmin.single(nodes.sparkSession, countmin.sketch(every, counters))
+    one = banded.select("_node", "_band", F.explode("_of._keys").alias("_key")).where(~single(*both))
     shared = one.groupBy("_key").agg(F.count(F.lit(1)).alias("_have")).where("_have > 1")
     common = one.join(shared, "_key")
     # words of one node come first and are no candidates; what is left of the number to keep goes to the others
@@ -337,18 +343,21 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     """(key, n_shingles, component_id): every row's number of shingles and the smallest id that links reach from it."""
     tenths = round(similarity * 1000)
     scratch = Scratch(docs.sparkSession)
-    rows = pin(_described(docs, key, text, size, tenths))
+    wide = scratch.pin("wide", _described(docs, key, text, size, tenths).withColumn("_row", F.monotonically_increasing_id()))
+    rows = pin(wide.drop("_keys", "_kept", "_checks"))
     filled = rows.where("_node IS NOT NULL")
     # one row of each set stands for it: of the smallest id, of none only where no row has one
-    best = F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_text_hash").alias("hash"))).alias("_best")
-    heads = pin(filled.groupBy("_node").agg(best).select("_node", F.col("_best.id").alias("_head"), F.col("_best.hash").alias("_head_hash")))
-    first = heads.select(F.col("_node").alias("_of"), "_head", "_head_hash")
-    standing = (F.col("_node") == F.col("_of")) & F.col("_id").eqNullSafe(F.col("_head")) & (F.col("_text_hash") == F.col("_head_hash"))
-    whole_rows = filled.join(first, standing)
-    members = scratch.pin("members", _members(whole_rows.dropDuplicates(["_node"])))
+    best = F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_text_hash").alias("hash"), F.col("_row").alias("row"))).alias("_best")
+    heads = pin(filled.groupBy("_node").agg(best).select("_node", F.col("_best.id").alias("_head"), F.col("_best.hash").alias("_head_hash"), F.col("_best.row").alias("_first_row")))
+    # the others are left out by their numbers, so that lists of words are not shuffled to find them
+    others = filled.join(heads, "_node").where("_row <> _first_row").select("_row")
+    standing = scratch.pin("standing", wide.where("_node IS NOT NULL").join(others, "_row", "left_anti").select("_node", "_n", "_keys", "_kept", "_checks"))
+    scratch.drop("wide")
+    members = scratch.pin("members", _members(standing))
     nodes = members.select("_node").distinct()
-    shown = whole_rows.select("_node", "_n", *[F.get("_checks", F.lit(n)).alias(c) for n, c in enumerate(CHECKS)])
-    checks = scratch.pin("checks", shown.join(nodes, "_node", "left_semi").dropDuplicates(["_node"]))
+    shown = standing.select("_node", "_n", *[F.get("_checks", F.lit(n)).alias(c) for n, c in enumerate(CHECKS)])
+    checks = scratch.pin("checks", shown.join(nodes, "_node", "left_semi"))
+    scratch.drop("standing")
     # texts are found by hash and id, so rows without an id are spread as well
     wanted = heads.join(nodes, "_node", "left_semi").select("_head", "_head_hash").distinct()
     texts = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text"), F.xxhash64(text).alias("_hash"))

@@ -10,10 +10,8 @@ A count-min sketch screens the digests.  An estimate is never below the true
 count, so an estimate of one proves that a prefix has a single member: such nodes
 are complete where they stand, for all that follows them is in the same
 conversation.  Only prefixes that may be shared are shuffled and grouped exactly.
-The sketch is kept as one bit a counter, one or more; counters grow with the
-number of turns up to ``COUNTERS``, which bounds what is broadcast (two bits a
-counter).  Beyond that bound estimates are larger than need be, and more prefixes
-go to the exact grouping; results don't change.
+What is broadcast of the sketch is bounded (``countmin``); beyond that bound more
+prefixes go to the exact grouping, and results don't change.
 
 What a node sums over its subtree is placed on one member each: a node's value
 on its smallest member, a leaf on the smallest conversation that ends there.
@@ -32,29 +30,22 @@ part.  An empty table has no nodes, not even the root.
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sigsift.llm import countmin
 from sigsift.llm.common import whole
+from sigsift.llm.countmin import sketch
 from sigsift.session import pin
 
 #: A conversation starts with the first turns, below ``OPENING`` of them, of the one whose id is the next lower multiple of ``FAMILY``.
 FAMILY = 100
 OPENING = 6
 SLICE_ROWS = 1_000_000
-#: The most counters of a row of the sketch, counters for each turn, and how many make a chunk.
-COUNTERS = 2**29
-ROOMY = 8
-CHUNK = 2**16
-#: Digests that a task counts at a time.
-HELD = 2**21
-MERGED = 64
 SUMS = ("_s0", "_s1", "_s2", "_s3")
 NODE = ("_n0", "_n1")
 PARENT = ("_p0", "_p1")
@@ -138,78 +129,9 @@ def prefixes(convs: DataFrame, rows: DataFrame) -> DataFrame:
     return pin(turns.unionByName(empty).join(convs, "conv_id"))
 
 
-def _places(n0: np.ndarray, n1: np.ndarray, counters: int) -> tuple[np.ndarray, np.ndarray]:
-    """The counter of each digest in both rows of the sketch."""
-    last = np.uint64(counters - 1)
-    return n0.view(np.uint64) & last, n1.view(np.uint64) & last
-
-
-def sketch(rows: DataFrame, counters: int) -> list[np.ndarray]:
-    """The count-min sketch of the digests as two rows of bits: whether a counter, a power of two of them, is more than one.
-
-    Tasks send the places that they have counted, twice where more than once, two
-    bytes a place.  Chunks are added up in two steps, so that no task gathers what
-    all tasks sent of a chunk.  The driver gets the bits, ``counters`` / 4 bytes.
-    """
-    chunk = min(CHUNK, counters)
-
-    def send(n0: np.ndarray, n1: np.ndarray) -> Iterator[pd.DataFrame]:
-        part = TaskContext.get().partitionId() % MERGED
-        for line, places in enumerate(_places(n0, n1, counters)):
-            place, times = np.unique(places, return_counts=True)
-            place = np.repeat(place, np.minimum(times, 2))
-            number = place // np.uint64(chunk)
-            starts = np.flatnonzero(number[1:] != number[:-1]) + 1
-            low = [x.astype("<u2").tobytes() for x in np.split(place % np.uint64(chunk), starts)]
-            yield pd.DataFrame({"_line": line, "_chunk": number[np.concatenate([[0], starts])].astype(np.int64), "_part": part, "_places": low})
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, rows = [], 0
-        for batch in batches:
-            if len(batch):
-                held.append([batch[c].to_numpy() for c in NODE])
-                rows += len(batch)
-            if rows >= HELD:
-                yield from send(*map(np.concatenate, zip(*held, strict=True)))
-                held, rows = [], 0
-        if held:
-            yield from send(*map(np.concatenate, zip(*held, strict=True)))
-
-    def added(group: pd.DataFrame) -> np.ndarray:
-        seen = np.zeros(chunk, np.int64)
-        for places in group["_places"]:
-            seen += np.bincount(np.frombuffer(places, "<u2"), minlength=chunk)
-        return np.minimum(seen, 2)
-
-    def merge(group: pd.DataFrame) -> pd.DataFrame:
-        seen = added(group)
-        return pd.DataFrame({"_line": group["_line"].iloc[:1], "_chunk": group["_chunk"].iloc[:1], "_places": [np.repeat(np.arange(chunk), seen).astype("<u2").tobytes()]})
-
-    def close(group: pd.DataFrame) -> pd.DataFrame:
-        bits = zlib.compress(np.packbits(added(group) > 1, bitorder="little").tobytes(), 1)
-        return pd.DataFrame({"_line": group["_line"].iloc[:1], "_chunk": group["_chunk"].iloc[:1], "_bits": [bits]})
-
-    sent = rows.select(*NODE).mapInPandas(count, "_line int, _chunk int, _part int, _places binary")
-    merged = sent.groupBy("_line", "_chunk", "_part").applyInPandas(merge, "_line int, _chunk int, _places binary")
-    closed = merged.groupBy("_line", "_chunk").applyInPandas(close, "_line int, _chunk int, _bits binary")
-    out = [np.zeros(max(1, counters // 8), np.uint8) for _ in range(2)]
-    for r in closed.toLocalIterator():
-        bits = np.frombuffer(zlib.decompress(r._bits), np.uint8)
-        out[r._line][r._chunk * (chunk // 8) : r._chunk * (chunk // 8) + len(bits)] = bits
-    return out
-
-
 def screened(rows: DataFrame, counters: int) -> DataFrame:
     """Adds _single, the estimate of the prefix is one, so it has one member; and _single_above, the same of the prefix above, itself at the root."""
-    kept = rows.sparkSession.sparkContext.broadcast(sketch(rows, counters))
-
-    @F.pandas_udf("boolean")
-    def single(n0: pd.Series, n1: pd.Series) -> pd.Series:
-        more = np.ones(len(n0), bool)
-        for bits, places in zip(kept.value, _places(n0.to_numpy(), n1.to_numpy(), counters), strict=True):
-            more &= (bits[places >> np.uint64(3)] >> (places & np.uint64(7)).astype(np.uint8) & 1) == 1
-        return pd.Series(~more)
-
+    single = countmin.single(rows.sparkSession, sketch(rows.select(*NODE), counters))
     above = [F.coalesce(p, n) for p, n in zip(PARENT, NODE, strict=True)]
     return rows.withColumns({"_single": single(*NODE), "_single_above": single(*above)})
 
@@ -254,8 +176,7 @@ def built(table: DataFrame, screen: Callable[[DataFrame], DataFrame] | None = No
     """
     rows = prefixes(*rebuilt(numbered(table)))
     if screen is None:
-        counters = 1 << min(max(6, (ROOMY * rows.count()).bit_length()), COUNTERS.bit_length() - 1)
-        rows = screened(rows, counters)
+        rows = screened(rows, countmin.counters_for(rows.count()))
     else:
         rows = screen(rows)
     rows = pin(rows)

@@ -84,7 +84,7 @@ def test_what_the_screen_leaves_over(spark):
     rows = trie.prefixes(*trie.rebuilt(trie.numbered(frame(spark, odd_rows()))))
     times = {(r._n0, r._n1): r["count"] for r in rows.groupBy("_n0", "_n1").count().collect()}
     for counters in (64, 1 << 16):
-        bits = trie.sketch(rows, counters)
+        bits = trie.sketch(rows.select("_n0", "_n1"), counters)
         assert [len(b) * 8 for b in bits] == [counters] * 2
         single = {(r._n0, r._n1) for r in trie.screened(rows, counters).where("_single").collect()}
         assert all(times[n] == 1 for n in single)
