@@ -547,5 +547,23 @@ SELECT scan_id, min_by(fault, doc_id) FILTER (fault IS NOT NULL) AS fault, min(d
         [c.replace("UNION ALL SELECT * FROM meta_files", "") if c.startswith("files AS") else c for c in corpus_ctes()],
         "SELECT scan_id, count(*) FILTER (NOT excluded AND reason IS NULL) AS files_scanned, true AS fatal FROM listed GROUP BY scan_id",
     )
+    out["stream_regrade"] = out["stream_grades"]
+    out["stream_valid"] = sql(findings() + [VALID], f"SELECT {WHERE} FROM found WHERE scan_id IN (SELECT scan_id FROM valid)")
+    landed = [
+        *streamed,
+        "landed AS MATERIALIZED (SELECT scan_id, epoch_us(ts) AS us FROM found JOIN events ON event_id = CAST(regexp_extract(path, 'd(\\d+)\\.[^/]*$', 1) AS BIGINT) "
+        "WHERE NOT false_positive)",
+    ]
+    out["stream_sliding"] = sql(
+        landed,
+        "SELECT scan_id, second AS from_second, second + 21600 AS to_second, count(*) AS findings FROM (SELECT scan_id, "
+        "unnest([us // 7200000000 * 7200, us // 7200000000 * 7200 - 7200, us // 7200000000 * 7200 - 14400])::BIGINT AS second FROM landed) GROUP BY scan_id, second",
+    )
+    out["stream_sessions"] = sql(
+        landed,
+        "SELECT scan_id, min(us) // 1000000 AS from_second, (max(us) + 10800000000) // 1000000 AS to_second, count(*) AS findings FROM (SELECT *, "
+        "sum(begins) OVER (PARTITION BY scan_id ORDER BY us) AS number FROM (SELECT *, (us - lag(us, 1, us - 99999999999) "
+        "OVER (PARTITION BY scan_id ORDER BY us) > 10800000000)::INT AS begins FROM landed)) GROUP BY scan_id, number",
+    )
     out["stream_once"] = "SELECT source AS scan_id, count(*) AS files FROM documents GROUP BY source"
     return out

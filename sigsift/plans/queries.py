@@ -504,10 +504,10 @@ def _landed(spark, sf):
     return corpus.files_of(stamped.join(events, "doc_id", "left"), [F.coalesce(F.col("ts").cast("timestamp"), F.timestamp_seconds(F.lit(0))).alias("arrived")])
 
 
-def _run(stream: DataFrame, mode: str) -> DataFrame:
-    """Run a stream over what is there and return what it wrote, with its batch number."""
+def _run(stream: DataFrame, mode: str, folder: str | None = None) -> DataFrame:
+    """Run a stream over what is there and return what it wrote, with its batch number; a folder of an earlier run has its state."""
     spark = stream.sparkSession
-    folder = shared_folder(spark)
+    folder = folder or shared_folder(spark)
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/out/_batch_no={number}")
@@ -548,3 +548,47 @@ def stream_once(spark, sf):
     again = twice.unionByName(_landed(spark, sf).withColumn("arrived", F.col("arrived") + F.expr("INTERVAL 1 MINUTE")))
     kept = landing.once(again, "1 day")
     return _run(kept.select("scan_id", "path"), "append").groupBy("scan_id").agg(F.count(F.lit(1)).alias("files"))
+
+
+@query
+def stream_valid(spark, sf):
+    """Findings of packages with a name, joined with the names as both arrive."""
+    folder = shared_folder(spark)
+    names = corpus.metadata_files(spark, sf).withColumn("arrived", F.lit("2024-01-01").cast("timestamp"))
+    names.select("scan_id", "path", "length", "content", "arrived").write.parquet(folder)
+    both = lambda: _landed(spark, sf).unionByName(landing.landing_tables(spark, folder))
+    found = landing.findings_of_valid(both(), DEFAULT, both(), "100000 days")
+    return _run(found.select(*WHERE), "append").drop("_batch")
+
+
+@query
+def stream_regrade(spark, sf):
+    """Grades after all files were delivered a second time with other texts; the first version has a finding more in each."""
+    folder, log = shared_folder(spark), shared_folder(spark)
+    files = corpus.document_files(spark, sf)
+    older = files.withColumn("content", F.concat(F.lit(b"phpinfo();\n"), "content")).withColumn("length", F.octet_length("content").cast("bigint"))
+    out = None
+    for number, version in enumerate((older, files)):
+        version.withColumn("arrived", F.timestamp_seconds(F.lit(number))).select("scan_id", "path", "length", "content", "arrived").write.mode("append").parquet(folder)
+        facts = landing.stream_facts(landing.landing_tables(spark, folder), DEFAULT, ("arrived",))
+        out = _run(landing.changes(landing.file_counts(facts)), "update", log)
+    return landing.regraded(out).select("scan_id", "total", "suppressed", "score", "grade")
+
+
+def _windowed(spark, sf, windowed, **kw):
+    counted = windowed(landing.stream_findings(_landed(spark, sf), DEFAULT, ("arrived",)), **kw)
+    rows = _run(counted, "complete")
+    last = rows.where(F.col("_batch") == rows.agg(F.max("_batch")).first()[0])
+    return last.select("scan_id", F.unix_seconds("from_time").alias("from_second"), F.unix_seconds("to_time").alias("to_second"), "findings")
+
+
+@query
+def stream_sliding(spark, sf):
+    """Active findings per package in windows of six hours, one beginning every two."""
+    return _windowed(spark, sf, landing.sliding, length="6 hours", every="2 hours")
+
+
+@query
+def stream_sessions(spark, sf):
+    """Active findings per package and session of arrivals less than three hours apart."""
+    return _windowed(spark, sf, landing.sessions, gap="3 hours")

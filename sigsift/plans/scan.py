@@ -17,27 +17,27 @@ from sigsift.operators.ordering import with_ordinal
 from sigsift.session import attach, pin
 
 
-def scan_files(files: DataFrame, config: ScanConfig, listing: DataFrame | None = None) -> DataFrame:
+def scan_files(files: DataFrame, config: ScanConfig, listing: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row of facts per file: inventory, findings as an array, claim about the package.
 
     Everything is computed in one narrow pass over the content, which is read
     once and never shuffled.  Columns nobody asks for are not computed.  Files
     that are not scanned are rows too, so that all results follow from the facts.
     ``listing`` is the full file list where ``files`` leaves out content that is
-    never looked at.
+    never looked at.  Columns of ``files`` named in ``keep`` stay.
     """
     scanned = F.col("reason").isNull()
     looked_at = F.coalesce(scanned | ((F.col("reason") != inventory.EXCLUDED) & metadata.may_name_package(F.col("path"))), F.lit(False))
     listed = inventory.classified(files, config)
     if listing is None:
-        return _facts(listed.withColumn("content", F.when(looked_at, F.col("content"))), config)
-    facts = _facts(listed.where(looked_at), config)
+        return _facts(listed.withColumn("content", F.when(looked_at, F.col("content"))), config, keep)
+    facts = _facts(listed.where(looked_at), config, keep)
     others = inventory.classified(listing, config).where(~looked_at).withColumn("size", F.col("length"))
     absent = [F.col(f.name) if f.name in others.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in facts.schema]
     return facts.unionByName(others.select(*absent))
 
 
-def _facts(listed: DataFrame, config: ScanConfig) -> DataFrame:
+def _facts(listed: DataFrame, config: ScanConfig, keep: tuple[str, ...] = ()) -> DataFrame:
     scanned = F.col("reason").isNull()
     wanted = metadata.with_claim(listed, config)
     body = wanted.withColumn("content", F.when(scanned, F.col("content")))
@@ -68,6 +68,7 @@ def _facts(listed: DataFrame, config: ScanConfig) -> DataFrame:
         "claim",
         matching.notes(config).alias("notes"),
         F.concat(*[F.coalesce(p, F.array().cast(matching.MATCH_TYPE)) for p in parts]).alias("findings"),
+        *keep,
     )
 
 
@@ -99,16 +100,16 @@ def severity_label(severity: Column) -> Column:
     return text
 
 
-def explode_findings(scanned: DataFrame, config: ScanConfig) -> DataFrame:
-    """Findings as rows, with the attributes of their rules.
+def explode_findings(scanned: DataFrame, config: ScanConfig, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Findings as rows, with the attributes of their rules and the columns of ``scanned`` named in ``keep``.
 
     The rules come from the catalog in the configuration, a few hundred short
     rows whatever the data, hence the broadcast.
     """
     # explode() would let the optimizer infer a filter on the array and push a second copy of
     # the whole computation below it; the outer form does not.
-    opened = scanned.select("scan_id", "path", "language", F.explode_outer("findings").alias("f"))
-    rows = opened.where(F.col("f").isNotNull()).select("scan_id", "path", "language", "f.*")
+    opened = scanned.select("scan_id", "path", "language", *keep, F.explode_outer("findings").alias("f"))
+    rows = opened.where(F.col("f").isNotNull()).select("scan_id", "path", "language", *keep, "f.*")
     details = rule_details(scanned.sparkSession, config)
     return (
         rows.join(F.broadcast(details), "rule_ord")

@@ -83,3 +83,57 @@ def test_stream_of_archives(spark, tmp_path):
     assert [(r.scan_id, r.fatal) for r in run(errors, "append", tmp_path / "e").collect()] == [("up.zip", True)]
     found = landing.stream_findings(content, landing.UPLOADS)
     assert {(r.scan_id, r.rule_id) for r in run(found.select(*COLUMNS), "append", tmp_path).collect()} == {("good.zip", "PHP-INFO-001")}
+
+
+def delivered(files, tmp_path, number, contents, when):
+    files(contents).withColumn("arrived", F.lit(when).cast("timestamp")).coalesce(1).write.mode("append").parquet(str(tmp_path / f"in{number}"))
+
+
+def test_changed_files_replace_their_counts(spark, files, tmp_path):
+    """Three deliveries, one of them out of order: grades follow the last version of each file."""
+    deliveries = [
+        ([("p", "a.php", CODE["a"]), ("p", "b.php", CODE["b"]), ("q", "a.php", CODE["c"])], "2026-01-01 10:00:00"),
+        ([("p", "a.php", "nothing"), ("q", "a.php", CODE["a"]), ("q", "a.php", CODE["a"])], "2026-01-01 11:00:00"),
+        ([("p", "a.php", CODE["b"]), ("p", "b.php", "eval($x);")], "2026-01-01 10:30:00"),
+    ]
+    log = []
+    for number, (contents, when) in enumerate(deliveries):
+        delivered(files, tmp_path, "", contents, when)
+        facts = landing.stream_facts(landing.landing_tables(spark, str(tmp_path / "in")), ScanConfig(), ("arrived",))
+        changed = landing.changes(landing.file_counts(facts))
+        handle = (
+            changed.writeStream.outputMode("update").foreachBatch(lambda batch, _: log.extend(batch.collect()))
+            .option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        )
+        handle.awaitTermination()
+    got = {r.scan_id: r for r in landing.regraded(spark.createDataFrame(log, changed.schema)).collect()}
+    last = scan(files([("p", "a.php", "nothing"), ("p", "b.php", "eval($x);"), ("q", "a.php", CODE["a"])])).all_findings
+    want = {r.scan_id: r for r in landing.summary.severity_counts(last).collect()}
+    for name in ("p", "q"):
+        assert [got[name][c] for c in landing.COUNTED] == [want[name][c] for c in landing.COUNTED]
+
+
+def test_findings_wait_for_the_name(spark, files, tmp_path):
+    """Names come before, after and never; two files name one package; a name beyond the delay is no name."""
+    code = "eval($x);"
+    delivered(files, tmp_path, "", [("early", "readme.txt", README), ("late", "a.php", code), ("never", "a.php", code), ("gone", "a.php", code)], "2026-01-01 10:00:00")
+    delivered(files, tmp_path, "", [("early", "a.php", code), ("late", "readme.txt", README), ("late", "x/readme.txt", README)], "2026-01-01 10:20:00")
+    delivered(files, tmp_path, "", [("gone", "readme.txt", README), ("early", "b.php", code)], "2026-01-03 10:00:00")
+    both = lambda: landing.landing_tables(spark, str(tmp_path / "in"), max_files=1)
+    found = landing.findings_of_valid(both(), ScanConfig(), both(), "1 hour")
+    got = run(found.select(*COLUMNS), "append", tmp_path).collect()
+    assert sorted((r.scan_id, r.path) for r in got) == [("early", "a.php"), ("late", "a.php")]
+
+
+def test_late_findings_and_windows(spark, files, tmp_path):
+    code = "eval($x);"
+    for when, path in (("2026-01-01 10:00:00", "a.php"), ("2026-01-01 10:50:00", "b.php"), ("2026-01-01 14:00:00", "c.php"), ("2026-01-01 14:05:00", "e.php"), ("2026-01-01 08:00:00", "late.php"), ("2026-01-02 14:00:00", "d.php")):
+        delivered(files, tmp_path, "", [("p", path, code)], when)
+    found = landing.stream_findings(landing.landing_tables(spark, str(tmp_path / "in"), max_files=1), ScanConfig(), ("arrived",))
+    closed = run(landing.sessions(found, "1 hour", "2 hours"), "append", tmp_path / "a").collect()
+    assert [(r.from_time.hour, r.findings) for r in sorted(closed)] == [(10, 2), (14, 2)]  # the late one is left out, the last is still open
+    slid = run(landing.sliding(found, "2 hours", "1 hour", "2 hours"), "update", tmp_path / "b").collect()
+    last = {}
+    for r in slid:
+        last[r.from_time.day, r.from_time.hour] = max(r.findings, last.get((r.from_time.day, r.from_time.hour), 0))
+    assert last == {(1, 9): 2, (1, 10): 2, (1, 13): 2, (1, 14): 2, (2, 13): 1, (2, 14): 1}
