@@ -1,13 +1,15 @@
 """Lines that most pages of a site share: counted against the number of the site's pages, and left out.
 
-A line counts once for each page that has it.  Lines are compared without the
+A line counts once for each page that has it, and pages of one text count once, so
+that copies of a page are not their own boilerplate.  A line on a single page is
+never boilerplate, whatever the site's size.  Lines are compared without the
 spaces around them, by a 64-bit hash; blank lines are never boilerplate.  What
 moves to count them is hashes; texts move once, to meet the hashes of the lines
 that go.
 
 Pages without a site form a site of their own.  Null texts stay null and have no
-lines; a page all of whose lines go stays with an empty text.  Repeated rows
-count as pages of their own.
+lines; they count as one page.  A page all of whose lines go stays with an empty
+text.  Repeated rows are copies of a page.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 RATIO = 0.05
-LEAST_PAGES = 5
+LEAST_PAGES = 2
 
 
 def _site(source: Column) -> Column:
@@ -38,8 +40,9 @@ def boilerplate(pages: DataFrame, ratio: float = RATIO, least: int = LEAST_PAGES
 
     ``pages`` has _site and _text.  A site has at most (lines per page) / ratio such lines.
     """
-    totals = pages.groupBy("_site").agg(F.count(F.lit(1)).alias("_pages"))
-    counted = _seen(pages, "_site").groupBy("_site", "_line").agg(F.count(F.lit(1)).alias("_with")).where(F.col("_with") >= least)
+    hashed = pages.withColumn("_page", F.xxhash64("_text"))
+    totals = hashed.groupBy("_site").agg(F.count_distinct("_page").alias("_pages"))
+    counted = _seen(hashed, "_site", "_page").groupBy("_site", "_line").agg(F.count_distinct("_page").alias("_with")).where(F.col("_with") >= least)
     share = F.col("_with") / F.col("_pages")
     return counted.join(totals, "_site").select("_site", "_line", share.alias("_share")).where(F.col("_share") > ratio)
 
@@ -55,14 +58,17 @@ def without_boilerplate(
     ratio: float = RATIO, least: int = LEAST_PAGES,
 ) -> DataFrame:
     """The columns key, site and ``keep`` with n_lines, n_dropped and the text that is left."""
-    pages = docs.select(F.col(key).alias("_id"), _site(F.col(site)).alias("_site"), F.col(text).alias("_text"))
+    pages = docs.select(F.col(key).alias("_id"), _site(F.col(site)).alias("_site"), F.col(text).alias("_text"), F.xxhash64(text).alias("_page"))
     common = boilerplate(pages, ratio, least)
     gone = (
-        _seen(pages, "_id", "_site").join(common, ["_site", "_line"])
-        .groupBy(F.col("_id").alias("_of"), F.col("_site").alias("_at")).agg(F.collect_set("_line").alias("_gone"))
+        _seen(pages, "_id", "_site", "_page").join(common, ["_site", "_line"])
+        .groupBy(F.col("_id").alias("_of"), F.col("_site").alias("_at"), F.col("_page").alias("_like")).agg(F.collect_set("_line").alias("_gone"))
     )
-    rows = docs.select(F.col(key).alias("_id"), _site(F.col(site)).alias("_site"), F.struct(key, site, text, *keep).alias("_row"))
-    joined = rows.join(gone, F.col("_id").eqNullSafe(F.col("_of")) & (F.col("_site") == F.col("_at")), "left")
+    rows = docs.select(
+        F.col(key).alias("_id"), _site(F.col(site)).alias("_site"), F.xxhash64(text).alias("_page"), F.struct(key, site, text, *keep).alias("_row")
+    )
+    # the hash of the text is part of the key, so that rows without an id are spread
+    joined = rows.join(gone, F.col("_id").eqNullSafe(F.col("_of")) & (F.col("_site") == F.col("_at")) & (F.col("_page") == F.col("_like")), "left")
     body = F.col(f"_row.{text}")
     parts = joined.select("_row", "_gone", _lines(body).alias("_parts"))
     left = F.filter("_parts", lambda x: ~F.coalesce(F.array_contains("_gone", _hash(x)), F.lit(False)))

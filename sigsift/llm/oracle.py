@@ -4,11 +4,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 OP7 = """
 WITH d AS (SELECT doc_id, source, text, string_split(text, chr(10)) AS ls FROM documents),
-seen AS (SELECT source, line, count(*) AS n FROM (
-    SELECT source, unnest(list_distinct(list_filter(list_transform(ls, lambda x: trim(x, ' ')), lambda x: x <> ''))) AS line FROM d) GROUP BY ALL),
-totals AS (SELECT source, count(*) AS pages FROM documents GROUP BY source),
+seen AS (SELECT source, line, count(DISTINCT text) AS n FROM (
+    SELECT source, text, unnest(list_distinct(list_filter(list_transform(ls, lambda x: trim(x, ' ')), lambda x: x <> ''))) AS line FROM d) GROUP BY source, line),
+totals AS (SELECT source, count(DISTINCT text) + max((text IS NULL)::INT) AS pages FROM documents GROUP BY source),
 bad AS (SELECT s.source, list(line) AS bad FROM seen s JOIN totals t ON s.source IS NOT DISTINCT FROM t.source
-    WHERE n >= 5 AND n / pages > 0.05 GROUP BY s.source),
+    WHERE n >= 2 AND n / pages > 0.05 GROUP BY s.source),
 kept AS (SELECT d.*, list_filter(ls, lambda x: NOT list_contains(coalesce(bad, []::VARCHAR[]), trim(x, ' '))) AS left_over
     FROM d LEFT JOIN bad b ON d.source IS NOT DISTINCT FROM b.source)
 SELECT doc_id, source, coalesce(len(ls), 0)::INT AS n_lines, (coalesce(len(ls), 0) - coalesce(len(left_over), 0))::INT AS n_dropped,

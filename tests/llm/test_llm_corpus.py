@@ -33,7 +33,7 @@ def compared(frame, result):
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query_agrees_with_sql(spark, name):
     duck = duckdb.connect()
-    for table in ("documents", "conversations"):
+    for table in ("documents", "conversations", "embeddings"):
         duck.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     compared(QUERIES[name](spark, SF), duck.execute(ORACLE_SQL[name]))
 

@@ -77,10 +77,22 @@ def test_sizes_of_odd_rows(docs):
 def test_lines_of_odd_rows(docs):
     rows = lines.without_boilerplate(docs.unionByName(docs)).collect()
     assert all(r.text is None and (r.n_lines, r.n_dropped) == (0, 0) for r in rows if r.doc_id == 20)
-    assert all(r.text == "" for r in rows if r.doc_id == 40)  # eight copies of a line are boilerplate
+    assert all(r.text == PLAIN + "copy" for r in rows if r.doc_id == 40)  # copies of a page are not their own boilerplate
     assert all(r.text == " \n\t" and r.n_lines == 2 for r in rows if r.doc_id == 22)
 
 
+def test_lines_of_small_sites(spark):
+    footer = "All rights reserved"
+    rows = [(n, f"page {n}\n{footer}", "four") for n in range(4)] + [(10, f"alone\n{footer}", "one"), (20, "twice\nthe same", "copies"), (21, "twice\nthe same", "copies")]
+    rows += [(30, f"line {n} only\n{footer if n < 3 else ''}", None) for n in range(60)] + [(None, "no id\nshared", "none"), (None, "none either\nshared", "none")]
+    got = lines.without_boilerplate(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    left = {(r.doc_id, r.text) for r in got}
+    assert {(n, f"page {n}") for n in range(4)} <= left  # a footer of four pages goes
+    assert {(10, f"alone\n{footer}"), (20, "twice\nthe same"), (21, "twice\nthe same")} <= left
+    assert sum(r.text.endswith(footer) for r in got if r.doc_id == 30) == 3  # on a twentieth of sixty pages: not above the ratio
+    assert {(None, "no id"), (None, "none either")} <= left and len(got) == len(rows)
+
+
 @pytest.mark.parametrize("number", range(5))
 def test_stage_on_odd_rows(spark, docs, folder, number):
     name, stage = corpus_pipeline.STAGES[number]

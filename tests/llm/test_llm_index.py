@@ -1,14 +1,11 @@
 """The bit-sliced index and the miner of hard negatives against plain searches."""
 
-import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from sigsift.llm import bitslice, hardneg, vectors
-from sigsift.llm.queries import ORACLE_SQL, QUERIES
 
-SF = "/root/testdata/sf0.001"
 SCHEMA = "vec_id long, embedding array<float>, label int, rank string, score string, _row int, _id int, _block int"
 CLASH = ("x", "x", 1, 2, 3)
 NAN, INF = float("nan"), float("inf")
@@ -129,11 +126,3 @@ def test_few_or_no_rows(spark):
     for rows, top, negatives in ((none, 0, 0), (frame(spark, [(0, [1.0], 0)], 1), 0, 0), (frame(spark, [(0, [1.0], 0), (1, [2.0], 0), (2, [1.5], 1)], 1), 2, 1)):
         assert bitslice.nearest(rows, F.col("vec_id") % 50 == 0).count() == top
         assert hardneg.mined(rows, F.col("vec_id") % 50 == 0, F.col("label")).count() == negatives
-
-
-@pytest.mark.parametrize("name", ["op12_hard_negatives", "op13_exact_topk"])
-def test_query_equals_sql(spark, name):
-    result = duckdb.connect().execute(ORACLE_SQL[name].replace("FROM embeddings", f"FROM '{SF}/embeddings.parquet'"))
-    names = [d[0] for d in result.description]
-    got = QUERIES[name](spark, SF)
-    assert sorted(tuple(r) for r in got.select(*names).collect()) == sorted(result.fetchall()) and got.columns == names
