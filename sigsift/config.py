@@ -59,8 +59,8 @@ class ScanConfig:
     ``header_bytes`` read the first bytes only for findings and for package names,
     ``nul_probe_bytes`` takes a file with a NUL in its first bytes for binary,
     ``max_matches`` keeps a rule's first matches in a file, ``max_signals`` names
-    the first signals of the heuristic.  ``max_archive_bytes`` is a guard against
-    archives that inflate without bound and is on; a refused archive is an error row.
+    the first signals of the heuristic.  ``max_archive_bytes`` refuses archives
+    that declare more, each with an error row; uploads and the gate have it on.
     """
 
     severity_threshold: int = LOW
@@ -68,7 +68,7 @@ class ScanConfig:
     max_text_bytes: int | None = None
     header_bytes: int | None = None
     nul_probe_bytes: int | None = None
-    max_archive_bytes: int | None = MAX_ARCHIVE_BYTES
+    max_archive_bytes: int | None = None
     max_signals: int | None = None
     exclude_dirs: tuple[str, ...] = ()
     include_ext: tuple[str, ...] = ()

@@ -64,9 +64,13 @@ def findings_by_content(files: DataFrame, config: ScanConfig) -> DataFrame:
     ).dropDuplicates(key)
     scanned = scan_files(one, config)
     found = explode_findings(scanned.withColumn("path", F.col("sha256")), config).withColumnRenamed("path", "sha256").drop("scan_id")
-    places = keyed.select(*key, "scan_id", "path")
+    return at_places(found, keyed.select(*key, "scan_id", "path"), key).drop("sha256")
+
+
+def at_places(found: DataFrame, places: DataFrame, key: list[str]) -> DataFrame:
+    """Findings of contents as findings of the files that have them; ``places`` has the key, scan_id and path."""
     many = places.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / COPIES).alias("_blocks")).where("_blocks > 1")
     blocks = F.coalesce("_blocks", F.lit(1).cast("bigint"))
     dealt = places.join(many, key, "left").withColumn("_block", F.pmod(F.xxhash64("scan_id", "path"), blocks)).drop("_blocks")
     copies = found.join(many, key, "left").withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1))).drop("_blocks")
-    return dealt.join(copies, [*key, "_block"]).drop("_block", "sha256")
+    return dealt.join(copies, [*key, "_block"]).drop("_block")

@@ -512,6 +512,10 @@ SELECT scan_id, min_by(fault, doc_id) FILTER (fault IS NOT NULL) AS fault, min(d
             _doubled("'copy-' || scan_id") + [_rules(), _hits(2), _heuristic(), _details(), FINDINGS],
             "SELECT scan_id, rule_id, count(*) AS findings, count(*) FILTER (false_positive) AS suppressed, CAST(sum(line_number) AS BIGINT) AS line_sum FROM found GROUP BY scan_id, rule_id",
         ),
+        "rescan_findings": sql(
+            findings(),
+            "SELECT scan_id, rule_id, count(*) AS findings, count(*) FILTER (false_positive) AS suppressed, CAST(sum(line_number) AS BIGINT) AS line_sum FROM found GROUP BY scan_id, rule_id",
+        ),
         "review_batches": sql(findings() + [BATCHED], "SELECT scan_id, batch_no, pos, path, rule_id, line_number, match_start FROM batched"),
         "review_prompts": sql(findings() + [BATCHED], _prompts()),
         "parse_verdicts": sql(

@@ -11,7 +11,7 @@ from sigsift.catalog import CRITICAL, HEURISTIC_ID, Rule, rules_frame
 from sigsift.config import ScanConfig
 from sigsift.functions import text as tx
 from sigsift.functions.entropy import byte_histogram, entropy_of
-from sigsift.operators import duplicates, inventory, matching, metadata, reports, review, summary
+from sigsift.operators import duplicates, inventory, matching, metadata, reports, rescan, review, summary
 from sigsift.operators.ordering import with_ordinal
 from sigsift.plans.scan import ScanTables, findings_of_parts, scan
 from sigsift.session import pin, shared_folder
@@ -425,6 +425,16 @@ def distinct_scan(spark, sf):
     )
 
 
+@query
+def rescan_findings(spark, sf):
+    """Findings after the corpus has grown: half of the files were scanned before and are looked up."""
+    folder, files = shared_folder(spark), corpus.corpus_files(spark, sf)
+    rescan.rescan(files.where(F.crc32("path") % 2 == 0), folder)
+    return rescan.rescan(files, folder).groupBy("scan_id", "rule_id").agg(
+        F.count(F.lit(1)).alias("findings"), F.count_if("false_positive").alias("suppressed"), F.sum("line_number").alias("line_sum")
+    )
+
+
 # --- review
 
 

@@ -96,11 +96,12 @@ def gate(members: DataFrame, config: ScanConfig | None = None) -> DataFrame:
     """First fault per archive from a table ``(scan_id, member_ord, name, size, mode)``.
 
     Members come as rows here, so the running size is a distributed running
-    total; the first fault is an aggregate with partial results per task.
+    total; the first fault is an aggregate with partial results per task.  By
+    default archives that declare more than ``MAX_ARCHIVE_BYTES`` are at fault.
     """
     named = members.where(F.col("name") != "")
     summed = with_running(named, "scan_id", [F.col("member_ord")], F.col("size"), "running")
-    most = (config or ScanConfig()).max_archive_bytes
+    most = config.max_archive_bytes if config else MAX_ARCHIVE_BYTES
     checked = summed.withColumn("fault", member_fault(F.col("running"), F.col("name"), F.col("mode"), most))
     first = F.when(F.col("fault").isNotNull(), F.col("member_ord"))
     return checked.groupBy("scan_id").agg(

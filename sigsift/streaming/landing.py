@@ -15,12 +15,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from sigsift.config import ScanConfig
+from sigsift.config import MAX_ARCHIVE_BYTES, ScanConfig
 from sigsift.operators import metadata, summary
 from sigsift.plans.scan import explode_findings, scan_files
 from sigsift.sources import archives
 
-UPLOADS = ScanConfig(deep=True)
+UPLOADS = ScanConfig(deep=True, max_archive_bytes=MAX_ARCHIVE_BYTES)
 FILES_SCHEMA = "scan_id string, path string, length bigint, content binary, arrived timestamp"
 
 
@@ -35,7 +35,7 @@ def landing_tables(spark: SparkSession, folder: str, max_files: int | None = Non
 def landing_archives(spark: SparkSession, folder: str, config: ScanConfig = UPLOADS) -> tuple[DataFrame, DataFrame]:
     """Streams (files, errors) from archives dropped into a folder; a refused archive is an error row.
 
-    Uploads are scanned deeply by default: see ``UPLOADS``.
+    Uploads are scanned deeply, and refused above a size, by default: see ``UPLOADS``.
     """
     raw = (
         spark.readStream.format("binaryFile")
