@@ -15,7 +15,6 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,9 +22,9 @@ from pyspark.sql import functions as F
 COUNTERS = 2**29
 ROOMY = 4
 CHUNK = 2**16
-#: Groups of tasks whose counts of a chunk are added up first, and digests that a task counts at a time.
-MERGED = 64
+#: Digests that a task counts at a time, and rows of a chunk that are added up at a time.
 HELD = 2**21
+FEW = 64
 
 
 def counters_for(digests: int) -> int:
@@ -42,20 +41,18 @@ def sketch(digests: DataFrame, counters: int) -> list[np.ndarray]:
     """Both rows of bits, for digests of two long columns whose lower bits are even; ``counters`` is a power of two.
 
     Tasks send the places that they have counted, twice where more than once, two
-    bytes a place.  Chunks are added up in two steps, so that no task gathers what
-    all tasks sent of a chunk.
+    bytes a place, in chunks; a chunk is added up row by row.
     """
     chunk = min(CHUNK, counters)
 
     def send(n0: np.ndarray, n1: np.ndarray) -> Iterator[pd.DataFrame]:
-        part = TaskContext.get().partitionId() % MERGED
         for line, places in enumerate(_places(n0, n1, counters)):
             place, times = np.unique(places, return_counts=True)
             place = np.repeat(place, np.minimum(times, 2))
             number = place // np.uint64(chunk)
             starts = np.flatnonzero(number[1:] != number[:-1]) + 1
             low = [x.astype("<u2").tobytes() for x in np.split(place % np.uint64(chunk), starts)]
-            yield pd.DataFrame({"_line": line, "_chunk": number[np.concatenate([[0], starts])].astype(np.int64), "_part": part, "_places": low})
+            yield pd.DataFrame({"_line": line, "_chunk": number[np.concatenate([[0], starts])].astype(np.int64), "_places": low})
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, rows = [], 0
@@ -69,27 +66,33 @@ def sketch(digests: DataFrame, counters: int) -> list[np.ndarray]:
         if held:
             yield from send(*map(np.concatenate, zip(*held, strict=True)))
 
-    def added(group: pd.DataFrame) -> np.ndarray:
-        seen = np.zeros(chunk, np.int64)
-        for places in group["_places"]:
-            seen += np.bincount(np.frombuffer(places, "<u2"), minlength=chunk)
-        return np.minimum(seen, 2)
+    def bits(seen: np.ndarray) -> bytes:
+        return zlib.compress(np.packbits(seen > 1, bitorder="little").tobytes(), 1)
 
-    def merge(group: pd.DataFrame) -> pd.DataFrame:
-        seen = added(group)
-        return pd.DataFrame({"_line": group["_line"].iloc[:1], "_chunk": group["_chunk"].iloc[:1], "_places": [np.repeat(np.arange(chunk), seen).astype("<u2").tobytes()]})
-
-    def close(group: pd.DataFrame) -> pd.DataFrame:
-        bits = zlib.compress(np.packbits(added(group) > 1, bitorder="little").tobytes(), 1)
-        return pd.DataFrame({"_line": group["_line"].iloc[:1], "_chunk": group["_chunk"].iloc[:1], "_bits": [bits]})
-
-    sent = digests.mapInPandas(count, "_line int, _chunk int, _part int, _places binary")
-    merged = sent.groupBy("_line", "_chunk", "_part").applyInPandas(merge, "_line int, _chunk int, _places binary")
-    closed = merged.groupBy("_line", "_chunk").applyInPandas(close, "_line int, _chunk int, _bits binary")
+    def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # a chunk's rows come one after the other; they are counted as soon as they are a few
+        at, seen, held = None, np.zeros(chunk, np.int64), []
+        for batch in batches:
+            done = []
+            for line, number, places in zip(batch["_line"], batch["_chunk"], batch["_places"], strict=True):
+                if at != (line, number) or len(held) >= FEW:
+                    seen += np.bincount(np.concatenate(held), minlength=chunk) if held else 0
+                    held = []
+                if at != (line, number):
+                    if at is not None:
+                        done.append((*at, bits(seen)))
+                    at, seen = (line, number), np.zeros(chunk, np.int64)
+                held.append(np.frombuffer(places, "<u2"))
+            yield pd.DataFrame(done, columns=["_line", "_chunk", "_bits"])
+        if at is not None:
+            yield pd.DataFrame([(*at, bits(seen + np.bincount(np.concatenate(held), minlength=chunk)))], columns=["_line", "_chunk", "_bits"])
+
+    sent = digests.mapInPandas(count, "_line int, _chunk int, _places binary")
+    ordered = sent.repartition("_line", "_chunk").sortWithinPartitions("_line", "_chunk")
     out = [np.zeros(max(1, counters // 8), np.uint8) for _ in range(2)]
-    for r in closed.toLocalIterator():
-        bits = np.frombuffer(zlib.decompress(r._bits), np.uint8)
-        out[r._line][r._chunk * (chunk // 8) : r._chunk * (chunk // 8) + len(bits)] = bits
+    for r in ordered.mapInPandas(add_up, "_line int, _chunk int, _bits binary").collect():
+        found = np.frombuffer(zlib.decompress(r._bits), np.uint8)
+        out[r._line][r._chunk * (chunk // 8) : r._chunk * (chunk // 8) + len(found)] = found
     return out
 
 
