@@ -7,13 +7,14 @@ document; the writer below lays them out that way.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigsift.catalog import SEVERITY_COLORS
 from sigsift.functions import paths
 from sigsift.functions import text as tx
 from sigsift.operators.metadata import known
+from sigsift.session import pin
 
 FINDINGS_PER_PIECE = 500
 # Layout of the Markdown report.
@@ -173,17 +174,53 @@ def report_id(target: Column, run_time: Column, prefix: str = "R-") -> Column:
     return F.concat(F.lit(prefix), F.upper(F.left(F.sha2(F.concat_ws(":", target, run_time), 256), F.lit(12))))
 
 
+def _keys(pieces: DataFrame) -> list[str]:
+    return [c for c in ("scan_id", "section", "piece", "path") if c in pieces.columns]
+
+
 def write_reports(pieces: DataFrame, folder: str) -> None:
     """Write the pieces as text, one sub-folder per package, in document order.
 
-    A large package spans several part files whose names sort in that order.
+    A large package spans several part files whose names sort in that order.  The
+    pieces are kept first, for ordering them reads them twice.  For very many
+    packages ``write_shelves`` makes fewer folders.
     """
-    keys = [c for c in ("scan_id", "section", "piece", "path") if c in pieces.columns]
+    keys = _keys(pieces)
     (
-        pieces.repartitionByRange(*keys)
+        pin(pieces).repartitionByRange(*keys)
         .sortWithinPartitions(*keys)
         .select("scan_id", F.col("text").alias("value"))
         .write.mode("errorifexists")
         .partitionBy("scan_id")
         .text(folder)
     )
+
+
+SHELVES = 256
+
+
+def _shelf(scan_id: Column, shelves: int) -> Column:
+    return F.pmod(F.xxhash64(scan_id), F.lit(shelves)).cast("int")
+
+
+def write_shelves(pieces: DataFrame, folder: str, shelves: int = SHELVES) -> None:
+    """Write the reports of any number of packages as two tables: ``pieces``, at most twice as many files as shelves, and ``packages``.
+
+    A package stands on the shelf that its hash names, its pieces in document
+    order; a large package covers several files.  ``packages`` is the index: for
+    each package its shelf and how many pieces and characters its report has.
+    """
+    keys = _keys(pieces)
+    kept = pin(pieces.withColumn("shelf", _shelf(F.col("scan_id"), shelves)))
+    ordered = kept.repartitionByRange(shelves, "shelf", *keys).sortWithinPartitions("shelf", *keys)
+    ordered.write.mode("errorifexists").partitionBy("shelf").parquet(f"{folder}/pieces")
+    index = kept.groupBy("scan_id", "shelf").agg(F.count(F.lit(1)).alias("pieces"), F.sum(F.length("text")).alias("characters"))
+    index.repartitionByRange(max(1, shelves // 16), "scan_id").sortWithinPartitions("scan_id").write.mode("errorifexists").parquet(f"{folder}/packages")
+
+
+def shelved(spark: SparkSession, folder: str, scan_id: str) -> DataFrame:
+    """The pieces of one package's report in document order; only its shelf is read."""
+    found = spark.read.parquet(f"{folder}/packages").where(F.col("scan_id") == scan_id).select("shelf").first()
+    pieces = spark.read.parquet(f"{folder}/pieces")
+    mine = pieces.where((F.col("shelf") == (found.shelf if found else -1)) & (F.col("scan_id") == scan_id))
+    return mine.orderBy(*_keys(pieces)).select("text")

@@ -64,6 +64,21 @@ def test_written_reports(spark, parts, tmp_path):
         json.loads(text)
 
 
+def test_shelves_of_reports(spark, parts, tmp_path):
+    t, packages, numbered = parts
+    few = reports.json_report(packages, numbered, t.scan_errors)
+    many = few.join(spark.range(150).withColumnRenamed("id", "_n"), F.lit(True)).withColumn("scan_id", F.concat_ws("/", "scan_id", "_n")).drop("_n")
+    reports.write_shelves(many, str(tmp_path / "out"), shelves=8)
+    assert len(list((tmp_path / "out/pieces").glob("*/*.parquet"))) <= 16 and len(list((tmp_path / "out/packages").glob("*.parquet"))) == 1
+    index = spark.read.parquet(str(tmp_path / "out/packages")).collect()
+    assert len(index) == 300
+    whole = {r.scan_id: "".join(p.text for p in sorted(r.x, key=lambda p: (p.section, p.piece))) for r in few.groupBy("scan_id").agg(F.collect_list(F.struct("section", "piece", "text")).alias("x")).collect()}
+    for row in index[:3] + index[-3:]:
+        text = "".join(r.text for r in reports.shelved(spark, str(tmp_path / "out"), row.scan_id).collect())
+        assert text == whole[row.scan_id.rsplit("/", 1)[0]] and len(text) == row.characters and json.loads(text)
+    assert reports.shelved(spark, str(tmp_path / "out"), "nobody").count() == 0
+
+
 def test_tables_are_written(spark, parts, tmp_path):
     parts[0].write(str(tmp_path / "tables"))
     assert spark.read.parquet(str(tmp_path / "tables/findings")).count() == 18
