@@ -380,6 +380,12 @@ def statements() -> dict[str, str]:
             "len(regexp_extract_all(text, '(?i)[a-z0-9.]+@mail\\d\\.example\\.com')) AS n FROM scanned WHERE language = 'php' UNION ALL "
             "SELECT 'USER-002', len(regexp_extract_all(text, '\\+1 \\(\\d{3}\\) 555-\\d{4}')) FROM scanned WHERE language = 'php') WHERE n > 0 GROUP BY rule_id",
         ),
+        "literal_rules": sql(
+            corpus_ctes(),
+            "SELECT rule_id, CAST(sum(n) AS BIGINT) AS matches, count(*) AS files FROM (SELECT 'LITERAL-001' AS rule_id, "
+            "len(regexp_extract_all(text, '\\+1 \\(')) AS n FROM scanned WHERE language = 'php' UNION ALL "
+            "SELECT 'LITERAL-002', len(regexp_extract_all(text, '(?i)@mail')) FROM scanned WHERE language = 'php') WHERE n > 0 GROUP BY rule_id",
+        ),
         "rule_list": sql(
             corpus_ctes(),
             "SELECT 'NUMBER-' || number AS rule_id, count(*) AS matches, count(DISTINCT (scan_id, path)) AS files FROM (SELECT scan_id, path, "
@@ -465,6 +471,12 @@ FROM (SELECT scan_id, path, k, ls[k] AS t, CASE WHEN k <= len(bs) THEN length(bs
             "coalesce(regexp_replace(lower(plugin_name), '[^a-z0-9._-]+', '-', 'g'), 'my-pack_' || scan_id) AS slug "
             "FROM (SELECT DISTINCT source AS scan_id FROM documents) LEFT JOIN names USING (scan_id)",
         ),
+        "nothing_scannable": sql(
+            [META_FILES, NAMES],
+            f"SELECT scan_id, 0::BIGINT AS files_found, CASE WHEN plugin_name IS NULL THEN {q(metadata.INVALID_PACKAGE)} ELSE {q(metadata.NO_FILES)} END AS message, "
+            "true AS fatal FROM (SELECT DISTINCT source AS scan_id FROM documents) LEFT JOIN names USING (scan_id)",
+        ),
+        "report_ids": "SELECT DISTINCT source AS scan_id, 'R-' || upper(left(sha256(source || ':2026-01-01T00:00:00Z'), 12)) AS report_id FROM documents",
         "scan_status": sql(
             corpus_ctes(True, [e for g in LANGUAGE_EXTENSIONS.values() for e in g] + [".twig"]) + [NAMES],
             f"""SELECT scan_id, max(plugin_name) AS plugin_name, count(*) FILTER (NOT excluded AND reason IS NULL) AS files_found,

@@ -203,6 +203,20 @@ def user_rules(spark, sf):
     )
 
 
+LITERAL_RULES = (
+    Rule("LITERAL-001", "country and area code", CRITICAL, "+1 (", is_regex=False), Rule("LITERAL-002", "mail host", CRITICAL, "@MAIL", is_regex=False),
+    Rule("BROKEN-001", "no pattern of the engine's", CRITICAL, "+1 ("),
+)
+
+
+@query
+def literal_rules(spark, sf):
+    """Rules that are texts and no patterns; one that can't be compiled does not run."""
+    return _places(spark, sf, ScanConfig(rules=LITERAL_RULES)).groupBy("rule_id").agg(
+        F.count(F.lit(1)).alias("matches"), F.countDistinct("scan_id", "path").alias("files")
+    )
+
+
 @query
 def rule_list(spark, sf):
     """A list of ten thousand numbers to look for, each a rule."""
@@ -325,6 +339,20 @@ def report_slug(spark, sf):
     return status.select("scan_id", name.alias("plugin_name"), metadata.report_slug(name).alias("slug"))
 
 
+@query
+def nothing_scannable(spark, sf):
+    """Packages with a name, and without, none of whose files is of a kind that is scanned."""
+    files = corpus.corpus_files(spark, sf)
+    return scan(files, ScanConfig(only_ext=(".vue",))).status.select("scan_id", "files_found", "message", "fatal")
+
+
+@query
+def report_ids(spark, sf):
+    """The number of each package's report for a run at a given time."""
+    run_time = F.lit("2026-01-01T00:00:00Z")
+    return _scan(spark, sf).status.select("scan_id", reports.report_id(F.col("scan_id"), run_time).alias("report_id"))
+
+
 @query
 def scan_status(spark, sf):
     return scan(_listing(spark, sf), ScanConfig(include_ext=(".twig",))).status.select(

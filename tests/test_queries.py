@@ -19,7 +19,7 @@ TABLES = (
 # a cross-section; the others run in the driver's own comparison
 CHOSEN = (
     "corpus_files", "file_inventory", "text_gate", "line_index", "match_positions", "context_lines", "group_entropy", "heuristic_scores",
-    "archive_gate", "scan_grades", "top_findings", "rule_list", "rescan_findings", "stream_valid", "stream_regrade", "stream_sliding", "stream_sessions", "apply_verdicts", "json_report", "stream_findings",
+    "archive_gate", "scan_grades", "top_findings", "rule_list", "literal_rules", "nothing_scannable", "report_ids", "rescan_findings", "stream_valid", "stream_regrade", "stream_sliding", "stream_sessions", "apply_verdicts", "json_report", "stream_findings",
 )
 
 
