@@ -26,6 +26,8 @@ from sigsift.functions import text as tx
 
 #: From this many rules on a scan uses the index.
 LARGE = 200
+#: So many alternatives of a position are tried one after the other.
+GROUP = 4
 _SPECIAL = set("\\^$.|?*+()[]{}-&~# ")
 
 
@@ -38,13 +40,24 @@ def trie_pattern(literals: Iterable[str]) -> str:
             node = node.setdefault(char, {})
         node[""] = {}
 
+    def escaped(char: str) -> str:
+        return "\\" + char if char in _SPECIAL else char
+
+    def branched(chars: list[str], node: dict) -> str:
+        """Alternatives in groups of groups, each behind a class of its first characters, so that few are tried at a position."""
+        if len(chars) <= GROUP:
+            return "|".join(escaped(c) + written(node[c]) for c in chars)
+        step = -(-len(chars) // GROUP)
+        parts = [chars[n : n + step] for n in range(0, len(chars), step)]
+        return "|".join(f"(?=[{''.join(map(escaped, p))}])(?:{branched(p, node)})" for p in parts)
+
     def written(node: dict) -> str:
-        branches = [("\\" + c if c in _SPECIAL else c) + written(below) for c, below in sorted(node.items()) if c]
-        if not branches:
+        chars = sorted(c for c in node if c)
+        if not chars:
             return ""
         if "" in node:
-            return f"(?:{'|'.join(branches)})?+"
-        return branches[0] if len(branches) == 1 else f"(?:{'|'.join(branches)})"
+            return f"(?:{branched(chars, node)})?+"
+        return escaped(chars[0]) + written(node[chars[0]]) if len(chars) == 1 else f"(?:{branched(chars, node)})"
 
     return f"(?=({written(root)}))"
 
