@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigsift.llm.vectors import SCALE, asked, best, dealt, matrix, products, whole_vectors
+from sigsift.session import pin
 
 BLOCK = 16_384
 PART = 512
@@ -173,7 +174,8 @@ def nearest(
         return pd.DataFrame(found, columns=["_asking", "query_id", "_ids", "_scores", "_near"])
 
     sparse = stored.groupBy(*group).cogroup(wanted.groupBy(*group))
-    parts = sparse.applyInPandas(search, f"_asking long, query_id {kind}, _ids array<{kind}>, _scores array<long>, _near long")
+    # kept, for the best rows and the counts both read them
+    parts = pin(sparse.applyInPandas(search, f"_asking long, query_id {kind}, _ids array<{kind}>, _scores array<long>, _near long"))
     opened = parts.select("_asking", "query_id", "_near", F.inline_outer(F.arrays_zip("_ids", "_scores")))
     order = Window.partitionBy("_asking").orderBy(F.desc_nulls_last("_scores"), "_ids")
     top = opened.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= count).where(F.col("_ids").isNotNull())
