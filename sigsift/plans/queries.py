@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.utils import AnalysisException
 
 from sigsift.catalog import CRITICAL, HEURISTIC_ID, Rule, rules_frame
 from sigsift.config import ScanConfig
@@ -534,10 +536,8 @@ def markdown_report(spark, sf):
 
 def _landed(spark, sf):
     """The corpus as a stream: whole table, file k arrives at the time of event k."""
-    stamped = (
-        spark.readStream.schema("doc_id bigint, text string, lang string, source string, n_chars bigint")
-        .option("pathGlobFilter", "documents.parquet").parquet(sf)
-    )
+    # a table is a file or a folder of files; a stream reads a single file only where its path is a pattern
+    stamped = spark.readStream.schema("doc_id bigint, text string, lang string, source string, n_chars bigint").parquet(f"{sf}/documents.parque[t]")
     events = spark.read.parquet(f"{sf}/events.parquet").select(F.col("event_id").alias("doc_id"), "ts")
     return corpus.files_of(stamped.join(events, "doc_id", "left"), [F.coalesce(F.col("ts").cast("timestamp"), F.timestamp_seconds(F.lit(0))).alias("arrived")])
 
@@ -555,7 +555,13 @@ def _run(stream: DataFrame, mode: str, folder: str | None = None) -> DataFrame:
         .option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     )
     handle.awaitTermination()
-    return spark.read.parquet(f"{folder}/out").drop("_batch_no")
+    rows = T.StructType([*stream.schema, T.StructField("_batch", T.IntegerType())])
+    try:
+        return spark.read.schema(rows).parquet(f"{folder}/out").drop("_batch_no")
+    except AnalysisException as missing:
+        if missing.getCondition() == "PATH_NOT_FOUND":  # nothing has arrived
+            return spark.createDataFrame([], rows)
+        raise
 
 
 @query

@@ -4,9 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from sigsift.config import ScanConfig
+from sigsift.plans import queries
 from sigsift.plans.scan import scan
 from sigsift.streaming import landing
-from tests.conftest import README
+from tests.conftest import README, SF
 from tests.test_archives import CASES
 
 CODE = {"a": "eval($x);\nphpinfo();", "b": "md5($p);", "c": "nothing"}
@@ -137,3 +138,21 @@ def test_late_findings_and_windows(spark, files, tmp_path):
     for r in slid:
         last[r.from_time.day, r.from_time.hour] = max(r.findings, last.get((r.from_time.day, r.from_time.hour), 0))
     assert last == {(1, 9): 2, (1, 10): 2, (1, 13): 2, (1, 14): 2, (2, 13): 1, (2, 14): 1}
+
+
+@pytest.mark.parametrize("name", ["stream_findings", "stream_grades", "stream_once", "stream_sessions", "stream_sliding", "stream_status", "stream_valid"])
+def test_a_table_in_many_files_is_streamed_like_one_file(spark, tmp_path, name):
+    """The same rows as a folder of part files."""
+    spark.read.parquet(f"{SF}/documents.parquet").limit(60).repartition(3).write.parquet(str(tmp_path / "many/documents.parquet"))
+    (tmp_path / "one").mkdir()
+    spark.read.parquet(str(tmp_path / "many/documents.parquet")).toPandas().to_parquet(tmp_path / "one/documents.parquet")
+    for folder in ("many", "one"):
+        spark.read.parquet(f"{SF}/events.parquet").coalesce(1).write.parquet(str(tmp_path / folder / "events.parquet"))
+    many, one = (sorted(map(str, queries.QUERIES[name](spark, str(tmp_path / folder)).collect())) for folder in ("many", "one"))
+    assert many == one and many
+
+
+def test_a_stream_of_nothing_has_no_rows(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    counted = landing.arrivals(landing.landing_tables(spark, str(tmp_path / "in")))
+    assert queries._run(counted, "update").collect() == []
