@@ -3,22 +3,37 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import TYPE_CHECKING
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+if TYPE_CHECKING:
+    import pandas as pd
 
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def byte_histogram(content: pd.Series) -> pd.Series:
+
+def _counts(raw: bytes | None) -> np.ndarray:
+    return np.bincount(np.frombuffer(raw or b"", dtype=np.uint8), minlength=256)
+
+
+# Plain functions get a hundred contents at a time; an Arrow batch holds ten thousand, and its copies beside it.
+@F.udf(T.ArrayType(T.LongType()), useArrow=False)
+def byte_histogram(content: bytes | None) -> list[int]:
     """Occurrences of each of the 256 byte values; Spark has no built-in byte counter."""
-    return content.map(lambda raw: np.bincount(np.frombuffer(raw or b"", dtype=np.uint8), minlength=256))
+    return _counts(content).tolist()
+
+
+@F.udf(T.ArrayType(T.LongType()), useArrow=False)
+def byte_counts(content: bytes | None) -> list[int]:
+    """Occurrences of the byte values that occur, in their order."""
+    counts = _counts(content)
+    return counts[counts > 0].tolist()
 
 
 def entropy_of(counts: Column) -> Column:
-    """Bits per byte of a histogram, four decimals; an empty one has 0."""
+    """Bits per byte of a histogram or of the counts in it, four decimals; an empty one has 0."""
     def add(acc: Column, c: Column) -> Column:
         return F.struct(
             (acc["n"] + c).alias("n"),
@@ -36,12 +51,14 @@ def entropy_of(counts: Column) -> Column:
 
 def summed_histograms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows (group, content) to one row per batch and group: the counts of its byte values; null where no content is."""
+    import pandas as pd
+
     for batch in batches:
         group, content = batch.columns
         totals: dict[object, np.ndarray | None] = {}
         for key, raw in zip(batch[group], batch[content], strict=True):
             total = totals.setdefault(None if pd.isna(key) else key, None)
             if raw is not None:
-                counts = np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
+                counts = _counts(raw)
                 totals[None if pd.isna(key) else key] = counts if total is None else total + counts
         yield pd.DataFrame({group: list(totals), "histogram": list(totals.values())})

@@ -12,7 +12,7 @@ from pyspark.sql.utils import AnalysisException
 from sigsift.catalog import CRITICAL, HEURISTIC_ID, Rule, rules_frame
 from sigsift.config import ScanConfig
 from sigsift.functions import text as tx
-from sigsift.functions.entropy import byte_histogram, entropy_of
+from sigsift.functions.entropy import byte_counts, entropy_of
 from sigsift.operators import duplicates, inventory, matching, metadata, reports, rescan, review, summary
 from sigsift.operators.ordering import with_ordinal
 from sigsift.plans.scan import ScanTables, findings_of_parts, scan
@@ -278,7 +278,7 @@ def active_findings(spark, sf):
 @query
 def file_entropy(spark, sf):
     files = corpus.corpus_files(spark, sf).unionByName(corpus.packed_files(spark, sf))
-    return inventory.scannable(files, DEFAULT).select("scan_id", "path", entropy_of(byte_histogram("content")).alias("entropy"))
+    return inventory.scannable(files, DEFAULT).select("scan_id", "path", entropy_of(byte_counts("content")).alias("entropy"))
 
 
 @query

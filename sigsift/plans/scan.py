@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from sigsift.catalog import check_rules, label, local_frame, risks, rules_frame
 from sigsift.config import ScanConfig
 from sigsift.functions import text as tx
-from sigsift.functions.entropy import byte_histogram, entropy_of
+from sigsift.functions.entropy import byte_counts, entropy_of
 from sigsift.operators import chunked, detectors, inventory, matching, metadata, reports, summary
 from sigsift.operators.ordering import with_ordinal
 from sigsift.session import attach, pin
@@ -41,7 +41,7 @@ def _facts(listed: DataFrame, config: ScanConfig, keep: tuple[str, ...] = ()) ->
     scanned = F.col("reason").isNull()
     wanted = metadata.with_claim(listed, config)
     body = wanted.withColumn("content", F.when(scanned, F.col("content")))
-    counted = body.withColumn("entropy", entropy_of(byte_histogram(F.col("content"))))
+    counted = body.withColumn("entropy", entropy_of(byte_counts(F.col("content"))))
     placed = matching.with_places(counted, config)
     heuristic = detectors.heuristic()
     pointed = (

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sigsift.operators import summary
 from sigsift.operators.ordering import with_ordinal, with_running
+from sigsift.plans import scan as scans
 from sigsift.plans.queries import QUERIES
 from sigsift.plans.scan import explode_findings, scan_files
 from sigsift.config import ScanConfig
@@ -113,3 +114,13 @@ def test_shared_folder_is_asked_for_on_a_cluster(spark):
     with pytest.raises(ValueError):
         work_folder(SimpleNamespace(sparkContext=context, conf=conf))
     assert work_folder(spark) == work_folder(spark)
+
+
+@pytest.mark.parametrize("name", ["heuristic_scores", "finding_order", "language_rollup", "distinct_scan", "rescan_findings"])
+def test_contents_reach_python_a_few_at_a_time(spark, monkeypatch, name):
+    """An Arrow batch would hold ten thousand contents."""
+    evaluated = []
+    monkeypatch.setattr(scans, "_facts", lambda *a, kept=scans._facts, **kw: evaluated.append(kept(*a, **kw)) or evaluated[-1])
+    QUERIES[name](spark, SF)
+    plans = [plan(frame.select("entropy")) for frame in evaluated]
+    assert plans and all("BatchEvalPython" in p and "ArrowEvalPython" not in p for p in plans)
