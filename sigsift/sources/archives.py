@@ -12,7 +12,7 @@ import posixpath
 import zipfile
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -55,21 +55,17 @@ def as_archives(raw: DataFrame, root: str) -> DataFrame:
     return raw.select(paths.below(F.col("path"), root).alias("scan_id"), "content")
 
 
-@F.pandas_udf(MEMBER_TYPE)
-def list_members(content: pd.Series) -> pd.Series:
+@F.udf(MEMBER_TYPE, useArrow=False)
+def list_members(content: bytes | None) -> list[tuple] | None:
     """The directory of each archive; null for bytes that are not an archive."""
-
-    def directory(raw):
-        try:
-            infos = zipfile.ZipFile(io.BytesIO(raw)).infolist()
-        except (zipfile.BadZipFile, ValueError, OSError):
-            return None
-        return [
-            (i.filename, i.file_size, i.external_attr >> 16, i.is_dir(), bool(i.flag_bits & 1) or i.compress_type not in _METHODS)
-            for i in infos
-        ]
-
-    return content.map(directory)
+    try:
+        infos = zipfile.ZipFile(io.BytesIO(content)).infolist()
+    except (zipfile.BadZipFile, ValueError, OSError):
+        return None
+    return [
+        (i.filename, i.file_size, i.external_attr >> 16, i.is_dir(), bool(i.flag_bits & 1) or i.compress_type not in _METHODS)
+        for i in infos
+    ]
 
 
 def leaves_root(name: Column) -> Column:
@@ -144,18 +140,25 @@ def _test(archive: zipfile.ZipFile) -> None:
                 pass
 
 
-def _expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    columns = ["scan_id", "path", "length", "content", "message"]
+_EXPANDED = pa.schema([("scan_id", pa.string()), ("path", pa.string()), ("length", pa.int64()), ("content", pa.binary()), ("message", pa.string())])
+
+
+def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def table(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _EXPANDED, strict=True)], schema=_EXPANDED)
+
     for batch in batches:
-        for scan_id, raw, message in zip(batch["scan_id"], batch["content"], batch["message"], strict=True):
+        # one archive at a time is taken out of the batch
+        for scan_id, raw, message in zip(*[batch[c] for c in ("scan_id", "content", "message")], strict=True):
+            scan_id, raw, message = scan_id.as_py(), raw.as_py(), message.as_py()
             if message is not None:
-                yield pd.DataFrame([(scan_id, None, None, None, message)], columns=columns)
+                yield table([(scan_id, None, None, None, message)])
                 continue
             archive = zipfile.ZipFile(io.BytesIO(raw))
             try:
                 _test(archive)
             except Exception as exc:  # a damaged member spoils its archive, not the job
-                yield pd.DataFrame([(scan_id, None, None, None, f"{metadata.EXTRACT_FAILED}{exc}")], columns=columns)
+                yield table([(scan_id, None, None, None, f"{metadata.EXTRACT_FAILED}{exc}")])
                 continue
             rows, held = [], 0
             for path, info in _members(archive).items():
@@ -163,10 +166,10 @@ def _expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 rows.append((scan_id, path, len(data), data, None))
                 held += len(data)
                 if held > _BATCH_BYTES:
-                    yield pd.DataFrame(rows, columns=columns)
+                    yield table(rows)
                     rows, held = [], 0
             if rows:
-                yield pd.DataFrame(rows, columns=columns)
+                yield table(rows)
 
 
 def expand(archives: DataFrame, config: ScanConfig | None = None) -> tuple[DataFrame, DataFrame]:
@@ -176,7 +179,7 @@ def expand(archives: DataFrame, config: ScanConfig | None = None) -> tuple[DataF
     both tables read it.  On a stream, which a query opens anyway, both are lazy.
     """
     listed = with_directory(archives, config).select("scan_id", F.when(F.col("message").isNull(), F.col("content")).alias("content"), "message")
-    opened = listed.mapInPandas(_expand, "scan_id string, path string, length bigint, content binary, message string")
+    opened = listed.mapInArrow(_expand, "scan_id string, path string, length bigint, content binary, message string")
     opened = opened if opened.isStreaming else pin(opened)
     files = opened.where(F.col("message").isNull()).select("scan_id", "path", "length", "content")
     errors = opened.where(F.col("message").isNotNull()).select(

@@ -12,7 +12,7 @@ from sigsift.plans.queries import QUERIES
 from sigsift.plans.scan import explode_findings, scan_files
 from sigsift.config import ScanConfig
 from sigsift.session import attach
-from sigsift.sources import corpus
+from sigsift.sources import archives, corpus
 from tests.conftest import SF
 
 
@@ -124,3 +124,12 @@ def test_contents_reach_python_a_few_at_a_time(spark, monkeypatch, name):
     QUERIES[name](spark, SF)
     plans = [plan(frame.select("entropy")) for frame in evaluated]
     assert plans and all("BatchEvalPython" in p and "ArrowEvalPython" not in p for p in plans)
+
+
+def test_archives_reach_python_a_few_at_a_time(spark, monkeypatch):
+    """Directories are read a hundred archives at a time, members of one archive at a time."""
+    kept = []
+    monkeypatch.setattr(archives, "pin", lambda frame: kept.append(frame) or frame)
+    archives.expand(corpus.document_archives(spark, SF))
+    text = plan(kept[0])
+    assert "BatchEvalPython [list_members" in text and "MapInArrow" in text and "ArrowEvalPython" not in text
