@@ -615,8 +615,9 @@ def stream_regrade(spark, sf):
     for number, version in enumerate((older, files)):
         version.withColumn("arrived", F.timestamp_seconds(F.lit(number))).select("scan_id", "path", "length", "content", "arrived").write.mode("append").parquet(folder)
         facts = landing.stream_facts(landing.landing_tables(spark, folder), DEFAULT, ("arrived",))
-        out = _run(landing.changes(landing.file_counts(facts)), "update", log)
-    return landing.regraded(out).select("scan_id", "total", "suppressed", "score", "grade")
+        out = _run(landing.last_counts(landing.file_counts(facts)), "update", log)
+    latest = out.groupBy("scan_id", "path").agg(F.max_by(F.struct(*landing.COUNTED), "_batch").alias("last")).select("scan_id", "path", "last.*")
+    return landing.regraded(latest).select("scan_id", "total", "suppressed", "score", "grade")
 
 
 def _windowed(spark, sf, windowed, **kw):
