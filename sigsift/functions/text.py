@@ -63,10 +63,14 @@ def contains_any(folded: str, literals) -> str:
     return " OR ".join(f"contains({folded}, {sql_string(x)})" for x in literals) or "true"
 
 
+def broken_lines(text: Column) -> Column:
+    """The text cut at every break, CR/LF left out; an empty line at the end follows a final break."""
+    return F.split(F.regexp_replace(text, f"([{KEPT_BREAKS}])", "$1\n"), DROPPED_BREAK, -1)
+
+
 def line_texts(text: Column) -> Column:
     """The lines of a text without their CR/LF; at least one, no extra one after a final break."""
-    broken = F.regexp_replace(text, f"([{KEPT_BREAKS}])", "$1\n")
-    parts = F.split(broken, DROPPED_BREAK, -1)
+    parts = broken_lines(text)
     return F.transform(
         F.array(parts),
         lambda p: F.when((F.size(p) > 1) & (F.element_at(p, -1) == ""), F.slice(p, F.lit(1), F.size(p) - 1)).otherwise(p),

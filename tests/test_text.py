@@ -13,6 +13,7 @@ from sigsift.config import ScanConfig
 from sigsift.functions import paths
 from sigsift.functions import text as tx
 from sigsift.functions.entropy import byte_histogram, entropy_of
+from sigsift.operators import detectors
 from sigsift.operators.inventory import size_display
 
 EDGES = [
@@ -113,3 +114,15 @@ def test_strip(spark):
     frame = spark.createDataFrame([(every + "x y" + every,), (long + every,), ("",)], "t string")
     got = [tuple(r) for r in frame.select(tx.strip(F.col("t")), tx.strip_end(F.col("t"))).collect()]
     assert got == [("x y", every + "x y"), (long, long), ("", "")]
+
+
+def test_long_lines_by_their_lengths(spark):
+    """The same as the pattern that counts to five hundred at every break, without it."""
+    kept = tx.KEPT_BREAKS
+    pattern = f"(?:^|[\r\n{kept}])[^\r\n{kept}]{{499}}[^\r\n]"
+    texts = [x + "a" * n + y for n in (0, 498, 499, 500, 501) for x in ("", "b\r\n", " ", "b\x0b") for y in ("", "\n", "\r\n", "\u0085", "\x1c\n", "\U0001f600")]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select("text", F.lit("php").alias("language"), tx.fold(F.col("text")).alias("folded"))
+    out = detectors.with_signals(rows).select("text", F.rlike("text", F.lit(pattern)).alias("want"), F.col("sig.long_line").alias("got"))
+    assert "{499}" not in str(detectors.text_signals()._jc)
+    found = out.collect()
+    assert [r.got for r in found] == [r.want for r in found] and {True, False} == {r.got for r in found}
