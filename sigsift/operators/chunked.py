@@ -170,9 +170,9 @@ def file_findings(parts: DataFrame, config: ScanConfig) -> DataFrame:
     names = [s.name for s in detectors.SIGNALS]
     earliest = [F.min(F.col(f"sig.{n}") + F.col("char_offset")).alias(n) for n in names]
     signals = facts.groupBy(*FILE).agg(F.struct(*earliest, F.max("sig.long_line").alias("long_line")).alias("of_file"))
-    counts = parts.select(*FILE, F.posexplode(byte_histogram("content")).alias("byte", "n")).groupBy(*FILE, "byte").agg(F.sum("n").alias("n"))
-    entropies = counts.groupBy(*FILE).agg(F.array_sort(F.collect_list(F.struct("byte", "n"))).alias("_counts"))
-    entropies = entropies.select(*FILE, entropy_of(F.transform("_counts", lambda c: c["n"])).alias("entropy"))
+    # a row per part and, of each task, a row per file: 256 sums
+    counts = parts.select(*FILE, byte_histogram("content").alias("_n")).groupBy(*FILE).agg(*[F.sum(F.get("_n", F.lit(n))).alias(f"_{n}") for n in range(256)])
+    entropies = counts.select(*FILE, entropy_of(F.array(*[f"_{n}" for n in range(256)])).alias("entropy"))
     first = F.coalesce(F.array_min(F.array(*[F.col(f"of_file.{n}") for n in names])), F.lit(0))
     holds = (first >= F.col("char_offset")) & (first < F.col("char_offset") + F.col("chars"))
     local = F.struct(*[(F.col(f"of_file.{n}") - F.col("char_offset")).cast("int").alias(n) for n in names], F.col("of_file.long_line").alias("long_line"))
