@@ -93,11 +93,9 @@ def test_query_equals_the_plan_of_whole_files(spark):
 
 def test_bytes_are_summed_without_a_row_for_each_value(spark, monkeypatch):
     """Histograms of parts add up in 256 sums a file; none is opened into rows."""
-    from sigsift.operators import chunked
-
     seen = []
     monkeypatch.setattr(chunked, "entropy_of", lambda counts, kept=chunked.entropy_of: seen.append(str(counts._jc)) or kept(counts))
     text = "".join(f"$a{n} = foo($b);\n" for n in range(50))
     files = spark.createDataFrame([("p", "a.php", bytearray(text.encode()))], "scan_id string, path string, content binary")
-    findings_of_parts(parts.cut(files, 100), ScanConfig(deep=True)).collect()
+    findings_of_parts(sources.cut(files, 100), ScanConfig(deep=True)).collect()
     assert len(seen) == 1 and "_255" in seen[0]
