@@ -15,9 +15,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sigsift.session import shuffles_released
+
 #: The most counters of a row, counters for each digest, and how many make a chunk.
 COUNTERS = 2**29
 ROOMY = 4
@@ -90,16 +93,17 @@ def sketch(digests: DataFrame, counters: int) -> list[np.ndarray]:
     sent = digests.mapInPandas(count, "_line int, _chunk int, _places binary")
     ordered = sent.repartition("_line", "_chunk").sortWithinPartitions("_line", "_chunk")
     out = [np.zeros(max(1, counters // 8), np.uint8) for _ in range(2)]
-    for r in ordered.mapInPandas(add_up, "_line int, _chunk int, _bits binary").collect():
+    with shuffles_released(digests.sparkSession):
+        chunks = ordered.mapInPandas(add_up, "_line int, _chunk int, _bits binary").collect()
+    for r in chunks:
         found = np.frombuffer(zlib.decompress(r._bits), np.uint8)
         out[r._line][r._chunk * (chunk // 8) : r._chunk * (chunk // 8) + len(found)] = found
     return out
 
 
-def single(spark: SparkSession, bits: list[np.ndarray]) -> Callable:
-    """A function of the two digest columns: the sketch says that there is one row."""
-    kept = spark.sparkContext.broadcast(bits)
-    counters = len(bits[0]) * 8
+def single(kept: Broadcast) -> Callable:
+    """A function of the two digest columns: the sketch, which is broadcast, says that there is one row."""
+    counters = len(kept.value[0]) * 8
 
     @F.pandas_udf("boolean")
     def once(n0: pd.Series, n1: pd.Series) -> pd.Series:

@@ -131,7 +131,7 @@ def prefixes(convs: DataFrame, rows: DataFrame) -> DataFrame:
 
 def screened(rows: DataFrame, counters: int) -> DataFrame:
     """Adds _single, the estimate of the prefix is one, so it has one member; and _single_above, the same of the prefix above, itself at the root."""
-    single = countmin.single(rows.sparkSession, sketch(rows.select(*NODE), counters))
+    single = countmin.single(rows.sparkSession.sparkContext.broadcast(sketch(rows.select(*NODE), counters)))
     above = [F.coalesce(p, n) for p, n in zip(PARENT, NODE, strict=True)]
     return rows.withColumns({"_single": single(*NODE), "_single_above": single(*above)})
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,27 +45,57 @@ def pin(frame: DataFrame, folder: str | None = None) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(folder)
 
 
+@contextmanager
+def shuffles_released(spark: SparkSession) -> Iterator[None]:
+    """What is computed within leaves no shuffle files: they go when it ends, not when the driver collects garbage."""
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(setting, None)
+    spark.conf.set(setting, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(setting)
+        else:
+            spark.conf.set(setting, before)
+
+
 class Scratch:
     """Pinned tables of an iteration, by name: a new table replaces the last one of its name, whose files go.
 
     Only tables that no frame still to be computed reads may be replaced or
     dropped.  The new one is written before the old one goes, so a lost executor
-    finds what it needs.
+    finds what it needs.  Shuffle files go as soon as a table is written.
     """
 
     def __init__(self, spark: SparkSession):
         self._spark = spark
         self._folders: dict[str, str] = {}
+        self._tables: dict[str, str] = {}
 
     def pin(self, name: str, frame: DataFrame) -> DataFrame:
         folder = shared_folder(self._spark)
-        out = pin(frame, folder)
+        with shuffles_released(self._spark):
+            out = pin(frame, folder)
         self.drop(name)
         self._folders[name] = folder
         return out
 
+    def pin_in_buckets(self, name: str, frame: DataFrame, key: str, buckets: int) -> DataFrame:
+        """A pinned table in buckets by a hash of ``key``: joins on it read the table where it lies and don't shuffle it."""
+        folder = shared_folder(self._spark)
+        named = f"sigsift_{name}_{uuid.uuid4().hex}"
+        with shuffles_released(self._spark):
+            frame.write.format("parquet").option("path", folder).bucketBy(buckets, key).saveAsTable(named)
+        self.drop(name)
+        self._folders[name], self._tables[name] = folder, named
+        return self._spark.table(named)
+
     def drop(self, *names: str) -> None:
         for name in names:
+            named = self._tables.pop(name, None)
+            if named is not None:
+                self._spark.sql(f"DROP TABLE {named}")
             folder = self._folders.pop(name, None)
             if folder is not None:
                 path = self._spark._jvm.org.apache.hadoop.fs.Path(folder)

@@ -2,6 +2,7 @@
 
 import collections
 import re
+import time
 import zlib
 from pathlib import Path
 
@@ -16,6 +17,7 @@ from sigsift.llm import jaccard, packing, quality, quotes, tokens
 from sigsift.llm.queries import ORACLE_SQL, QUERIES, TOKENIZER
 from sigsift.llm.trees import Test as Split
 from sigsift.llm.trees import paths
+from sigsift.session import Scratch
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -166,6 +168,54 @@ def test_pairs_of_near_copies(spark, monkeypatch, count):
     assert max(pairs) <= count and sum(pairs) <= 2 * count, pairs
 
 
+def test_sets_are_not_shuffled_to_be_verified(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{n}x{i if i != at else 'y'}" for i in range(60)) for n in range(20) for at in rng.integers(0, 60, 4)]
+    plans = []
+    verified = jaccard._verified
+
+    def explained(*args):
+        out = verified(*args)
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(jaccard, "_verified", explained)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = jaccard.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), size=3, similarity=0.8).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    sets = sets_of(dict(enumerate(texts)), 3)
+    assert {r.doc_id: r.component_id for r in got} == components_of(sets, 80)
+    for plan in plans:
+        lines = plan.splitlines()
+        scans = [n for n, line in enumerate(lines) if "FileScan" in line and "_hashes" in line]
+        assert len(scans) == 2 and all("Bucketed: true" in lines[n] for n in scans)
+        for n in scans:  # from the table up to the join
+            up = next(m for m in range(n, 0, -1) if "Sort [_p" in lines[m])
+            assert not any("Exchange" in line for line in lines[up:n])
+    assert plans and not [t for t in spark.catalog.listTables() if t.name.startswith("sigsift_")]
+
+
+def test_shuffle_files_of_an_iteration_go(spark):
+    folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+
+    def files():
+        return {p for folder in folders for p in Path(folder).rglob("shuffle_*.data")}
+
+    before = files()
+    scratch = Scratch(spark)
+    out = scratch.pin("sums", spark.range(100_000).groupBy((F.col("id") % 1000).alias("k")).agg(F.sum("id").alias("n")))
+    end = time.time() + 20
+    while files() - before and time.time() < end:
+        time.sleep(0.2)
+    assert not files() - before
+    assert out.count() == 1000
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+    scratch.drop("sums")
+
+
 TRICKY = [
     "", " ", "  ", "a", " a", "a ", "a  b", "a   b  ", "\n", "a\nb", "a \nb", "a\n b", "a\n\n b", "it's we'LL don't", "x\u00a0y \u00a0z", "\u3000a b", "é😀 ü\x85b",
     "1234 56,7.8 -- !!", "a\tb\t c", "\x1c \x1d a!\x1c b", "tail\n ", "<|endoftext|> in text<|endoftext|>", "\u2028a \u2028 b", "日本 語 テスト", "a" * 3000, "word " * 2000,
