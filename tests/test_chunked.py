@@ -10,6 +10,7 @@ from sigsift.config import ScanConfig
 from sigsift.operators import chunked
 from sigsift.plans.queries import QUERIES
 from sigsift.plans.scan import findings_of_parts, scan
+from sigsift.session import Scratch
 from sigsift.sources import parts as sources
 from sigsift.sources.corpus import SEEDS
 from tests.conftest import SF
@@ -99,3 +100,25 @@ def test_bytes_are_summed_without_a_row_for_each_value(spark, monkeypatch):
     files = spark.createDataFrame([("p", "a.php", bytearray(text.encode()))], "scan_id string, path string, content binary")
     findings_of_parts(sources.cut(files, 100), ScanConfig(deep=True)).collect()
     assert len(seen) == 1 and "_255" in seen[0]
+
+
+def test_lines_at_the_ends_of_a_file_are_not_kept(spark, files, monkeypatch):
+    """Nothing of a file in one piece is written twice, and no table of text outlives the next."""
+    tables, texts_at_once = {}, []
+    pinned = Scratch.pin
+
+    def pin(self, name, frame):
+        out = tables[name] = pinned(self, name, frame)
+        texts_at_once.append({t for t in self._folders if "text" in tables[t].columns})
+        return out
+
+    monkeypatch.setattr(Scratch, "pin", pin)
+    long = "".join(f"$a{n} = foo($b);\n" for n in range(400))
+    parts = sources.cut(files({"short.php": "eval($_GET['a']);\n$b;\n", "long.php": long}).select("scan_id", "path", "content"), 1000)
+    found = findings_of_parts(parts, ScanConfig(deep=True))
+    assert len(found.collect()) > 0
+    rows = tables["scanned"].orderBy("path", "piece").collect()
+    assert [r.first_lines for r in rows if r.piece == 0] == [None, None] and rows[-1].path == "short.php" and rows[-1].last_lines is None
+    inner = [r for r in rows if r.path == "long.php"]
+    assert len(inner) > 2 and inner[-1].last_lines is None and all(r.first_lines for r in inner[1:]) and all(r.last_lines for r in inner[:-1])
+    assert max(map(len, texts_at_once)) == 2 and "_ends" in tables["kept"].columns
