@@ -22,6 +22,11 @@ by others.  So a group of thousands of copies costs its size and not its square,
 copies that are not quite alike enough make no pairs, and no link between
 components is lost.
 
+Disk is kept to a small multiple of the sets, however many words they share: words
+are gone through in shares, one after the other, each with the components that the
+shares before it have left, and pairs are verified in turns that read about as many
+hashes as all sets have.
+
 Sets are held by 64-bit hashes of their shingles.  Documents with one set are
 one node.  A set so small that only an equal one could be linked with it has no
 words to join by.  Null texts, and texts without words, have empty sets and no
@@ -40,7 +45,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigsift.llm import countmin
-from sigsift.llm.common import DOCUMENT, lower_ascii, whole, words
+from sigsift.llm.common import DOCUMENT, groups_of, lower_ascii, whole, words
 from sigsift.session import Scratch, pin
 
 SIZE = 5
@@ -52,6 +57,9 @@ SHINGLES = 500_000
 CHECK_WORDS = 16
 CHECKS = tuple(f"_s{n}" for n in range(CHECK_WORDS))
 AT_ONCE = tuple(f"_f{n}" for n in range(4))
+#: Rows (key, node) that are gone through at once: so many, or one for so many hashes of all sets if that is more.
+SHARE_ROWS = 2**21
+SHARE_HASHES = 24
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -239,14 +247,36 @@ def _verified(pairs: DataFrame, sets: DataFrame, tenths: int) -> DataFrame:
 def _connected(members: DataFrame, checks: DataFrame, sets: DataFrame, tenths: int, scratch: Scratch) -> DataFrame:
     """(_node, _component) by all links between ``members`` (_key, _node) of one key.
 
+    Keys are gone through in shares.  A later share begins with the components
+    and the failed pairs of the earlier ones, so what they have joined is compared
+    no more.  ``members`` of ``scratch`` go once the last share has read them.
+    """
+    rows, hashes = members.count(), checks.agg(F.sum("_n")).first()[0] or 0
+    shares = _shares(rows, hashes)
+    state = scratch.pin("state", members.select("_node").distinct().withColumn("_component", F.col("_node")))
+    unlinked = None
+    for share in range(shares):
+        own = members.where(F.pmod("_key", F.lit(shares)) == share)
+        last = ("members",) if share == shares - 1 else ()
+        state, unlinked = _settled(own, state, unlinked, checks, sets, tenths, hashes, scratch, last)
+    scratch.drop("unlinked", "labels")
+    return state
+
+
+def _settled(
+    members: DataFrame, state: DataFrame, unlinked: DataFrame | None, checks: DataFrame, sets: DataFrame, tenths: int, hashes: int, scratch: Scratch, read: tuple[str, ...],
+) -> tuple[DataFrame, DataFrame | None]:
+    """``state`` (_node, _component) and ``unlinked`` pairs after all links between ``members`` of one key.
+
     A key has centres: all members of a small one, some of a larger one.  A round
     of the first kind compares each node to one centre, the one that most of its
     keys name; one of the second kind to all centres of its keys, which are
     settled then.  So is, after any round, a key whose members are known to be
     connected.  Rounds of both kinds take turns, with more centres from turn to
     turn, until all that were open have been compared.  What passes between
-    rounds is links between components, not between nodes.  ``members`` of
-    ``scratch`` go once the first round has read them.
+    rounds is links between components, not between nodes.  The tables ``read``
+    of ``scratch`` go once the first round has read them.  ``hashes`` is how many
+    a turn of verifying reads.
     """
     own = checks.select("_node", "_n", *CHECKS)
     theirs = checks.select(F.col("_node").alias("_centre"), F.col("_n").alias("_m"), *[F.col(c).alias(f"{c}c") for c in CHECKS])
@@ -255,14 +285,12 @@ def _connected(members: DataFrame, checks: DataFrame, sets: DataFrame, tenths: i
         apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}c"))) for c in names), F.lit(0))
         return apart * (1000 + tenths) <= (F.col("_n") + F.col("_m")) * (1000 - tenths)
 
-    state = scratch.pin("state", members.select("_node").distinct().withColumn("_component", F.col("_node")))
-    left = members.withColumn("_label", F.col("_node"))
-    unlinked = None
-    for turn in count():
+    left = members.join(state.withColumnRenamed("_component", "_label"), "_node").select("_key", "_node", "_label", "_n", *AT_ONCE)
+    for turn in count(0 if unlinked is None else 1):
         size, single = FEW ** (max(0, turn - 1) // 2), turn == 0 or turn % 2 == 1
         keys = left.groupBy("_key").agg(F.count(F.lit(1)).alias("_members"), F.min("_label").alias("_low"), F.max("_label").alias("_high"))
         left = scratch.pin("left", left.join(keys.where("_low <> _high").select("_key", "_members"), "_key"))
-        scratch.drop("members")
+        scratch.drop(*read)
         if left.isEmpty():
             break
         slot = F.when(F.col("_members") <= size, F.col("_node")).otherwise(F.pmod(F.xxhash64("_node"), F.lit(size)))
@@ -279,11 +307,15 @@ def _connected(members: DataFrame, checks: DataFrame, sets: DataFrame, tenths: i
             offered = offered.withColumns({"_a": pair[0], "_b": pair[1]}).join(unlinked, ["_a", "_b"], "left_anti").drop("_a", "_b")
         near = scratch.pin("offered", offered).join(own, "_node").join(theirs, "_centre").where(near_enough(CHECKS))
         if single:
-            best = near.groupBy("_node", "_label").agg(F.min(F.struct((-F.col("_agree")).alias("less"), "_centre", "_other")).alias("_best"))
-            near = best.select("_node", "_label", "_best._centre", "_best._other")
-        pairs = near.select(*pair, F.least("_label", "_other").alias("_from"), F.greatest("_label", "_other").alias("_to")).distinct()
-        found = scratch.pin("found", _verified(pairs, sets, tenths))
+            best = near.groupBy("_node", "_label").agg(F.min(F.struct((-F.col("_agree")).alias("less"), "_centre", "_other", "_n", "_m")).alias("_best"))
+            near = best.select("_node", "_label", "_best._centre", "_best._other", "_best._n", "_best._m")
+        apart = F.least("_label", "_other").alias("_from"), F.greatest("_label", "_other").alias("_to"), (F.col("_n") + F.col("_m")).alias("_size")
+        pairs = scratch.pin("pairs", near.select(*pair, *apart).distinct())
         scratch.drop("offered")
+        turns = groups_of(pairs.agg(F.sum("_size")).first()[0] or 0, max(1, hashes))
+        of_turn = F.pmod(F.xxhash64("_a", "_b"), F.lit(turns))
+        found = scratch.pin_in_turn("found", (_verified(pairs.where(of_turn == n).drop("_size"), sets, tenths) for n in range(turns)))
+        scratch.drop("pairs")
         if not single or found.isEmpty():  # where no node had a centre to be compared to, all centres are settled as well
             left = left.join(centres.select(F.col("_of").alias("_key"), F.col("_centre").alias("_node")), ["_key", "_node"], "left_anti")
         failed = found.where("NOT _linked").select("_a", "_b")
@@ -297,8 +329,8 @@ def _connected(members: DataFrame, checks: DataFrame, sets: DataFrame, tenths: i
             left = left.select("_key", "_node", F.coalesce("_new", "_label").alias("_label"), "_n", *AT_ONCE)
         else:
             left = left.drop("_members")
-    scratch.drop("left", "centres", "found", "unlinked", "labels")
-    return state
+    scratch.drop("left", "centres", "found")
+    return state, unlinked
 
 
 def components(links: DataFrame, scratch: Scratch | None = None) -> DataFrame:
@@ -335,26 +367,44 @@ def _folded(number: int) -> Column:
     return out
 
 
-def _members(nodes: DataFrame, scratch: Scratch) -> DataFrame:
-    """(_key, _node, _n, *AT_ONCE): of each band's words of a node those to keep, the ones that fewest nodes have, but for words of a single node."""
+def _shares(rows: int, hashes: int) -> int:
+    """How many shares rows (key, node) are gone through in, so that a share takes a fraction of the disk that the sets do."""
+    return groups_of(rows, max(SHARE_ROWS, hashes // SHARE_HASHES))
+
+
+def _members(nodes: DataFrame, narrow: DataFrame, scratch: Scratch) -> DataFrame:
+    """(_key, _node, _n, *AT_ONCE): of each band's words of a node those to keep, the ones that fewest nodes have, but for words of a single node.
+
+    ``nodes`` (_node, _keys) is ``standing`` of ``scratch``, which goes once the
+    words that may be shared are a table; ``narrow`` has the other facts of nodes.
+    """
     folded = [_folded(n).alias(c) for n, c in enumerate(AT_ONCE)]
-    banded = nodes.select("_node", "_n", *folded, F.posexplode(F.arrays_zip("_keys", "_kept")).alias("_band", "_of"))
-    facts = banded.select("_node", "_band", F.size("_of._keys").alias("_parts"), F.col("_of._kept").alias("_kept"), "_n", *AT_ONCE)
+    bands = narrow.select("_node", "_n", *folded, F.posexplode(F.arrays_zip("_parts", "_kept")).alias("_band", "_of"))
+    facts = bands.select("_node", "_band", F.col("_of._parts").alias("_parts"), F.col("_of._kept").alias("_kept"), "_n", *AT_ONCE)
     # most words are of one node: a sketch proves it for nearly all of them, and they are not shuffled
     both = (F.col("_key"), F.shiftrightunsigned("_key", 32))
     every = nodes.select(F.explode(F.flatten("_keys")).alias("_key")).select(both[0].alias("_n0"), both[1].alias("_n1"))
     counters = countmin.counters_for(nodes.agg(F.sum(F.size(F.flatten("_keys")))).first()[0] or 0)
     bits = nodes.sparkSession.sparkContext.broadcast(countmin.sketch(every, counters))
     single = countmin.single(bits)
-    one = banded.select("_node", "_band", F.explode("_of._keys").alias("_key")).where(~single(*both))
-    shared = one.groupBy("_key").agg(F.count(F.lit(1)).alias("_have")).where("_have > 1")
-    common = one.join(shared, "_key")
+    banded = nodes.select("_node", F.posexplode("_keys").alias("_band", "_of"))
+    one = scratch.pin("one", banded.select("_node", "_band", F.explode("_of").alias("_key")).where(~single(*both)))
+    bits.destroy()
+    scratch.drop("standing")
+    shares = _shares(one.count(), narrow.agg(F.sum("_n")).first()[0] or 0)
+    counted = [one.where(F.pmod("_key", F.lit(shares)) == n).groupBy("_key").agg(F.count(F.lit(1)).alias("_have")).where("_have > 1") for n in range(shares)]
+    shared = scratch.pin_in_turn("shared", counted)
     # words of one node come first and are no candidates; what is left of the number to keep goes to the others
     of = Window.partitionBy("_node", "_band")
-    ranked = common.withColumn("_rank", F.row_number().over(of.orderBy("_have", "_key"))).withColumn("_common", F.count(F.lit(1)).over(of))
-    kept = ranked.join(facts, ["_node", "_band"]).where(F.col("_rank") <= F.col("_kept") - (F.col("_parts") - F.col("_common")))
-    members = scratch.pin("members", kept.select("_key", "_node", "_n", *AT_ONCE))
-    bits.destroy()
+
+    def kept(share: Column) -> DataFrame:
+        common = one.where(share).join(shared, "_key")
+        ranked = common.withColumn("_rank", F.row_number().over(of.orderBy("_have", "_key"))).withColumn("_common", F.count(F.lit(1)).over(of))
+        few = ranked.join(facts.where(share), ["_node", "_band"]).where(F.col("_rank") <= F.col("_kept") - (F.col("_parts") - F.col("_common")))
+        return few.select("_key", "_node", "_n", *AT_ONCE)
+
+    members = scratch.pin_in_turn("members", [kept(F.pmod("_node", F.lit(shares)) == n) for n in range(shares)])
+    scratch.drop("one", "shared")
     return members
 
 
@@ -372,11 +422,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     others = scratch.pin("others", filled.join(heads, "_node").where("_row <> _first_row").select("_row"))
     standing = scratch.pin("standing", wide.where("_node IS NOT NULL").join(others, "_row", "left_anti").select("_node", "_n", "_keys", "_kept", "_checks"))
     scratch.drop("wide", "others")
-    members = _members(standing, scratch)
+    narrow = scratch.pin("narrow", standing.select("_node", "_n", F.transform("_keys", F.size).alias("_parts"), "_kept", "_checks"))
+    members = _members(standing.select("_node", "_keys"), narrow, scratch)
     nodes = members.select("_node").distinct()
-    shown = standing.select("_node", "_n", *[F.get("_checks", F.lit(n)).alias(c) for n, c in enumerate(CHECKS)])
+    shown = narrow.select("_node", "_n", *[F.get("_checks", F.lit(n)).alias(c) for n, c in enumerate(CHECKS)])
     checks = scratch.pin("checks", shown.join(nodes, "_node", "left_semi"))
-    scratch.drop("standing")
+    scratch.drop("narrow")
     # texts are found by hash and id, so rows without an id are spread as well; they move once, to the bucket of their set
     wanted = heads.join(nodes, "_node", "left_semi").select(_place("_head_hash", "_head").alias("_place"))
     texts = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text"), F.xxhash64(text).alias("_hash"))

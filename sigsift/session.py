@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -81,12 +81,22 @@ class Scratch:
         self._folders[name] = folder
         return out
 
-    def pin_in_buckets(self, name: str, frame: DataFrame, key: str, buckets: int) -> DataFrame:
+    def pin_in_turn(self, name: str, frames: Iterable[DataFrame]) -> DataFrame:
+        """One pinned table of frames that are computed one after the other; shuffle files of each go before the next begins."""
+        folder = shared_folder(self._spark)
+        for frame in frames:
+            with shuffles_released(self._spark):
+                frame.write.mode("append").parquet(folder)
+        self.drop(name)
+        self._folders[name] = folder
+        return self._spark.read.schema(frame.schema).parquet(folder)
+
+    def pin_in_buckets(self, name: str, frame: DataFrame, key: str | tuple[str, ...], buckets: int) -> DataFrame:
         """A pinned table in buckets by a hash of ``key``: joins on it read the table where it lies and don't shuffle it."""
         folder = shared_folder(self._spark)
         named = f"sigsift_{name}_{uuid.uuid4().hex}"
         with shuffles_released(self._spark):
-            frame.write.format("parquet").option("path", folder).bucketBy(buckets, key).saveAsTable(named)
+            frame.write.format("parquet").option("path", folder).bucketBy(buckets, *([key] if isinstance(key, str) else key)).saveAsTable(named)
         self.drop(name)
         self._folders[name], self._tables[name] = folder, named
         return self._spark.table(named)

@@ -168,6 +168,32 @@ def test_pairs_of_near_copies(spark, monkeypatch, count):
     assert max(pairs) <= count and sum(pairs) <= 2 * count, pairs
 
 
+def test_words_and_pairs_in_shares(spark, monkeypatch):
+    """Groups whose words and pairs take many turns come out as in one; a turn reads as many hashes as it may."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{n}x{i if i not in at else 'y' + str(k)}" for i in range(80)) for n in range(3) for k, at in enumerate(rng.integers(0, 80, (5, 2)))]
+    monkeypatch.setattr(jaccard, "SHARE_ROWS", 400)
+    shares, turns = [], []
+    settled, verified, grouped = jaccard._settled, jaccard._verified, jaccard.groups_of
+
+    def share(*args):
+        shares.append(args[0].count())
+        return settled(*args)
+
+    def turn(frame, *rest):
+        turns.append(frame.count())
+        return verified(frame, *rest)
+
+    monkeypatch.setattr(jaccard, "_settled", share)
+    monkeypatch.setattr(jaccard, "_verified", turn)
+    monkeypatch.setattr(jaccard, "groups_of", lambda rows, size: grouped(rows, min(size, 700)))
+    got = jaccard.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), size=3, similarity=0.7).collect()
+    sets = sets_of(dict(enumerate(texts)), 3)
+    assert {r.doc_id: r.component_id for r in got} == components_of(sets, 70)
+    assert len(shares) > 1 and max(shares) < sum(shares)
+    assert 0 < max(turns) < sum(turns)
+
+
 def test_sets_are_not_shuffled_to_be_verified(spark, monkeypatch):
     rng = np.random.default_rng(3)
     texts = [" ".join(f"w{n}x{i if i != at else 'y'}" for i in range(60)) for n in range(20) for at in rng.integers(0, 60, 4)]
